@@ -57,7 +57,7 @@ def mentions(text: Column | str, concept: Column | str, mode: str = "regex") ->
     if mode == "literal":
         return F.contains(low, wanted)
     if mode == "word":
-        wanted = F.concat(F.lit(r"\b"), wanted, F.lit(r"\b"))
+        wanted = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), wanted, F.lit(r"($|[^\p{L}\p{N}_])"))
     elif mode != "regex":
         raise ValueError(f"unknown match mode {mode!r}")
     return F.regexp_like(low, wanted)

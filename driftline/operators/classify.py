@@ -22,6 +22,9 @@ from driftline.operators.ranking import stratified_folds, stratified_split
 from driftline.session import settle
 
 
+TOLERANCE = 1e-4  # fixed value: stopping tolerance of the linear models
+
+
 def index_labels(df: DataFrame, col: str) -> StringIndexerModel:
     """Class index in alphabetical order."""
     return StringIndexer(inputCol=col, outputCol="label", stringOrderType="alphabetAsc").fit(df.select(col).distinct())
@@ -75,7 +78,7 @@ def logistic(train: DataFrame, c: float = 1.0, balanced: bool = False, max_iter:
     """Multinomial logistic regression with L2 strength 1 / (C * n), optionally with balanced class weights."""
     n = train.count()
     rows = balanced_weights(train, "label") if balanced else train
-    lr = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
+    lr = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOLERANCE)
     model = (lr.setWeightCol("weight") if balanced else lr).fit(rows)
     return lambda df: model.transform(df).withColumn("probability", vector_to_array("probability"))
 
@@ -83,8 +86,8 @@ def logistic(train: DataFrame, c: float = 1.0, balanced: bool = False, max_iter:
 def linear_svm(train: DataFrame, c: float = 1.0, max_iter: int = 1000) -> Callable[[DataFrame], DataFrame]:
     """One-vs-rest linear SVM (hinge loss). `scores` holds one margin per class; probability is their softmax."""
     n = train.count()
-    svm = LinearSVC(regParam=1.0 / (c * max(n, 1)), maxIter=max_iter, standardization=False)
-    model = OneVsRest(classifier=svm).setRawPredictionCol("rawPrediction").fit(train)
+    svm = LinearSVC(regParam=1.0 / (c * max(n, 1)), maxIter=max_iter, standardization=False, tol=TOLERANCE)
+    model = OneVsRest(classifier=svm, parallelism=4).setRawPredictionCol("rawPrediction").fit(train)
 
     def predict(df: DataFrame) -> DataFrame:
         out = model.transform(df).withColumn("scores", vector_to_array("rawPrediction"))
@@ -129,10 +132,10 @@ def text_features(df: DataFrame, category: str, id_col: str = "doc_id", text: st
 
 def vector_features(df: DataFrame, category: str, id_col: str, vec: str = "embedding", test_share: float = 0.2):
     """The same for rows that already carry a dense vector."""
-    rows = stratified_split(df.filter(F.col(vec).isNotNull()).select(id_col, category, vec), category, id_col, test_share)
-    rows = rows.withColumn(category, F.col(category).cast("string"))
-    indexer = index_labels(rows, category)
-    ready = settle(indexer.transform(rows.withColumn("features", array_to_vector(doubles(vec)))))
+    rows = df.filter(F.col(vec).isNotNull()).select(id_col, F.col(category).cast("string").alias("class"), vec)
+    rows = stratified_split(rows, "class", id_col, test_share)
+    indexer = index_labels(rows, "class")
+    ready = settle(indexer.transform(rows.withColumn("features", array_to_vector(doubles(vec)))).drop(vec))
     return ready.filter("split = 'train'"), ready.filter("split = 'test'"), list(indexer.labels)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from driftline.functions.vectors import doubles, norm, total, unit
+from driftline.session import spread
 
 WORD = re.compile(r"\w\w+")
 
@@ -70,7 +71,7 @@ def embed(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = Non
             vecs = pa.ListArray.from_arrays(pa.array(ends), pa.array(mat.ravel()))
             yield pa.RecordBatch.from_arrays([*table.columns, vecs], names=[*table.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:

@@ -251,7 +251,7 @@ def distance_sums(df: DataFrame, id_col: str, label: str, vec: str = "embedding"
     slot = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.drop("label").withColumn("qb", slot).withColumn("cb", every)
-    right = rows.drop("id").withColumn("cb", slot).withColumn("qb", every)
+    right = rows.withColumn("cb", slot).withColumn("qb", every).drop("id")
 
     def run(qt: pa.Table, ct: pa.Table) -> pa.Table:
         empty = {"id": pa.array([], pa.int64()), "label": pa.array([], pa.string()), "total": pa.array([], pa.float64()), "rows": pa.array([], pa.int64())}

@@ -45,6 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scan one partition per core before work that is heavy per row.
+
+    A scan that already has a partition for every core, which any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and continue from there.
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def write_series(df: DataFrame, path: str, partition: str | None = "time_bin", mode: str = "overwrite") -> None:
-    """Parquet, partitioned by bin so later date filters skip folders.
+def write_series(df: DataFrame, path: str, by: str | None = "year", time: str = "time_bin", mode: str = "overwrite") -> None:
+    """Parquet. Series are bin-level, so they are partitioned by calendar year (or month) of the bin, not by bin:
+    date filters still skip folders and there is no folder with a handful of rows.
 
-    Rows of one bin are gathered by an explicit shuffle with a size target, so no task opens a file per bin and a hot
-    bin is written as several files.
+    A rebalancing shuffle gathers each folder's rows into files of the advisory size; a hot folder gets several.
     """
-    if partition is None:
+    if by is None:
         df.write.mode(mode).parquet(path)
         return
-    df.hint("rebalance", partition).write.mode(mode).partitionBy(partition).parquet(path)
+    folder = {"year": F.year(time), "month": F.date_format(time, "yyyy-MM")}[by]
+    df.withColumn(by, folder).hint("rebalance", by).write.mode(mode).partitionBy(by).parquet(path)

@@ -40,3 +40,12 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     """Process everything that has landed so far into a Parquet sink, exactly once per checkpoint."""
     df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
+
+
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything that has landed; each micro-batch replaces the result table (one row per window)."""
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    df.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
