@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.catalog.base import CORPUS, corpus, embedded, query, r
 from driftline.catalog.corpus import CLEAN
 from driftline.catalog.vectors import TRAJECTORY
-from driftline.operators import embedding, trajectory
+from driftline.operators import trajectory
 from driftline.session import shared_dir
 from driftline.streaming import live
 
@@ -24,8 +24,7 @@ def _landing(spark, rows):
 SELECT time_bin, docs, {r('value')} AS value FROM traj JOIN n USING (time_bin) WHERE concept = 'that'""")
 def stream_trajectory(spark, folder):
     docs = embedded(spark, folder).select("doc_id", "text", "published", "time_bin", "embedding")
-    bins = embedding.mean_vectors(docs, ["time_bin"])
-    concept = trajectory.concept_vectors(docs, bins, ["that"], [], "text", "embedding").first()["concept_vec"]
+    concept = trajectory.concept_vectors(trajectory.group_means(docs, ["that"]), ["that"]).first()["concept_vec"]
     base, stream = _landing(spark, docs.select("published", "embedding"))
     rows = stream.withColumn("published", F.col("published").cast("timestamp"))
     live.run_complete(live.windowed_centroids(rows), f"{base}/centroids", f"{base}/state")

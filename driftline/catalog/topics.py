@@ -8,6 +8,7 @@ from driftline.catalog.base import documents, CORPUS, EMBEDDED, VECTOR_PARTS, VE
 from driftline.catalog.vectors import DIMS, hashed_sql
 from driftline.operators import clusters, embedding, neighbours
 from driftline.operators.ranking import stratified_split
+from driftline.session import settle
 
 # The stored labels serve as clusters and the languages or sources as true labels.
 SIMS = VECTORS + """,
@@ -100,6 +101,7 @@ def retrieval_recall(spark, folder):
     encoder = embedding.HashedTerms(DIMS)
     rows = corpus(spark, folder).select("doc_id", "title", "text")
     rows = embedding.embed(embedding.embed(rows, encoder, "title", "title_vec"), encoder, "text", "text_vec").select("doc_id", "title_vec", "text_vec")
+    rows = settle(rows)
     return neighbours.retrieval_recall(rows, rows, "doc_id", "title_vec", "text_vec")
 
 

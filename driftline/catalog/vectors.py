@@ -58,9 +58,7 @@ cvec AS (SELECT concept, pos, c / sqrt(sum(c * c) OVER (PARTITION BY concept)) A
 
 @query("concept_vectors", f"WITH {CONCEPT_VECS} SELECT concept, CAST(pos - 1 AS INTEGER) AS pos, {r('c')} AS value FROM cvec")
 def concept_vectors(spark, folder):
-    docs = embedded(spark, folder)
-    bins = embedding.mean_vectors(docs, ["time_bin"])
-    rows = trajectory.concept_vectors(docs, bins, CONCEPTS, [], "text", "embedding")
+    rows = trajectory.concept_vectors(trajectory.group_means(embedded(spark, folder), CONCEPTS), CONCEPTS)
     return rows.select("concept", F.posexplode("concept_vec").alias("pos", "value"))
 
 
@@ -69,8 +67,7 @@ SELECT p.doc_id, c.concept, {r('sum(p.x * c.c) / (sqrt(sum(p.x * p.x)) * sqrt(su
 FROM parts p JOIN cvec c ON p.pos = c.pos GROUP BY ALL""")
 def concept_cosine(spark, folder):
     docs = embedded(spark, folder)
-    bins = embedding.mean_vectors(docs, ["time_bin"])
-    vecs = trajectory.concept_vectors(docs, bins, CONCEPTS, [], "text", "embedding")
+    vecs = trajectory.concept_vectors(trajectory.group_means(docs, CONCEPTS), CONCEPTS)
     fan = docs.select("doc_id", "embedding", F.explode(F.array(*[F.lit(c) for c in CONCEPTS])).alias("concept"))
     return fan.join(vecs, "concept").select("doc_id", "concept", fn.cosine("embedding", "concept_vec").alias("value"))
 

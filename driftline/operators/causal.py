@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from driftline.functions.stats import clamp_f, clamp_p, f_sf, f_tail_even
+from driftline.session import settle
 
 MIN_BINS = 10  # fixed value: fewer bins are never tested
 ALL = "__corpus"
@@ -127,7 +128,7 @@ def _joint_test(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _split(matrix: DataFrame, keys: list[str]):
-    tagged = _tagged(matrix, keys)
+    tagged = _tagged(settle(matrix), keys)  # one row per bin and source, read several times
     marked = tagged.join(_guard(tagged).select(ALL, "lags", "status"), ALL)
     ready = marked.filter("status = 'tested'").select(ALL, "time_bin", F.col("source").cast("string"), "value", "lags")
     return tagged, marked, ready
@@ -156,6 +157,7 @@ def granger_lag1(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame:
     source name, so the largest intermediate has one row per edge.
     """
     keys = keys or []
+    matrix = settle(matrix)  # one row per bin and source, read several times
     lagged = lag_design(matrix, 1, keys)
     arrays = lagged.groupBy(*keys, "source").agg(
         F.array_sort(F.collect_list(F.struct("time_bin", "value", "lag1"))).alias("s"))

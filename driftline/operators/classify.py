@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from driftline.functions.vectors import doubles
 from driftline.operators.features import TfIdf, add_terms
 from driftline.operators.ranking import stratified_folds, stratified_split
-from driftline.session import settle
+from driftline.session import lookup, settle
 
 
 TOLERANCE = 1e-4  # fixed value: stopping tolerance of the linear models
@@ -31,12 +31,12 @@ def index_labels(df: DataFrame, col: str) -> StringIndexerModel:
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """n / (k * rows of the class) per row; the class table is joined without a hint, the runtime picks by size."""
+    """n / (k * rows of the class) per row."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
     total = counts.agg(F.sum("__c")).scalar()
     k = counts.agg(F.count(F.lit(1))).scalar()
     weights = counts.select(label, (total / (k * F.col("__c"))).alias(out))
-    return df.join(weights, label)
+    return df.join(lookup(weights), label)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

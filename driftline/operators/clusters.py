@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from driftline.functions.vectors import dot, doubles, norm, unit
 from driftline.operators.embedding import as_matrix, mean_vectors
 from driftline.operators.neighbours import distance_sums
-from driftline.session import settle
+from driftline.session import lookup, settle
 
 SLICE_CELLS = 4_000_000  # numbers per broadcast slice: 32 MB
 
@@ -83,7 +83,7 @@ def contingency(df: DataFrame, cluster: str, label: str) -> DataFrame:
 
 def _margins(df: DataFrame, cluster: str, label: str) -> DataFrame:
     """Contingency cells with row, column and grand totals, from the aggregated table."""
-    cells = contingency(df.filter(F.col(cluster).isNotNull() & F.col(label).isNotNull()), cluster, label)
+    cells = settle(contingency(df.filter(F.col(cluster).isNotNull() & F.col(label).isNotNull()), cluster, label))
     rows = cells.groupBy(cluster).agg(F.sum("n").alias("a"))
     cols = cells.groupBy(label).agg(F.sum("n").alias("b"))
     total = cells.agg(F.sum("n")).scalar()
@@ -237,9 +237,8 @@ def davies_bouldin(df: DataFrame, label: str, vec: str = "embedding") -> DataFra
     """Mean over clusters of the worst (s_i + s_j) / d_ij, s being the mean distance to the own centroid."""
     rows = df.filter(F.col(vec).isNotNull()).select(F.col(label).cast("string").alias("label"), doubles(vec).alias("v"))
     centers = mean_vectors(rows, ["label"], "v", "c").select("label", "c")
-    # No hint: the runtime measures the centroid table before it decides how to ship it, and splits a hot cluster.
     gap = norm(F.zip_with("v", "c", lambda x, y: x - y))
-    spread = rows.join(centers, "label").groupBy("label").agg(F.avg(gap).alias("s"))
+    spread = rows.join(lookup(centers, 10_000), "label").groupBy("label").agg(F.avg(gap).alias("s"))
     table = settle(centers.join(spread, "label"))
 
     def worst(batch, found):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.text import normalize_text
 from driftline.operators.ranking import sample_rows, top_per_key
-from driftline.session import settle
+from driftline.session import lookup, settle
 
 NTZ = "timestamp_ntz"
 
@@ -68,7 +68,7 @@ def default_window(df: DataFrame, days: int = 180, col: str = "published") -> Da
 
 def cap_per_source(df: DataFrame, n: int, source: str = "source", col: str = "published", id_col: str = "doc_id") -> DataFrame:
     """The newest n documents of every source."""
-    return top_per_key(df, [source], [F.col(col).desc(), F.col(id_col)], n)
+    return top_per_key(df, [source], [F.col(col).desc(), F.col(id_col)], n, id_col)
 
 
 def ingest_stats(df: DataFrame, col: str = "published", source: str = "source") -> DataFrame:
@@ -120,10 +120,7 @@ def weak_pairs(df: DataFrame, max_pairs: int = 20_000, seed: int = 42) -> DataFr
 
 
 def category_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:
-    """Integer codes 0.. of the distinct values in alphabetical order, joined back.
-
-    The window orders the distinct values only; how the small table travels is left to the runtime size check.
-    """
+    """Integer codes 0.. of the distinct values in alphabetical order, joined back. The window sees distinct values only."""
     codes = df.select(col).filter(F.col(col).isNotNull()).distinct()
     codes = codes.withColumn(out, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(col)) - 1).cast("int"))
-    return df.join(codes, col, "left")
+    return df.join(lookup(codes), col, "left")

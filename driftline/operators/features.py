@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.text import STOP_WORDS, tokens, with_bigrams
+from driftline.functions.vectors import norm
+from driftline.session import spread
 
 MAX_TERMS = 10_000  # fixed value: default vocabulary size
 
@@ -39,13 +41,22 @@ def vocabulary(df: DataFrame, terms: str = "terms", size: int = MAX_TERMS, min_d
 
 
 def tfidf_rows(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", terms: str = "terms", sublinear: bool = False) -> DataFrame:
-    """(id, term, tfidf) with unit L2 norm per document. `sublinear` uses 1 + ln(tf)."""
-    counts = df.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = 1 + F.log("tf") if sublinear else F.col("tf")
-    weighted = counts.join(F.broadcast(vocab.select("term", "idf")), "term")  # bounded by the vocabulary size
-    weighted = weighted.select(id_col, "term", (tf * F.col("idf")).alias("w"))
-    size = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__n"))
-    return weighted.join(size, id_col).select(id_col, "term", (F.col("w") / F.col("__n")).alias("tfidf"))
+    """(id, term, tfidf) with unit L2 norm per document. `sublinear` uses 1 + ln(tf).
+
+    Every document is counted, weighted and scaled within its own row, so nothing is shuffled; the term names come
+    from the vocabulary table, whose size is bounded.
+    """
+    model = tfidf_model(vocab, terms)
+    names = [(i, t) for i, t in enumerate(model.stages[0].vocabulary)]
+    table = df.sparkSession.createDataFrame(names, "i int, term string")
+    rows = model.transform(df).select(id_col, F.unwrap_udt("counts").alias("c"), F.unwrap_udt("weighted").alias("w"))
+    weight = F.col("w.values")
+    if sublinear:
+        weight = F.zip_with(weight, F.col("c.values"), lambda w, c: w * (1 + F.log(c)) / c)
+    rows = rows.select(id_col, F.col("c.indices").alias("i"), weight.alias("w"))
+    size = norm("w")
+    each = F.arrays_zip(F.col("i"), F.transform("w", lambda w: w / size).alias("tfidf"))
+    return rows.select(id_col, F.inline(each).alias("i", "tfidf")).join(F.broadcast(table), "i").select(id_col, "term", "tfidf")
 
 
 def tfidf_model(vocab: DataFrame, terms: str = "terms", out: str = "features") -> PipelineModel:
@@ -67,9 +78,9 @@ class TfIdf:
     def __init__(self, train: DataFrame, text: str = "text", size: int = MAX_TERMS, min_df: int = 1, max_df: float = 1.0,
                  bigrams: bool = True, stop_words: list[str] | None = None):
         self.text, self.bigrams, self.stop_words = text, bigrams, stop_words
-        vocab = vocabulary(add_terms(train, text, bigrams=bigrams, stop_words=stop_words), "terms", size, min_df, max_df)
+        vocab = vocabulary(add_terms(spread(train), text, bigrams=bigrams, stop_words=stop_words), "terms", size, min_df, max_df)
         self.model = tfidf_model(vocab)
 
     def features(self, df: DataFrame) -> DataFrame:
-        ready = add_terms(df, self.text, bigrams=self.bigrams, stop_words=self.stop_words)
+        ready = add_terms(spread(df), self.text, bigrams=self.bigrams, stop_words=self.stop_words)
         return self.model.transform(ready).drop("terms", "counts", "weighted")

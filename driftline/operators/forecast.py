@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from driftline.functions.arima import arima_forecast
-from driftline.operators.series import future_bins, with_index
+from driftline.operators.series import future_time, with_index
+from driftline.session import settle
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -29,29 +30,28 @@ def _history(value: str = "value") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("x", value))), lambda p: p[value])
 
 
+def _per_series(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+    """One row per series: points, first and last bin, last value and whatever the forecaster needs."""
+    return with_index(df, keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("time_bin").alias("__first"), F.max("time_bin").alias("__last"),
+        F.max_by("value", "x").alias("__y"), *extra)
+
+
 def _naive(df: DataFrame, keys: list[str], steps: int) -> DataFrame:
-    last = df.groupBy(*keys).agg(F.max_by("value", "time_bin").alias("__last"))
-    return last.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), F.col("__last").alias("yhat"))
+    return _per_series(df, keys).withColumn("__f", F.array_repeat("__y", steps))
 
 
 def _trend(df: DataFrame, keys: list[str], steps: int) -> DataFrame:
-    fit = with_index(df, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.regr_slope("value", "x").alias("__b"),
-        F.regr_intercept("value", "x").alias("__a"), F.max_by("value", "x").alias("__last"),
-    )
-    rows = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    line = F.col("__a") + F.col("__b") * (F.col("__n") - 1 + F.col("step"))
-    return rows.select(*keys, "step", F.when(F.col("__n") < 5, F.col("__last")).otherwise(line).alias("yhat"))
+    fit = _per_series(df, keys, F.regr_slope("value", "x").alias("__b"), F.regr_intercept("value", "x").alias("__a"))
+    line = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.col("__a") + F.col("__b") * (F.col("__n") - 1 + i))
+    return fit.withColumn("__f", F.when(F.col("__n") < 5, F.array_repeat("__y", steps)).otherwise(line))
 
 
 def _arima(df: DataFrame, keys: list[str], steps: int) -> DataFrame:
-    series = with_index(df, keys).groupBy(*keys).agg(_history().alias("__h"))
-    out = series.withColumn("__f", arima_steps("__h", F.lit(steps)))
-    return out.select(*keys, F.posexplode("__f").alias("__p", "yhat")).select(
-        *keys, (F.col("__p") + 1).alias("step"), "yhat"
-    )
+    return _per_series(df, keys, _history().alias("__h")).withColumn("__f", arima_steps("__h", F.lit(steps)))
 
 
+# Each forecaster adds `__f`, an array of future values, to the per-series rows.
 FORECASTERS: dict[str, Callable[[DataFrame, list[str], int], DataFrame]] = {
     "naive_last": _naive, "linear_trend": _trend, "auto_arima": _arima,
 }
@@ -63,8 +63,10 @@ def forecast(df: DataFrame, keys: list[str], steps: int = 6, model: str = "auto_
     `prophet` is accepted as a name for the trend-only forecast; other forecasters can be added to FORECASTERS.
     """
     name = {"prophet": "linear_trend"}.get((model or "auto_arima").lower(), (model or "auto_arima").lower())
-    out = FORECASTERS[name](df, keys, steps).join(future_bins(df, keys, steps), [*keys, "step"])
-    return out.select(*keys, "step", "time_bin", "yhat", F.lit(name).alias("model"))
+    rows = FORECASTERS[name](df, keys, steps)
+    out = rows.select(*keys, "__n", "__first", "__last", F.posexplode("__f").alias("__p", "yhat"))
+    out = out.withColumn("step", F.col("__p") + 1)
+    return out.select(*keys, "step", future_time().alias("time_bin"), "yhat", F.lit(name).alias("model"))
 
 
 def _tested(df: DataFrame, keys: list[str], horizon: Column) -> DataFrame:
@@ -102,6 +104,7 @@ def _holdout_forecasts(rows: DataFrame, keys: list[str], models: list[str]) -> D
 def backtest(df: DataFrame, keys: list[str], models: list[str] | None = None) -> DataFrame:
     """Holdout backtest: the last max(3, min(6, n div 4)) points. A series too short for it gets null metrics."""
     models = models or ["naive_last"]
+    df = settle(df)  # bin-level, read more than once
     h = F.greatest(F.lit(3), F.least(F.lit(6), F.floor(F.col("n") / 4).cast("int")))
     rows = _tested(df, keys, h)
     fits = rows.filter(F.col("n") > F.col("h") + 3)
@@ -113,6 +116,7 @@ def backtest(df: DataFrame, keys: list[str], models: list[str] | None = None) ->
 def compare_forecasters(df: DataFrame, keys: list[str], horizon: int = 12, models: list[str] | None = None) -> DataFrame:
     """Errors of several forecasters on the last min(horizon, max(2, n div 4)) points of series with 12 points or more."""
     models = models or ["auto_arima", "linear_trend", "naive_last"]
+    df = settle(df) if "auto_arima" in models else df  # bin-level, read more than once
     h = F.least(F.lit(horizon), F.greatest(F.lit(2), F.floor(F.col("n") / 4).cast("int")))
     rows = _tested(df, keys, h).filter(F.col("n") >= 12)
     out = error_metrics(_holdout_forecasts(rows, keys, models), [*keys, "model"])

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.session import lookup
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[f"__{k}"])
-    return cond
+
+def _group(keys: list[str]) -> Column:
+    """One grouping column for any number of keys; inside a struct, null keys equal each other in joins too."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
 
 def seeded_hash(id_col: Column | str, seed: int = 42) -> Column:
@@ -28,22 +28,18 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str, out: str = "rank", se
 
     The first `digits` hex digits of the hash cut every group into 16**digits near-equal buckets.
     """
-    h = seeded_hash(id_col, seed)
-    rows = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, digits))
-    per = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    whole = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
+    rows = df.withColumn("__g", _group(keys)).withColumn("__h", seeded_hash(id_col, seed))
+    rows = rows.withColumn("__b", F.substring("__h", 1, digits))
+    per = rows.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy("__g")
     before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     # At most 16**digits rows per group reach these windows.
-    offs = per.select(
-        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("____b"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
-        F.sum("__n").over(whole).alias(f"{out}_size"),
-    )
-    joined = rows.join(offs, _same(rows, offs, [*keys, "__b"]))
-    inside = Window.partitionBy(*[F.col(k) for k in keys], F.col("__b")).orderBy("__h", id_col)
-    return joined.withColumn(out, (F.row_number().over(inside) + F.col("__off")).cast("bigint")).drop(
-        "__h", "__b", "__n", "__off", "____b", *[f"__{k}" for k in keys]
-    )
+    starts = per.select("__g", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+                        F.sum("__n").over(whole).alias(f"{out}_size"))
+    # Rows are shuffled once, by (group, bucket); the join reuses that partitioning.
+    inside = Window.partitionBy("__g", "__b").orderBy("__h", id_col)
+    placed = rows.withColumn("__rn", F.row_number().over(inside)).join(starts, ["__g", "__b"])
+    return placed.withColumn(out, (F.col("__rn") + F.col("__off")).cast("bigint")).drop("__g", "__b", "__h", "__rn", "__off")
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
@@ -62,11 +58,16 @@ def sample_share(df: DataFrame, share: float, id_col: str, seed: int = 42) -> Da
 def stratified_split(df: DataFrame, label: str, id_col: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add `split` ('train'/'test') with the same test share in every class.
 
-    The first round(size * test_share) rows of each class in hash order are the test rows.
+    The first round(size * test_share) rows of each class in hash order are the test rows. Only ids and labels are
+    ranked; the last test row of each class then marks the boundary, and whole rows are compared with it in place.
     """
-    ranked = hash_rank(df, [label], id_col, "__r", seed)
-    cut = F.round(F.col("__r_size") * F.lit(test_share))
-    return ranked.withColumn("split", F.when(F.col("__r") <= cut, "test").otherwise("train")).drop("__r", "__r_size")
+    ranked = hash_rank(df.select(label, id_col), [label], id_col, "__r", seed)
+    chosen = ranked.filter(F.col("__r") <= F.round(F.col("__r_size") * F.lit(test_share)))
+    place = F.struct(seeded_hash(id_col, seed).alias("h"), F.col(id_col).alias("id"))
+    marks = chosen.groupBy(_group([label]).alias("__g")).agg(F.max(place).alias("__last"))
+    rows = df.withColumn("__g", _group([label])).join(lookup(marks), "__g", "left")
+    split = F.when(place <= F.col("__last"), "test").otherwise("train")
+    return rows.withColumn("split", split).drop("__g", "__last")
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -75,13 +76,13 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: i
     return ranked.withColumn("fold", F.pmod(F.col("__r") - 1, F.lit(k)).cast("int")).drop("__r", "__r_size")
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, spread_by: str, salts: int = 64) -> DataFrame:
     """The first n rows of every key in `order`, which must be total.
 
-    A salted first cut leaves at most n rows per (key, salt), so a key with a third of all rows is spread over
-    `salts` tasks before its final cut.
+    A salted first cut (by a hash of `spread_by`) leaves at most n rows per (key, salt), so a key with a third of all
+    rows is spread over `salts` tasks before its final cut.
     """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     first = Window.partitionBy(*[F.col(k) for k in keys], F.col("__salt")).orderBy(*order)
     last = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)
     cut = salted.withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") <= n).drop("__rn", "__salt")
@@ -100,22 +101,17 @@ def running_totals(df: DataFrame, keys: list[str], order_col: str, values: list[
     groups are cut; the totals are exact.
     """
     marks = [i / buckets for i in range(1, buckets)]
-    keyed = df if keys else df.withColumn("__all", F.lit(0))
-    group = keys or ["__all"]
-    cuts = keyed.groupBy(*group).agg(F.percentile_approx(order_col, marks, 10_000).alias("__cuts"))
-    cuts = cuts.select(*[F.col(k).alias(f"__{k}") for k in group], "__cuts")
-    rows = keyed.join(cuts, _same(keyed, cuts, group)).drop(*[f"__{k}" for k in group])
-    rows = rows.withColumn(
-        "__b", F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(order_col)))
-    ).drop("__cuts")
-    sums = rows.groupBy(*group, "__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-    earlier = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *[F.col(k).alias(f"__{k}") for k in group], F.col("__b").alias("____b"),
-        *[F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__o_{v}") for v in values],
-    )
-    out = rows.join(sums, _same(rows, sums, [*group, "__b"]))
-    inside = Window.partitionBy(*group, "__b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    keyed = df.withColumn("__g", _group(keys))
+    cuts = keyed.groupBy("__g").agg(F.percentile_approx(order_col, marks, 10_000).alias("__cuts"))
+    rows = keyed.join(lookup(cuts, 1_000_000 // buckets), "__g")
+    below = F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(order_col))
+    rows = rows.withColumn("__b", F.size(below)).drop("__cuts")
+    sums = rows.groupBy("__g", "__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    earlier = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__g", "__b", *[F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__o_{v}") for v in values])
+    inside = Window.partitionBy("__g", "__b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__w_{v}") for v in values])
+    out = out.join(starts, ["__g", "__b"])
     for v in values:
-        out = out.withColumn(f"{v}_before", F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"__o_{v}"))
-    return out.drop("__b", "____b", "__all", *[f"__{k}" for k in group], *[f"__o_{v}" for v in values])
+        out = out.withColumn(f"{v}_before", F.col(f"__w_{v}") + F.col(f"__o_{v}"))
+    return out.drop("__g", "__b", *[f"__{x}_{v}" for v in values for x in ("o", "w")])

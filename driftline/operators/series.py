@@ -5,10 +5,11 @@ A series is never longer than its calendar, so windows partitioned by series sta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.stats import t_tail
+from driftline.session import settle
 
 
 def _by(keys: list[str]):
@@ -98,17 +99,21 @@ def frequency(df: DataFrame, keys: list[str], time: str = "time_bin") -> DataFra
     )
 
 
+def future_time() -> Column:
+    """Time of future `step` from `__n`, `__first`, `__last`: last + average step * i; month ends after a single point."""
+    gap = "timestampdiff(MICROSECOND, __first, __last) / (__n - 1)"
+    ahead = F.expr(f"__last + make_dt_interval(0, 0, 0, cast({gap} * step / 1e6 as decimal(18, 6)))")
+    month_end = F.last_day(F.add_months("__last", F.col("step") - 1)).cast("timestamp_ntz")
+    return F.when(F.col("__n") > 1, ahead).otherwise(month_end)
+
+
 def future_bins(df: DataFrame, keys: list[str], steps: int, time: str = "time_bin") -> DataFrame:
-    """The next `steps` bin times: last + average step * i; month ends after a series of one point."""
+    """The next `steps` bin times of every series."""
     span = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.min(time).alias("__first"), F.max(time).alias("__last")
     )
     rows = span.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    gap = F.expr("timestampdiff(MICROSECOND, __first, __last)") / (F.col("__n") - 1)
-    ahead = F.expr("__last + make_dt_interval(0, 0, 0, cast(__gap * step / 1e6 as decimal(18, 6)))")
-    month_end = F.last_day(F.add_months("__last", F.col("step") - 1)).cast("timestamp_ntz")
-    rows = rows.withColumn("__gap", F.when(F.col("__n") > 1, gap))
-    return rows.select(*keys, "step", F.when(F.col("__n") > 1, ahead).otherwise(month_end).alias(time))
+    return rows.select(*keys, "step", future_time().alias(time))
 
 
 def directional_accuracy(df: DataFrame, keys: list[str], time: str = "time_bin") -> DataFrame:
@@ -122,9 +127,9 @@ def directional_accuracy(df: DataFrame, keys: list[str], time: str = "time_bin")
 
 def summary_report(probs: DataFrame, time: str = "time_bin") -> DataFrame:
     """Per category: mean probability over documents, trend, volatility, peak and trough of the bin means."""
-    bins = probs.groupBy("category", time).agg(
+    bins = settle(probs.groupBy("category", time).agg(
         F.avg("prob").alias("value"), F.sum("prob").alias("__s"), F.count(F.lit(1)).alias("__n")
-    )
+    ))
     mean = bins.groupBy("category").agg((F.sum("__s") / F.sum("__n")).alias("mean_prob"))
     return (
         mean.join(trend(bins, ["category"], time).drop("intercept"), "category")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.functions.text import mentions
 from driftline.functions.vectors import EPS, cosine, dot, doubles, norm, unit
 from driftline.operators.embedding import component_mean, mean_vectors
+from driftline.session import settle
 
 
 def _concept_array(concepts: list[str]):
@@ -38,18 +39,35 @@ def prevalence_quality(col: str):
     return F.when(F.col(col) < 0.01, 0.3).when(F.col(col) < 0.05, 0.6).otherwise(0.9)
 
 
-def concept_vectors(docs: DataFrame, bins: DataFrame, concepts: list[str], keys: list[str], text: str, vec: str,
-                    mode: str = "regex") -> DataFrame:
-    """Unit vector per (keys, concept): mean of matching documents, or of all documents when none match.
+def group_means(docs: DataFrame, concepts: list[str], keys: list[str] | None = None, text: str = "text", vec: str = "embedding",
+                time_bin: str = "time_bin", mode: str = "regex") -> DataFrame:
+    """Mean vectors of all bins and of all concepts' documents from one scan: (keys, time_bin, concept, mean, docs).
 
-    The all-documents mean comes from the bin centroids weighted by their sizes, so it costs no extra scan.
+    A document counts for its bin (concept null) and for each concept it mentions (time_bin null). The result has one
+    row per bin and concept and is written out, since trajectories read it several times.
     """
-    hit = mean_vectors(concept_matches(docs.select(*keys, text, vec), concepts, text, mode), [*keys, "concept"], vec, "hit")
-    whole = bins.groupBy(*keys).agg(
-        vector_to_array(Summarizer.mean(array_to_vector("centroid"), F.col("docs").cast("double"))).alias("whole")
-    )
+    keys = keys or []
+    when = docs.schema[time_bin].dataType
+    hits = F.filter(F.array(*[F.when(mentions(text, c, mode), F.lit(c)) for c in concepts]), lambda c: c.isNotNull())
+    slots = F.concat(
+        F.array(F.struct(F.col(time_bin).alias("t"), F.lit(None).cast("string").alias("c"))),
+        F.transform(hits, lambda c: F.struct(F.lit(None).cast(when).alias("t"), c.alias("c"))))
+    rows = docs.select(*keys, vec, F.explode(slots).alias("slot"))
+    means = mean_vectors(rows, [*keys, "slot"], vec, "mean")
+    return settle(means.select(*keys, F.col("slot.t").alias(time_bin), F.col("slot.c").alias("concept"), "mean", "docs"))
+
+
+def _weighted_mean():
+    return vector_to_array(Summarizer.mean(array_to_vector("mean"), F.col("docs").cast("double")))
+
+
+def concept_vectors(means: DataFrame, concepts: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Unit vector per (keys, concept) from `group_means`: mean of the matching documents, of all when none match."""
+    keys = keys or []
+    hit = means.filter(F.col("concept").isNotNull()).select(*keys, "concept", F.col("mean").alias("hit"))
+    whole = means.filter(F.col("concept").isNull()).groupBy(*keys).agg(_weighted_mean().alias("whole"))
     wanted = whole.withColumn("concept", F.explode(_concept_array(concepts)))
-    both = wanted.join(hit.drop("docs"), [*keys, "concept"], "left")
+    both = wanted.join(hit, [*keys, "concept"], "left")
     return both.select(*keys, "concept", unit(F.coalesce("hit", "whole")).alias("concept_vec"))
 
 
@@ -57,29 +75,33 @@ def concept_trajectories(docs: DataFrame, concepts: list[str], keys: list[str] |
                          vec: str = "embedding", time_bin: str = "time_bin", mode: str = "regex") -> DataFrame:
     """value(bin) = cosine of the bin's centroid and the concept vector, for many concepts (and corpora) at once.
 
-    Document-level work is two hash aggregates; everything after runs on bins.
+    Document-level work is one scan and one aggregate; everything after runs on bins.
     """
     keys = keys or []
-    bins = mean_vectors(docs, [*keys, time_bin], vec)
-    vectors = concept_vectors(docs, bins, concepts, keys, text, vec, mode)
+    means = group_means(docs, concepts, keys, text, vec, time_bin, mode)
+    vectors = concept_vectors(means, concepts, keys)
+    bins = means.filter(F.col("concept").isNull()).drop("concept")
     rows = bins.withColumn("concept", F.explode(_concept_array(concepts))).join(vectors, [*keys, "concept"])
     return rows.select(
-        *keys, "concept", time_bin, cosine(unit("centroid"), F.col("concept_vec")).alias("value"),
+        *keys, "concept", time_bin, cosine(unit("mean"), F.col("concept_vec")).alias("value"),
         F.lit("consensus-free").alias("source"),
     )
 
 
 def category_trajectories(docs: DataFrame, category: str = "category", text: str = "text", vec: str = "embedding",
                           time_bin: str = "time_bin") -> DataFrame:
-    """A trajectory per category over its own documents, with the category's name as the concept."""
-    bins = mean_vectors(docs, [category, time_bin], vec)
-    hit = mean_vectors(docs.filter(mentions(text, F.col(category))), [category], vec, "hit").drop("docs")
-    whole = bins.groupBy(category).agg(
-        vector_to_array(Summarizer.mean(array_to_vector("centroid"), F.col("docs").cast("double"))).alias("whole")
-    )
+    """A trajectory per category over its own documents, with the category's name as the concept; one scan."""
+    when = docs.schema[time_bin].dataType
+    own = F.array(F.struct(F.lit(False).alias("hit"), F.col(time_bin).alias("t")))
+    named = F.array(F.struct(F.lit(True).alias("hit"), F.lit(None).cast(when).alias("t")))
+    slots = F.concat(own, F.when(mentions(text, F.col(category)), named).otherwise(F.slice(named, 1, 0)))
+    means = settle(mean_vectors(docs.select(category, vec, F.explode(slots).alias("slot")), [category, "slot"], vec, "mean"))
+    hit = means.filter("slot.hit").select(category, F.col("mean").alias("hit"))
+    bins = means.filter("not slot.hit").select(category, F.col("slot.t").alias(time_bin), "mean", "docs")
+    whole = bins.groupBy(category).agg(_weighted_mean().alias("whole"))
     vectors = whole.join(hit, category, "left").select(category, unit(F.coalesce("hit", "whole")).alias("concept_vec"))
     rows = bins.join(vectors, category)
-    return rows.select(category, time_bin, cosine(unit("centroid"), F.col("concept_vec")).alias("value"))
+    return rows.select(category, time_bin, cosine(unit("mean"), F.col("concept_vec")).alias("value"))
 
 
 def keyword_trajectory(docs: DataFrame, keyword_vec: list[float], vec: str = "embedding", time_bin: str = "time_bin") -> DataFrame:
@@ -115,11 +137,12 @@ def source_observations(docs: DataFrame, source: str = "source", vec: str = "emb
 def dense_grid(obs: DataFrame, source: str = "source", time_bin: str = "time_bin", keys: list[str] | None = None) -> DataFrame:
     """Every observed bin for every source, with nulls where a source has no documents.
 
-    The calendar of a corpus travels as one array per corpus (its length is bounded by the time span) and is unrolled
+    The observations (one row per bin and source) are written out, since they are read three times. The calendar of a
+    corpus travels as one array per corpus (its length is bounded by the time span) and is unrolled
     next to each source, so no row-by-row product of two tables is planned.
     """
     keys = keys or []
-    tagged = obs.withColumn("__k", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+    tagged = settle(obs).withColumn("__k", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
     calendar = tagged.groupBy("__k").agg(F.collect_set(time_bin).alias("__bins"))
     names = tagged.select("__k", source).distinct()
     grid = names.join(calendar, "__k").select("__k", source, F.explode("__bins").alias(time_bin))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def build_session(app: str = "driftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,6 +15,8 @@ def build_session(app: str = "driftline", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Centroids per (bin, source) keep many small buffers per task; do not fall back to sorting documents by key.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
         # Whole documents are wide rows; small batches keep worker memory flat.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     }
@@ -54,6 +57,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def lookup(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Prepare a small result as the inner side of a join with something large.
+
+    It is written out and counted; up to `max_rows` rows it is broadcast, so the large side is not shuffled. A larger
+    one joins like any table.
+    """
+    small = settle(df)
+    return broadcast(small) if small.count() <= max_rows else small
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and continue from there.
 
