@@ -179,12 +179,12 @@ def granger_lag1(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame:
         total(F.zip_with("ys", "xs", lambda r, x: r["lag1"] * x)).alias("ax"),
     )
     det = F.expr("aa * xx - ax * ax")
-    restricted = F.expr("yy - ya * ya / aa")
-    b = F.expr("(ya * xx - yx * ax)") / det
-    c = F.expr("(yx * aa - ya * ax)") / det
+    restricted = F.expr("yy - try_divide(ya * ya, aa)")
+    b = F.try_divide(F.expr("ya * xx - yx * ax"), det)
+    c = F.try_divide(F.expr("yx * aa - ya * ax"), det)
     full = F.col("yy") - b * F.col("ya") - c * F.col("yx")
-    f = (restricted - full) / (full / (F.col("n") - 2))
-    return rows.select(*keys, "cause", "effect", "n", F.when((det != 0) & (full > 0), f).alias("f_statistic"))
+    f = F.try_divide((restricted - full) * (F.col("n") - 2), full)
+    return rows.select(*keys, "cause", "effect", "n", F.when((det != 0) & (full > 0) & (F.col("n") > 2), f).alias("f_statistic"))
 
 
 def _pairwise_test(max_lags: int):

@@ -74,7 +74,7 @@ def cluster_balance(df: DataFrame, label: str) -> DataFrame:
     p = F.col("size") / F.sum("size").over(whole)
     out = sizes.withColumn("share", p)
     entropy = -F.sum(F.col("share") * F.log(F.col("share") + F.lit(1e-10))).over(whole)
-    return out.withColumn("balance", entropy / F.log(F.count(F.lit(1)).over(whole)))
+    return out.withColumn("balance", F.try_divide(entropy, F.log(F.count(F.lit(1)).over(whole))))
 
 
 def contingency(df: DataFrame, cluster: str, label: str) -> DataFrame:
@@ -109,7 +109,7 @@ def label_agreement_scores(df: DataFrame, cluster: str, label: str) -> DataFrame
     cols = by_label.agg(F.sum(pairs("b")).alias("cols2"), (-F.sum(F.col("b") / n * F.log(F.col("b") / n))).alias("h2"))
     # Three one-row tables side by side.
     one = whole.withColumn("__k", F.lit(1)).join(rows.withColumn("__k", F.lit(1)), "__k").join(cols.withColumn("__k", F.lit(1)), "__k")
-    expected = F.col("rows2") * F.col("cols2") / pairs("total")
+    expected = F.coalesce(F.try_divide(F.col("rows2") * F.col("cols2"), pairs("total")), F.lit(0.0))
     top = (F.col("rows2") + F.col("cols2")) / 2
     ari = F.when(top == expected, 1.0).otherwise((F.col("cells2") - expected) / F.when(top != expected, top - expected))
     mean_h = (F.col("h1") + F.col("h2")) / 2
@@ -255,7 +255,7 @@ def davies_bouldin(df: DataFrame, label: str, vec: str = "embedding") -> DataFra
 
 
 def calinski_harabasz(df: DataFrame, label: str, vec: str = "embedding") -> DataFrame:
-    """(between / (k - 1)) / (within / (n - k)) from one aggregate per cluster."""
+    """(between / (k - 1)) / (within / (n - k)) from one aggregate per cluster; null where undefined."""
     sums = cluster_sums(df, label, vec, False)
     part = dot("s", "s") / F.col("n")
     one = sums.agg(
@@ -263,7 +263,8 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str = "embedding") -> Data
         vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"),
     )
     between, within = F.col("p") - dot("s", "s") / F.col("n"), F.col("q") - F.col("p")
-    return one.select(((between / (F.col("k") - 1)) / (within / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
+    score = F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k")))
+    return one.select(score.alias("calinski_harabasz"))
 
 
 def nearest_centroid(df: DataFrame, centers: DataFrame, id_col: str, cluster: str, center_vec: str, vec: str = "embedding") -> DataFrame:

@@ -156,8 +156,8 @@ def pairwise_cosine(df: DataFrame, vec: str = "embedding") -> DataFrame:
         F.sum(F.when(F.col("i") > 0, sq)).alias("g2"),
     )
     pairs = F.col("n") * (F.col("n") - 1)
-    mean = (F.col("s2") - F.col("live")) / pairs
+    mean = F.try_divide(F.col("s2") - F.col("live"), pairs)
     return one.select(
         mean.alias("cosine_mean"),
-        F.sqrt(F.greatest((F.col("g2") - F.col("live")) / pairs - mean * mean, F.lit(0.0))).alias("cosine_std"),
+        F.sqrt(F.greatest(F.try_divide(F.col("g2") - F.col("live"), pairs) - mean * mean, F.lit(0.0))).alias("cosine_std"),
     )

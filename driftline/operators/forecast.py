@@ -157,7 +157,8 @@ def error_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
 
     mape: ratio with denominator max(|y|, 1e-6). mape_pct: percent with |y| + 1e-6. mape_raw_pct: percent with
     y + 1e-10. r2: 1 - SSE/SST (for constant actuals 1 when exact, else 0). r2_clipped: the 1e-10-guarded form, at
-    least 0. r: Pearson correlation for more than two points.
+    least 0. r: Pearson correlation for more than two points,
+    null when either side is constant.
     """
     err = F.col("actual") - F.col("forecast")
     a = F.col("actual")
@@ -167,13 +168,14 @@ def error_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
         (F.avg(F.abs(err) / (F.abs(a) + F.lit(1e-6))) * 100).alias("mape_pct"),
         (F.avg(F.abs(err / (a + F.lit(1e-10)))) * 100).alias("mape_raw_pct"),
         F.sum(err * err).alias("sse"), (F.var_pop(a) * F.count(a)).alias("sst"),
-        F.corr("actual", "forecast").alias("__r"),
+        F.covar_pop("actual", "forecast").alias("__c"), (F.stddev_pop("actual") * F.stddev_pop("forecast")).alias("__d"),
     )
     constant = F.when(F.col("sse") == 0, 1.0).otherwise(0.0)
     m = m.withColumn("r2", F.when(F.col("sst") == 0, constant).otherwise(1 - F.col("sse") / F.when(F.col("sst") != 0, F.col("sst"))))
     m = m.withColumn("r2_guarded", 1 - F.col("sse") / (F.col("sst") + F.lit(1e-10)))
     m = m.withColumn("r2_clipped", F.greatest(F.lit(0.0), F.col("r2_guarded")))
-    return m.withColumn("r", F.when(F.col("points") > 2, F.col("__r"))).drop("__r", "sse", "sst")
+    r = F.when((F.col("points") > 2) & (F.col("__d") > 0), F.try_divide("__c", "__d"))
+    return m.withColumn("r", r).drop("__c", "__d", "sse", "sst")
 
 
 # Published 5 % response surface of the unit-root t statistic with a constant, in powers of 1/T.

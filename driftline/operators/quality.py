@@ -95,5 +95,5 @@ def overall_score(scores: DataFrame, col: str = "score") -> DataFrame:
 
 def best_model(scores: DataFrame, model: str = "model", score: str = "accuracy") -> DataFrame:
     """The model with the highest score (first name on ties) and its grade."""
-    best = scores.agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(model).alias("m"))).alias("b"))
+    best = scores.filter(F.col(score).isNotNull()).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(model).alias("m"))).alias("b"))
     return best.select(F.col("b.m").alias(model), (-F.col("b.s")).alias(score)).withColumn("grade", grade(F.col(score), MODEL_GRADES))

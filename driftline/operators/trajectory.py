@@ -82,10 +82,8 @@ def concept_trajectories(docs: DataFrame, concepts: list[str], keys: list[str] |
     vectors = concept_vectors(means, concepts, keys)
     bins = means.filter(F.col("concept").isNull()).drop("concept")
     rows = bins.withColumn("concept", F.explode(_concept_array(concepts))).join(vectors, [*keys, "concept"])
-    return rows.select(
-        *keys, "concept", time_bin, cosine(unit("mean"), F.col("concept_vec")).alias("value"),
-        F.lit("consensus-free").alias("source"),
-    )
+    out = rows.select(*keys, "concept", time_bin, cosine(unit("mean"), F.col("concept_vec")).alias("value"))
+    return out if "source" in keys else out.withColumn("source", F.lit("consensus-free"))
 
 
 def category_trajectories(docs: DataFrame, category: str = "category", text: str = "text", vec: str = "embedding",
