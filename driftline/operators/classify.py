@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from driftline.functions.vectors import doubles
 from driftline.operators.features import TfIdf, add_terms
 from driftline.operators.ranking import stratified_folds, stratified_split
-from driftline.session import lookup, settle
+from driftline.session import lookup, packed, settle
 
 
 TOLERANCE = 1e-4  # fixed value: stopping tolerance of the linear models
@@ -126,7 +126,7 @@ def text_features(df: DataFrame, category: str, id_col: str = "doc_id", text: st
     rows = stratified_split(df.select(id_col, category, text), category, id_col, test_share)
     indexer = index_labels(rows, category)
     tfidf = TfIdf(rows.filter("split = 'train'"), text, size=size, min_df=min_df, max_df=max_df)
-    ready = settle(indexer.transform(tfidf.features(rows)).select(id_col, category, "label", "split", "features"))
+    ready = packed(settle(indexer.transform(tfidf.features(rows)).select(id_col, category, "label", "split", "features")))
     return ready.filter("split = 'train'"), ready.filter("split = 'test'"), list(indexer.labels)
 
 
@@ -135,7 +135,7 @@ def vector_features(df: DataFrame, category: str, id_col: str, vec: str = "embed
     rows = df.filter(F.col(vec).isNotNull()).select(id_col, F.col(category).cast("string").alias("class"), vec)
     rows = stratified_split(rows, "class", id_col, test_share)
     indexer = index_labels(rows, "class")
-    ready = settle(indexer.transform(rows.withColumn("features", array_to_vector(doubles(vec)))).drop(vec))
+    ready = packed(settle(indexer.transform(rows.withColumn("features", array_to_vector(doubles(vec)))).drop(vec)))
     return ready.filter("split = 'train'"), ready.filter("split = 'test'"), list(indexer.labels)
 
 
@@ -145,7 +145,7 @@ def category_probabilities(df: DataFrame, category: str, id_col: str = "doc_id",
     indexer = index_labels(rows, category)
     train = rows.filter("split = 'train'")
     tfidf = TfIdf(train, text)
-    ready = settle(indexer.transform(tfidf.features(rows)).drop(text))
+    ready = packed(settle(indexer.transform(tfidf.features(rows)).drop(text)))
     model = logistic(ready.filter("split = 'train'"), balanced=True)
     scored = model(ready)
     pairs = F.arrays_zip(F.array(*[F.lit(n) for n in indexer.labels]).alias("category"), F.col("probability").alias("prob"))
@@ -169,7 +169,7 @@ def soft_vote(probs: DataFrame, id_col: str, category: str = "category", prob: s
 
 def calibrated_svm(train: DataFrame, id_col: str, folds: int = 3) -> Callable[[DataFrame], DataFrame]:
     """SVM whose probabilities come from logistic calibrators fitted on held-out folds, averaged over the folds."""
-    parts = settle(stratified_folds(train, "label", id_col, folds))
+    parts = packed(settle(stratified_folds(train, "label", id_col, folds)))
     fitted = []
     for i in range(folds):
         svm = linear_svm(parts.filter(F.col("fold") != i))
@@ -206,7 +206,7 @@ def vote(train: DataFrame, test: DataFrame, id_col: str = "doc_id", voting: str
 
 def cross_validate(df: DataFrame, id_col: str, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], k: int = 5) -> DataFrame:
     """Accuracy per stratified fold."""
-    folds = settle(stratified_folds(df, "label", id_col, k))
+    folds = packed(settle(stratified_folds(df, "label", id_col, k)))
     parts = []
     for i in range(k):
         out = fit(folds.filter(F.col("fold") != i))(folds.filter(F.col("fold") == i))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from driftline.functions.vectors import dot, doubles, norm, unit
 from driftline.operators.embedding import as_matrix, mean_vectors
 from driftline.operators.neighbours import distance_sums
-from driftline.session import lookup, settle
+from driftline.session import lookup, packed, settle
 
 SLICE_CELLS = 4_000_000  # numbers per broadcast slice: 32 MB
 
@@ -34,7 +34,7 @@ def topic_count(rows: int, n_topics: int = 8) -> int:
 
 def _features(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     rows = df.filter(F.col(vec).isNotNull()).select(id_col, array_to_vector(doubles(vec)).alias("features"))
-    return settle(rows)
+    return packed(settle(rows))
 
 
 def assign_topics(df: DataFrame, id_col: str, vec: str = "embedding", n_topics: int = 8, restarts: int = 10,

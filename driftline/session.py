@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
@@ -67,10 +68,22 @@ def lookup(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return broadcast(small) if small.count() <= max_rows else small
 
 
+def packed(df: DataFrame, rows_per_partition: int = 20_000) -> DataFrame:
+    """Join the partitions of a settled table into fewer when they hold few rows each (a narrow step).
+
+    Iterative fits start a job per step, so many near-empty partitions cost more than they help.
+    """
+    wanted = max(1, -(-df.count() // rows_per_partition))
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and continue from there.
+    """Write `df` as a table into the shared folder and continue from there.
 
-    Used where several later passes read the same costly result; survives the loss of any executor.
+    Used where several later passes read the same costly result. The table survives the loss of any executor, cuts the
+    lineage, and later passes read only the columns they need.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/driftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
