@@ -83,6 +83,18 @@ def knn_10(spark, folder):
     return _knn(spark, folder, 10)
 
 
+@query("knn_cross_validation", f"""WITH {VECTORS}, f AS (SELECT vec_id, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) - 1) % 5 AS INTEGER) AS fold
+  FROM embeddings),
+sims AS (SELECT a.vec_id, x.fold, a.label AS own, b.vec_id AS other, b.label, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM vecs a JOIN f x ON x.vec_id = a.vec_id
+  JOIN vecs b ON true JOIN f y ON y.vec_id = b.vec_id AND y.fold <> x.fold),
+near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS rn FROM sims),
+votes AS (SELECT vec_id, fold, own, label, count(*) AS n FROM near WHERE rn <= 5 GROUP BY ALL),
+preds AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS rn FROM votes)
+SELECT fold, {r('avg(CAST(label = own AS DOUBLE))')} AS accuracy FROM preds WHERE rn = 1 GROUP BY fold""")
+def knn_cross_validation(spark, folder):
+    return neighbours.knn_cross_validate(vectors(spark, folder), "vec_id", "label")
+
+
 @query("knn_weighted")
 def knn_weighted(spark, folder):
     return _knn(spark, folder, 10, weights="distance")

@@ -25,10 +25,18 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def scaled(v: Column | str, by: Column) -> Column:
+    """Every component divided by one number per row.
+
+    A lambda body is evaluated per element, so the number is spread to an array first and computed once per row.
+    """
+    return F.zip_with(doubles(v), F.array_repeat(by, F.size(doubles(v))), lambda x, s: x / s)
+
+
 def unit(v: Column | str) -> Column:
     """L2-normalised vector; a zero vector stays zero."""
     size = norm(v)
-    return F.when(size == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / size))
+    return scaled(v, F.when(size == 0, F.lit(1.0)).otherwise(size))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.vectors import doubles
+from driftline.functions.vectors import doubles, scaled
 from driftline.operators.features import TfIdf, add_terms
 from driftline.operators.ranking import stratified_folds, stratified_split
 from driftline.session import lookup, packed, settle
@@ -48,9 +48,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp(s - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x))
+    e = F.zip_with(scores, F.array_repeat(F.array_max(scores), F.size(scores)), lambda s, top: F.exp(s - top))
+    return scaled(e, F.aggregate(e, F.lit(0.0), lambda a, x: a + x))
 
 
 def _argmax(scores: Column) -> Column:

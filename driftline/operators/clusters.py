@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -37,6 +39,17 @@ def _features(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return packed(settle(rows))
 
 
+def _side_by_side(rows: DataFrame, estimators: list[KMeans], at_once: int = 4) -> list:
+    """Independent fits submitted from a few driver threads, so their small jobs share the cluster."""
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            run = [pool.submit(inheritable_thread_target(rows.sparkSession)(e.fit), rows) for e in estimators]
+            return [f.result() for f in run]
+    finally:
+        rows.unpersist()
+
+
 def assign_topics(df: DataFrame, id_col: str, vec: str = "embedding", n_topics: int = 8, restarts: int = 10,
                   seed: int = 42) -> DataFrame:
     """KMeans topics (id, topic): k = min(n_topics, max(1, n div 20)), the cheapest of several seeded starts."""
@@ -45,7 +58,7 @@ def assign_topics(df: DataFrame, id_col: str, vec: str = "embedding", n_topics:
     k = topic_count(n, n_topics)
     if k < 2:
         return rows.select(id_col, F.lit(0).alias("topic"))
-    fits = (KMeans(k=k, seed=seed + i, maxIter=100).fit(rows) for i in range(restarts))
+    fits = _side_by_side(rows, [KMeans(k=k, seed=seed + i, maxIter=100) for i in range(restarts)])
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).select(id_col, F.col("prediction").alias("topic"))
 
@@ -60,8 +73,7 @@ def choose_k(df: DataFrame, id_col: str, vec: str = "embedding", ks: tuple[int,
     rows = _features(df, id_col, vec)
     judge = ClusteringEvaluator()
     found = []
-    for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=100).fit(rows)
+    for k, model in zip(ks, _side_by_side(rows, [KMeans(k=k, seed=seed, maxIter=100) for k in ks])):
         found.append((k, float(judge.evaluate(model.transform(rows))), float(model.summary.trainingCost)))
     best = max(found, key=lambda r: (r[1], -r[0]))[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in found], "k int, silhouette double, inertia double, best boolean")

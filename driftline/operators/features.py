@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.text import STOP_WORDS, tokens, with_bigrams
-from driftline.functions.vectors import norm
-from driftline.session import spread
+from driftline.functions.vectors import unit
 
 MAX_TERMS = 10_000  # fixed value: default vocabulary size
 
@@ -49,13 +48,11 @@ def tfidf_rows(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", terms: s
     model = tfidf_model(vocab, terms)
     names = [(i, t) for i, t in enumerate(model.stages[0].vocabulary)]
     table = df.sparkSession.createDataFrame(names, "i int, term string")
-    rows = model.transform(df).select(id_col, F.unwrap_udt("counts").alias("c"), F.unwrap_udt("weighted").alias("w"))
+    rows = model.transform(df).select(id_col, F.unwrap_udt("counts").alias("c"), F.unwrap_udt("features").alias("w"))
     weight = F.col("w.values")
     if sublinear:
-        weight = F.zip_with(weight, F.col("c.values"), lambda w, c: w * (1 + F.log(c)) / c)
-    rows = rows.select(id_col, F.col("c.indices").alias("i"), weight.alias("w"))
-    size = norm("w")
-    each = F.arrays_zip(F.col("i"), F.transform("w", lambda w: w / size).alias("tfidf"))
+        weight = unit(F.zip_with(weight, F.col("c.values"), lambda w, c: w * (1 + F.log(c)) / c))
+    each = F.arrays_zip(F.col("c.indices").alias("i"), weight.alias("tfidf"))
     return rows.select(id_col, F.inline(each).alias("i", "tfidf")).join(F.broadcast(table), "i").select(id_col, "term", "tfidf")
 
 
@@ -78,9 +75,9 @@ class TfIdf:
     def __init__(self, train: DataFrame, text: str = "text", size: int = MAX_TERMS, min_df: int = 1, max_df: float = 1.0,
                  bigrams: bool = True, stop_words: list[str] | None = None):
         self.text, self.bigrams, self.stop_words = text, bigrams, stop_words
-        vocab = vocabulary(add_terms(spread(train), text, bigrams=bigrams, stop_words=stop_words), "terms", size, min_df, max_df)
+        vocab = vocabulary(add_terms(train, text, bigrams=bigrams, stop_words=stop_words), "terms", size, min_df, max_df)
         self.model = tfidf_model(vocab)
 
     def features(self, df: DataFrame) -> DataFrame:
-        ready = add_terms(spread(df), self.text, bigrams=self.bigrams, stop_words=self.stop_words)
+        ready = add_terms(df, self.text, bigrams=self.bigrams, stop_words=self.stop_words)
         return self.model.transform(ready).drop("terms", "counts", "weighted")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from driftline.operators.embedding import as_matrix
-from driftline.operators.ranking import sample_rows
+from driftline.operators.ranking import sample_rows, stratified_folds
+from driftline.session import settle
 
 MAX_PIVOTS = 256  # the pivot table and its distance matrix stay under a megabyte
 SLACK = 1e-6
@@ -207,6 +209,18 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, label: str, k:
     return best.select(F.col("query_id").alias(id_col), F.col("b.__l").alias("prediction"))
 
 
+def knn_cross_validate(df: DataFrame, id_col: str, label: str, k: int = 5, folds: int | None = None, vec: str = "embedding") -> DataFrame:
+    """Accuracy of the k-NN vote per stratified fold: min(5, number of classes) folds unless given."""
+    folds = folds or min(5, df.select(label).distinct().count())
+    rows = settle(stratified_folds(df.select(id_col, label, vec), label, id_col, folds))
+    parts = []
+    for i in range(folds):
+        held = rows.filter(F.col("fold") == i)
+        out = knn_classify(rows.filter(F.col("fold") != i), held, id_col, label, k, vec).join(held.select(id_col, label), id_col)
+        parts.append(out.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")).withColumn("fold", F.lit(i)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def retrieval_recall(queries: DataFrame, corpus: DataFrame, id_col: str, query_vec: str, corpus_vec: str,
                      ks: tuple[int, ...] = (1, 3, 5), min_rows: int = 5) -> DataFrame:
     """Share of queries whose own row is among their k nearest corpus rows; 0 for fewer than `min_rows` rows."""

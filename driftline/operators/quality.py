@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.ranking import running_totals
+from driftline.session import settle
 
 
 def confusion(df: DataFrame, truth: str = "label", pred: str = "prediction", keys: list[str] | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def roc_auc(scores: DataFrame, truth: str = "truth", category: str = "category",
     sorted in one task.
     """
     pos = (F.col(truth) == F.col(category)).cast("bigint")
-    per = scores.groupBy(category, F.col(score).cast("double").alias("s")).agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
+    per = settle(scores.groupBy(category, F.col(score).cast("double").alias("s")).agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")))
     run = running_totals(per, [category], "s", ["neg"])
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg")

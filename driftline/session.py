@@ -50,9 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan one partition per core before work that is heavy per row.
+    """Give a small plain scan one partition per core before work that is heavy per row.
 
-    A scan that already has a partition for every core, which any large table has, is left alone.
+    A scan that already has a partition for every core, which any large table has, is left alone. Only for scans:
+    counting the partitions of a shuffled result would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -84,6 +84,14 @@ def test_trajectories_by_key_match_separate_runs(spark, docs):
         assert got.keys() == want.keys() and all(abs(got[b] - want[b]) < 1e-12 for b in got)
 
 
+def test_empty_corpus_gives_no_rows(spark, docs):
+    none = docs.filter("doc_id < 0")
+    assert trajectory.concept_trajectories(none, ["beta"], ["text"]).count() == 0
+    assert trajectory.concept_trajectories(none, ["beta"]).count() == 0
+    assert trajectory.source_matrix(none).count() == 0
+    assert embedding.embed(none.drop("embedding")).count() == 0
+
+
 def test_category_concept_is_its_name(spark, docs):
     named = docs.withColumn("category", F.when(F.col("doc_id") % 2 == 0, "alpha").otherwise("delta"))
     got = {(r["category"], r["time_bin"]): r["value"] for r in trajectory.category_trajectories(named).collect()}
