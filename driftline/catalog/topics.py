@@ -95,7 +95,7 @@ def knn_cross_validation(spark, folder):
     return neighbours.knn_cross_validate(vectors(spark, folder), "vec_id", "label")
 
 
-@query("knn_weighted")
+@query("knn_weighted", knn_sql(10).replace("count(*) AS n FROM near", "sum(1 / greatest(1 - s, 1e-12)) AS n FROM near"))
 def knn_weighted(spark, folder):
     return _knn(spark, folder, 10, weights="distance")
 

@@ -124,7 +124,18 @@ def concept_trajectories(spark, folder):
     return concept_trajectory_rows(spark, folder)
 
 
-@query("hashed_trajectories")
+HASHED_TRAJECTORY = CORPUS + f""", {CONCEPTS_SQL}, {hashed_sql()},
+hdocs AS (SELECT doc_id, time_bin, text, pos, x FROM hashed JOIN corpus USING (doc_id)),
+cent AS (SELECT time_bin, pos, sum(x) AS c FROM hdocs GROUP BY ALL),
+whole AS (SELECT pos, sum(x) AS c FROM hdocs GROUP BY pos),
+hit AS (SELECT concept, pos, sum(x) AS c FROM hdocs, concepts WHERE regexp_matches(lower(text), lower(concept)) GROUP BY ALL),
+raw AS (SELECT * FROM hit UNION ALL SELECT k.concept, w.pos, w.c FROM concepts k, whole w WHERE k.concept NOT IN (SELECT concept FROM hit)),
+cvec AS (SELECT concept, pos, c / sqrt(sum(c * c) OVER (PARTITION BY concept)) AS c FROM raw),
+scaled AS (SELECT time_bin, pos, c / sqrt(sum(c * c) OVER (PARTITION BY time_bin)) AS c FROM cent),
+traj AS (SELECT v.concept, s.time_bin, sum(s.c * v.c) / (1 + 1e-9) AS value FROM scaled s JOIN cvec v ON s.pos = v.pos GROUP BY ALL)"""
+
+
+@query("hashed_trajectories", f"WITH {HASHED_TRAJECTORY} SELECT concept, time_bin, {r('value')} AS value, 'consensus-free' AS source FROM traj")
 def hashed_trajectories(spark, folder):
     docs = embedding.embed(corpus(spark, folder).select("doc_id", "text", "time_bin"), embedding.HashedTerms(DIMS))
     return trajectory.concept_trajectories(docs, CONCEPTS)
