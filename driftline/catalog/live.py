@@ -26,7 +26,7 @@ def stream_trajectory(spark, folder):
     docs = embedded(spark, folder).select("doc_id", "text", "published", "time_bin", "embedding")
     concept = trajectory.concept_vectors(trajectory.group_means(docs, ["that"]), ["that"]).first()["concept_vec"]
     base, stream = _landing(spark, docs.select("published", "embedding"))
-    rows = stream.withColumn("published", F.col("published").cast("timestamp"))
+    rows = stream.withColumn("published", live.utc_instant("published"))
     live.run_complete(live.windowed_centroids(rows), f"{base}/centroids", f"{base}/state")
     return live.live_trajectory(spark.read.parquet(f"{base}/centroids"), concept)
 

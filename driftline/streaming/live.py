@@ -16,9 +16,14 @@ def read_landing(spark: SparkSession, path: str, schema: StructType, files_per_t
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def utc_instant(col: str):
+    """A zone-less time as the instant with that UTC clock, whatever the session's zone; windows count in UTC."""
+    return F.from_utc_timestamp(F.col(col).cast("timestamp"), F.current_timezone())
+
+
 def clean_stream(stream: DataFrame, lateness: str = "14 days") -> DataFrame:
     """Normalised text, usable dates, one row per url within the lateness bound."""
-    rows = stream.withColumn("text", normalize_text("text")).withColumn("published", F.col("published").cast("timestamp"))
+    rows = stream.withColumn("text", normalize_text("text")).withColumn("published", utc_instant("published"))
     rows = rows.filter(F.col("published").isNotNull()).withWatermark("published", lateness)
     return rows.dropDuplicatesWithinWatermark(["url"])
 
@@ -27,7 +32,7 @@ def windowed_centroids(rows: DataFrame, width: str = "7 days", offset: str = "4
     """Vector sum and count per window. Windows count from the epoch, a Thursday; a 4-day offset starts weeks on Monday."""
     return rows.groupBy(F.window("published", width, width, offset).alias("w")).agg(
         vector_to_array(Summarizer.mean(array_to_vector(doubles(vec)))).alias("centroid"), F.count(F.lit(1)).alias("docs")
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("time_bin"), "centroid", "docs")
+    ).select(F.to_utc_timestamp("w.start", F.current_timezone()).cast("timestamp_ntz").alias("time_bin"), "centroid", "docs")
 
 
 def live_trajectory(centroids: DataFrame, concept_vec: list[float]) -> DataFrame:

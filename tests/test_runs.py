@@ -47,7 +47,7 @@ def test_stream_equals_batch(spark, raw, tmp_path):
     landing = str(tmp_path / "landing")
     docs.repartition(6).write.parquet(landing)
     stream = live.read_landing(spark, landing, spark.read.parquet(landing).schema, files_per_trigger=2)
-    stream = stream.withColumn("published", F.col("published").cast("timestamp"))
+    stream = stream.withColumn("published", live.utc_instant("published"))
     live.run_complete(live.windowed_centroids(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {r["time_bin"]: (r["docs"], r["centroid"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r["time_bin"]: (r["docs"], r["centroid"]) for r in mean_vectors(docs, ["time_bin"]).collect()}
