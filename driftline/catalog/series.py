@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from driftline.catalog.base import EVENT_SERIES, INDEXED, PROBS, SALES_SERIES, event_series, marker_probs, query, r, sales_series
 from driftline.operators import forecast, series

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.catalog.base import documents, CORPUS, MARKERS, PREDICTIONS, PROBS, corpus, marker_predictions, marker_probs, query, r, vectors
+from driftline.catalog.base import documents, MARKERS, PREDICTIONS, PROBS, corpus, marker_predictions, marker_probs, query, r, vectors
 from driftline.functions.text import STOP_WORDS, tokens
 from driftline.operators import classify, features, quality, trajectory
 from driftline.sources.labelled import read_table

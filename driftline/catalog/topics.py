@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from driftline.catalog.base import documents, CORPUS, EMBEDDED, VECTOR_PARTS, VECTORS, corpus, embedded, query, r, vectors
 from driftline.catalog.vectors import DIMS, hashed_sql

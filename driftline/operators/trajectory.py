@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.text import mentions
-from driftline.functions.vectors import EPS, cosine, dot, doubles, norm, unit
+from driftline.functions.vectors import EPS, cosine, dot, norm, unit
 from driftline.operators.embedding import component_mean, mean_vectors
 from driftline.session import settle
 
