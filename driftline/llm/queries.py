@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import jaccard
+from driftline.llm import jaccard, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,22 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp c ON c.id = d.doc_
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     out = jaccard.near_duplicates(table(spark, folder, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+REPEATS_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM b)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+marked AS (SELECT doc_id, p, coalesce(lag(p) OVER o + 100 < p, true) AS new FROM later WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (
+  SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM marked) GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER o, 0) AS from_byte, lead(s) OVER o IS NULL AS is_last FROM runs WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+kept AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * from_byte + 1, 2 * (s - from_byte)) || CASE WHEN is_last THEN substr(h, 2 * e + 1) ELSE '' END, '' ORDER BY s) AS rest
+  FROM gaps JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM b LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op6_repeats", REPEATS_SQL)
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
