@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import jaccard, repeats
+from driftline.llm import jaccard, langid, mixing, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows a classifier may not learn from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 REACH = """, both_ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT {id} AS id, {id} AS r FROM {rows} UNION SELECT reach.id, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.r),
 comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"""
@@ -67,3 +72,38 @@ SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS
 @query("op6_repeats", REPEATS_SQL)
 def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.without_repeats(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+MIXING_SQL = """WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+t AS (SELECT *, row_number() OVER o AS j,
+    CAST(sum(source_size) OVER () - (sum(3 * source_size) OVER o - 3 * source_size) AS DOUBLE) / (sum(w) OVER () - sum(w) OVER o + w) AS level
+  FROM r WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT level FROM t WHERE 3 * source_size >= w * level ORDER BY j LIMIT 1),
+p AS (SELECT source, source_size, least(w * l.level, CAST(3 * source_size AS DOUBLE)) AS target,
+    CASE WHEN source_size > 0 THEN least(3, floor(least(w * l.level, CAST(3 * source_size AS DOUBLE)) / source_size)) ELSE 0 END AS passes FROM t, l),
+c AS (SELECT d.*, source_size, target, passes, target - passes * source_size AS budget,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_it,
+    sum(size) OVER (PARTITION BY d.source, h) AS same FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+cut AS (SELECT source, min(CASE WHEN (budget - before_it) * 2 > same THEN h + 1 ELSE h END) AS cut FROM (
+  SELECT *, min(h) OVER (PARTITION BY source) AS first_h FROM c WHERE before_it + same > budget) WHERE h = first_h GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * least(3, passes + CASE WHEN h < cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c LEFT JOIN cut ON c.source IS NOT DISTINCT FROM cut.source"""
+
+
+@query("op3_mixing", MIXING_SQL)
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def fitted_languages(spark: SparkSession, folder: str):
+    """Piece probabilities from the documents that are not held out."""
+    return langid.fit(table(spark, folder, "documents").where(~held_out()).select("text", "lang"))
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return langid.predict(docs, fitted_languages(spark, folder)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
