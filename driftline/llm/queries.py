@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import jaccard, langid, mixing, repeats
+from driftline.llm import decontaminate, jaccard, langid, mixing, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,10 @@ def fitted_languages(spark: SparkSession, folder: str):
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return langid.predict(docs, fitted_languages(spark, folder)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document and benchmark item that it holds."""
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_words", "distance", "start", "words")
