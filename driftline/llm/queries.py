@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, jaccard, langid, mixing, repeats
+from driftline.llm import decontaminate, jaccard, langid, mixing, repeats, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,21 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document and benchmark item that it holds."""
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_words", "distance", "start", "words")
+
+
+VECTORS_SQL = """WITH RECURSIVE sound AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+ends AS (SELECT a AS id FROM links UNION ALL SELECT b FROM links),
+n AS (SELECT id, count(*) AS n FROM ends GROUP BY id)
+""" + REACH.format(id="vec_id", rows="embeddings") + """
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN n ON n.id = e.vec_id JOIN comp c ON c.id = e.vec_id"""
+
+
+@query("op9_vectors", VECTORS_SQL)
+def op9_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    found = vectors.near_duplicates(table(spark, folder, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
