@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, jaccard, langid, mixing, repeats, vectors
+from driftline.llm import decontaminate, jaccard, langid, mixing, privacy, repeats, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,13 @@ FROM embeddings e LEFT JOIN n ON n.id = e.vec_id JOIN comp c ON c.id = e.vec_id"
 def op9_vectors(spark: SparkSession, folder: str) -> DataFrame:
     found = vectors.near_duplicates(table(spark, folder, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query("op7_privacy")
+def op7_privacy(spark: SparkSession, folder: str) -> DataFrame:
+    rows = privacy.annotate(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    of = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    text = lambda kinds: F.concat_ws(",", *[privacy.listed(of(k), k) for k in kinds])
+    return rows.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in privacy.KINDS], F.sha2(text(privacy.KINDS), 256).alias("base_sha256"),
+        text((*privacy.KINDS, "term")).alias("spans"), F.size(of("term")).cast("long").alias("n_term"))
