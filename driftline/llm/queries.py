@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, jaccard, langid, mixing, privacy, repeats, vectors
+from driftline.llm import decontaminate, jaccard, langid, mixing, pages, privacy, quality, repeats, vectors
+from driftline.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +143,17 @@ def op7_privacy(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in privacy.KINDS], F.sha2(text(privacy.KINDS), 256).alias("base_sha256"),
         text((*privacy.KINDS, "term")).alias("spans"), F.size(of("term")).cast("long").alias("n_term"))
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = settle(quality.features(table(spark, folder, "documents")))
+    labels = table(spark, folder, "labels").where(~held_out()).select("doc_id", "quality")
+    scored = quality.score(rows, quality.fit(rows, labels))
+    return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"), out="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
