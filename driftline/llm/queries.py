@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, jaccard, langid, mixing, pages, privacy, quality, repeats, vectors
+from driftline.llm import decontaminate, jaccard, langid, mixing, pages, privacy, quality, repeats, urls, vectors
 from driftline.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,16 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"), out="text")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+@query("op1_urls")
+def op1_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts of all pages; the rules are mined from pages whose document label says poor quality or toxic."""
+    rows = table(spark, folder, "pages").select("page_id", "url")
+    bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), True).otherwise(False))
+    labels = table(spark, folder, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("block"))
+    mined = urls.mine(rows.join(labels, "page_id"))
+    return urls.judge(rows, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict")
