@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from driftline.functions.text import tokens
 from driftline.operators.corpus import spread_over_bins, time_bins
+from driftline.operators.embedding import HashedTerms, embed
 from driftline.session import spread
 from driftline.sources.labelled import attach_vectors, read_table
 
@@ -69,14 +70,35 @@ CORPUS = """corpus AS (
   FROM documents)"""
 
 
+DIMS = 64
+
+
+def hashed_sql(table: str = "documents", key: str = "doc_id", text: str = "text", out: str = "hashed") -> str:
+    return f"""{out}_tok AS (SELECT {key}, md5(unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'))) AS h FROM {table}),
+{out}_raw AS (SELECT {key}, CAST('0x' || substr(h, 1, 8) AS BIGINT) % {DIMS} AS pos, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS s
+  FROM {out}_tok GROUP BY ALL),
+{out} AS (SELECT {key}, pos, CAST(CAST(s / sqrt(sum(s * s) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS x FROM {out}_raw WHERE s <> 0)"""
+
+
 def embedded(spark: SparkSession, folder: str) -> DataFrame:
-    """The corpus with its stored vectors."""
+    """The whole corpus with one encoder's vectors (hashed terms)."""
+    return embed(corpus(spark, folder), HashedTerms(DIMS))
+
+
+EMBEDDED = CORPUS + f""", {hashed_sql('corpus', 'doc_id', 'text', 'hv')},
+dense AS (SELECT c.doc_id, p.pos, coalesce(hv.x, 0) AS x FROM corpus c CROSS JOIN (SELECT unnest(range({DIMS})) AS pos) p
+  LEFT JOIN hv ON hv.doc_id = c.doc_id AND hv.pos = p.pos),
+embedded AS (SELECT c.*, e.v FROM corpus c JOIN (SELECT doc_id, list(x ORDER BY pos) AS v FROM dense GROUP BY doc_id) e USING (doc_id)),
+parts AS (SELECT c.doc_id, time_bin, lang, source, text, pos + 1 AS pos, x FROM corpus c JOIN dense USING (doc_id))"""
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus with its stored vectors and labels; null where a document has none."""
     return attach_vectors(corpus(spark, folder), read_table(spark, folder, "embeddings"), "doc_id", "vec_id")
 
 
-EMBEDDED = CORPUS + """,
-embedded AS (SELECT c.*, e.label, CAST(e.embedding AS DOUBLE[]) AS v FROM corpus c JOIN embeddings e ON c.doc_id = e.vec_id),
-parts AS (SELECT doc_id, time_bin, lang, source, label, text, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM embedded)"""
+STORED = CORPUS + """,
+stored AS (SELECT c.*, e.label, CAST(e.embedding AS DOUBLE[]) AS v FROM corpus c LEFT JOIN embeddings e ON c.doc_id = e.vec_id)"""
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,7 +136,7 @@ INDEXED = """indexed AS (SELECT *, row_number() OVER (PARTITION BY series ORDER
 
 
 def lang_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """Weekly component means of the stored vectors per language, dense and filled."""
+    """Weekly component means of the vectors per language, dense and filled."""
     from driftline.operators.trajectory import source_matrix
 
     return source_matrix(embedded(spark, folder), "lang").withColumnRenamed("lang", "source")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftline.catalog.base import (
-    documents, CONCEPTS, CONCEPTS_SQL, CORPUS, EMBEDDED, EVENT_SERIES, SALES_SERIES, corpus, embedded, event_series, query, r, sales_series,
+    documents, CONCEPTS, CONCEPTS_SQL, CORPUS, EVENT_SERIES, SALES_SERIES, STORED, corpus, event_series, query, r, sales_series, stored,
 )
 from driftline.functions import stats, text
 from driftline.operators import corpus as ops
@@ -76,11 +76,11 @@ def labelled_rows(spark, folder):
     return labelled.label_rows(raw).select("doc_id", "class", "category", "text")
 
 
-@query("stored_vectors", f"WITH {EMBEDDED} SELECT doc_id, label, CAST(len(v) AS INTEGER) AS dims, {r('list_sum(v)')} AS total FROM embedded")
+@query("stored_vectors", f"WITH {STORED} SELECT doc_id, CAST(label AS DOUBLE) AS label, CAST(len(v) AS DOUBLE) AS dims, {r('list_sum(v)')} AS total FROM stored")
 def stored_vectors(spark, folder):
     from driftline.functions.vectors import total
 
-    return embedded(spark, folder).select("doc_id", "label", F.size("embedding").alias("dims"), total("embedding").alias("total"))
+    return stored(spark, folder).select("doc_id", F.col("label").cast("double"), F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("double")).alias("dims"), total("embedding").alias("total"))
 
 
 @query("series_sink", f"WITH {SALES_SERIES} SELECT series, time_bin, {r('value')} AS value FROM sales_series")

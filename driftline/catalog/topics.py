@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 
-from driftline.catalog.base import documents, CORPUS, EMBEDDED, VECTOR_PARTS, VECTORS, corpus, embedded, query, r, vectors
-from driftline.catalog.vectors import DIMS, hashed_sql
+from driftline.catalog.base import documents, CORPUS, DIMS, EMBEDDED, STORED, VECTOR_PARTS, VECTORS, corpus, embedded, hashed_sql, query, r, stored, vectors
 from driftline.operators import clusters, embedding, neighbours
 from driftline.operators.ranking import stratified_split
 from driftline.session import settle
@@ -31,9 +30,9 @@ def cluster_balance(spark, folder):
     return clusters.cluster_balance(vectors(spark, folder), "label")
 
 
-@query("contingency", f"WITH {EMBEDDED} SELECT label, lang, count(*) AS n FROM embedded GROUP BY ALL")
+@query("contingency", f"WITH {STORED} SELECT label, lang, count(*) AS n FROM stored WHERE label IS NOT NULL GROUP BY ALL")
 def contingency(spark, folder):
-    return clusters.contingency(embedded(spark, folder), "label", "lang")
+    return clusters.contingency(stored(spark, folder).where("label IS NOT NULL"), "label", "lang")
 
 
 @query("nearest_centroid", f"""WITH {VECTOR_PARTS}, cent AS (SELECT label AS k, pos, avg(x) AS c FROM parts GROUP BY ALL),
@@ -167,7 +166,7 @@ def calinski_harabasz(spark, folder):
     return clusters.calinski_harabasz(vectors(spark, folder), "label")
 
 
-@query("label_scores", f"""WITH {EMBEDDED}, t AS (SELECT label, lang, count(*) AS n FROM embedded GROUP BY ALL), a AS (SELECT label, sum(n) AS a, max(n) AS top FROM t GROUP BY label),
+@query("label_scores", f"""WITH {STORED}, t AS (SELECT label, lang, count(*) AS n FROM stored WHERE label IS NOT NULL GROUP BY ALL), a AS (SELECT label, sum(n) AS a, max(n) AS top FROM t GROUP BY label),
 b AS (SELECT lang, sum(n) AS b FROM t GROUP BY lang), z AS (SELECT sum(n)::DOUBLE AS n FROM t),
 q AS (SELECT (SELECT sum(t.n * (t.n - 1) / 2) FROM t) AS c2, (SELECT sum(a * (a - 1) / 2) FROM a) AS r2, (SELECT sum(b * (b - 1) / 2) FROM b) AS l2,
   (SELECT sum(t.n / z.n * ln(z.n * t.n / (a * b))) FROM t JOIN a USING (label) JOIN b USING (lang), z) AS mi,
@@ -176,7 +175,7 @@ q AS (SELECT (SELECT sum(t.n * (t.n - 1) / 2) FROM t) AS c2, (SELECT sum(a * (a
 SELECT {r('(c2 - r2 * l2 / pairs) / ((r2 + l2) / 2 - r2 * l2 / pairs)')} AS ari, {r('mi / ((h1 + h2) / 2)')} AS nmi, {r('purity')} AS purity,
   {r('(mi / ((h1 + h2) / 2) + purity) / 2')} AS score FROM q""")
 def label_scores(spark, folder):
-    return clusters.label_agreement_scores(embedded(spark, folder), "label", "lang")
+    return clusters.label_agreement_scores(stored(spark, folder).where("label IS NOT NULL"), "label", "lang")
 
 
 @query("embedding_score", silhouette_sql("1 - list_cosine_similarity(a.v, b.v)").replace("AS silhouette FROM s", "AS score FROM s").replace(
@@ -185,7 +184,7 @@ def embedding_score(spark, folder):
     return clusters.embedding_score(clusters.silhouette(vectors(spark, folder), "vec_id", "label"))
 
 
-@query("source_quality", f"""WITH {EMBEDDED}, d AS (SELECT a.doc_id, a.source, b.source AS other, 1 - list_cosine_similarity(a.v, b.v) AS d FROM embedded a JOIN embedded b ON a.doc_id <> b.doc_id),
+@query("source_quality", f"""WITH {EMBEDDED}, d AS (SELECT a.doc_id, a.source, b.source AS other, 1 - coalesce(nullif(list_cosine_similarity(a.v, b.v), CAST('nan' AS DOUBLE)), 0) AS d FROM embedded a JOIN embedded b ON a.doc_id <> b.doc_id),
 m AS (SELECT doc_id, source, other, avg(d) AS d FROM d GROUP BY ALL),
 s AS (SELECT doc_id, max(d) FILTER (other = source) AS a, min(d) FILTER (other <> source) AS b FROM m GROUP BY doc_id)
 SELECT {r('avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette FROM s""")

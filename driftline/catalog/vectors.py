@@ -5,27 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.catalog.base import (
-    documents, CONCEPTS, CONCEPTS_SQL, CORPUS, EMBEDDED, LANG_MATRIX, PROBS, MARKERS, VECTOR_PARTS, VECTORS, corpus, embedded, lang_matrix,
+    documents, CONCEPTS, CONCEPTS_SQL, CORPUS, DIMS, EMBEDDED, LANG_MATRIX, PROBS, MARKERS, VECTOR_PARTS, VECTORS, corpus, embedded, hashed_sql, lang_matrix,
     marker_probs, query, r, vectors,
 )
 from driftline.functions import vectors as fn
 from driftline.operators import embedding, series, trajectory
 
-DIMS = 64
-
-
 def hashed(spark, folder, columns=("doc_id", "text")):
     """Every document with its hashed vector."""
     return embedding.embed(corpus(spark, folder).select(*columns), embedding.HashedTerms(DIMS))
 
 
-def hashed_sql(table: str = "documents", key: str = "doc_id", text: str = "text", out: str = "hashed") -> str:
-    return f"""{out}_tok AS (SELECT {key}, md5(unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'))) AS h FROM {table}),
-{out}_raw AS (SELECT {key}, CAST('0x' || substr(h, 1, 8) AS BIGINT) % {DIMS} AS pos, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS s
-  FROM {out}_tok GROUP BY ALL),
-{out} AS (SELECT {key}, pos, CAST(CAST(s / sqrt(sum(s * s) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS x FROM {out}_raw WHERE s <> 0)"""
-
-
 @query("hashed_embedding", f"WITH {hashed_sql()} SELECT doc_id, CAST(pos AS INTEGER) AS pos, {r('x')} AS value FROM hashed")
 def hashed_embedding(spark, folder):
     rows = hashed(spark, folder).select("doc_id", F.posexplode("embedding").alias("pos", "value"))

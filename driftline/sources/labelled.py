@@ -28,5 +28,5 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def attach_vectors(docs: DataFrame, vectors: DataFrame, doc_key: str, vec_key: str) -> DataFrame:
-    """Reuse stored vectors: documents joined with their embedding on the id."""
-    return docs.join(vectors.withColumnRenamed(vec_key, "__v"), F.col(doc_key) == F.col("__v")).drop("__v")
+    """Reuse stored vectors: every document, with its embedding on the id or null where none is stored."""
+    return docs.join(vectors.withColumnRenamed(vec_key, "__v"), F.col(doc_key) == F.col("__v"), "left").drop("__v")
