@@ -127,6 +127,16 @@ def numbered_rows(spark, folder):
     return once.agg(F.sum("c").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("ids"))
 
 
+@query("numbered_union", """SELECT row_number() OVER (ORDER BY part, key) - 1 AS row_id, part, key FROM (
+  SELECT 0 AS part, o_orderkey AS key FROM orders UNION ALL SELECT 1, c_custkey FROM customer UNION ALL SELECT 2, o_orderkey FROM orders)""")
+def numbered_union(spark, folder):
+    """Ids of three frames without ids, in the order of the frames and of the rows in them."""
+    orders = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("key")).orderBy("key")
+    customers = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("key")).orderBy("key")
+    frames = [f.withColumn("part", F.lit(k)) for k, f in enumerate((orders, customers, orders))]
+    return ops.number_rows(ops.union_by_name(frames), "row_id").select("row_id", "part", "key")
+
+
 @query("concept_match", f"""WITH {CONCEPTS_SQL}, hit AS (
   SELECT doc_id, concept, regexp_matches(lower(text), lower(concept)) AS a, contains(lower(text), lower(concept)) AS b,
     regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || lower(concept) || '($|[^\\p{{L}}\\p{{N}}_])') AS c FROM documents, concepts)
@@ -143,7 +153,7 @@ def concept_match(spark, folder):
 
 
 @query("weak_pairs", f"""WITH {CORPUS} SELECT doc_id, title, text, CAST(1 AS DOUBLE) AS label FROM (
-  SELECT doc_id, title, text FROM corpus WHERE length(title) > 10 AND length(text) > 40 ORDER BY md5('42|' || doc_id), doc_id LIMIT 20000)""")
+  SELECT doc_id, title, text FROM corpus WHERE length(title) > 10 AND length(text) > 40)""")
 def weak_pairs(spark, folder):
     return ops.weak_pairs(corpus(spark, folder))
 

@@ -137,15 +137,16 @@ def _split(matrix: DataFrame, keys: list[str]):
 def granger_joint(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """F test of every ordered pair in one joint VAR(p) without constant, p = min(4, max(1, (T - 1) div 3)).
 
-    Corpora the guard rejects give p = 1 and F = 0 for every pair, as does a failed test.
+    Corpora the guard rejects give p = 1 and F = 0 for every pair, as does a failed test; `status` tells them from tests
+    that found no influence.
     """
     keys = keys or []
     tagged, marked, ready = _split(matrix, keys)
-    tested = ready.groupBy(ALL).applyInPandas(_joint_test, _edge_schema(tagged))
+    tested = ready.groupBy(ALL).applyInPandas(_joint_test, _edge_schema(tagged)).withColumn("status", F.lit("tested"))
     rejected = marked.filter("status <> 'tested'").withColumnRenamed(ALL, "__tag")
-    blank = ordered_pairs(rejected, ["__tag", "lags"]).select(
-        F.col("__tag").alias(ALL), "cause", "effect", F.lit(1.0).alias("p_value"), F.lit(0.0).alias("f_statistic"),
-        F.col("lags").cast("int"),
+    blank = ordered_pairs(rejected, ["__tag", "lags", "status"]).select(
+        F.col("__tag").alias(ALL), F.col("cause").cast("string"), F.col("effect").cast("string"), F.lit(1.0).alias("p_value"),
+        F.lit(0.0).alias("f_statistic"), F.col("lags").cast("int"), "status",
     )
     return _untag(tested.unionByName(blank), keys)
 
@@ -187,44 +188,58 @@ def granger_lag1(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return rows.select(*keys, "cause", "effect", "n", F.when((det != 0) & (full > 0) & (F.col("n") > 2), f).alias("f_statistic"))
 
 
-def _pairwise_test(max_lags: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _wide(pdf)
-        names, y = list(wide.columns), wide.to_numpy(float)
-        rows = []
-        for i, cause in enumerate(names):
-            for j, effect in enumerate(names):
-                if i == j:
-                    continue
-                best = (1.0, 0.0, 0)
-                for p in range(1, max_lags + 1):
-                    n = len(y) - p
-                    df = n - 2 * p - 1
-                    if df <= 0:
-                        break
-                    own = np.column_stack([np.ones(n), *[y[p - l : len(y) - l, j] for l in range(1, p + 1)]])
-                    both = np.column_stack([own, *[y[p - l : len(y) - l, i] for l in range(1, p + 1)]])
-                    target = y[p:, j]
-                    ssr = [((target - x @ np.linalg.lstsq(x, target, rcond=None)[0]) ** 2).sum() for x in (own, both)]
-                    if ssr[1] <= 0:
-                        continue
-                    f = (ssr[0] - ssr[1]) / p / (ssr[1] / df)
-                    pv = float(f_sf(np.array([f]), p, df)[0])
-                    if f >= 0 and np.isfinite(pv) and pv < best[0]:
-                        best = (pv, float(f), p)
-                rows.append((cause, effect, *best))
-        out = pd.DataFrame(rows, columns=["cause", "effect", "p_value", "f_statistic", "lags"])
-        out[ALL] = [pdf[ALL].iloc[0]] * len(out)
-        return out[[ALL, "cause", "effect", "p_value", "f_statistic", "lags"]]
-
-    return run
+def _edge_arrays(matrix: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per ordered pair with both sources' values in time order (constant series with their noise)."""
+    arrays = matrix.groupBy(*keys, "source").agg(F.array_sort(F.collect_list(F.struct("time_bin", "value"))).alias("s"))
+    values = F.transform("s", lambda p: p["value"].cast("double"))
+    effect, cause = (arrays.select(*keys, F.col("source").alias(c), values.alias(v)) for c, v in (("effect", "ys"), ("cause", "xs")))
+    return ordered_pairs(matrix, keys).join(effect, [*keys, "effect"]).join(cause, [*keys, "cause"])
+
+
+def _best_lag(y: np.ndarray, x: np.ndarray, max_lags: int) -> tuple[float, float, int]:
+    best = (1.0, 0.0, 0)
+    for p in range(1, max_lags + 1):
+        n = len(y) - p
+        df = n - 2 * p - 1
+        if df <= 0:
+            break
+        own = np.column_stack([np.ones(n), *[y[p - k : len(y) - k] for k in range(1, p + 1)]])
+        both = np.column_stack([own, *[x[p - k : len(x) - k] for k in range(1, p + 1)]])
+        target = y[p:]
+        ssr = [((target - d @ np.linalg.lstsq(d, target, rcond=None)[0]) ** 2).sum() for d in (own, both)]
+        if ssr[1] <= 0:
+            continue
+        f = (ssr[0] - ssr[1]) / p / (ssr[1] / df)
+        pv = float(f_sf(np.array([f]), p, df)[0])
+        if f >= 0 and np.isfinite(pv) and pv < best[0]:
+            best = (pv, float(f), p)
+    return best
 
 
 def granger_pairwise(matrix: DataFrame, max_lags: int = 5, keys: list[str] | None = None) -> DataFrame:
-    """Two-series tests with a constant at lags 1..max_lags; the lag with the smallest p-value is reported."""
+    """Two-series tests with a constant at lags 1..max_lags of every ordered pair of every corpus; the lag with the
+    smallest p-value is reported.
+
+    One row per edge holds the two series, so edges are tested in Arrow batches wherever they lie. Pairs with too few
+    common bins for lag 1 have p = 1, F = 0, lag 0 and status too_few_bins.
+    """
     keys = keys or []
-    tagged, _, ready = _split(matrix, keys)
-    return _untag(ready.groupBy(ALL).applyInPandas(_pairwise_test(max_lags), _edge_schema(tagged)), keys)
+    rows = _edge_arrays(settle(matrix), keys).select(*keys, F.col("cause").cast("string"), F.col("effect").cast("string"), "ys", "xs")
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for cause, effect, ys, xs in zip(pdf["cause"], pdf["effect"], pdf["ys"], pdf["xs"], strict=True):
+                pair = [np.asarray(v, float) for v in (ys, xs)]
+                pair = [v + _noise(name, len(v)) if len(v) > 1 and v.std(ddof=1) < 1e-10 else v for v, name in zip(pair, (effect, cause), strict=True)]
+                n = min(len(v) for v in pair)
+                out.append((*_best_lag(pair[0][:n], pair[1][:n], max_lags), "tested" if n > 4 else "too_few_bins"))
+            done = pd.DataFrame(out, columns=["p_value", "f_statistic", "lags", "status"], index=pdf.index)
+            yield pd.concat([pdf[[*keys, "cause", "effect"]], done], axis=1)
+
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("cause", StringType()), StructField("effect", StringType()), StructField("p_value", DoubleType()),
+                         StructField("f_statistic", DoubleType()), StructField("lags", IntegerType()), StructField("status", StringType())])
+    return rows.mapInPandas(run, schema)
 
 
 def granger_summary(edges: DataFrame, alpha: float = 0.10) -> DataFrame:
@@ -268,9 +283,12 @@ def causal_confidence(bins: DataFrame, col: str = "bins") -> DataFrame:
 
 
 def impulse_response(matrix: DataFrame, horizon: int = 10, keys: list[str] | None = None) -> DataFrame:
-    """Response of every source to a unit shock in every source over `horizon` steps of the joint model."""
+    """Response of every source to a unit shock in every source over `horizon` steps of the joint model.
+
+    Corpora the guard rejects give one row with nulls and their status.
+    """
     keys = keys or []
-    tagged, _, ready = _split(matrix, keys)
+    tagged, marked, ready = _split(matrix, keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = _wide(pdf)
@@ -290,13 +308,20 @@ def impulse_response(matrix: DataFrame, horizon: int = 10, keys: list[str] | Non
         StructField(ALL, tagged.schema[ALL].dataType), StructField("cause", StringType()), StructField("effect", StringType()),
         StructField("step", IntegerType()), StructField("response", DoubleType()),
     ])
-    return _untag(ready.groupBy(ALL).applyInPandas(run, schema), keys)
+    return _untag(ready.groupBy(ALL).applyInPandas(run, schema).withColumn("status", F.lit("tested")).unionByName(_rejected(marked), allowMissingColumns=True), keys)
+
+
+def _rejected(marked: DataFrame) -> DataFrame:
+    return marked.filter("status <> 'tested'").select(ALL, "status").distinct()
 
 
 def lag_order(matrix: DataFrame, max_lags: int = 4, keys: list[str] | None = None) -> DataFrame:
-    """AIC of the joint model at lags 1..max_lags on a common sample, one task per (corpus, lag); the best is marked."""
+    """AIC of the joint model at lags 1..max_lags on a common sample, one task per (corpus, lag); the best is marked.
+
+    Corpora the guard rejects give one row with nulls and their status.
+    """
     keys = keys or []
-    tagged, _, ready = _split(matrix, keys)
+    tagged, marked, ready = _split(matrix, keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = _wide(pdf).to_numpy(float)
@@ -315,7 +340,8 @@ def lag_order(matrix: DataFrame, max_lags: int = 4, keys: list[str] | None = Non
     tries = ready.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lags))))
     out = tries.groupBy(ALL, "lag").applyInPandas(run, schema)
     best = F.min(F.when(F.col("aic").isNotNull(), F.struct("aic", "lag"))).over(Window.partitionBy(ALL))
-    return _untag(out.withColumn("best", F.col("lag") == best["lag"]), keys)
+    out = out.withColumn("best", F.col("lag") == best["lag"]).withColumn("status", F.lit("tested"))
+    return _untag(out.unionByName(_rejected(marked), allowMissingColumns=True), keys)
 
 
 def joint_p_closed(f: str, k: str, df: str):

@@ -173,6 +173,10 @@ def _against(df: DataFrame, table: DataFrame, vec: str, key: str, score: Callabl
     return reduce(DataFrame.unionByName, parts), len(parts)
 
 
+def id_type(df: DataFrame, id_col: str) -> str:
+    return df.schema[id_col].dataType.simpleString()
+
+
 def silhouette_samples(df: DataFrame, id_col: str, label: str, vec: str = "embedding", metric: str = "cosine") -> DataFrame:
     """Silhouette of every row: (id, label, silhouette).
 
@@ -184,7 +188,7 @@ def silhouette_samples(df: DataFrame, id_col: str, label: str, vec: str = "embed
     scaled = metric == "cosine"
     table = settle(cluster_sums(df, label, vec, scaled))
     rows = df.filter(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vec).alias("v"))
+        F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"), F.col(vec).alias("v"))
 
     def score(batch, found):
         x = as_matrix(batch.column("v"))
@@ -213,7 +217,7 @@ def silhouette_samples(df: DataFrame, id_col: str, label: str, vec: str = "embed
              pa.array(np.where(mine, n[where], np.nan), from_pandas=True), pa.array(mean.min(axis=1))],
             names=["id", "label", "a", "n", "b"])
 
-    parts, slices = _against(rows, table, "s", "label", score, "id bigint, label string, a double, n double, b double")
+    parts, slices = _against(rows, table, "s", "label", score, f"id {id_type(df, id_col)}, label string, a double, n double, b double")
     if slices > 1:
         parts = parts.groupBy("id", "label").agg(F.max("a").alias("a"), F.max("n").alias("n"), F.min("b").alias("b"))
     return _silhouette_of(parts)
@@ -227,7 +231,7 @@ def _silhouette_of(parts: DataFrame) -> DataFrame:
 
 def _silhouette_blocks(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:
     sums = distance_sums(df, id_col, label, vec)
-    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("own"))
+    own = df.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("own"))
     rows = sums.join(own, "id").withColumn("mine", F.col("label") == F.col("own"))
     parts = rows.groupBy("id", F.col("own").alias("label")).agg(
         F.max(F.when(F.col("mine"), F.col("total") / F.when(F.col("rows") > 1, F.col("rows") - 1))).alias("a"),
@@ -237,12 +241,14 @@ def _silhouette_blocks(df: DataFrame, id_col: str, label: str, vec: str) -> Data
     return _silhouette_of(parts)
 
 
-def silhouette(df: DataFrame, id_col: str, label: str, vec: str = "embedding", metric: str = "cosine", min_rows: int = 10) -> DataFrame:
-    """Mean silhouette; 0 for fewer than `min_rows` rows or when there are not 2 to n - 1 clusters."""
+def silhouette(df: DataFrame, id_col: str, label: str, vec: str = "embedding", metric: str = "cosine", min_rows: int = 10, compat: bool = False) -> DataFrame:
+    """Mean silhouette; null when there are not 2 to n - 1 clusters. `compat` gives 0 there and below `min_rows` rows."""
     s = silhouette_samples(df, id_col, label, vec, metric).groupBy("label").agg(
         F.sum("silhouette").alias("s"), F.count(F.lit(1)).alias("n"))
     k, n = F.count(F.lit(1)), F.sum("n")
-    return s.agg(F.when((n < min_rows) | (k < 2) | (k > n - 1), 0.0).otherwise(F.sum("s") / n).alias("silhouette"))
+    undefined = F.coalesce((k < 2) | (k > n - 1), F.lit(True))
+    mean = F.when(~undefined, F.sum("s") / n)
+    return s.agg((F.when(undefined | (n < min_rows), 0.0).otherwise(mean) if compat else mean).alias("silhouette"))
 
 
 def davies_bouldin(df: DataFrame, label: str, vec: str = "embedding") -> DataFrame:
@@ -250,7 +256,7 @@ def davies_bouldin(df: DataFrame, label: str, vec: str = "embedding") -> DataFra
     rows = df.filter(F.col(vec).isNotNull()).select(F.col(label).cast("string").alias("label"), doubles(vec).alias("v"))
     centers = mean_vectors(rows, ["label"], "v", "c").select("label", "c")
     gap = norm(F.zip_with("v", "c", lambda x, y: x - y))
-    spread = rows.join(lookup(centers, 10_000), "label").groupBy("label").agg(F.avg(gap).alias("s"))
+    spread = rows.join(lookup(centers), "label").groupBy("label").agg(F.avg(gap).alias("s"))
     table = settle(centers.join(spread, "label"))
 
     def worst(batch, found):
@@ -282,7 +288,7 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str = "embedding") -> Data
 def nearest_centroid(df: DataFrame, centers: DataFrame, id_col: str, cluster: str, center_vec: str, vec: str = "embedding") -> DataFrame:
     """Closest centroid (Euclidean) of every row: (id, cluster, distance); ties go to the smaller cluster."""
     table = settle(centers.select(F.col(cluster).cast("string").alias("k"), F.col(center_vec).alias("c")))
-    rows = df.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
+    rows = df.filter(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
 
     def score(batch, found):
         found = sorted(found, key=lambda r: r["k"])
@@ -293,7 +299,7 @@ def nearest_centroid(df: DataFrame, centers: DataFrame, id_col: str, cluster: st
         return pa.RecordBatch.from_arrays(
             [batch.column("id"), names.take(pa.array(best)), pa.array(np.sqrt(d[np.arange(len(x)), best]))], names=["id", "k", "d"])
 
-    parts, _ = _against(rows, table, "c", "k", score, "id bigint, k string, d double")
+    parts, _ = _against(rows, table, "c", "k", score, f"id {id_type(df, id_col)}, k string, d double")
     best = parts.groupBy("id").agg(F.min(F.struct(F.round("d", 9).alias("r"), "k", "d")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("b.k").alias(cluster), F.col("b.d").alias("distance"))
 

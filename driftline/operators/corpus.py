@@ -25,7 +25,8 @@ def clean_corpus(frames: list[DataFrame]) -> DataFrame:
     """
     df = union_by_name(frames)
     if "text" not in df.columns or "published" not in df.columns:
-        raise ValueError("a corpus needs text and published")
+        missing = {"text": "string", "published": NTZ}
+        df = df.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in df.columns}).limit(0)  # nothing to read: an empty corpus
     df = df.withColumn("text", normalize_text("text"))
     if "title" in df.columns:
         df = df.withColumn("title", normalize_text("title"))
@@ -34,20 +35,19 @@ def clean_corpus(frames: list[DataFrame]) -> DataFrame:
 
 
 def number_rows(df: DataFrame, out: str = "doc_id", stable_input: bool = False) -> DataFrame:
-    """Dense ids 0..n-1 in partition order, without a global sort.
+    """Dense ids 0..n-1 in input order (partition by partition, frame by frame in a union), without a global sort.
 
-    One pass counts rows per partition (that table has one row per partition), a second adds each partition's offset
-    to the position within it. Both passes must see the same partitions, so the input is written out first unless
-    `stable_input` says it is a plain file scan.
+    Each row's partition and place are written down while the input is read, so that later passes may see other
+    partitions; the table of partition sizes has one row per partition. `stable_input` saves the write for a plain
+    file scan that always gives the same partitions.
     """
-    rows = df if stable_input else settle(df)
-    counts = rows.groupBy(F.spark_partition_id().alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
+    place = F.monotonically_increasing_id()
+    rows = df.withColumn("__pid", F.shiftright(place, 33).cast("int")).withColumn("__pos", place.bitwiseAND(F.lit(2**33 - 1)))
+    rows = rows if stable_input else settle(rows)
+    counts = rows.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    placed = rows.withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__pos", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-    )
-    placed = placed.join(F.broadcast(starts), "__pid", "left")  # one row per partition
+    placed = rows.join(F.broadcast(starts), "__pid", "left")  # one row per partition
     return placed.withColumn(out, F.col("__start") + F.col("__pos")).drop("__pid", "__pos", "__start")
 
 
@@ -113,10 +113,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def weak_pairs(df: DataFrame, max_pairs: int = 20_000, seed: int = 42) -> DataFrame:
-    """Title/text training pairs: both present, title over 10 and text over 40 characters, a seeded sample of them."""
-    good = df.filter((F.length("title") > 10) & (F.length("text") > 40))
-    return sample_rows(good.select("doc_id", "title", "text"), max_pairs, "doc_id", seed).withColumn("label", F.lit(1.0))
+def weak_pairs(df: DataFrame, max_pairs: int | None = None, seed: int = 42) -> DataFrame:
+    """Title/text training pairs: both present, title over 10 and text over 40 characters. `max_pairs` asks for a seeded sample."""
+    good = df.filter((F.length("title") > 10) & (F.length("text") > 40)).select("doc_id", "title", "text")
+    return (good if max_pairs is None else sample_rows(good, max_pairs, "doc_id", seed)).withColumn("label", F.lit(1.0))
 
 
 def category_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:

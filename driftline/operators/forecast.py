@@ -114,13 +114,14 @@ def backtest(df: DataFrame, keys: list[str], models: list[str] | None = None) ->
 
 
 def compare_forecasters(df: DataFrame, keys: list[str], horizon: int = 12, models: list[str] | None = None) -> DataFrame:
-    """Errors of several forecasters on the last min(horizon, max(2, n div 4)) points of series with 12 points or more."""
+    """Errors of several forecasters on the last min(horizon, max(2, n div 4)) points; series under 12 points get null errors."""
     models = models or ["auto_arima", "linear_trend", "naive_last"]
-    df = settle(df) if "auto_arima" in models else df  # bin-level, read more than once
+    df = settle(df)  # bin-level, read more than once
     h = F.least(F.lit(horizon), F.greatest(F.lit(2), F.floor(F.col("n") / 4).cast("int")))
     rows = _tested(df, keys, h).filter(F.col("n") >= 12)
-    out = error_metrics(_holdout_forecasts(rows, keys, models), [*keys, "model"])
-    return out.select(*keys, "model", "mae", "rmse", "mape_pct", "r2")
+    scored = error_metrics(_holdout_forecasts(rows, keys, models), [*keys, "model"])
+    every = df.select(*keys).distinct().withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    return every.join(scored, [*keys, "model"], "left").select(*keys, "model", "mae", "rmse", "mape_pct", "r2")
 
 
 def walk_forward(df: DataFrame, keys: list[str], model: str = "naive_last", start_share: float = 0.6) -> DataFrame:
@@ -183,15 +184,20 @@ ADF_5_PERCENT = (-2.86154, -2.8903, -4.234, -40.04)
 
 
 def unit_root(df: DataFrame, keys: list[str]) -> DataFrame:
-    """t statistic of y[t-1] in the regression of the step on it with a constant; stationary if below the 5 % value."""
+    """t statistic of y[t-1] in the regression of the step on it with a constant; stationary if below the 5 % value.
+
+    Series too short or too constant for the regression get nulls.
+    """
     prev = F.lag("value").over(Window.partitionBy(*keys).orderBy("time_bin"))
     rows = df.withColumn("__p", prev).filter(F.col("__p").isNotNull()).withColumn("__d", F.col("value") - F.col("__p"))
     m = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("t_obs"), F.regr_sxx("__d", "__p").alias("sxx"), F.regr_syy("__d", "__p").alias("syy"),
         F.regr_sxy("__d", "__p").alias("sxy"),
-    ).filter((F.col("t_obs") > 2) & (F.col("sxx") > 0))
+    )
+    m = df.select(*keys).distinct().join(m, keys, "left").withColumn("t_obs", F.coalesce("t_obs", F.lit(0)).cast("long"))
+    m = m.withColumn("sxx", F.when((F.col("t_obs") > 2) & (F.col("sxx") > 0), F.col("sxx")))  # else every result is null
     sse = F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")
     t = (F.col("sxy") / F.col("sxx")) / F.sqrt(sse / (F.col("t_obs") - 2) / F.col("sxx"))
-    critical = sum((F.lit(c) / F.pow(F.col("t_obs"), F.lit(i)) for i, c in enumerate(ADF_5_PERCENT)), F.lit(0.0))
+    critical = F.when(F.col("sxx").isNotNull(), sum((F.lit(c) / F.pow(F.col("t_obs"), F.lit(i)) for i, c in enumerate(ADF_5_PERCENT)), F.lit(0.0)))
     out = m.select(*keys, "t_obs", t.alias("t"), critical.alias("critical"))
     return out.withColumn("stationary", F.col("t") < F.col("critical"))

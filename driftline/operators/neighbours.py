@@ -222,14 +222,14 @@ def knn_cross_validate(df: DataFrame, id_col: str, label: str, k: int = 5, folds
 
 
 def retrieval_recall(queries: DataFrame, corpus: DataFrame, id_col: str, query_vec: str, corpus_vec: str,
-                     ks: tuple[int, ...] = (1, 3, 5), min_rows: int = 5) -> DataFrame:
-    """Share of queries whose own row is among their k nearest corpus rows; 0 for fewer than `min_rows` rows."""
+                     ks: tuple[int, ...] = (1, 3, 5), min_rows: int = 5, compat: bool = False) -> DataFrame:
+    """Share of queries whose own row is among their k nearest corpus rows; `compat` gives 0 for fewer than `min_rows` rows."""
     near = nearest(queries, corpus, max(ks), id_col, id_col, query_vec, corpus_vec)
     hit = near.groupBy("query_id").agg(
         F.min(F.when(F.col("query_id") == F.col("neighbour_id"), F.col("rank"))).alias("own"))
     n = F.count(F.lit(1))
     flags = hit.agg(n.alias("n"), *[F.avg(F.coalesce(F.col("own") <= k, F.lit(False)).cast("double")).alias(f"r{k}") for k in ks])
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col("n") < min_rows, 0.0).otherwise(F.col(f"r{k}")).alias("recall")) for k in ks])
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), (F.when(F.col("n") < min_rows, 0.0).otherwise(F.col(f"r{k}")) if compat else F.col(f"r{k}")).alias("recall")) for k in ks])
     return flags.select(F.inline(rows))
 
 
@@ -260,7 +260,7 @@ def distance_sums(df: DataFrame, id_col: str, label: str, vec: str = "embedding"
     per (row, label), not per pair.
     """
     rows = df.filter(F.col(vec).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vec).alias("vec"))
+        F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"), F.col(vec).alias("vec"))
     blocks = max(1, math.ceil(rows.count() / block_rows))
     slot = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -268,7 +268,7 @@ def distance_sums(df: DataFrame, id_col: str, label: str, vec: str = "embedding"
     right = rows.withColumn("cb", slot).withColumn("qb", every).drop("id")
 
     def run(qt: pa.Table, ct: pa.Table) -> pa.Table:
-        empty = {"id": pa.array([], pa.int64()), "label": pa.array([], pa.string()), "total": pa.array([], pa.float64()), "rows": pa.array([], pa.int64())}
+        empty = {"id": pa.array([], qt.schema.field("id").type), "label": pa.array([], pa.string()), "total": pa.array([], pa.float64()), "rows": pa.array([], pa.int64())}
         if not qt.num_rows or not ct.num_rows:
             return pa.table(empty)
         a, b = as_matrix(qt.column("vec")), as_matrix(ct.column("vec"))
@@ -288,6 +288,6 @@ def distance_sums(df: DataFrame, id_col: str, label: str, vec: str = "embedding"
             "total": pa.array(sums.ravel()), "rows": pa.array(np.tile(per, len(a))),
         })
 
-    schema = StructType([StructField("id", LongType()), StructField("label", rows.schema["label"].dataType), StructField("total", DoubleType()), StructField("rows", LongType())])
+    schema = StructType([StructField("id", rows.schema["id"].dataType), StructField("label", rows.schema["label"].dataType), StructField("total", DoubleType()), StructField("rows", LongType())])
     parts = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(run, schema)
     return parts.groupBy("id", "label").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"))

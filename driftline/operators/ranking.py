@@ -103,7 +103,7 @@ def running_totals(df: DataFrame, keys: list[str], order_col: str, values: list[
     marks = [i / buckets for i in range(1, buckets)]
     keyed = df.withColumn("__g", _group(keys))
     cuts = keyed.groupBy("__g").agg(F.percentile_approx(order_col, marks, 10_000).alias("__cuts"))
-    rows = keyed.join(lookup(cuts, 1_000_000 // buckets), "__g")
+    rows = keyed.join(lookup(cuts), "__g")
     below = F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(order_col))
     rows = rows.withColumn("__b", F.size(below)).drop("__cuts")
     sums = rows.groupBy("__g", "__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])

@@ -59,18 +59,18 @@ def trend_significance(df: DataFrame, keys: list[str], time: str = "time_bin", v
                        alpha: float = 0.05) -> DataFrame:
     """Slope, R2, t statistic and two-sided p-value of the linear trend; a verdict at `alpha`.
 
-    A constant series has R2 0 and p 1. An exact line has p 0.
+    A constant series has R2 0 and p 1. An exact line has p 0. One or two points give nulls.
     """
     m = with_index(df, keys, time).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(value, "x").alias("slope"),
         F.regr_sxx(value, "x").alias("sxx"), F.regr_syy(value, "x").alias("syy"), F.regr_sxy(value, "x").alias("sxy"),
-    ).filter(F.col("n") > 2)
-    r2 = F.when(F.col("syy") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("sxy") * F.col("sxy") / (F.col("sxx") * F.col("syy"))))
+    )
+    r2 = F.when(F.col("n") <= 2, None).when(F.col("syy") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("sxy") * F.col("sxy") / (F.col("sxx") * F.col("syy"))))
     m = m.withColumn("r2", r2)
-    t = F.when(F.col("r2") < 1, F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))).otherwise(
+    t = F.when(F.col("r2").isNull(), None).when(F.col("r2") < 1, F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))).otherwise(
         F.signum("slope") * F.lit(float("inf")))
     m = m.withColumn("t", t).withColumn("p_value", t_tail(F.col("t"), F.col("n") - 2))
-    verdict = F.when(F.col("p_value") >= alpha, "none").when(F.col("slope") > 0, "increasing").otherwise("decreasing")
+    verdict = F.when(F.col("p_value").isNull(), None).when(F.col("p_value") >= alpha, "none").when(F.col("slope") > 0, "increasing").otherwise("decreasing")
     return m.select(*keys, "n", "slope", "r2", "t", "p_value", verdict.alias("trend"))
 
 

@@ -59,22 +59,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def lookup(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def lookup(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """Prepare a small result as the inner side of a join with something large.
 
-    It is written out and counted; up to `max_rows` rows it is broadcast, so the large side is not shuffled. A larger
-    one joins like any table.
+    It is written out; while its files hold up to `max_bytes` it is broadcast, so the large side is not shuffled. A
+    larger one joins like any table.
     """
     small = settle(df)
-    return broadcast(small) if small.count() <= max_rows else small
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return broadcast(small) if size <= max_bytes else small
 
 
 def packed(df: DataFrame, rows_per_partition: int = 20_000) -> DataFrame:
     """Join the partitions of a settled table into fewer when they hold few rows each (a narrow step).
 
-    Iterative fits start a job per step, so many near-empty partitions cost more than they help.
+    Iterative fits start a job per step, so many near-empty partitions cost more than they help; one per core stays.
     """
-    wanted = max(1, -(-df.count() // rows_per_partition))
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_partition))
     return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
 
 
