@@ -38,6 +38,20 @@ def feed_rss(spark, folder):
     return feeds.parse_items(items, "xml")
 
 
+@query("feed_files", f"""WITH {CORPUS}
+SELECT 'rss' AS source, title, text AS summary, title || chr(10) || text AS text, published, 'doc:' || doc_id AS url FROM corpus""")
+def feed_files(spark, folder):
+    """The documents written as feed files into the shared folder and read from there, split by item."""
+    items = _dated(spark, folder).select(F.to_xml(F.struct(
+        "title", F.col("text").alias("description"), F.concat(F.lit("doc:"), "doc_id").alias("link"),
+        F.concat(F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")).alias("pubDate"),
+    ), {"rowTag": "item"}).alias("xml"))
+    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    head = F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>all</title>')
+    items.repartition(2).select(F.concat(head, "xml").alias("value")).write.text(path)
+    return feeds.read_rss(spark, path)
+
+
 @query("feed_atom", f"""WITH {CORPUS}
 SELECT 'arxiv' AS source, title, text AS summary, title || chr(10) || text AS text, published, 'doc:' || doc_id AS url FROM corpus""")
 def feed_atom(spark, folder):

@@ -52,17 +52,20 @@ def atom_records(entries: DataFrame) -> DataFrame:
     return _record(entries, "arxiv", "title", "summary", parse_date("published"), link)
 
 
-def _read(spark: SparkSession, path: str, tag: str, schema: StructType) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(schema).load(path)
+def _read(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """One element per row. The closing tag is the record separator, so a large file is split at any place."""
+    rows = spark.read.option("lineSep", f"</{tag}>").text(path)
+    element = F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)$", 1)
+    return rows.select(F.when(element != "", F.concat(element, F.lit(f"</{tag}>"))).alias("xml")).where("xml IS NOT NULL")
 
 
 def read_rss(spark: SparkSession, path: str, start=None, end=None, max_docs: int | None = None) -> DataFrame:
     """Feed files under `path`: records in the date range, the newest `max_docs` of the source. Files split by item."""
-    return _ranged(rss_records(_read(spark, path, "item", ITEM)), start, end, max_docs)
+    return _ranged(parse_items(_read(spark, path, "item"), "xml"), start, end, max_docs)
 
 
 def read_atom(spark: SparkSession, path: str, start=None, end=None, max_docs: int | None = None) -> DataFrame:
-    return _ranged(atom_records(_read(spark, path, "entry", ENTRY)), start, end, max_docs)
+    return _ranged(parse_items(_read(spark, path, "entry"), "xml", "atom"), start, end, max_docs)
 
 
 def parse_items(xml: DataFrame, col: str, kind: str = "rss") -> DataFrame:

@@ -48,9 +48,21 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
 
 
 def run_complete(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything that has landed; each micro-batch replaces the result table (one row per window)."""
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    """Process everything that has landed; each micro-batch writes the whole result (one row per window) beside the old one.
 
-    df.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(
+    A batch that is written twice after a failure replaces itself; `current` reads the newest complete one, so readers never
+    see a half-written table.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:010d}")
+
+    df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete result that `run_complete` has written."""
+    jvm = spark._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+    return spark.read.parquet(max(str(f.getPath().getParent()) for f in found))

@@ -49,7 +49,7 @@ def test_stream_equals_batch(spark, raw, tmp_path):
     stream = live.read_landing(spark, landing, spark.read.parquet(landing).schema, files_per_trigger=2)
     stream = stream.withColumn("published", live.utc_instant("published"))
     live.run_complete(live.windowed_centroids(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {r["time_bin"]: (r["docs"], r["centroid"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {r["time_bin"]: (r["docs"], r["centroid"]) for r in live.current(spark, str(tmp_path / "out")).collect()}
     want = {r["time_bin"]: (r["docs"], r["centroid"]) for r in mean_vectors(docs, ["time_bin"]).collect()}
     assert got.keys() == want.keys()
     assert all(got[b][0] == want[b][0] and np.allclose(got[b][1], want[b][1]) for b in want)
