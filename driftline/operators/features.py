@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.text import STOP_WORDS, tokens, with_bigrams
 from driftline.functions.vectors import unit
+from driftline.session import lookup, settle
 
 MAX_TERMS = 10_000  # fixed value: default vocabulary size
 
@@ -26,19 +29,40 @@ def add_terms(df: DataFrame, text: str = "text", out: str = "terms", bigrams: bo
 def vocabulary(df: DataFrame, terms: str = "terms", size: int = MAX_TERMS, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """The `size` most frequent terms: (term, cf, df, docs, idf), ties by term.
 
-    One shuffle of per-task partial counts: each document contributes its terms once for cf and its distinct terms
-    once for df, so no (document, term) table is built. idf = ln((1 + docs) / (1 + df)) + 1.
+    Words are counted first. A pair cannot be more frequent than its rarer word, so only pairs of words that reach the
+    count of the `size`-th word are sent on to be counted; the others cannot be among the top. idf = ln((1 + docs) / (1 + df)) + 1.
     """
-    each = F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")))
-    once = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
-    counts = df.select(F.inline(F.concat(each, once))).groupBy("term").agg(
-        F.sum("c").cast("bigint").alias("cf"), F.sum("d").cast("bigint").alias("df"))
     docs = df.agg(F.count(F.lit(1))).scalar()
-    kept = counts.withColumn("docs", docs).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * F.lit(float(max_df))))
-    top = kept.orderBy(F.col("cf").desc(), "term").limit(size)
+
+    def fits(counts: DataFrame) -> DataFrame:
+        return counts.withColumn("docs", F.lit(docs).cast("bigint")).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * F.lit(float(max_df))))
+
+    words = settle(_counts(df.select(F.filter(terms, lambda t: ~F.contains(t, F.lit(" "))).alias("t"))))
+    last = fits(words).select("cf").orderBy(F.col("cf").desc()).limit(size).agg(F.min("cf").alias("cf"), F.count(F.lit(1)).alias("n")).first()
+    pairs = df.select(F.filter(terms, lambda t: F.contains(t, F.lit(" "))).alias("t"))
+    if last["n"] == size and last["cf"] > 1:
+        known = lookup(words.filter(F.col("cf") >= last["cf"]).select(F.col("term").alias("__w")))
+        found = _counts(pairs, lambda rows: _both_in(rows, known))
+    else:
+        found = _counts(pairs)
+    top = fits(words.unionByName(found)).orderBy(F.col("cf").desc(), "term").limit(size)
     return top.withColumn("idf", F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)
 
 
+def _both_in(rows: DataFrame, known: DataFrame) -> DataFrame:
+    for part in (0, 1):
+        rows = rows.join(known, F.split("term", " ")[part] == F.col("__w"), "left_semi")
+    return rows
+
+
+def _counts(rows: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """(term, cf, df) of the arrays `t`: one shuffle of partial counts; a document's distinct terms count once for df."""
+    each = F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")))
+    once = F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
+    return keep(rows.select(F.inline(F.concat(each, once)))).groupBy("term").agg(
+        F.sum("c").cast("bigint").alias("cf"), F.sum("d").cast("bigint").alias("df"))
+
+
 def tfidf_rows(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", terms: str = "terms", sublinear: bool = False) -> DataFrame:
     """(id, term, tfidf) with unit L2 norm per document. `sublinear` uses 1 + ln(tf).
 
