@@ -159,22 +159,23 @@ def compare_blocks(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> tu
     return i, j
 
 
-def _joining(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """As few of the links (a, b) as join the same ids."""
-    parent: dict[int, int] = {}
-
-    def top(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    for u, v in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(u), top(v)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((u, v))
-    return out
+def _joining(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (id, smallest id of its group) that join what the links (a, b) join, one per id at most."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    group = np.arange(len(ids))
+    while True:
+        least = np.minimum(group[u], group[v])
+        new = group.copy()
+        np.minimum.at(new, group[u], least)  # hang the groups' heads on each other, then shorten the way to the head
+        np.minimum.at(new, group[v], least)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, group):
+            break
+        group = new
+    other = group != np.arange(len(ids))
+    return ids[other], ids[group[other]]
 
 
 def links(classes: DataFrame, least: float = 0.95, directions: int = 8, block: int = BLOCK) -> DataFrame:
@@ -206,11 +207,10 @@ def links(classes: DataFrame, least: float = 0.95, directions: int = 8, block: i
                     i, j = compare_blocks(*units, least, row["a"].as_py() == row["b"].as_py())
                     if not len(i):
                         continue
-                    tree = _joining(ids[0][i], ids[1][j])
+                    u, v = _joining(ids[0][i], ids[1][j])
                     more = np.concatenate([np.stack([ids[0][i], counts[1][j]], 1), np.stack([ids[1][j], counts[0][i]], 1)])
                     who, at = np.unique(more[:, 0], return_inverse=True)
                     n = np.bincount(at, more[:, 1]).astype(np.int64)
-                    u, v = (np.array(x, np.int64) for x in zip(*tree, strict=True))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.r_[np.zeros(len(who), np.int8), np.ones(len(u), np.int8)]), pa.array(np.r_[who, u]), pa.array(np.r_[who, v]), pa.array(np.r_[n, np.zeros(len(u), np.int64)])],
                         ["kind", "a", "b", "n"])
