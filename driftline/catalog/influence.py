@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.base import EVENT_SERIES, LANG_MATRIX, event_matrix, lang_matrix, query, r
+from driftline.catalog.base import EMBEDDED, EVENT_SERIES, LANG_MATRIX, embedded, event_matrix, lang_matrix, query, r
 from driftline.catalog.series import t_two_sided
 from driftline.functions.stats import f_tail
 from driftline.operators import causal
@@ -42,6 +42,47 @@ def granger_events(spark, folder):
     return causal.granger_summary(causal.granger_joint(event_matrix(spark, folder)))
 
 
+def _source_matrices(spark, folder):
+    """One corpus per document source, its series being the languages."""
+    from driftline.operators.trajectory import source_matrix
+
+    rows = embedded(spark, folder).withColumnRenamed("source", "corpus")
+    return source_matrix(rows, "lang", keys=["corpus"]).withColumnRenamed("lang", "source")
+
+
+@query("granger_by_source")
+def granger_by_source(spark, folder):
+    return causal.granger_summary(causal.granger_joint(_source_matrices(spark, folder), ["corpus"]))
+
+
+BY_SOURCE = EMBEDDED + """,
+obs AS (SELECT source AS corpus, time_bin, lang AS source, sum(x) / count(*) AS value FROM parts GROUP BY ALL),
+grid AS (SELECT b.corpus, b.time_bin, s.source, o.value FROM (SELECT DISTINCT corpus, time_bin FROM obs) b JOIN (SELECT DISTINCT corpus, source FROM obs) s ON s.corpus = b.corpus
+  LEFT JOIN obs o ON o.corpus = b.corpus AND o.time_bin = b.time_bin AND o.source = s.source),
+matrix AS (SELECT corpus, time_bin, source, coalesce(
+    last_value(value IGNORE NULLS) OVER (PARTITION BY corpus, source ORDER BY time_bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(value IGNORE NULLS) OVER (PARTITION BY corpus, source ORDER BY time_bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM grid)"""
+
+
+@query("source_guards", f"""WITH {BY_SOURCE}, g AS (SELECT corpus, count(DISTINCT source) AS sources, count(DISTINCT time_bin) AS bins FROM matrix GROUP BY corpus),
+guard AS (SELECT *, least(4, greatest(1, (bins - 1) // 3)) AS lags FROM g)
+SELECT corpus, sources, bins, CAST(lags AS INTEGER) AS lags, CAST(bins - lags - sources * lags AS BIGINT) AS df,
+  CASE WHEN sources < 2 THEN 'one_source' WHEN bins < 10 THEN 'too_few_bins' WHEN bins - lags - sources * lags <= 0 THEN 'too_many_sources' ELSE 'tested' END AS status FROM guard""")
+def source_guards(spark, folder):
+    return causal.causal_guard(_source_matrices(spark, folder), ["corpus"])
+
+
+@query("granger_lag1_by_source", f"""WITH {BY_SOURCE},
+lagged AS (SELECT corpus, time_bin, source, value, lag(value) OVER (PARTITION BY corpus, source ORDER BY time_bin) AS l FROM matrix),
+sums AS (SELECT y.corpus, x.source AS cause, y.source AS effect, count(*) AS n, sum(y.value * y.value) AS yy, sum(y.l * y.l) AS aa, sum(y.value * y.l) AS ya,
+  sum(x.l * x.l) AS xx, sum(y.value * x.l) AS yx, sum(y.l * x.l) AS ax
+  FROM lagged y JOIN lagged x ON x.corpus = y.corpus AND x.time_bin = y.time_bin AND x.source <> y.source WHERE y.l IS NOT NULL AND x.l IS NOT NULL GROUP BY ALL),
+fits AS (SELECT *, yy - ya * ya / aa AS rss, yy - (ya * xx - yx * ax) / (aa * xx - ax * ax) * ya - (yx * aa - ya * ax) / (aa * xx - ax * ax) * yx AS uss FROM sums)
+SELECT corpus, cause, effect, CAST(n AS INTEGER) AS n, {r('(rss - uss) / (uss / (n - 2))')} AS f_statistic FROM fits""")
+def granger_lag1_by_source(spark, folder):
+    return causal.granger_lag1(_source_matrices(spark, folder), ["corpus"])
+
+
 @query("granger_pairwise")
 def granger_pairwise(spark, folder):
     return causal.granger_summary(causal.granger_pairwise(event_matrix(spark, folder), 5))
