@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import decontaminate, jaccard, langid, mixing, privacy
-from driftline.session import shared_dir
+from driftline.llm.bits import parted
+from driftline.session import settle, shared_dir
 
 LEAST_SCORE = 0.5  # posterior below which a language counts as not identified
 
@@ -27,9 +28,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, once. Rows without an id stay."""
-    heads = jaccard.near_duplicates(docs).where("id = component").select(F.col("id").alias("_id"))
-    named = docs.where("doc_id is not null").join(heads, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    heads = jaccard.near_duplicates(docs).select("id", "component")
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+    judged = settle(heads.join(twice, "id").where("id <> component or n > 1"))
+    single, named = parted(docs, "doc_id", judged)
+    kept = named.join(judged.where("id <> component").select(F.col("id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+    return single.unionByName(kept.dropDuplicates(["doc_id"]))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +48,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, target of the source and words taken."""
-    plan = mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0").select(F.col("id").alias("_id"), "size", "source_size", "target", "taken")
-    one = plan.dropDuplicates(["_id"])
-    return docs.join(one, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    sized = docs.withColumns({"size": mixing.words("text"), "hash": mixing.document_hash("doc_id")})
+    plan = mixing.plan(settle(sized.select("source", "size", "hash")))
+    return mixing.taken(sized, plan).drop("hash").where("taken > 0")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

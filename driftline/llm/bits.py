@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +25,22 @@ def held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
+
+
+def parted(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(others, named): rows that certainly have none of the long `ids` (column id), and the few that have to be joined with them.
+
+    Both keep all columns; rows with a null id are others. Only the named ones need a shuffle.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
+    at = docs.columns.index(id_col)
+
+    def pick(batches, inside):
+        for batch in batches:
+            column = batch.column(at)
+            values = np.asarray(column.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            rows = batch.filter(pa.array((held(known.value, values) & np.asarray(column.is_valid())) == inside))
+            if rows.num_rows:
+                yield rows
+
+    return docs.mapInArrow(lambda b: pick(b, False), docs.schema), docs.mapInArrow(lambda b: pick(b, True), docs.schema)

@@ -87,15 +87,25 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.when(F.col("left") * 2 > F.col("size"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("cut"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(id, source, size, source_size, target, taken) per row: words the mix takes of it, repeats counted."""
-    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), document_hash(id_col).alias("hash")))
+def plan(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """(source, source_size, target, full, cut) per source of (source, size, hash) rows: whole passes, and the hash below which one more is taken."""
     per = shares(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     full = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     per = settle(per.withColumn("full", full))
     cuts = thresholds(rows, per.select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("budget")))
-    plan = per.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", "c.cut")
-    out = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    passes = F.least(F.lit(most), F.col("full") + (F.col("hash") < F.coalesce("cut", F.lit(0))).cast("long"))
-    return out.select("id", F.col("d.source").alias("source"), "size", "source_size", "target", (F.col("size") * passes).alias("taken"))
+    joined = per.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left")
+    return settle(joined.select("p.*", F.coalesce("c.cut", F.lit(0)).alias("cut")))
+
+
+def taken(rows: DataFrame, per_source: DataFrame, source_col: str = "source", most: int = 3) -> DataFrame:
+    """`rows` (with size and hash) with source_size, target and taken; only the plan, a row per source, meets them."""
+    sides = rows.alias("d").join(per_source.alias("p"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("p.source")))
+    passes = F.least(F.lit(most), F.col("p.full") + (F.col("d.hash") < F.col("p.cut")).cast("long"))
+    return sides.select("d.*", "p.source_size", "p.target", (F.col("d.size") * passes).alias("taken"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """(id, source, size, source_size, target, taken) per row: words the mix takes of it, repeats counted."""
+    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), document_hash(id_col).alias("hash")))
+    return taken(rows, plan(rows, weights, most), "source", most).drop("hash")
