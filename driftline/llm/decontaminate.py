@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.arrays import blocks, mix, runs_of, word_hashes, word_spans
-from driftline.llm.bits import bitmap, held
+from driftline.llm.bits import bitmap, held, parted
 from driftline.session import settle
 
 BREAKS = np.ones(256, bool)
@@ -56,20 +56,24 @@ def needed(c: int, tolerance: float) -> int:
     return max(1, int((n - 2 - 3 * np.floor(n * tolerance).astype(int)).min()))
 
 
-def walk_keys(words: np.ndarray, at: np.ndarray, c: int, repeats: int, samples: int, seed: int = 1) -> np.ndarray:
-    """(start, repeat): LSH keys of the walks that begin at the places `at`; words must end with enough END entries."""
+def walk_keys(words: np.ndarray, at: np.ndarray, stop: np.ndarray, c: int, repeats: int, samples: int, seed: int = 1) -> np.ndarray:
+    """(start, repeat): LSH keys of the walks that begin at the places `at`; from the place `stop` on there is only END."""
     steps = max(2, int(1.7 * class_lengths(c)[0]))
-    out = np.zeros((len(at), repeats), np.uint64)
+    samples = min(samples, steps)
+    picks = np.zeros((steps, repeats), bool)
     for r in range(repeats):
-        picks = np.random.default_rng([seed, c, r]).choice(steps, min(samples, steps), replace=False)
-        place, key = at.copy(), np.full(len(at), mix(np.array([c * 1000 + r], np.uint64))[0], np.uint64)
-        for step in range(int(picks.max()) + 1):
-            word = words[place]
-            if step in picks:
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
-            place = place + (mix(word ^ mix(np.array([(r * 4096 + step) * 2 + seed], np.uint64))) & np.uint64(1)).astype(np.int64)
-        out[:, r] = key
-    return out
+        picks[np.random.default_rng([seed, c, r]).choice(steps, samples, replace=False), r] = True
+    salts = mix(((np.arange(repeats)[None, :] * 4096 + np.arange(steps)[:, None]) * 2 + seed).astype(np.uint64))
+    key = np.tile(mix((c * 1000 + np.arange(repeats)).astype(np.uint64)), (len(at), 1))
+    place, stop = np.repeat(at[:, None], repeats, 1), stop[:, None]
+    for step in range(int(np.flatnonzero(picks.any(1))[-1]) + 1):  # all starts and all repeats take a step at once
+        word = words[np.minimum(place, len(words) - 1)]
+        word[place >= stop] = END
+        on = np.flatnonzero(picks[step])
+        if len(on):
+            key[:, on] = mix(key[:, on] * np.uint64(0x9E3779B97F4A7C15) + word[:, on])
+        place += (mix(word ^ salts[step]) & np.uint64(1)).astype(np.int64)
+    return key
 
 
 def edit_distances(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
@@ -114,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     if len(own) < least:
                         continue
                     c = int(length_class(np.array([len(own)]))[0])
-                    keys = walk_keys(np.concatenate([own, np.full(4 * len(own), END)]), np.zeros(1, np.int64), c, repeats, samples)[0]
+                    keys = walk_keys(own, np.zeros(1, np.int64), np.array([len(own)]), c, repeats, samples)[0]
                     yield pa.RecordBatch.from_arrays([pa.array([ids[k].as_py()]), pa.array([c], pa.int32()), pa.array([runs_of(own, 3).view(np.int64).tolist()], pa.list_(pa.int64())),
                                                       pa.array([keys.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([own.tobytes()], pa.binary())],
                                                      ["item", "c", "triples", "keys", "words"])
@@ -136,23 +140,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 grams = held(in_triples, runs_of(words, 3))
                 inner = first[(first > 0) & (first < len(words))]
                 for back in (1, 2):
-                    grams[(inner - back)[inner - back < len(grams)]] = False  # no triple goes on into the next row
+                    cross = inner - back
+                    grams[cross[(cross >= 0) & (cross < len(grams))]] = False  # no triple goes on into the next row
                 np.cumsum(grams, out=hit[1 : len(grams) + 1])
                 hit[len(grams) + 1 :] = hit[len(grams)]
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 stop = first[1:][row]
+                begin = np.arange(len(words))
                 out: list[tuple] = []
                 for c, least_hits, span in plan:
-                    begin = np.arange(len(words))
-                    at = np.flatnonzero(hit[np.minimum(begin + span, stop)] - hit[begin] >= least_hits)
-                    # Walks of a row must not run into the next: each row with starts is laid out with its own end.
-                    for k in np.unique(row[at]).tolist():
-                        own = at[row[at] == k] - first[k]
-                        text = words[first[k] : first[k + 1]]
-                        found = walk_keys(np.concatenate([text, np.full(4 * span, END)]), own, c, repeats, samples)
+                    passed = np.flatnonzero(hit[np.minimum(begin + span, stop)] - hit[begin] >= least_hits)
+                    for at in np.array_split(passed, len(passed) // 4096 + 1) if len(passed) else ():
+                        found = walk_keys(words, at, stop[at], c, repeats, samples)
                         near = held(in_keys, found.ravel()).reshape(found.shape)
                         for j in np.flatnonzero(near.any(1)).tolist():
-                            out.append((ids[k].as_py(), int(own[j]), found[j].view(np.int64).tolist(), np.flatnonzero(near[j]).tolist(), text[own[j] : own[j] + span].tobytes()))
+                            p = int(at[j])
+                            out.append((ids[row[p]].as_py(), int(p - first[row[p]]), found[j].view(np.int64).tolist(), np.flatnonzero(near[j]).tolist(), words[p : min(p + span, int(stop[p]))].tobytes()))
                 if out:
                     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "start", "keys", "near", "window"])
@@ -181,5 +184,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """`docs` without the documents that hold an item; rows with null id stay."""
-    leaks = contaminated(docs, benchmark, id_col, **options).select(F.col("id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col).cast("long") == F.col("_leak"), "left_anti")
+    leaks = settle(contaminated(docs, benchmark, id_col, **options).select("id").distinct())
+    clean, named = parted(docs, id_col, leaks)
+    return clean.unionByName(named.join(leaks.withColumnRenamed("id", "_leak"), F.col(id_col) == F.col("_leak"), "left_anti"))
