@@ -14,7 +14,7 @@ def bitmap(values: DataFrame, column: str, log2: int = 23) -> np.ndarray:
     rows = values.where(F.col(column).isNotNull()).groupBy(F.shiftright(slot, 6).alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits"))
     out = np.zeros(1 << (log2 - 6), np.uint64)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         out[r.w] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
     return out
 
