@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.bits import bitmap, held
 from driftline.session import settle
 
 # Element names of HTML.
@@ -190,43 +191,53 @@ def host_of(url: Column) -> Column:
 
 
 def _keyed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """`pages` with hashes of the host and of the whole page: a shared hash could only delete what is a template elsewhere."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    return pages.withColumns({"_host": host_of(F.col(url_col)), "_html": html}).withColumn("_sig", F.md5(F.concat("_host", F.lit("\n"), "_html")))
+    return pages.withColumns({"_html": html, "_host": F.xxhash64(host_of(F.col(url_col)))}).withColumn("_sig", F.xxhash64("_host", "_html"))
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 8, share: float = 0.5) -> DataFrame:
-    """(host, sig, hash): the template subtrees on each different page, sig being the hash of host and html."""
+    """(host, sig, hash): the template subtrees on each different page; host and sig are the hashes of host and page."""
 
     def run(batches):
         for batch in batches:
             hosts, sigs, found = [], [], []
             for host, sig, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for h in digest(parse(source)):
-                    hosts.append(host)
-                    sigs.append(sig)
-                    found.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(sigs, pa.string()), pa.array(found, pa.int64())], ["host", "sig", "hash"])
+                own = digest(parse(source))
+                hosts.extend([host] * len(own))
+                sigs.extend([sig] * len(own))
+                found.extend(own)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(sigs, pa.int64()), pa.array(found, pa.int64())], ["host", "sig", "hash"])
 
     keyed = _keyed(pages, url_col, html_col)
-    on = settle(keyed.select("_host", "_sig", "_html").mapInArrow(run, "host string, sig string, hash long"))
-    once = on.distinct()
-    count = once.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    on = settle(keyed.select("_host", "_sig", "_html").mapInArrow(run, "host long, sig long, hash long"))
+    count = on.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     sizes = keyed.select("_host", "_sig").distinct().groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    often = count.join(sizes, "host").where(F.col("n") >= F.col("pages") * share).select("host", "hash")
+    often = settle(count.join(sizes, "host").where(F.col("n") >= F.col("pages") * share).select("host", "hash"))
     return on.join(often, ["host", "hash"])
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "main_text", least_pages: int = 8, share: float = 0.5) -> DataFrame:
     """`pages` with the column `out`: the main text."""
-    per_page = templates(pages, url_col, html_col, least_pages, share).groupBy("sig").agg(F.collect_set("hash").alias("hashes"))
-    keyed = _keyed(pages, url_col, html_col).select(*[c for c in pages.columns if c != out], F.col("_html"), F.col("_sig").alias("sig"))
-    joined = keyed.join(per_page, "sig", "left").drop("sig")
+    per_page = settle(templates(pages, url_col, html_col, least_pages, share).groupBy("sig").agg(F.collect_set("hash").alias("hashes")))
     keep = [c for c in pages.columns if c not in (out, html_col)]
-    rows = joined.select(*keep, "_html", "hashes")
+    rows = _keyed(pages, url_col, html_col).select(*keep, "_html", "_sig")
+    bits = pages.sparkSession.sparkContext.broadcast(bitmap(per_page, "sig"))
+    schema = rows.select(*keep).schema.add(out, "string")
+
+    def chosen(batches, inside):
+        for batch in batches:
+            kept = batch.filter(pa.array(held(bits.value, batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)) == inside))
+            if kept.num_rows:
+                yield kept
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(source, set(h or ())) for source, h in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True)]
+            found = batch.column(len(keep) + 1).to_pylist() if batch.schema.names[-1] == "hashes" else [()] * batch.num_rows
+            texts = [main_text(source, set(h or ())) for source, h in zip(batch.column(len(keep)).to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, out])
 
-    return rows.mapInArrow(run, rows.select(*keep).schema.add(out, "string"))
+    # Pages without a template are parsed where they are read; only the others travel to meet their template hashes.
+    plain = rows.mapInArrow(lambda b: run(chosen(b, False)), schema)
+    rest = rows.mapInArrow(lambda b: chosen(b, True), rows.schema).join(per_page, F.col("_sig") == F.col("sig"), "left").select(*keep, "_html", "hashes")
+    return plain.unionByName(rest.mapInArrow(run, schema))
