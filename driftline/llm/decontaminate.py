@@ -2,16 +2,17 @@
 
 A random walk over a word sequence copies a word per step and moves on or stays by a random bit of that word and step
 (CGK). Sequences within a small edit distance fall into step again, so most steps agree: edit distance becomes Hamming distance. Keys
-sample a few steps each, and `repeats` walks with new bits give each near pair several chances (recall is measured in
-the tests). Windows start at every word of a document; items of like length share walks.
+sample a few steps each, and `repeats` walks with new bits give each near pair several chances. The longer the item, the rarer a whole walk
+survives, so every item is also keyed by its pieces: cut into one piece more than it may have edits, it leaves one piece
+untouched in each near window. Candidates therefore miss no pair, at any item length; the walks alone would.
 
 A window that comes near an item must hold many of the benchmark's word triples (each edit breaks three at most). The triples
-lie in a bitmap of fixed size, so windows that cannot match are left out before the walks, without loss. Pairs with a common key get
-the exact edit distance in words, free in where the window ends, and count up to `tolerance` edits per item word.
+lie in a bitmap of fixed size, so windows that cannot match are left out before the keys, without loss. Neighbouring windows travel as one
+stretch, and stretch and item get the exact edit distance in words, free in where the item begins and ends, up to `tolerance` edits per item word.
 
 Words are lower-cased runs of ASCII letters and digits and of any other characters; case and ASCII punctuation do not
-matter. Items of fewer than `least` words identify nothing and are not searched for. Null and empty texts, null ids and an
-empty benchmark match nothing; repeated rows are one document; extra columns are not read. Very long texts are worked on whole.
+matter. Null and empty texts, null ids and an empty benchmark match nothing; repeated rows are one document; extra columns are not read.
+Items of fewer than `least` words are not searched for. Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -50,10 +51,35 @@ def class_lengths(c: int) -> np.ndarray:
     return n[length_class(n) == c]
 
 
+def allowed(n: np.ndarray, tolerance: float) -> np.ndarray:
+    """Edits that items of n words may have."""
+    return np.floor(np.asarray(n) * tolerance).astype(np.int64)
+
+
 def needed(c: int, tolerance: float) -> int:
     """Least number of word triples that a near window shares with an item of this class."""
     n = class_lengths(c)
-    return max(1, int((n - 2 - 3 * np.floor(n * tolerance).astype(int)).min()))
+    return max(0, int((n - 2 - 3 * allowed(n, tolerance)).min()))
+
+
+def piece_lengths(c: int, tolerance: float) -> list[int]:
+    """Lengths of the pieces of this class's items."""
+    n = class_lengths(c)
+    pieces = allowed(n, tolerance) + 1
+    return sorted({*(n // pieces).tolist(), *(-(-n // pieces)).tolist()})
+
+
+def piece_keys(runs: np.ndarray, c: int) -> np.ndarray:
+    return mix(runs ^ mix(np.array([c + 1], np.uint64)))
+
+
+def item_keys(own: np.ndarray, c: int, tolerance: float, repeats: int, samples: int) -> np.ndarray:
+    """LSH keys of the item's walks, and a key per piece."""
+    walks = walk_keys(own, np.zeros(1, np.int64), np.array([len(own)]), c, repeats, samples)[0]
+    pieces = int(allowed(len(own), tolerance)) + 1
+    cuts = np.arange(pieces + 1) * len(own) // pieces
+    runs = [runs_of(own, size)[cuts[:-1][np.diff(cuts) == size]] for size in np.unique(np.diff(cuts)).tolist()]
+    return np.unique(np.concatenate([walks, piece_keys(np.concatenate(runs), c)]))
 
 
 def walk_keys(words: np.ndarray, at: np.ndarray, stop: np.ndarray, c: int, repeats: int, samples: int, seed: int = 1) -> np.ndarray:
@@ -103,6 +129,34 @@ def edit_distances(items: list[np.ndarray], windows: list[np.ndarray]) -> np.nda
     return np.stack([best, length])
 
 
+def nearest_places(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
+    """Per pair, (least edits from the item to any part of the window, that part's start, its length), all pairs in step."""
+    n = np.array([len(x) for x in items])
+    wide, deep = max(len(x) for x in windows), int(n.max())
+    w = np.zeros((len(windows), wide), np.uint64)
+    for k, x in enumerate(windows):
+        w[k, : len(x)] = x
+    t = np.zeros((len(items), deep), np.uint64)
+    for k, x in enumerate(items):
+        t[k, : len(x)] = x
+    places = np.arange(wide + 1)
+    past = places[None, :] > np.array([len(x) for x in windows])[:, None]
+    edit = 1 << 32  # a cell holds edits and start as one number, so that the least cell has the first start too
+    row = np.broadcast_to(places, (len(items), wide + 1)).astype(np.int64)
+    best, end = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    for i in range(1, deep + 1):
+        new = np.empty_like(row)
+        new[:, 0] = i * edit
+        new[:, 1:] = np.minimum(row[:, 1:] + edit, row[:, :-1] + (w != t[:, i - 1 : i]) * edit)
+        row = np.minimum.accumulate(new - places * edit, axis=1) + places * edit
+        done = np.flatnonzero(n == i)
+        if len(done):
+            last = np.where(past[done], 1 << 62, row[done])
+            end[done] = last.argmin(1)
+            best[done] = last.min(1)
+    return np.stack([best // edit, best % edit, end - best % edit])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                  tolerance: float = 0.2, repeats: int = 16, samples: int = 3, least: int = 8) -> DataFrame:
     """(id, item, item_words, distance, start, words): each document with each item it holds, at the nearest place found."""
@@ -118,23 +172,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     if len(own) < least:
                         continue
                     c = int(length_class(np.array([len(own)]))[0])
-                    keys = walk_keys(own, np.zeros(1, np.int64), np.array([len(own)]), c, repeats, samples)[0]
+                    keys = item_keys(own, c, tolerance, repeats, samples)
                     yield pa.RecordBatch.from_arrays([pa.array([ids[k].as_py()]), pa.array([c], pa.int32()), pa.array([runs_of(own, 3).view(np.int64).tolist()], pa.list_(pa.int64())),
                                                       pa.array([keys.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([own.tobytes()], pa.binary())],
                                                      ["item", "c", "triples", "keys", "words"])
 
-    table = settle(items.mapInArrow(index, "item long, c int, triples array<long>, keys array<long>, words binary"))
+    table = settle(items.mapInArrow(index, "item long, c int, triples array<long>, keys array<long>, words binary").withColumn("no", F.xxhash64("item", "words")))
     classes = sorted(r.c for r in table.select("c").distinct().collect())  # a few dozen: lengths in steps of a quarter doubling
     triples = bitmap(table.select(F.explode("triples").alias("h")), "h")
     keys = bitmap(table.select(F.explode("keys").alias("h")), "h")
     known = spark.sparkContext.broadcast((triples, keys))
-    plan = [(c, needed(c, tolerance), int(class_lengths(c)[-1] * (1 + tolerance)) + 1) for c in classes]
+    plan = [(c, needed(c, tolerance), int(class_lengths(c)[-1] * (1 + tolerance)) + 1, piece_lengths(c, tolerance)) for c in classes]
 
     def look(batches):
         in_triples, in_keys = known.value
         for batch in batches:
             for ids, words, first in _words(batch):
-                if len(words) < 3:
+                if not len(words):
                     continue
                 hit = np.zeros(len(words) + 1, np.int64)
                 grams = held(in_triples, runs_of(words, 3))
@@ -145,38 +199,75 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 np.cumsum(grams, out=hit[1 : len(grams) + 1])
                 hit[len(grams) + 1 :] = hit[len(grams)]
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                stop = first[1:][row]
+                start, stop = first[:-1][row], first[1:][row]
                 begin = np.arange(len(words))
+                runs: dict[int, np.ndarray] = {}
                 out: list[tuple] = []
-                for c, least_hits, span in plan:
+                for c, least_hits, span, sizes in plan:
                     passed = np.flatnonzero(hit[np.minimum(begin + span, stop)] - hit[begin] >= least_hits)
-                    for at in np.array_split(passed, len(passed) // 4096 + 1) if len(passed) else ():
+                    if not len(passed):
+                        continue
+                    stretch = row * (1 << 32) + (begin - start) // span  # the windows that begin in the same `span` words of a document
+                    open_, codes, keys_ = np.unique(stretch[passed]), [], []
+                    for at in np.array_split(passed, len(passed) // 4096 + 1):
                         found = walk_keys(words, at, stop[at], c, repeats, samples)
-                        near = held(in_keys, found.ravel()).reshape(found.shape)
-                        for j in np.flatnonzero(near.any(1)).tolist():
-                            p = int(at[j])
-                            out.append((ids[row[p]].as_py(), int(p - first[row[p]]), found[j].view(np.int64).tolist(), np.flatnonzero(near[j]).tolist(), words[p : min(p + span, int(stop[p]))].tobytes()))
+                        j, r = np.nonzero(held(in_keys, found.ravel()).reshape(found.shape))
+                        codes.append(stretch[at[j]])
+                        keys_.append(found[j, r])
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, passed, 1)
+                    np.add.at(edge, np.minimum(passed + span, stop[passed]), -1)
+                    covered = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                    for size in sizes:
+                        if size not in runs:
+                            runs[size] = runs_of(words, size)
+                        at = covered[covered + size <= stop[covered]]
+                        found = piece_keys(runs[size][at], c)
+                        near = held(in_keys, found)
+                        at, found = at[near], found[near]
+                        for back in (0, 1):  # a piece lies in windows of its own stretch and of the one before
+                            own = at >= start[at] + back * span
+                            code = stretch[at[own]] - back
+                            some = open_[np.minimum(np.searchsorted(open_, code), len(open_) - 1)] == code
+                            codes.append(code[some])
+                            keys_.append(found[own][some])
+                    code, key = np.concatenate(codes), np.concatenate(keys_)
+                    order = np.lexsort((key, code))
+                    code, key = code[order], key[order]
+                    new = np.ones(len(code), bool)
+                    new[1:] = (code[1:] != code[:-1]) | (key[1:] != key[:-1])
+                    code, key = code[new], key[new]
+                    cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else []
+                    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                        k, at = int(code[lo] >> 32), int(code[lo] & 0xFFFFFFFF) * span
+                        p = int(first[k]) + at
+                        out.append((ids[k].as_py(), c, at, key[lo:hi].view(np.int64).tolist(), words[p : min(p + 2 * span, int(first[k + 1]))].tobytes()))
                 if out:
-                    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "start", "keys", "near", "window"])
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "c", "start", "keys", "window"])
 
-    windows = docs.mapInArrow(look, "id long, start int, keys array<long>, near array<int>, window binary")
-    probes = windows.withColumn("r", F.explode("near")).withColumn("key", F.col("keys")[F.col("r")]).drop("near")
-    slots = table.select("item", F.col("keys").alias("item_keys"), F.col("words").alias("item_text"), F.posexplode("keys").alias("r", "key"))
-    # A pair that meets under several keys is checked once: under the first of them.
-    first_common = F.array_position(F.zip_with("keys", "item_keys", lambda x, y: x == y), True) - 1
-    pairs = probes.join(slots, ["r", "key"]).where(first_common == F.col("r")).select("id", "start", "item", "window", "item_text")
+    windows = settle(docs.mapInArrow(look, "id long, c int, start int, keys array<long>, window binary").withColumn("w", F.xxhash64("id", "c", "start", "window")))
+    hits = windows.select("w", F.explode("keys").alias("key")).join(table.select("no", F.explode("keys").alias("key")), "key").select("w", "no").distinct()
+    pairs = hits.join(windows.select("w", "id", "start", "window"), "w").join(table.select("no", "item", F.col("words").alias("item_text")), "no")
+    pairs = pairs.select("id", "start", "item", "window", "item_text")
 
     def check(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            sizes = np.array([len(x) for x in batch.column(3).to_pylist()]) // 8
+            batch = batch.take(pa.array(np.argsort(sizes, kind="stable")))
+            sizes.sort()
+            lo = 0
+            while lo < batch.num_rows:  # pairs of like length are worked on together, in bounded arrays
+                n = max(1, min(512, (1 << 21) // int(sizes[min(lo + 511, batch.num_rows - 1)])))
+                part = batch.slice(lo, n)
+                lo += n
                 windows_, items_ = ([np.frombuffer(x.as_py(), np.uint64) for x in part.column(k)] for k in (3, 4))
-                distance, length = edit_distances(items_, windows_)
+                distance, at, length = nearest_places(items_, windows_)
                 n = np.array([len(x) for x in items_])
-                out = pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(distance), part.column(1), pa.array(length.astype(np.int32))],
+                start = part.column(1).to_numpy() + at
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(distance), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))],
                                                  ["id", "item", "item_words", "distance", "start", "words"])
-                yield out.filter(pa.array(distance <= np.floor(n * tolerance)))
+                yield out.filter(pa.array(distance <= allowed(n, tolerance)))
 
     found = pairs.mapInArrow(check, "id long, item long, item_words long, distance long, start int, words int")
     return found.groupBy("id", "item", "item_words").agg(F.min(F.struct("distance", "start", "words")).alias("best")).select("id", "item", "item_words", "best.*")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from driftline.llm.decontaminate import contaminated, edit_distances, without_leaks
+from driftline.llm.decontaminate import contaminated, edit_distances, nearest_places, without_leaks
 
 
 def distance(a, b):
@@ -64,3 +64,33 @@ def test_odd_rows(spark):
     assert sorted((r.id, r.item, r.distance, r.start) for r in contaminated(d, b).collect()) == [(1, 7, 0, 0), (5, 7, 0, 5000)]
     assert contaminated(d.limit(0), b).count() == contaminated(d, b.limit(0)).count() == 0
     assert without_leaks(d, b).count() == 4
+
+
+def test_nearest_places():
+    rng = np.random.default_rng(4)
+    items = [rng.integers(0, 4, rng.integers(1, 9)).astype(np.uint64) for _ in range(60)]
+    windows = [rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64) for _ in range(60)]
+    want = []
+    for a, b in zip(items, windows, strict=True):
+        each = [(*edit_distances([a], [b[s:]])[:, 0].tolist(), s) for s in range(len(b))] + [(len(a), 0, len(b))]
+        want.append(min((d, s, n) for d, n, s in each))
+    assert [tuple(x) for x in nearest_places(items, windows).T.tolist()] == want
+
+
+def test_recall_at_the_limit(spark):
+    """Items of 8 to 500 words with floor(0.2 n) edits spread over them are all found."""
+    rng = np.random.default_rng(9)
+    pool = [f"w{k}" for k in range(3000)] + ["the", "of", "and", "in"] * 300
+    lengths = [n for n in (8, 9, 10, 14, 15, 20, 40, 60, 100, 200, 500) for _ in range(8)]
+    items = [list(rng.choice(pool, n)) for n in lengths]
+    docs = []
+    for k, item in enumerate(items):
+        text = list(rng.choice(pool, 200))
+        text[100:100] = edited(rng, item, len(item) // 5)
+        docs.append((k, " ".join(text)))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.id, r.item): r.distance for r in contaminated(d, b).collect()}
+    missed = [lengths[k] for k in range(len(items)) if (k, k) not in got]
+    assert missed == []
+    assert all(n <= lengths[item] // 5 for (_, item), n in got.items())
