@@ -11,8 +11,10 @@ lie in a bitmap of fixed size, so windows that cannot match are left out before
 stretch, and stretch and item get the exact edit distance in words, free in where the item begins and ends, up to `tolerance` edits per item word.
 
 Words are lower-cased runs of ASCII letters and digits and of any other characters; case and ASCII punctuation do not
-matter. Null and empty texts, null ids and an empty benchmark match nothing; repeated rows are one document; extra columns are not read.
-Items of fewer than `least` words are not searched for. Very long texts are worked on whole.
+matter. In scripts written without spaces (Han, kana, Thai, Lao, Khmer, Myanmar, Tibetan) every character is a word, and their punctuation does not
+matter either. Items of fewer than `least` words are searched for word by word, without edits; those of one or two words, which
+half a language may hold, only as a whole document. Null and empty texts, null ids and an empty benchmark match nothing; repeated rows are one
+document; extra columns are not read. Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -23,19 +25,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.arrays import blocks, mix, runs_of, word_hashes, word_spans
+from driftline.llm.arrays import blocks, mix, runs_of, text_bytes, word_hashes, word_spans
 from driftline.llm.bits import bitmap, held, parted
 from driftline.session import settle
 
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 SAME = np.arange(256, dtype=np.uint8)
+# Scripts written without spaces, their punctuation, and the UTF-8 lead bytes that these characters can have.
+UNSPACED = (r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\x{30FC}\x{FF70}])"
+            r"|[\x{3000}-\x{3003}\x{3008}-\x{3020}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]")
+LEADS = np.zeros(256, bool)
+LEADS[[0xE0, 0xE1, 0xE2, *range(0xE3, 0xEB), 0xEF, 0xF0]] = True
 END = np.uint64(0x5BD1E995)  # the word after the last one
 
 
 def _words(batch: pa.RecordBatch):
     """(id, word hashes) of every row."""
-    lower = pa.RecordBatch.from_arrays([batch.column(0), pc.utf8_lower(pc.fill_null(batch.column(1), ""))], ["id", "text"])
+    text = pc.utf8_lower(pc.fill_null(batch.column(1), ""))
+    if LEADS[text_bytes(text)[0]].any():
+        text = pc.replace_substring_regex(text, UNSPACED, r" \1 ")
+    lower = pa.RecordBatch.from_arrays([batch.column(0), text], ["id", "text"])
     for rows, data, offsets in blocks(lower, "text"):
         starts, ends, first = word_spans(data, offsets, BREAKS)
         yield rows.column(0), word_hashes(data, starts, ends, SAME), first
@@ -51,21 +61,21 @@ def class_lengths(c: int) -> np.ndarray:
     return n[length_class(n) == c]
 
 
-def allowed(n: np.ndarray, tolerance: float) -> np.ndarray:
+def allowed(n: np.ndarray, tolerance: float, least: int) -> np.ndarray:
     """Edits that items of n words may have."""
-    return np.floor(np.asarray(n) * tolerance).astype(np.int64)
+    return np.where(np.asarray(n) < least, 0, np.floor(np.asarray(n) * tolerance)).astype(np.int64)
 
 
-def needed(c: int, tolerance: float) -> int:
+def needed(c: int, tolerance: float, least: int) -> int:
     """Least number of word triples that a near window shares with an item of this class."""
     n = class_lengths(c)
-    return max(0, int((n - 2 - 3 * allowed(n, tolerance)).min()))
+    return max(0, int((n - 2 - 3 * allowed(n, tolerance, least)).min()))
 
 
-def piece_lengths(c: int, tolerance: float) -> list[int]:
+def piece_lengths(c: int, tolerance: float, least: int) -> list[int]:
     """Lengths of the pieces of this class's items."""
     n = class_lengths(c)
-    pieces = allowed(n, tolerance) + 1
+    pieces = allowed(n, tolerance, least) + 1
     return sorted({*(n // pieces).tolist(), *(-(-n // pieces)).tolist()})
 
 
@@ -73,10 +83,10 @@ def piece_keys(runs: np.ndarray, c: int) -> np.ndarray:
     return mix(runs ^ mix(np.array([c + 1], np.uint64)))
 
 
-def item_keys(own: np.ndarray, c: int, tolerance: float, repeats: int, samples: int) -> np.ndarray:
+def item_keys(own: np.ndarray, c: int, tolerance: float, least: int, repeats: int, samples: int) -> np.ndarray:
     """LSH keys of the item's walks, and a key per piece."""
     walks = walk_keys(own, np.zeros(1, np.int64), np.array([len(own)]), c, repeats, samples)[0]
-    pieces = int(allowed(len(own), tolerance)) + 1
+    pieces = int(allowed(len(own), tolerance, least)) + 1
     cuts = np.arange(pieces + 1) * len(own) // pieces
     runs = [runs_of(own, size)[cuts[:-1][np.diff(cuts) == size]] for size in np.unique(np.diff(cuts)).tolist()]
     return np.unique(np.concatenate([walks, piece_keys(np.concatenate(runs), c)]))
@@ -169,10 +179,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for ids, words, first in _words(batch):
                 for k in range(len(ids)):
                     own = words[first[k] : first[k + 1]]
-                    if len(own) < least:
+                    if not len(own):
                         continue
                     c = int(length_class(np.array([len(own)]))[0])
-                    keys = item_keys(own, c, tolerance, repeats, samples)
+                    keys = item_keys(own, c, tolerance, least, repeats, samples)
                     yield pa.RecordBatch.from_arrays([pa.array([ids[k].as_py()]), pa.array([c], pa.int32()), pa.array([runs_of(own, 3).view(np.int64).tolist()], pa.list_(pa.int64())),
                                                       pa.array([keys.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([own.tobytes()], pa.binary())],
                                                      ["item", "c", "triples", "keys", "words"])
@@ -182,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     triples = bitmap(table.select(F.explode("triples").alias("h")), "h")
     keys = bitmap(table.select(F.explode("keys").alias("h")), "h")
     known = spark.sparkContext.broadcast((triples, keys))
-    plan = [(c, needed(c, tolerance), int(class_lengths(c)[-1] * (1 + tolerance)) + 1, piece_lengths(c, tolerance)) for c in classes]
+    plan = [(c, needed(c, tolerance, least), int(class_lengths(c)[-1] * (1 + tolerance)) + 1, piece_lengths(c, tolerance, least)) for c in classes]
 
     def look(batches):
         in_triples, in_keys = known.value
@@ -204,7 +214,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 runs: dict[int, np.ndarray] = {}
                 out: list[tuple] = []
                 for c, least_hits, span, sizes in plan:
-                    passed = np.flatnonzero(hit[np.minimum(begin + span, stop)] - hit[begin] >= least_hits)
+                    if sizes[-1] < 3:
+                        passed = first[:-1][np.diff(first) == sizes[-1]]
+                    else:
+                        passed = np.flatnonzero(hit[np.minimum(begin + span, stop)] - hit[begin] >= least_hits)
                     if not len(passed):
                         continue
                     stretch = row * (1 << 32) + (begin - start) // span  # the windows that begin in the same `span` words of a document
@@ -267,7 +280,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 start = part.column(1).to_numpy() + at
                 out = pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(distance), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))],
                                                  ["id", "item", "item_words", "distance", "start", "words"])
-                yield out.filter(pa.array(distance <= allowed(n, tolerance)))
+                yield out.filter(pa.array(distance <= allowed(n, tolerance, least)))
 
     found = pairs.mapInArrow(check, "id long, item long, item_words long, distance long, start int, words int")
     return found.groupBy("id", "item", "item_words").agg(F.min(F.struct("distance", "start", "words")).alias("best")).select("id", "item", "item_words", "best.*")

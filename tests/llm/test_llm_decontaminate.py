@@ -94,3 +94,14 @@ def test_recall_at_the_limit(spark):
     missed = [lengths[k] for k in range(len(items)) if (k, k) not in got]
     assert missed == []
     assert all(n <= lengths[item] // 5 for (_, item), n in got.items())
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    """Short items are found word by word, items in scripts without spaces by their characters."""
+    chinese = "请计算下面这个三角形的面积并写出完整的推导过程"
+    items = [(1, "Define the term osmosis"), (2, "yes"), (3, chinese), (4, "光合作用是什么"), (5, "ประเทศไทยมีกี่จังหวัด"), (6, "seven words are under the limit here")]
+    docs = [(1, "Please define the term, osmosis! Now."), (2, "define the term diffusion"), (3, "yes and no"), (4, "Yes."), (5, "老师说，" + chinese.replace("完整", "全部") + "。谢谢"),
+            (6, "问：光合作用，是什么？"), (7, "光合作用是"), (8, "ถาม ประเทศไทยมีกี่จังหวัดครับ"), (9, "so seven words are under the limit here too"), (10, "seven words are under a limit here"), (11, "完整的过程")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.id, r.item, r.distance) for r in contaminated(d, b).collect()) == [(1, 1, 0), (4, 2, 0), (5, 3, 2), (6, 4, 0), (8, 5, 0), (9, 6, 0)]
