@@ -4,7 +4,8 @@ Every element's subtree is hashed (names and text, without attributes). Spark co
 subtree stands; one that stands on at least `least_pages` and on `share` of them is that site's template and is deleted wherever it
 stands on the host. Pages with equal html count once, so copies of an article do not make it a template. Elements whose
 name or class says that they are no article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of
-readers) go too. If an article or main element is left, only what lies in one is text.
+readers) go too. A class or id counts token by token, as a whole or by a listed beginning, and never on article, main or what holds one;
+only an article that is itself a reader's comment goes. If an article or main element is left, only what lies in one is text.
 
 Blocks are runs of text between block elements; white space becomes one space, empty blocks vanish, blocks are joined by a
 newline. Null, empty or broken html gives what text there is, at least the empty string. Null urls are one host (empty). Repeated rows
@@ -29,13 +30,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5
 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul""".split())
-NO_ARTICLE = frozenset("""nav header footer aside form script style noscript template iframe object embed applet svg canvas math select button textarea input label
-fieldset dialog menu head title audio video map datalist noembed noframes search""".split())
+NO_ARTICLE = frozenset("""nav header footer aside form script style noscript template iframe object embed applet svg canvas select button textarea input
+dialog menu head title audio video map datalist noembed noframes search""".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NOT_TEXT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|aside|widget\w*|footer\w*|header|masthead|"
-    r"topbar|toolbar|cookie\w*|consent|gdpr|notice\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|comment\w*|disqus\w*|"
-    r"replies|respond|related\w*|recommend\w*|pagination|pager|paging|skip-?link|sr-only|hidden|copyright|legal|disclaimer\w*|search\w*|tags?|byline-?ad)(?:$|[\s_-])", re.I)
+COMMENT = r"comments?|comment-(?!s?-?(?:open|closed)).*|comments-(?!open|closed).*|(?:article|post|entry|user|reader)-comments?|disqus(?:-.*)?|replies|respond"
+WHOLE = r"ads?|aside|header|masthead|topbar|notices?|overlay|signup|login|hidden|copyright|legal|disclaimers?|tags?|pager|paging|sharing|sr-only|skip-?link|side-bar"
+BEGUN = (r"ad|ads|advert\w*|adsense|adslot|banners?|sponsor\w*|promo\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|widgets?|footer|toolbar|cookies?|consent|gdpr|popups?|modals?|"
+         r"newsletters?|subscri\w*|login|signup|share|sharing|social|related|recommend\w*|pagination|notice|search")
+ENDED = (r"(?:site|main|page|top|bottom|primary|secondary|global|mobile)-(?:nav|navbar|navigation|menu|footer|breadcrumbs?|banner|ads?)|(?:site|global|main|top)-header|"
+         r"(?:top|side|bottom|inline|byline)-ad")
+# One class or id token; states of a page (menu-open) and layouts (with-sidebar, no-sidebar, has-comments, tag-x) are none.
+NOT_TEXT = re.compile(rf"(?:{WHOLE}|(?:{BEGUN})(?:-(?!(?:.*-)?(?:open|closed|enabled|disabled|active|on|off)$).*)?|{ENDED})", re.I)
+IS_COMMENT = re.compile(COMMENT, re.I)
+SOFT, HARD = 1, 2  # a soft drop is taken back if the element holds an article
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
@@ -43,31 +50,42 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 
 class Node:
-    __slots__ = ("name", "kids", "drop", "hash", "parent")
+    __slots__ = ("name", "kids", "drop", "hash", "parent", "holds")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False):
-        self.name, self.parent, self.drop, self.kids, self.hash = name, parent, drop, [], b""
+    def __init__(self, name: str, parent: Node | None, drop: int = 0):
+        self.name, self.parent, self.drop, self.kids, self.hash, self.holds = name, parent, drop, [], b"", False
 
 
-def _dropped(name: str, attributes: str, parent: Node | None) -> bool:
+def _in_article(node: Node | None) -> bool:
+    while node is not None:
+        if node.name in ("article", "main"):
+            return True
+        node = node.parent
+    return False
+
+
+def _dropped(name: str, attributes: str, parent: Node | None) -> int:
     if name in NO_ARTICLE:
-        inside = parent
-        while name == "header" and inside is not None:  # an article's own header holds its heading
-            if inside.name in ("article", "main"):
-                return False
-            inside = inside.parent
-        return True
+        if name == "header" and _in_article(parent):  # an article's own header holds its heading
+            return 0
+        return SOFT if name == "form" else HARD
     if not attributes or name in ("html", "body"):
-        return False
+        return 0
+    drop = 0
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and NOT_TEXT.search(value):
-            return True
+        if key in ("class", "id"):
+            for token in value.replace("_", "-").split():
+                if IS_COMMENT.fullmatch(token):
+                    if name != "main":
+                        return HARD
+                elif name not in ("article", "main") and NOT_TEXT.fullmatch(token) and not (token.lower() == "header" and _in_article(parent)):
+                    drop = SOFT
         if key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return HARD
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return HARD
+    return drop
 
 
 def parse(source: str) -> Node:
@@ -120,7 +138,7 @@ def parse(source: str) -> Node:
 
 
 def digest(root: Node) -> set[int]:
-    """Hash every subtree that has text; returns the hashes, as signed 64-bit numbers."""
+    """Hash every subtree that has text, and take back drops of elements that hold an article; returns the hashes, as signed 64-bit numbers."""
     out: set[int] = set()
     order, todo = [], [root]
     while todo:  # children after their parents, so that no depth of nesting matters
@@ -140,6 +158,9 @@ def digest(root: Node) -> set[int]:
                 h.update(b"\1" + k.hash)
                 some = True
         node.hash = h.digest() if some else b""
+        node.holds = node.drop != HARD and (node.name in ("article", "main") or any(not isinstance(k, str) and k.holds for k in node.kids))
+        if node.holds:
+            node.drop = 0
         if some and node.name not in ("#root", "html", "body", "head", "script", "style"):
             out.add(int.from_bytes(node.hash, "big", signed=True))
     return out

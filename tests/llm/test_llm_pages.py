@@ -42,3 +42,18 @@ def test_site_templates_go_and_copies_do_not_make_one(spark):
     assert all(got[100 + k] == "one story copied around" for k in range(30))
     assert got[200] == "Our site welcomes you" and got[201] == got[202] == "" and got[None] == "x"
     assert extract(df).count() == len(rows) and extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["post-12 post type-post hentry category-x tag-news", "content with-sidebar", "no-sidebar", "post has-comments", "comments-closed", "menu-open", "hidden-xs", "page sidebar"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_layout_classes_are_no_reason_to_drop(tag, name):
+    inner = "<article><p>whole text</p></article>" if tag == "div" and name == "page sidebar" else "<p>whole text</p>"
+    assert main_text(f"<body><{tag} class='{name}'>{inner}<div class='sidebar-left'>s</div></{tag}></body>") == "whole text"
+
+
+def test_elements_of_an_article_stay_and_its_surroundings_go():
+    source = ("<form id=aspnet><article><h1>T</h1><p>let <math><mi>x</mi></math> be <label>one</label></p><fieldset>set</fieldset></article></form>"
+              "<div class='widget_area'>w</div><ol class='comment-list'><li><article class='comment-body'>c</article></li></ol>")
+    assert main_text(source) == "T\nlet x be one\nset"
+    outside = ["site-footer", "nav-links", "main-menu", "sidebar__inner", "cookie-notice", "x related-posts", "share-buttons", "ads", "post-comments", "NavBar"]
+    assert [main_text(f"<div class='{c}'>go</div><p>stay") for c in outside] == ["stay"] * len(outside)
