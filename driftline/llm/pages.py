@@ -2,7 +2,8 @@
 
 Every element's subtree is hashed (names and text, without attributes). Spark counts on how many different pages of a host each
 subtree stands; one that stands on at least `least_pages` and on `share` of them is that site's template and is deleted wherever it
-stands on the host. Pages with equal html count once, so copies of an article do not make it a template. Elements whose
+stands on the host. Outside articles, blocks of some words need no share: a menu of one section stands on `least_pages` pages of a large
+host, not on half of them. Words within a sentence, headings and table cells are never judged by that count. Pages with equal html count once, so copies of an article do not make it a template. Elements whose
 name or class says that they are no article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of
 readers) go too. A class or id counts token by token, as a whole or by a listed beginning, and never on article, main or what holds one;
 only an article that is itself a reader's comment goes. If an article or main element is left, only what lies in one is text.
@@ -32,6 +33,10 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul""".split())
 NO_ARTICLE = frozenset("""nav header footer aside form script style noscript template iframe object embed applet svg canvas select button textarea input
 dialog menu head title audio video map datalist noembed noframes search""".split())
+# Blocks that a count of pages makes a template, from so many words on: groups of elements from the fewer.
+GROUPS = frozenset("center details dir div dl figure hgroup ol section table ul".split())
+COUNTED = GROUPS | frozenset("address blockquote dd figcaption li p pre".split())
+FEW_WORDS, SENTENCE = 3, 8
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 COMMENT = r"comments?|comment-(?!s?-?(?:open|closed)).*|comments-(?!open|closed).*|(?:article|post|entry|user|reader)-comments?|disqus(?:-.*)?|replies|respond"
 WHOLE = r"ads?|aside|header|masthead|topbar|notices?|overlay|signup|login|hidden|copyright|legal|disclaimers?|tags?|pager|paging|sharing|sr-only|skip-?link|side-bar"
@@ -166,6 +171,28 @@ def digest(root: Node) -> set[int]:
     return out
 
 
+def loose(root: Node) -> set[int]:
+    """Hashes (after `digest`) of the blocks with some words that stand outside article and main only."""
+    outside: set[int] = set()
+    inside: set[int] = set()
+    order, todo = [], [(root, False)]
+    while todo:
+        node, within = todo.pop()
+        order.append((node, within))
+        within = within or node.name in ("article", "main")
+        todo.extend((k, within) for k in node.kids if not isinstance(k, str))
+    words: dict[int, int] = {}
+    for node, within in reversed(order):
+        if not node.hash:
+            continue
+        n = words[id(node)] = min(SENTENCE, sum(len(k.split()) if isinstance(k, str) else words.get(id(k), 0) for k in node.kids))
+        if within or node.holds:
+            inside.add(int.from_bytes(node.hash, "big", signed=True))
+        elif n >= (FEW_WORDS if node.name in GROUPS else SENTENCE) and node.name in COUNTED:
+            outside.add(int.from_bytes(node.hash, "big", signed=True))
+    return outside - inside
+
+
 def _blocks(root: Node, templates: frozenset[int] | set[int], only_article: bool) -> list[str]:
     out: list[str] = []
     run: list[str] = []
@@ -222,20 +249,25 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
 
     def run(batches):
         for batch in batches:
-            hosts, sigs, found = [], [], []
+            hosts, sigs, found, counted = [], [], [], []
             for host, sig, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own = digest(parse(source))
+                root = parse(source)
+                own = list(digest(root))
+                free = loose(root)
                 hosts.extend([host] * len(own))
                 sigs.extend([sig] * len(own))
                 found.extend(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(sigs, pa.int64()), pa.array(found, pa.int64())], ["host", "sig", "hash"])
+                open_ = not _blocks(root, frozenset(), True)  # text outside articles counts only if none lies in one
+                counted.extend((2 if open_ else 1) if h in free else 0 for h in own)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(sigs, pa.int64()), pa.array(found, pa.int64()), pa.array(counted, pa.int8())], ["host", "sig", "hash", "loose"])
 
     keyed = _keyed(pages, url_col, html_col)
-    on = settle(keyed.select("_host", "_sig", "_html").mapInArrow(run, "host long, sig long, hash long"))
-    count = on.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    on = settle(keyed.select("_host", "_sig", "_html").mapInArrow(run, "host long, sig long, hash long, loose byte"))
+    count = on.distinct().groupBy("host", "hash").agg(F.count("*").alias("n"), F.count_if(F.col("loose") > 0).alias("m")).where(F.col("n") >= least_pages)
     sizes = keyed.select("_host", "_sig").distinct().groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    often = settle(count.join(sizes, "host").where(F.col("n") >= F.col("pages") * share).select("host", "hash"))
-    return on.join(often, ["host", "hash"])
+    strict = F.col("n") >= F.col("pages") * share
+    often = settle(count.join(sizes, "host").where(strict | (F.col("m") >= least_pages)).select("host", "hash", strict.alias("strict")))
+    return on.join(often, ["host", "hash"]).where(F.col("strict") | (F.col("loose") == 2)).select("host", "sig", "hash")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "main_text", least_pages: int = 8, share: float = 0.5) -> DataFrame:

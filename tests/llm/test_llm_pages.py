@@ -57,3 +57,21 @@ def test_elements_of_an_article_stay_and_its_surroundings_go():
     assert main_text(source) == "T\nlet x be one\nset"
     outside = ["site-footer", "nav-links", "main-menu", "sidebar__inner", "cookie-notice", "x related-posts", "share-buttons", "ads", "post-comments", "NavBar"]
     assert [main_text(f"<div class='{c}'>go</div><p>stay") for c in outside] == ["stay"] * len(outside)
+
+
+def test_templates_of_sections_go(spark):
+    """Three layouts on one host: each section's menu and notice stand on a third of the pages; all go, sentences and headings stay."""
+    rows = []
+    for k in range(60):
+        part = ("news", "shop", "help")[k % 3]
+        own = f"<h2>References in {part}</h2><p>story <em>not</em> number {k} is told <b>here in {part} and only here today</b></p><table><tr><td>1</td><td>yes</td></tr></table>"
+        rows.append((k, f"http://a.com/{k}", f"<body><div><ul><li>{part} home<li>{part} list</ul></div><div>{own}</div><p>All the pages of {part} are kept by the same people</p></body>"))
+    rows += [(100 + k, f"http://b.com/{k}", f"<article><p>The same long sentence that an author may quote often</p><p>{k}</p></article>" if k % 3 == 0 else f"<p>page {k}</p>") for k in range(60)]
+    got = {r.page_id: r.main_text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    left = sum(("home" in got[k]) + ("same people" in got[k]) for k in range(60))
+    assert left == 0
+    for k in range(60):
+        part = ("news", "shop", "help")[k % 3]
+        assert got[k].startswith(f"References in {part}\nstory")
+        assert f"number {k} is told here in {part} and only here today" in got[k]
+    assert all(got[100 + k] == f"The same long sentence that an author may quote often\n{k}" for k in range(0, 60, 3))
