@@ -1,9 +1,11 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Protected entities are the addresses, numbers and phones that fixed patterns find. A term near an entity discloses it as far
+Protected entities are the addresses, numbers and phones that fixed patterns find. A term of an entity's documents discloses it as far
 as the corpus says so: with document counts over all documents, its disclosure is PMI(entity; term) / IC(entity), which is 1
-where the term never comes without the entity. Terms of an entity's surroundings in at least `support` documents that
-reach `generalise_at` are replaced by a general word, from `remove_at` on they are removed, in every document that
+where the term never comes without the entity, times x / (x + 1/2), where x is the number of common documents less those that chance
+gives (the expected number and twice its root). One common document says nothing; from two on terms can be flagged. An entity
+in fewer than `support` documents is also judged with its class: the mail domain, and the kind. Terms that
+reach `generalise_at` are replaced by a general word, from `remove_at` on they are removed, wherever they stand in a document that
 holds the entity. The entities themselves are always replaced by their kind.
 
 Null text is empty and has no span. Rows are judged one by one and counted one by one: repeated rows get the same spans, a
@@ -93,52 +95,65 @@ def listed(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.concat(F.lit(kind + ":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
 
 
-def _mentions(rows: DataFrame, reach: int) -> DataFrame:
-    """Rows with an entity: (rid, rhash, entity, near), near being the words (s, e, m) within `reach` characters."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _outer_words(text: Column) -> Column:
+    """[(s, e, m)] of the words outside addresses (the other kinds hold no letters), m in lower case."""
+    found = F.filter(located(text, f"{EMAIL}|{WORD}"), lambda w: ~F.contains(w["m"], F.lit("@")))
+    return F.transform(found, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.lower(w["m"]).alias("m")))
+
+
+def _groups(base: DataFrame, support: int) -> DataFrame:
+    """(rid, rhash, grp, n_c, judged): the entities and their classes in each document, with document counts; a class judges documents with a rare entity of it."""
 
     def named(kind):
-        return F.transform(kind, lambda x: F.struct(F.concat(F.lit(kind + ":"), F.lower(x["m"])).alias("entity"), x["s"].alias("s"), x["e"].alias("e")))
-
-    every = F.concat(*[named(k) for k in KINDS])
-    out = rows.select("rid", "rhash", text.alias("text"), F.explode(every).alias("x")).select("rid", "rhash", "text", "x.*")
-    begin = F.greatest(F.col("s") - reach, F.lit(0))
-    window = F.substring("text", begin + 1, F.col("e") + reach - begin)
-    out = out.select("rid", "rhash", "entity", "s", "e", begin.alias("begin"), F.lower(window).alias("window"), F.length("text").alias("n"))
-    words = located(F.col("window"), WORD, F.col("begin"))
-    # Not the entity itself, and no word that the window's edge may have cut.
-    whole = F.filter(words, lambda w: ((w["e"] <= F.col("s")) | (w["s"] >= F.col("e"))) & ((w["s"] > F.col("begin")) | (F.col("begin") == 0)) &
-                     ((w["e"] < F.col("begin") + F.length("window")) | (w["e"] == F.col("n"))))
-    return out.select("rid", "rhash", "entity", whole.alias("near"))
-
-
-def disclosures(rows: DataFrame, mentions: DataFrame, support: int) -> DataFrame:
-    """(entity, term, disclosure) from document counts over the whole corpus."""
-    pairs = mentions.select("rid", "rhash", "entity", F.explode(F.array_distinct(F.transform("near", lambda w: w["m"]))).alias("term"))
-    pairs = pairs.distinct()
-    n_ct = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    n_c = mentions.select("rid", "rhash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
-    n_t = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+        return F.transform(kind, lambda x: F.concat(F.lit(kind + ":"), F.lower(x["m"])))
+
+    entities = F.array_distinct(F.concat(*[named(k) for k in KINDS]))
+    rows = base.where("any").select("rid", "rhash", F.explode(entities).alias("entity")).distinct()
+    rows = rows.join(rows.groupBy("entity").agg(F.count("*").alias("n")), "entity")
+    domain = F.concat(F.lit("email:@"), F.substring_index("entity", "@", -1))
+    kind = F.concat(F.substring_index("entity", ":", 1), F.lit(":"))
+    group = lambda name, judged: F.struct(name.alias("grp"), judged.alias("judged"))
+    rare = F.col("n") < support
+    own = F.filter(F.array(group(F.col("entity"), F.lit(True)), F.when(F.startswith("entity", F.lit("email:")), group(domain, rare)), group(kind, rare)), lambda x: x.isNotNull())
+    each = settle(rows.select("rid", "rhash", F.explode(own).alias("x")).groupBy("rid", "rhash", F.col("x.grp").alias("grp")).agg(F.max("x.judged").alias("judged")))
+    # A string or class of one document cannot be disclosed by more than one.
+    counts = each.groupBy("grp").agg(F.count("*").alias("n_c"), F.max("judged").alias("_some")).where(F.col("_some") & (F.col("n_c") > 1)).drop("_some")
+    return each.join(counts, "grp")
+
+
+def disclosures(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(grp, term, disclosure) from document counts over the whole corpus; pairs: (grp, n_c, term), a row per document."""
+    n_ct = pairs.groupBy("grp", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).where(F.col("n_ct") > 1)
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), F.lower))
+    n_t = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") > 1)
     total = rows.select(F.count("*").alias("n_docs"))
-    joined = n_ct.join(n_c, "entity").join(n_t, "term")
     n = F.lit(float(total.first().n_docs))
     pmi = F.ln(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
     information = F.ln(n / F.col("n_c"))
-    return joined.select("entity", "term", F.when(information > 0, pmi / information).alias("disclosure"))
+    chance = F.col("n_c") * F.col("n_t") / n
+    more = F.greatest(F.col("n_ct") - chance - 2 * F.sqrt(chance), F.lit(0.0))
+    return n_ct.join(n_t, "term").select("grp", "term", F.when(information > 0, pmi / information * more / (more + 0.5)).alias("disclosure"))
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, reach: int = 60, generalise_at: float = 0.7, remove_at: float = 0.9, out: str = "spans") -> DataFrame:
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise_at: float = 0.7, remove_at: float = 0.9, out: str = "spans") -> DataFrame:
     """`docs` with the column `out` (replaced if there is one): spans (kind, s, e, action): entities and the terms that disclose them, by kind as listed, then start."""
     keyed = docs.withColumns({"_rid": F.col(id_col).cast("string"), "_rhash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     rows = keyed.select(F.col("_rid").alias("rid"), F.col("_rhash").alias("rhash"), F.col(text_col).alias("text"))
     base = settle(entity_spans(rows, "text").withColumn("any", F.expr(" + ".join(f"size({k})" for k in KINDS)) > 0)
                   .withColumn("text", F.when(F.col("any"), F.col("text"))))
-    mentions = settle(_mentions(base.where("any"), reach))
-    strong = disclosures(rows, mentions, support).where(F.col("disclosure") >= generalise_at)
-    terms = mentions.select("rid", "rhash", "entity", F.explode("near").alias("w")).withColumn("term", F.col("w.m")).join(strong, ["entity", "term"])
-    per_row = terms.groupBy("rid", "rhash", F.col("w.s").alias("s"), F.col("w.e").alias("e")).agg(F.max("disclosure").alias("d")).groupBy("rid", "rhash").agg(
-        F.array_sort(F.collect_list(F.struct("s", "e", F.when(F.col("d") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise")).alias("action")))).alias("terms"))
+    docs_of = settle(_groups(base, support))
+    same = lambda a, b: F.col(f"{a}.rid").eqNullSafe(F.col(f"{b}.rid")) & (F.col(f"{a}.rhash") == F.col(f"{b}.rhash"))
+    some = base.where("any").dropDuplicates(["rid", "rhash"]).select("rid", "rhash", _outer_words(F.col("text")).alias("at"))
+    own = docs_of.groupBy("rid", "rhash").agg(F.collect_list(F.struct("grp", "n_c", "judged")).alias("groups"))
+    located_ = settle(some.alias("w").join(own.alias("g"), same("w", "g")).select("w.rid", "w.rhash", "at", "groups"))
+    each = located_.select("rid", "rhash", F.explode("groups").alias("x"), F.array_distinct(F.transform("at", lambda w: w["m"])).alias("terms")).select("rid", "rhash", "x.*", F.explode("terms").alias("term"))
+    strong = settle(disclosures(rows, each).where(F.col("disclosure") >= generalise_at))
+    marks = each.where("judged").join(strong, ["grp", "term"]).groupBy("rid", "rhash", "term").agg(F.max("disclosure").alias("d"))
+    marks = marks.groupBy("rid", "rhash").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told"))
+    action = lambda w: F.when(F.col("told")[w["m"]] >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
+    held = F.filter("at", lambda w: F.col("told")[w["m"]].isNotNull())
+    per_row = located_.alias("w").join(marks.alias("g"), same("w", "g")).select(
+        "w.rid", "w.rhash", F.transform(held, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), action(w).alias("action"))).alias("terms"))
 
     def replaced(kind):
         return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit("replace").alias("action")))

@@ -95,3 +95,20 @@ def test_sanitised_text_and_odd_rows(spark):
     assert sanitised(df).columns == df.columns
     assert sanitised(df.limit(0)).count() == 0
     assert sanitised(df).where(F.col("doc_id") == 2).first().text is None
+
+
+def test_rare_strings_and_far_terms(spark):
+    """A name is flagged wherever it stands, for a string of two documents and for a class of strings seen once; chance company is not."""
+    far = " and so on it goes for a while" * 10
+    rows = [(k, f"Quillon wrote{far} to q@two.example{far} and quillon signed") for k in range(2)]
+    rows += [(10 + k, f"the Vexley office{far} mail u{k}@vexley.example now") for k in range(6)]
+    rows += [(100 + k, f"nothing to see here{far} number{chr(97 + k % 26)} office") for k in range(200)]
+    rows += [(400, "once z@one.example hapax")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r.doc_id: {text[r.doc_id][x.s : x.e].lower() for x in r.spans if x.kind == "term"} for r in annotate(df).collect()}
+    counts = {r.doc_id: sum(x.kind == "term" and text[r.doc_id][x.s : x.e].lower() == "quillon" for x in r.spans) for r in annotate(df).collect()}
+    assert counts[0] == counts[1] == 2
+    assert all("vexley" in got[10 + k] and "office" not in got[10 + k] for k in range(6))
+    assert got[400] == set() and all(got[100 + k] == set() for k in range(200))
+    assert not any({"and", "goes", "while"} & terms for terms in got.values())
