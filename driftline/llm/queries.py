@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, jaccard, langid, mixing, pages, privacy, quality, repeats, urls, vectors
+from driftline.llm import bpe, decontaminate, jaccard, langid, mixing, pages, privacy, quality, repeats, urls, vectors
 from driftline.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,15 @@ def op1_urls(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("block"))
     mined = urls.mine(rows.join(labels, "page_id"))
     return urls.judge(rows, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op13_bpe")
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every text and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
