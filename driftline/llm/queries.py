@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, decontaminate, jaccard, langid, mixing, pages, privacy, quality, repeats, urls, vectors
+from driftline.llm import bpe, conversations, decontaminate, jaccard, langid, mixing, negatives, pages, privacy, quality, repeats, urls, vectors
 from driftline.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,78 @@ def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+CONVERSATIONS_SQL = """WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM conversations),
+how AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295)) % 20 AS how FROM keyed, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+    CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS again FROM how WHERE how <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS seen,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM hurt),
+marked AS (SELECT conv_id, i, turn, role, text, CASE WHEN last = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    CASE WHEN i > 1 THEN lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) END AS two,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS c FROM placed),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, n + 1 AS i, [{'c': 0, 'a': ''}, {'c': 6, 'a': 'II'}, {'c': 3, 'a': 'I'}, {'c': 0, 'a': ''}] AS f FROM counts
+  UNION ALL
+  SELECT conv_id, i, [least(g[1], {'c': 3 + h2.c, 'a': 'I' || h2.a}), least(g[2], {'c': 3 + h2.c, 'a': 'I' || h2.a}), h2, h3] AS f FROM (
+    SELECT conv_id, i, g, least(g[3], {'c': 3 + g[4].c, 'a': 'I' || g[4].a}) AS h2, least(g[4], {'c': 3 + g[3].c, 'a': 'I' || g[3].a}) AS h3 FROM (
+      SELECT conv_id, i, list_transform([1, 2, 3, 4], lambda q: least(
+          {'c': 4 + f[q].c, 'a': 'D' || f[q].a},
+          CASE WHEN go THEN {'c': 99999999, 'a': ''} ELSE {'c': 3 + more + f[CASE q WHEN 3 THEN 4 ELSE 3 END].c, 'a': 'R' || f[CASE q WHEN 3 THEN 4 ELSE 3 END].a} END,
+          CASE WHEN go OR k[q] = 0 THEN {'c': 99999999, 'a': ''} ELSE {'c': more + f[k[q]].c, 'a': 'K' || f[k[q]].a} END)) AS g FROM (
+        SELECT m.conv_id, m.i, w.f, m.fault IN ('b', 'd') AS go, CASE WHEN m.fault = 't' THEN 3 ELSE 0 END AS more,
+          CASE m.c WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS k
+        FROM ways w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i - 1)))),
+best AS (SELECT conv_id, f[1].c AS cost, f[1].a AS audit FROM ways WHERE i = 1),
+steps AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM best),
+letters AS (SELECT conv_id, p, substr(audit, p, 1) AS e, count(*) FILTER (substr(audit, p, 1) <> 'I') OVER o AS i, count(*) FILTER (substr(audit, p, 1) <> 'D') OVER o - 1 AS j
+  FROM steps WINDOW o AS (PARTITION BY conv_id ORDER BY p)),
+lines AS (SELECT l.conv_id, p, j, e, m.role, CASE WHEN e = 'I' THEN '' ELSE m.text END AS text,
+    bool_or(e = 'K' AND j = 0 AND m.c = 's') OVER (PARTITION BY l.conv_id) AS headed
+  FROM letters l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i AND l.e <> 'I' WHERE e <> 'D'),
+joined AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - CASE WHEN headed THEN 1 ELSE 0 END) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS t
+  FROM lines GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
+@query("op12_conversations", CONVERSATIONS_SQL)
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation after planted damage: its faults, the cheapest repair and a digest of the repaired rows."""
+    rows = table(spark, folder, "conversations")
+    hurt = conversations.damaged(rows)
+    found = settle(conversations.repairs(hurt, "conv"))
+    digests = conversations.repaired_digests(hurt, found, "conv")
+    every = rows.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(found["conv"]), "left").drop("conv")
+    out = out.join(digests, F.col("conv_id").eqNullSafe(digests["conv"]), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+NEGATIVES_SQL = """WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_dot_product(a.x, c.x) AS BIGINT) AS score
+  FROM q a JOIN q c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW o AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER o <= 5"""
+
+
+@query("op11_negatives", NEGATIVES_SQL)
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, some labels shifted on purpose."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.hard_negatives(table(spark, folder, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+    return found.select(
+        F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("negative").alias("negative_id"), "positive_score", "negative_score")
