@@ -42,6 +42,47 @@ def granger_events(spark, folder):
     return causal.granger_summary(causal.granger_joint(event_matrix(spark, folder)))
 
 
+def _halves(spark, folder):
+    """Two series over all documents: languages before and from 'es' on."""
+    from driftline.operators.trajectory import source_matrix
+
+    rows = embedded(spark, folder).withColumn("half", F.when(F.col("lang") < "es", "a").otherwise("b"))
+    return source_matrix(rows, "half").withColumnRenamed("half", "source")
+
+
+# Normal equations of the joint model with two series and one lag: columns and rows in order a, b.
+HALVES = EMBEDDED + """,
+obs AS (SELECT time_bin, CASE WHEN lang < 'es' THEN 'a' ELSE 'b' END AS source, sum(x) / count(*) AS value FROM parts GROUP BY ALL),
+bins AS (SELECT b.time_bin, oa.value AS a0, ob.value AS b0 FROM (SELECT DISTINCT time_bin FROM obs) b
+  LEFT JOIN obs oa ON oa.time_bin = b.time_bin AND oa.source = 'a' LEFT JOIN obs ob ON ob.time_bin = b.time_bin AND ob.source = 'b'),
+wide AS (SELECT time_bin, coalesce(last_value(a0 IGNORE NULLS) OVER p, first_value(a0 IGNORE NULLS) OVER f) AS a, coalesce(last_value(b0 IGNORE NULLS) OVER p, first_value(b0 IGNORE NULLS) OVER f) AS b
+  FROM bins WINDOW p AS (ORDER BY time_bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (ORDER BY time_bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+lagged AS (SELECT a, b, lag(a) OVER (ORDER BY time_bin) AS x, lag(b) OVER (ORDER BY time_bin) AS y FROM wide),
+sums AS (SELECT count(*) AS n, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy, sum(x * a) AS xa, sum(y * a) AS ya, sum(x * b) AS xb, sum(y * b) AS yb, sum(a * a) AS aa, sum(b * b) AS bb
+  FROM lagged WHERE x IS NOT NULL),
+fits AS (SELECT *, (yy * xa - xy * ya) / (xx * yy - xy * xy) AS a_x, (xx * ya - xy * xa) / (xx * yy - xy * xy) AS a_y,
+  (yy * xb - xy * yb) / (xx * yy - xy * xy) AS b_x, (xx * yb - xy * xb) / (xx * yy - xy * xy) AS b_y FROM sums)"""
+
+
+@query("granger_joint_two", f"""WITH {HALVES},
+tests AS (SELECT 'b' AS cause, 'a' AS effect, n, a_y * a_y * (xx * yy - xy * xy) / xx / ((aa - a_x * xa - a_y * ya) / (n - 2)) AS f FROM fits
+  UNION ALL SELECT 'a', 'b', n, b_x * b_x * (xx * yy - xy * xy) / yy / ((bb - b_x * xb - b_y * yb) / (n - 2)) FROM fits),
+pv AS (SELECT *, {t_two_sided('sqrt(f)', '(2 * n - 4)')} AS p FROM tests)
+SELECT cause, effect, {r('p')} AS p_value, {r('f')} AS f_statistic, CAST(1 AS INTEGER) AS lags, 'tested' AS status FROM pv""")
+def granger_joint_two(spark, folder):
+    return causal.granger_joint(_halves(spark, folder), lags=1)
+
+
+@query("impulse_response_two", f"""WITH RECURSIVE {HALVES},
+steps AS (SELECT 0 AS step, 1.0::DOUBLE AS aa, 0.0::DOUBLE AS ab, 0.0::DOUBLE AS ba, 1.0::DOUBLE AS bb
+  UNION ALL SELECT step + 1, a_x * s.aa + a_y * s.ab, b_x * s.aa + b_y * s.ab, a_x * s.ba + a_y * s.bb, b_x * s.ba + b_y * s.bb FROM steps s, fits WHERE step < 10)
+SELECT cause, effect, CAST(step AS INTEGER) AS step, {r('v')} AS response, 'tested' AS status FROM (
+  SELECT 'a' AS cause, 'a' AS effect, step, aa AS v FROM steps UNION ALL SELECT 'a', 'b', step, ab FROM steps
+  UNION ALL SELECT 'b', 'a', step, ba FROM steps UNION ALL SELECT 'b', 'b', step, bb FROM steps)""")
+def impulse_response_two(spark, folder):
+    return causal.impulse_response(_halves(spark, folder), 10, lags=1)
+
+
 def _source_matrices(spark, folder):
     """One corpus per document source, its series being the languages."""
     from driftline.operators.trajectory import source_matrix

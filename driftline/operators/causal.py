@@ -1,8 +1,9 @@
 """Granger-style influence between the source series of a corpus.
 
 Input is the long matrix (keys..., time_bin, source, value): dense bins, gaps filled. `keys` separate corpora, which
-are tested in parallel. A joint model of k sources at p lags needs more than (k + 1) * p bins, so every group handed to
-Python is bounded by the square of the calendar; larger ones are settled by the guard without leaving the JVM.
+are tested in parallel. The joint model is fitted from sums of products (`gram`), which all tasks share; what a corpus brings
+together is one matrix. A joint model of k sources at p lags needs more than (k + 1) * p bins, so that matrix is bounded by
+the square of the calendar; larger ones are settled by the guard without leaving the JVM.
 """
 
 from __future__ import annotations
@@ -11,14 +12,17 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from driftline.functions.stats import clamp_f, clamp_p, f_sf, f_tail_even
+from driftline.operators.gram import Moments, with_moments
 from driftline.session import settle
 
 MIN_BINS = 10  # fixed value: fewer bins are never tested
+MOST_LAGS = 4  # fixed value
 ALL = "__corpus"
 
 
@@ -31,19 +35,19 @@ def _untag(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*[F.col(f"{ALL}.{k}").alias(k) for k in keys], *rest)
 
 
-def causal_guard(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def causal_guard(matrix: DataFrame, keys: list[str] | None = None, lags: int | None = None) -> DataFrame:
     """Per corpus: sources, bins, lag order, residual degrees of freedom and whether the joint test can run."""
-    return _untag(_guard(_tagged(matrix, keys or [])), keys or [])
+    return _untag(_guard(_tagged(matrix, keys or []), lags), keys or [])
 
 
-def _guard(tagged: DataFrame) -> DataFrame:
+def _guard(tagged: DataFrame, fixed: int | None = None) -> DataFrame:
     # Bins and sources first, so no distinct count holds more than one corpus's calendar or source list per key.
     by_bin = tagged.groupBy(ALL, "time_bin").agg(F.count(F.lit(1)).alias("__w"))
     bins = by_bin.groupBy(ALL).agg(F.count(F.lit(1)).alias("bins"))
     names = tagged.groupBy(ALL, "source").agg(F.count(F.lit(1)).alias("__w")).groupBy(ALL).agg(
         F.count(F.lit(1)).alias("sources"))
     out = names.join(bins, ALL)
-    lags = F.least(F.lit(4), F.greatest(F.lit(1), F.floor((F.col("bins") - 1) / 3))).cast("int")
+    lags = F.lit(fixed) if fixed else F.least(F.lit(MOST_LAGS), F.greatest(F.lit(1), F.floor((F.col("bins") - 1) / 3))).cast("int")
     out = out.withColumn("lags", lags).withColumn("df", F.col("bins") - F.col("lags") - F.col("sources") * F.col("lags"))
     status = (
         F.when(F.col("sources") < 2, "one_source").when(F.col("bins") < MIN_BINS, "too_few_bins")
@@ -76,73 +80,59 @@ def _noise(name: str, n: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(0.0, 1e-6, n)
 
 
-def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Bins by sources; a constant series gets tiny noise that depends only on its name."""
-    wide = pdf.pivot(index="time_bin", columns="source", values="value").sort_index()
-    for name in wide.columns:
-        if wide[name].std() < 1e-10:
-            wide[name] = wide[name] + _noise(name, len(wide))
-    return wide
+def _noisy(series: DataFrame) -> DataFrame:
+    """Give a constant series tiny noise that depends only on its name."""
+    own = Window.partitionBy(ALL, "source")
+    rows = series.withColumns({"__sd": F.stddev_samp("value").over(own), "__at": F.row_number().over(own.orderBy("time_bin")) - 1})
 
+    @F.pandas_udf("double")
+    def noise(name: pd.Series, at: pd.Series) -> pd.Series:
+        drawn = {n: _noise(n, int(at[name == n].max()) + 1) for n in name.unique()}
+        return pd.Series([drawn[n][i] for n, i in zip(name, at, strict=True)], dtype=float)
 
-def _var_fit(y: np.ndarray, lags: int, start: int | None = None):
-    """Least squares of a VAR without constant: design, coefficients (k*lags, k), residuals."""
-    s = lags if start is None else start
-    x = np.hstack([y[s - i : len(y) - i] for i in range(1, lags + 1)])
-    coef, *_ = np.linalg.lstsq(x, y[s:], rcond=None)
-    return x, coef, y[s:] - x @ coef
+    flat = F.coalesce(F.col("__sd") < 1e-10, F.lit(False))
+    constant = rows.where(flat).withColumn("value", F.col("value") + noise("source", "__at"))
+    return rows.where(~flat).unionByName(constant).drop("__sd", "__at")
 
 
-def _edge_schema(tagged: DataFrame) -> StructType:
-    return StructType([
-        StructField(ALL, tagged.schema[ALL].dataType), StructField("cause", StringType()), StructField("effect", StringType()),
-        StructField("p_value", DoubleType()), StructField("f_statistic", DoubleType()), StructField("lags", IntegerType()),
-    ])
+EDGES = StructType([StructField("cause", StringType()), StructField("effect", StringType()), StructField("p_value", DoubleType()),
+                    StructField("f_statistic", DoubleType()), StructField("lags", IntegerType())])
 
 
-def _joint_test(pdf: pd.DataFrame) -> pd.DataFrame:
-    wide = _wide(pdf)
-    names, y = list(wide.columns), wide.to_numpy(float)
-    t, k = y.shape
-    p = int(pdf["lags"].iloc[0])
-    x, coef, res = _var_fit(y, p)
-    df = (t - p) - k * p
-    inv = np.linalg.pinv(x.T @ x)
-    s2 = (res**2).sum(axis=0) / df
+def _joint_test(names: list[str], moments: Moments) -> pa.Table:
+    k, p = moments.k, moments.p
+    df = moments.n - k * p
+    inverse, coef, residual = moments.fit()
+    s2 = np.diag(residual) / df
     rows = []
     for i, cause in enumerate(names):
         at = [lag * k + i for lag in range(p)]
-        mid = np.linalg.pinv(inv[np.ix_(at, at)])
-        for j, effect in enumerate(names):
-            if i != j:
-                b = coef[at, j]
-                with np.errstate(all="ignore"):
-                    rows.append((cause, effect, float(b @ mid @ b / p / s2[j])))
-    out = pd.DataFrame(rows, columns=["cause", "effect", "f_statistic"])
-    out["p_value"] = f_sf(out["f_statistic"].to_numpy(), p, k * df)
-    bad = ~np.isfinite(out["p_value"]) | ~np.isfinite(out["f_statistic"])
-    out.loc[bad, ["p_value", "f_statistic"]] = (1.0, 0.0)
-    out["lags"] = p
-    out[ALL] = [pdf[ALL].iloc[0]] * len(out)
-    return out[[ALL, "cause", "effect", "p_value", "f_statistic", "lags"]]
-
-
-def _split(matrix: DataFrame, keys: list[str]):
+        mid = np.linalg.pinv(inverse[np.ix_(at, at)], hermitian=True)
+        with np.errstate(all="ignore"):
+            f = ((coef[at].T @ mid) * coef[at].T).sum(axis=1) / p / s2  # of all effects
+        rows += [(cause, effect, f[j]) for j, effect in enumerate(names) if i != j]
+    f = np.array([r[2] for r in rows])
+    pv = f_sf(f, p, k * df)
+    bad = ~np.isfinite(pv) | ~np.isfinite(f)
+    return pa.table([[r[0] for r in rows], [r[1] for r in rows], np.where(bad, 1.0, pv), np.where(bad, 0.0, f), pa.array([p] * len(rows), pa.int32())], EDGES.names)
+
+
+def _split(matrix: DataFrame, keys: list[str], lags: int | None = None):
     tagged = _tagged(settle(matrix), keys)  # one row per bin and source, read several times
-    marked = tagged.join(_guard(tagged).select(ALL, "lags", "status"), ALL)
-    ready = marked.filter("status = 'tested'").select(ALL, "time_bin", F.col("source").cast("string"), "value", "lags")
-    return tagged, marked, ready
+    marked = tagged.join(_guard(tagged, lags).select(ALL, "lags", "bins", "status"), ALL)
+    ready = marked.filter("status = 'tested'").select(ALL, "time_bin", F.col("source").cast("string"), F.col("value").cast("double"), "lags", "bins")
+    return marked.drop("bins"), _noisy(ready)
 
 
-def granger_joint(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """F test of every ordered pair in one joint VAR(p) without constant, p = min(4, max(1, (T - 1) div 3)).
+def granger_joint(matrix: DataFrame, keys: list[str] | None = None, lags: int | None = None) -> DataFrame:
+    """F test of every ordered pair in one joint VAR(p) without constant, p = min(4, max(1, (T - 1) div 3)) or `lags`.
 
     Corpora the guard rejects give p = 1 and F = 0 for every pair, as does a failed test; `status` tells them from tests
     that found no influence.
     """
     keys = keys or []
-    tagged, marked, ready = _split(matrix, keys)
-    tested = ready.groupBy(ALL).applyInPandas(_joint_test, _edge_schema(tagged)).withColumn("status", F.lit("tested"))
+    marked, ready = _split(matrix, keys, lags)
+    tested = with_moments(ready, ALL, lags or MOST_LAGS, _joint_test, EDGES).withColumn("status", F.lit("tested"))
     rejected = marked.filter("status <> 'tested'").withColumnRenamed(ALL, "__tag")
     blank = ordered_pairs(rejected, ["__tag", "lags", "status"]).select(
         F.col("__tag").alias(ALL), F.col("cause").cast("string"), F.col("effect").cast("string"), F.lit(1.0).alias("p_value"),
@@ -282,33 +272,27 @@ def causal_confidence(bins: DataFrame, col: str = "bins") -> DataFrame:
     return bins.withColumn("confidence", smooth).withColumn("stepped_confidence", stepped)
 
 
-def impulse_response(matrix: DataFrame, horizon: int = 10, keys: list[str] | None = None) -> DataFrame:
+def impulse_response(matrix: DataFrame, horizon: int = 10, keys: list[str] | None = None, lags: int | None = None) -> DataFrame:
     """Response of every source to a unit shock in every source over `horizon` steps of the joint model.
 
     Corpora the guard rejects give one row with nulls and their status.
     """
     keys = keys or []
-    tagged, marked, ready = _split(matrix, keys)
+    marked, ready = _split(matrix, keys, lags)
+    schema = StructType([StructField("cause", StringType()), StructField("effect", StringType()), StructField("step", IntegerType()), StructField("response", DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _wide(pdf)
-        names, y = list(wide.columns), wide.to_numpy(float)
-        k, p = y.shape[1], int(pdf["lags"].iloc[0])
-        coef = _var_fit(y, p)[1]
+    def run(names: list[str], moments: Moments) -> pa.Table:
+        k, p = moments.k, moments.p
+        coef = moments.fit()[1]
         mats = [coef[i * k : (i + 1) * k].T for i in range(p)]
         phi = [np.eye(k)]
         for h in range(1, horizon + 1):
             phi.append(sum(mats[i] @ phi[h - 1 - i] for i in range(min(p, h))))
         rows = [(c, e, h, float(phi[h][j, i])) for h in range(horizon + 1) for i, c in enumerate(names) for j, e in enumerate(names)]
-        out = pd.DataFrame(rows, columns=["cause", "effect", "step", "response"])
-        out[ALL] = [pdf[ALL].iloc[0]] * len(out)
-        return out[[ALL, "cause", "effect", "step", "response"]]
+        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.float64()), strict=True)], schema.names)
 
-    schema = StructType([
-        StructField(ALL, tagged.schema[ALL].dataType), StructField("cause", StringType()), StructField("effect", StringType()),
-        StructField("step", IntegerType()), StructField("response", DoubleType()),
-    ])
-    return _untag(ready.groupBy(ALL).applyInPandas(run, schema).withColumn("status", F.lit("tested")).unionByName(_rejected(marked), allowMissingColumns=True), keys)
+    tested = with_moments(ready, ALL, lags or MOST_LAGS, run, schema).withColumn("status", F.lit("tested"))
+    return _untag(tested.unionByName(_rejected(marked), allowMissingColumns=True), keys)
 
 
 def _rejected(marked: DataFrame) -> DataFrame:
@@ -316,29 +300,25 @@ def _rejected(marked: DataFrame) -> DataFrame:
 
 
 def lag_order(matrix: DataFrame, max_lags: int = 4, keys: list[str] | None = None) -> DataFrame:
-    """AIC of the joint model at lags 1..max_lags on a common sample, one task per (corpus, lag); the best is marked.
+    """AIC of the joint model at lags 1..max_lags on a common sample; the best is marked. All lags come from the same sums.
 
     Corpora the guard rejects give one row with nulls and their status.
     """
     keys = keys or []
-    tagged, marked, ready = _split(matrix, keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = _wide(pdf).to_numpy(float)
-        p = int(pdf["lag"].iloc[0])
-        n, k = len(y) - max_lags, y.shape[1]
-        aic = None
-        if n > k * p:
-            res = _var_fit(y, p, max_lags)[2]
-            sign, logdet = np.linalg.slogdet(res.T @ res / n)
-            aic = float(logdet + 2.0 / n * p * k * k) if sign > 0 else None
-        return pd.DataFrame({ALL: [pdf[ALL].iloc[0]], "lag": [p], "aic": [aic]})
-
-    schema = StructType([
-        StructField(ALL, tagged.schema[ALL].dataType), StructField("lag", IntegerType()), StructField("aic", DoubleType()),
-    ])
-    tries = ready.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lags))))
-    out = tries.groupBy(ALL, "lag").applyInPandas(run, schema)
+    marked, ready = _split(matrix, keys)
+    schema = StructType([StructField("lag", IntegerType()), StructField("aic", DoubleType())])
+
+    def run(_, moments: Moments) -> pa.Table:
+        n, k, found = moments.n, moments.k, []
+        for p in range(1, max_lags + 1):
+            sign, logdet = np.linalg.slogdet(moments.fit(p)[2] / n) if n > k * p else (0, 0.0)
+            found.append(float(logdet + 2.0 / n * p * k * k) if sign > 0 else None)
+        return pa.table([pa.array(range(1, max_lags + 1), pa.int32()), pa.array(found, pa.float64())], schema.names)
+
+    # The sample must hold every lag: a corpus of fewer bins has no usable order.
+    long = ready.where(F.col("bins") > max_lags).withColumn("lags", F.lit(max_lags))
+    short = ready.where(F.col("bins") <= max_lags).select(ALL).distinct().withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lags))))
+    out = with_moments(long, ALL, max_lags, run, schema).unionByName(short, allowMissingColumns=True)
     best = F.min(F.when(F.col("aic").isNotNull(), F.struct("aic", "lag"))).over(Window.partitionBy(ALL))
     out = out.withColumn("best", F.col("lag") == best["lag"]).withColumn("status", F.lit("tested"))
     return _untag(out.unionByName(_rejected(marked), allowMissingColumns=True), keys)

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from driftline.functions.stats import f_sf
-from driftline.operators import causal
+from driftline.operators import causal, gram
 
 START = datetime(2024, 1, 1)
 
@@ -123,6 +123,41 @@ def test_impulse_response_and_lag_order(spark):
     assert len(order) == 4 and order[1]
 
 
+def test_gram_blocks_equal_the_product(spark):
+    """Blocks of two sources, runs of 64 bins, corpora of different lags: every sum as in one matrix product."""
+    rng = np.random.default_rng(6)
+    data = {"long": (rng.normal(size=(200, 5)), 3), "short": (rng.normal(size=(11, 2)), 1)}
+    rows = [(c, START + timedelta(days=t), f"s{i}", float(v), p) for c, (y, p) in data.items() for t, line in enumerate(y) for i, v in enumerate(line)]
+    df = spark.createDataFrame(rows, "corpus string, time_bin timestamp, source string, value double, lags int").repartition(7)
+    found = {}
+    for r in gram.lagged_gram(df, "corpus", 3, block=2).collect():
+        found.setdefault(r["corpus"], []).append((r["a"], r["b"], r["gram"]))
+    for c, (y, p) in data.items():
+        z = np.stack([y[p - lag : len(y) - lag, i] for i in range(y.shape[1]) for lag in range(p + 1)], axis=1)
+        assert np.allclose(gram.Moments(found[c], y.shape[1], p, len(y) - p, block=2).sums, z.T @ z)
+        assert len(found[c]) == {"long": 6, "short": 1}[c]
+
+
+def test_moments_equal_least_squares(spark):
+    rng = np.random.default_rng(8)
+    series = {k: 0.5 + 0.01 * rng.normal(size=150).cumsum() for k in ("a", "b", "c")}
+    df = matrix(spark, **series)
+    y = np.column_stack(list(series.values()))
+    t, k = y.shape
+    irf = {(r["cause"], r["effect"], r["step"]): r["response"] for r in causal.impulse_response(df, 2).collect()}
+    x = np.hstack([y[4 - i : t - i] for i in range(1, 5)])
+    coef = np.linalg.lstsq(x, y[4:], rcond=None)[0]
+    for i, c in enumerate(series):
+        for j, e in enumerate(series):
+            assert abs(irf[(c, e, 1)] - coef[i, j]) < 1e-6
+            assert abs(irf[(c, e, 2)] - (coef[:k].T @ coef[:k].T + coef[k : 2 * k].T)[j, i]) < 1e-6
+    aic = {r["lag"]: r["aic"] for r in causal.lag_order(df, 3).collect()}
+    for p in (1, 2, 3):
+        x = np.hstack([y[3 - i : t - i] for i in range(1, p + 1)])
+        res = y[3:] - x @ np.linalg.lstsq(x, y[3:], rcond=None)[0]
+        assert abs(aic[p] - (np.linalg.slogdet(res.T @ res / (t - 3))[1] + 2 / (t - 3) * p * k * k)) < 1e-6
+
+
 def test_confidence(spark):
     df = spark.createDataFrame([(3,), (7,), (15,), (96,)], "bins int")
     got = [(r["confidence"], r["stepped_confidence"]) for r in causal.causal_confidence(df).orderBy("bins").collect()]
