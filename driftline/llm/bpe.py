@@ -1,10 +1,10 @@
 """Byte-level BPE over a given rank file: encode every distinct word of the corpus once, decode by the token-byte table.
 
 Texts are cut into words by the pattern of the tokenizer. A block of documents (bounded in text and in distinct words) numbers its words; a
-document becomes the numbers of its words, in the order of their positions, and the block a list of its distinct words. Those lists are
-exploded and shuffled by word, so that each distinct word of the corpus meets in one place and is encoded once; the ids are joined back to
-the block, and every document is put together by position. What is shuffled is one row per block and distinct word: a word that fills a third
-of the corpus still gives one row per block. The documents' numbers lie in a table bucketed by block and never travel again.
+document becomes the numbers of its words, in the order of their positions, and the block lists its distinct words, dealt to shelves by a hash
+of the word. The lists are shuffled by shelf, so that each distinct word of the corpus meets in one place and is encoded once; the ids go
+back to the block, and every document is put together by position. What is shuffled is one entry per block and distinct word: a word that
+fills a third of the corpus still gives one entry per block. The documents' numbers lie in a table bucketed by block and never travel again.
 
 Every row of the input gives one row of the result; rows that repeat an id stay apart, null ids stay null, null texts count as empty and give no
 ids. A text is encoded whole, however long; a block holds at least one text. Extra columns are not read. An empty table gives an empty result.
@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,11 @@ from pyspark.sql import functions as F
 
 from driftline.session import shared_dir
 
-BLOCK_BYTES = 32 << 20  # text of a block
-BLOCK_WORDS = 1 << 19  # distinct words of a block
+BLOCK_BYTES = 16 << 20  # text of a block
+BLOCK_WORDS = 1 << 18  # distinct words of a block
+SHELF_WORDS = 1 << 18  # words whose ids a task remembers
+SLICE = 1 << 20  # tokens decoded at a time
+END = b"\xff"  # between words: no UTF-8 text holds this byte
 # Letters and numbers of newer Unicode versions that the `regex` package knows and the tokenizer's own engine (Unicode 16) does not.
 NEWER = (
     r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf"
@@ -71,13 +76,33 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _latin(pattern: str) -> str:
+    """The pattern for texts of characters below U+0240 alone, with its classes spelled out, for the faster standard engine."""
+    import regex
+
+    listed = {k: "".join(f"\\u{c:04x}" for c in range(0x240) if regex.match(k, chr(c))) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside = [], False
+    for part in re.split(r"(\\p\{L\}|\\p\{N\}|\\[sS]|\\.|[\[\]])", pattern):
+        inside = part == "[" or (inside and part != "]")
+        out.append(listed[part] if inside and part in listed else f"[{listed[part]}]" if part in listed else f"[^{listed[chr(92) + 's']}]" if part == r"\S" else part)
+    return "".join(out)
+
+
 def word_finder(pattern: str):
-    """A function that lists the words of a text as the tokenizer's engine would."""
+    """A function that lists the words of a text (as UTF-8) as the tokenizer's engine would."""
     import regex
 
-    plain, newer = regex.compile(pattern), regex.compile(f"[{NEWER}]")
+    latin, plain, newer = re.compile(_latin(pattern)), regex.compile(pattern), regex.compile(f"[{NEWER}]")
     older = regex.compile("(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NEWER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{NEWER}]]"))
-    return lambda text: (older if not text.isascii() and newer.search(text) else plain).findall(text)
+    low, common = bytes(range(0xC9)), bytes(range(0xD5))  # all bytes below U+0240; below all of NEWER
+
+    def find(raw: bytes) -> list[str]:
+        text = raw.decode("utf-8", "replace")
+        if not raw.translate(None, low):
+            return latin.findall(text)
+        return (older if raw.translate(None, common) and newer.search(text) else plain).findall(text)
+
+    return find
 
 
 class _Numbers(dict):
@@ -88,9 +113,13 @@ class _Numbers(dict):
         return n
 
 
-def numbered_words(docs: DataFrame, pattern: str, most_bytes: int = BLOCK_BYTES, most_words: int = BLOCK_WORDS) -> DataFrame:
-    """(block, id, codes, words) of rows (id, text): a row per document with its words' numbers, and one per block with its distinct words."""
+def numbered_words(docs: DataFrame, pattern: str, shelves: int, most_bytes: int = BLOCK_BYTES, most_words: int = BLOCK_WORDS) -> DataFrame:
+    """(block, id, codes, shelf, words) of rows (id, text).
+
+    A row per document holds its words' numbers; a row per block and shelf the numbers and the text of the block's words on that shelf.
+    """
     id_type = docs.schema["id"].dataType.simpleString()
+    names = ["block", "id", "codes", "shelf", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -98,33 +127,42 @@ def numbered_words(docs: DataFrame, pattern: str, most_bytes: int = BLOCK_BYTES,
         find = word_finder(pattern)
         block, size, numbers = TaskContext.get().partitionId() << 32, 0, _Numbers()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             start, codes = 0, []
             for k in range(batch.num_rows):
-                text = (texts[k].as_py() or b"").decode("utf-8", "replace")
+                text = texts[k].as_py() or b""
                 codes.append(np.fromiter(map(numbers.__getitem__, find(text)), np.int32))
                 size += len(text)
                 full = size >= most_bytes or len(numbers) >= most_words
                 if full or k + 1 == batch.num_rows:
-                    yield rows(block, batch.column(0).slice(start, k + 1 - start), codes)
+                    n = len(codes)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), ids.slice(start, n), _lists(codes), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
                     start, codes = k + 1, []
                 if full:
-                    yield listed(block, numbers, batch.schema.field(0).type)
+                    yield shelved(block, numbers, ids.type)
                     block, size, numbers = block + 1, 0, _Numbers()
         if numbers:
-            yield listed(block, numbers, batch.schema.field(0).type)
+            yield shelved(block, numbers, ids.type)
+
+    def shelved(block, numbers, id_type):
+        words = sorted(numbers)
+        shelf = np.fromiter((zlib.crc32(w.encode()) % shelves for w in words), np.int32)
+        order = np.argsort(shelf, kind="stable")  # within a shelf in order of the text, which packs well
+        number = np.fromiter(map(numbers.__getitem__, words), np.int32)[order]
+        used, first = np.unique(shelf[order], return_index=True)
+        parts = np.split(order, first[1:]) if len(used) else []
+        packs = [zlib.compress(END.join([words[i].encode() for i in part]), 1) for part in parts]
+        n = len(used)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block)), pa.nulls(n, id_type), _lists(np.split(number, first[1:]) if n else []), pa.array(used), pa.array(packs, pa.binary())], names)
 
-    def rows(block, ids, codes):
-        n = len(codes)
-        ends = np.cumsum([0, *map(len, codes)]).astype(np.int32)
-        codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(codes) if n else np.zeros(0, np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), ids, codes, pa.nulls(n, pa.list_(pa.string()))], ["block", "id", "codes", "words"])
+    return docs.select("id", "text").mapInArrow(cut, f"block long, id {id_type}, codes array<int>, shelf int, words binary")
 
-    def listed(block, numbers, id_type):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.nulls(1, id_type), pa.nulls(1, pa.list_(pa.int32())), pa.array([list(numbers)], pa.list_(pa.string()))], ["block", "id", "codes", "words"])
 
-    return docs.select("id", "text").mapInArrow(cut, f"block long, id {id_type}, codes array<int>, words array<string>")
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Integer arrays as a column of lists."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)))
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
@@ -141,51 +179,64 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """(id, ids) for every row: the token ids of the whole text."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    blocks = bucketed(numbered_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), pattern, **block), "block")
-    words = blocks.where("words is not null").select("block", F.posexplode("words").alias("code", "word"))
+    shelves = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(numbered_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), pattern, shelves, **block), "block")
     known = spark.sparkContext.broadcast(ranks)  # bounded by the rank file
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, []
+        now, seen = None, {}
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:  # rows are sorted by word
-                    last, ids = word, merged(word.encode(), known.value)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["block", "code", "ids"])
-
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(once, "block long, code int, ids array<int>")
+            packs = []
+            for shelf, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if shelf != now or len(seen) > SHELF_WORDS:  # rows are sorted by shelf
+                    now, seen = shelf, {}
+                flat, n = [], []
+                for word in zlib.decompress(words).split(END):
+                    found = seen.get(word)
+                    if found is None:
+                        found = seen[word] = merged(word, known.value)
+                    flat += found
+                    n.append(len(found))
+                packs.append(zlib.compress(np.array(n + flat, np.int32).tobytes(), 1))  # as many numbers of ids as words, then the ids
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packs, pa.binary())], ["block", "shelf", "pack"])
+
+    words = blocks.where("shelf is not null").select("block", "shelf", "words")
+    encoded = words.repartition(shelves, "shelf").sortWithinPartitions("shelf").mapInArrow(once, "block long, shelf int, pack binary")
 
     def by_position(texts: pa.Table, found: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
-        codes, owner = _flat(texts.column("codes"))
-        found = found.combine_chunks()
-        ids, word = _flat(found.column("ids"))
-        n = np.bincount(word, minlength=found.num_rows)
-        order = np.empty(found.num_rows, np.int64)
-        order[found.column("code").to_numpy()] = np.arange(found.num_rows)
-        first = (np.cumsum(n) - n)[order]
-        n = n[order]
-        length = n[codes]  # tokens of each word of the block's texts, in order of position
-        ends = np.cumsum(length)
-        at = np.repeat(first[codes] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        per_text = np.bincount(owner, length, minlength=texts.num_rows).astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(per_text)]).astype(np.int32)
-        return pa.table([texts.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[at]))], ["id", "ids"])
-
-    texts = blocks.where("words is null").select("block", "id", "codes")
+        shelf = texts.column("shelf").to_pylist()
+        at = {s: k for k, s in enumerate(shelf) if s is not None}
+        codes, starts = _flat(texts.column("codes"))
+        size = sum(int(starts[k + 1] - starts[k]) for k in at.values())
+        first, n, ids, total = np.zeros(size, np.int32), np.zeros(size, np.int32), [], 0  # by number of the word
+        for s, pack in zip(found.column("shelf").to_pylist(), found.column("pack").to_pylist()):
+            number = codes[starts[at[s]] : starts[at[s] + 1]]
+            both = np.frombuffer(zlib.decompress(pack), np.int32)
+            n[number] = both[: len(number)]
+            first[number] = total + np.cumsum(n[number]) - n[number]
+            ids.append(both[len(number) :])
+            total += len(ids[-1])
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        out, documents = [], [k for k, s in enumerate(shelf) if s is None]
+        for k in documents:
+            own = codes[starts[k] : starts[k + 1]]
+            length = n[own]  # tokens of each word of the text, in order of position
+            ends = np.cumsum(length)
+            out.append(ids[np.repeat(first[own] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)])
+        return pa.table([texts.column("id").take(pa.array(documents, pa.int64())), _lists(out)], ["id", "ids"])
+
+    texts = blocks.select("block", "id", "codes", "shelf")
     return texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(by_position, f"id {id_type}, ids array<int>")
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column end to end, and for each the row it is of."""
+    """Values of a list column end to end, and where each row's begin (one more entry than rows)."""
     parts = [c for c in column.chunks if len(c)]
     if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    values = np.concatenate([np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.int32) for c in parts])
-    n = np.concatenate([np.diff(c.offsets.to_numpy()) for c in parts])
-    return values, np.repeat(np.arange(len(n)), n)
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in parts])
+    return values, np.concatenate([[0], np.cumsum(np.concatenate([np.diff(c.offsets.to_numpy()) for c in parts]))])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -202,22 +253,30 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
     at = kept.index(ids_col)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(table.value, pa.binary())
-        for batch in batches:
-            lists = batch.column(at)
-            texts = []
-            for k in range(batch.num_rows):
-                ids = lists[k].values
-                if ids is None:
-                    texts.append(None)
-                    continue
-                numbers = ids.fill_null(-1).to_numpy().astype(np.int64)
-                if len(numbers) and (numbers.min() < 0 or numbers.max() >= len(known)):
-                    texts.append(None)
-                    continue
-                parts = known.take(pa.array(numbers))
-                texts.append(None if parts.null_count else b"".join(parts.to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*kept, out])
+        known = pa.array(table.value, pa.large_binary())
+        for whole in batches:
+            ends = np.cumsum(np.diff(whole.column(at).offsets.to_numpy()))
+            row = 0
+            while row < whole.num_rows:  # some rows at a time, so that work arrays stay small
+                stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + SLICE, "right")))
+                batch = whole.slice(row, stop - row)
+                yield pa.RecordBatch.from_arrays([*batch.columns, _joined(batch.column(at), known)], [*kept, out])
+                row = stop
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != out)
     return encoded.select(*kept).mapInArrow(join, f"{schema}, `{out}` binary")
+
+
+def _joined(lists: pa.ListArray, known: pa.Array) -> pa.Array:
+    """The bytes of each list of token ids, end to end."""
+    ids = lists.flatten().fill_null(-1).to_numpy().astype(np.int64)
+    sound = (ids >= 0) & (ids < len(known))
+    parts = known.take(pa.array(np.where(sound, ids, 0), mask=~sound))
+    valid = np.asarray(lists.is_valid())
+    ends = np.concatenate([[0], np.cumsum(np.where(valid, np.diff(lists.offsets.to_numpy()), 0))])  # of the rows, in tokens
+    lost = np.concatenate([[0], np.cumsum(~np.asarray(parts.is_valid()))])
+    good = valid & (lost[ends[1:]] == lost[ends[:-1]])
+    if not len(parts):
+        return pa.array([b"" if g else None for g in good], pa.binary())
+    at_byte = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset :][ends]
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [pa.array(good).buffers()[1], pa.py_buffer(at_byte), parts.buffers()[2]]).cast(pa.binary())

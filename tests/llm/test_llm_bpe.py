@@ -25,7 +25,7 @@ def library(ranks):
 
 def plain(texts, ranks):
     find = bpe.word_finder(public_tokenizers.PATTERN)
-    return [[i for word in find(t) for i in bpe.merged(word.encode(), ranks)] for t in texts]
+    return [[i for word in find(t.encode()) for i in bpe.merged(word.encode(), ranks)] for t in texts]
 
 
 def test_every_character(ranks, library):
