@@ -8,7 +8,7 @@ character that is no piece is one unknown piece.
 
 A text that is null or has no letter gets `und` and score 0. The score is the posterior of the chosen language, all
 languages being equally likely before; ties go to the first language by name. Training reads at most about `per_language` rows of each language (chosen
-by hash) and the `most_languages` most frequent languages; without any, every text is `und`. Rows are judged one by one,
+by hash) and all languages; without any, every text is `und`. Rows are judged one by one,
 so repeated rows, null ids and extra columns change nothing.
 """
 
@@ -27,6 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LONGEST = 40
+REMEMBERED = 50_000  # words whose scores a task keeps
 SAME = np.arange(256, dtype=np.uint8)
 
 
@@ -156,11 +157,11 @@ def _lowered(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column if k == at else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 4000, most_languages: int = 500,
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 4000,
         rounds: int = 2, model: str = MODEL) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities): piece probabilities per language; the sample is bounded by `per_language`."""
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     langs = sorted(r.lang for r in sizes)
     pieces = vocabulary(model)
     if not langs:
@@ -219,7 +220,7 @@ def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray], text_col: str
         pieces, table = tool.value
         lattice = Lattice(pieces)
         known: dict[int, int] = {}
-        scores = np.zeros((0, len(langs)))
+        scores = np.zeros((REMEMBERED, len(langs)))
         for batch in batches:
             lower = _lowered(batch, at)
             letters = pc.match_substring_regex(lower.column(at), r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
@@ -228,16 +229,17 @@ def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray], text_col: str
                 starts, ends, first = word_spans(data, offsets, BREAKS)
                 hashes = word_hashes(data, starts, ends, SAME)
                 unique, place, back = np.unique(hashes, return_index=True, return_inverse=True)
-                if len(known) > 400_000:
-                    known, scores = {}, np.zeros((0, len(langs)))
+                if len(known) + len(unique) > len(scores):  # start anew, with room for the block at hand
+                    known = {}
+                    scores = scores if len(unique) <= len(scores) else np.zeros((len(unique), len(langs)))
                 new = [k for k, h in enumerate(unique.tolist()) if h not in known]
                 if new:
                     cut = [_pieces_of(bytes(data[starts[place[k]] : ends[place[k]]]).decode()) for k in new]
                     flat = lattice.log_likelihood([p for c in cut for p in c], table)
                     begin = np.cumsum([0] + [len(c) for c in cut])[:-1]
+                    scores[len(known) : len(known) + len(new)] = np.add.reduceat(flat, begin, axis=0)
                     for k in new:
                         known[int(unique[k])] = len(known)
-                    scores = np.concatenate([scores, np.add.reduceat(flat, begin, axis=0)])
                 rows = np.fromiter((known[h] for h in unique.tolist()), np.int64, len(unique))
                 run_sum = np.concatenate([np.zeros((1, len(langs))), np.cumsum(scores[rows][back], axis=0)])
                 total.append(run_sum[first[1:]] - run_sum[first[:-1]])
