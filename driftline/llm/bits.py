@@ -19,14 +19,33 @@ def bitmap(values: DataFrame, column: str, log2: int = 23) -> np.ndarray:
     return out
 
 
+def wide_bitmap(values: DataFrame, column: str, log2: int = 27, page: int = 15) -> np.ndarray:
+    """As `bitmap`, larger: brought together in pages of 2^page bits, so the driver gets 2^(log2 - page) rows at most."""
+
+    def pack(batches):
+        for batch in batches:
+            pages = []
+            for bits in batch.column(1):
+                own = np.zeros(1 << page, np.uint8)
+                own[np.asarray(bits.values)] = 1
+                pages.append(np.packbits(own, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.binary())], ["page", "bits"])
+
+    slot = F.pmod(F.col(column), F.lit(1 << log2))
+    slots = values.where(F.col(column).isNotNull()).select(slot.cast("int").alias("slot")).distinct()
+    pages = slots.groupBy(F.shiftright("slot", page).alias("page")).agg(F.collect_list(F.col("slot").bitwiseAND((1 << page) - 1)).alias("slots"))
+    out = np.zeros(1 << (log2 - 3), np.uint8)
+    for r in pages.mapInArrow(pack, "page int, bits binary").collect():
+        out[r.page << (page - 3) : (r.page + 1) << (page - 3)] = np.frombuffer(r.bits, np.uint8)
+    return out.view(np.uint64)
+
+
 def held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the uint64 or int64 values may be in the set."""
     slot = values.astype(np.uint64) & np.uint64(len(bits) * 64 - 1)
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-
-
 def parted(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(others, named): rows that certainly have none of the long `ids` (column id), and the few that have to be joined with them.
 
