@@ -1,9 +1,11 @@
 """Exact k nearest neighbours by cosine, and other all-against-all measures, in bounded blocks.
 
-Rows are assigned to pivot cells. For every query cell an upper bound on the distance of its k-th neighbour follows
-from the cell radii (triangle inequality on unit vectors); a corpus row travels only to cells it can still reach.
-Cells are cut into blocks of at most about `block_rows` rows, so a cell full of copies is shared by many tasks, and a
-task returns k rows per query, never pairs. Pivots decide the speed only, never the result.
+A two-level tree of pivots cuts the rows into cells: a row goes to its nearest top pivot and there to its nearest fine one, so it is compared with
+about twice the root of their number. There is a pivot for every few rows, up to a fixed number. For every cell of queries an upper bound on the distance of its k-th neighbour follows from the cell radii (triangle
+inequality on unit vectors). Cells that lie side by side make a group that fills a task (`block_bytes`); a corpus row travels once to each group
+it can still reach, found by going down the tree. A cell full of copies is cut into several groups, and a group that many corpus rows reach
+takes them in several parts; a task returns k rows per query, never pairs. Pivots decide the speed only, never the result. Without structure
+every group is in reach: the work is then quadratic, with one copy of a row per group.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from driftline.operators.embedding import as_matrix
 from driftline.operators.ranking import sample_rows, stratified_folds
 from driftline.session import settle
 
-MAX_PIVOTS = 256  # the pivot table and its distance matrix stay under a megabyte
+MAX_CELLS = 1 << 16  # pivots are brought to the driver and sent to all tasks: 32 MB for 64 dimensions
+CELL_ROWS = 8  # rows per pivot
+BLOCK_BYTES = 16 << 20  # vectors of one side in a task
 SLACK = 1e-6
 DIGITS = 9  # similarities closer than this are ties and go to the smaller id
 
@@ -50,46 +54,114 @@ def _slot(ids: pa.Array, n: int) -> np.ndarray:
     return np.array([zlib.crc32(str(v).encode()) % n for v in ids.to_pylist()], dtype=np.int32)
 
 
-def _cell_stats(df: DataFrame, pivots, query: bool) -> dict[int, tuple[int, float]]:
-    """Rows and radius per cell: at most MAX_PIVOTS result rows."""
+class PivotTree:
+    """Fine pivots in order of the top pivot they belong to."""
+
+    def __init__(self, sample: np.ndarray):
+        lifted = _lift(sample, False)
+        tops = lifted[: math.isqrt(len(lifted) - 1) + 1]
+        owner = _gap(lifted, tops).argmin(axis=1)
+        order = np.argsort(owner, kind="stable")
+        used, first = np.unique(owner[order], return_index=True)
+        self.fine, self.tops, self.start = lifted[order], tops[used], np.append(first, len(lifted))
+        self.arm = np.concatenate([_gap(self.tops[t : t + 1], self.fine[self.start[t] : self.start[t + 1]])[0] for t in range(len(self.tops))])
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of every row and its distance from the pivot."""
+        top = _gap(x, self.tops).argmin(axis=1)
+        cell, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for t in np.unique(top):
+            own = np.flatnonzero(top == t)
+            gap = _gap(x[own], self.fine[self.start[t] : self.start[t + 1]])
+            at = gap.argmin(axis=1)
+            cell[own], far[own] = self.start[t] + at, gap[np.arange(len(own)), at]
+        return cell, far
+
+
+def _cell_stats(df: DataFrame, tree, query: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and radius of every cell; at most a row per cell reaches the driver."""
 
     def run(batches):
-        rows, radius = np.zeros(len(pivots.value), np.int64), np.zeros(len(pivots.value))
+        n = len(tree.value.fine)
+        rows, radius = np.zeros(n, np.int64), np.zeros(n)
         for table in batches:
             x = as_matrix(table.column(1))
             if len(x):
-                gap = _gap(_lift(x, query), pivots.value)
-                cell = gap.argmin(axis=1)
+                cell, far = tree.value.cells(_lift(x, query))
                 np.add.at(rows, cell, 1)
-                np.maximum.at(radius, cell, gap[np.arange(len(x)), cell])
+                np.maximum.at(radius, cell, far)
         at = np.flatnonzero(rows)
         yield pa.RecordBatch.from_pydict({"cell": at.astype(np.int32), "rows": rows[at], "radius": radius[at]})
 
     parts = df.mapInArrow(run, "cell int, rows bigint, radius double")
-    found = parts.groupBy("cell").agg(F.sum("rows").alias("rows"), F.max("radius").alias("radius")).collect()
-    return {r["cell"]: (r["rows"], r["radius"]) for r in found}
-
-
-def _plan(q: dict, c: dict, pivots: np.ndarray, need: int, block_rows: int):
-    """Per query cell: reach of a corpus row, number of query blocks, number of corpus blocks."""
-    gap = _gap(pivots, pivots)
-    cells = sorted(c)
-    count = np.array([c[j][0] for j in cells])
-    rad = np.array([c[j][1] for j in cells])
-    plan = {}
-    for i, (rows, radius) in q.items():
-        upper = gap[i, cells] + radius + rad
-        order = np.argsort(upper)
-        enough = np.searchsorted(np.cumsum(count[order]), need)
-        theta = upper[order[enough]] if enough < len(order) else 2.0
-        reach = min(theta, 2.0) + radius + SLACK
-        candidates = count[gap[i, cells] - rad <= reach].sum()
-        plan[i] = (reach, math.ceil(rows / block_rows), max(1, math.ceil(candidates / block_rows)))
-    return plan
-
-
-def _scatter(df: DataFrame, id_type, pivots, plan, query: bool) -> DataFrame:
-    """Send each row to the blocks that need it."""
+    rows, radius = np.zeros(len(tree.value.fine), np.int64), np.zeros(len(tree.value.fine))
+    for r in parts.groupBy("cell").agg(F.sum("rows").alias("rows"), F.max("radius").alias("radius")).collect():
+        rows[r["cell"]], radius[r["cell"]] = r["rows"], r["radius"]
+    return rows, radius
+
+
+class Groups:
+    """How far corpus rows of each query cell may lie, and which task works on it."""
+
+    def __init__(self, spark, tree, queries, corpus, need: int, block_rows: int):
+        (self.rows, radius), (count, rad) = queries, corpus
+        known = spark.sparkContext.broadcast((self.rows, radius, count, rad))
+
+        def plan(batches):
+            rows, radius, count, rad = known.value
+            fine, held = tree.value.fine, np.flatnonzero(count)
+            for batch in batches:
+                for lo in batch.column(0).to_pylist():
+                    own = lo + np.flatnonzero(rows[lo : lo + 64])
+                    gap = _gap(fine[own], fine[held])
+                    upper = gap + radius[own, None] + rad[held]
+                    order = np.argsort(upper, axis=1)
+                    enough = (np.cumsum(count[held][order], axis=1) < need).sum(axis=1)
+                    line = np.arange(len(own))
+                    theta = np.where(enough < len(held), upper[line, order[line, np.minimum(enough, len(held) - 1)]], 2.0)
+                    reach = np.minimum(theta, 2.0) + radius[own] + SLACK
+                    met = ((gap - rad[held] <= reach[:, None]) * count[held]).sum(axis=1)
+                    yield pa.RecordBatch.from_pydict({"cell": own.astype(np.int32), "reach": reach, "met": met})
+
+        self.reach, met = np.full(len(self.rows), -1.0), np.zeros(len(self.rows), np.int64)
+        for r in spark.range(0, len(self.rows), 64).mapInArrow(plan, "cell int, reach double, met bigint").collect():  # a row per cell
+            self.reach[r["cell"]], met[r["cell"]] = r["reach"], r["met"]
+        # Cells of one top pivot, one after the other, until a group is full.
+        self.group, self.parts, total = np.full(len(self.rows), -1, np.int64), [], int(count.sum())
+        start = tree.value.start
+        for t in range(len(start) - 1):
+            held = room = 0
+            for cell in range(start[t], start[t + 1]):
+                if not self.rows[cell]:
+                    continue
+                if not held or held + self.rows[cell] > block_rows:
+                    self.parts.append([0, 0])
+                    held = 0
+                    room = 0
+                held += int(self.rows[cell])
+                room = min(total, room + int(met[cell]))
+                self.group[cell] = len(self.parts) - 1
+                self.parts[-1] = [math.ceil(held / block_rows), max(1, math.ceil(room / block_rows))]
+        self.bound = np.array([max((self.reach[start[t] : start[t + 1]] + tree.value.arm[start[t] : start[t + 1]])[self.rows[start[t] : start[t + 1]] > 0], default=-1.0)
+                               for t in range(len(start) - 1)])
+
+    def reached(self, x: np.ndarray, tree: PivotTree):
+        """(group, row numbers of x that some query of the group may need), group by group."""
+        gap = _gap(x, tree.tops)
+        for t in np.flatnonzero(self.bound >= 0):
+            some = np.flatnonzero(gap[:, t] <= self.bound[t] + SLACK)
+            if not len(some):
+                continue
+            cells = slice(tree.start[t], tree.start[t + 1])
+            near = _gap(x[some], tree.fine[cells]) <= self.reach[cells]
+            for g in np.unique(self.group[cells][self.group[cells] >= 0]):
+                rows = some[near[:, self.group[cells] == g].any(axis=1)]
+                if len(rows):
+                    yield int(g), rows
+
+
+def _scatter(df: DataFrame, id_type, tree, groups, query: bool) -> DataFrame:
+    """Send each row to the tasks that need it: a query to all parts of its group, a corpus row to its part of every group in reach."""
     schema = StructType([
         StructField("cell", IntegerType()), StructField("qb", IntegerType()), StructField("cb", IntegerType()),
         StructField("id", id_type), StructField("vec", ArrayType(DoubleType())),
@@ -104,19 +176,22 @@ def _scatter(df: DataFrame, id_type, pivots, plan, query: bool) -> DataFrame:
         )
 
     def run(batches):
+        plan = groups.value
         for table in batches:
             x = as_matrix(table.column(1))
             if not len(x):
                 continue
-            gap = _gap(_lift(x, query), pivots.value)
-            own = gap.argmin(axis=1)
-            for i, (reach, q_blocks, c_blocks) in plan.value.items():
-                rows = np.flatnonzero(own == i if query else gap[:, i] <= reach)
-                if not len(rows):
-                    continue
+            x = _lift(x, query)
+            if query:
+                own = plan.group[tree.value.cells(x)[0]]
+                found = ((int(g), np.flatnonzero(own == g)) for g in np.unique(own))
+            else:
+                found = plan.reached(x, tree.value)
+            for g, rows in found:
+                q_blocks, c_blocks = plan.parts[g]
                 slot = _slot(table.column(0).take(pa.array(rows)), q_blocks if query else c_blocks)
                 for other in range(c_blocks if query else q_blocks):
-                    yield emit(table, rows, i, slot, other) if query else emit(table, rows, i, other, slot)
+                    yield emit(table, rows, g, slot, other) if query else emit(table, rows, g, other, slot)
 
     return df.mapInArrow(run, schema)
 
@@ -136,8 +211,26 @@ def _best(sims: np.ndarray, q_at: np.ndarray, ids: np.ndarray, k: int):
     return row[keep], col[keep]
 
 
+def index(q: DataFrame, c: DataFrame, need: int, block_rows: int | None = None):
+    """Pivot tree of the corpus rows (id, vec) and task groups of the queries, both broadcast; (None, None) without corpus rows.
+
+    Unless given, the rows of a block follow from `BLOCK_BYTES`, less where there are too few rows to keep all cores busy.
+    """
+    sc = q.sparkSession.sparkContext
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    picked = sample_rows(c, int(min(MAX_CELLS, -(-size["n"] // CELL_ROWS))), "id").collect() if size["n"] else []
+    if not picked:
+        return None, None
+    tree = sc.broadcast(PivotTree(np.array([r["vec"] for r in picked], dtype=np.float64)))
+    q_cells, c_cells = _cell_stats(q, tree, True), _cell_stats(c, tree, False)
+    if block_rows is None:
+        spread = math.ceil(max(q_cells[0].sum(), c_cells[0].sum()) / sc.defaultParallelism)
+        block_rows = max(1, min(BLOCK_BYTES // (8 * ((size["d"] or 0) + 2)), max(512, spread)))
+    return tree, sc.broadcast(Groups(q.sparkSession, tree, q_cells, c_cells, need, block_rows))
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id: str, query_vec: str = "embedding",
-            corpus_vec: str = "embedding", exclude_same_id: bool = False, block_rows: int = 4096) -> DataFrame:
+            corpus_vec: str = "embedding", exclude_same_id: bool = False, block_rows: int | None = None) -> DataFrame:
     """Exact k nearest corpus rows of every query: (query_id, neighbour_id, similarity, rank).
 
     Similarities equal to 9 places are ties and go to the smaller id.
@@ -146,17 +239,11 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus
     q = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("id"), F.col(query_vec).alias("vec"))
     c = corpus.filter(F.col(corpus_vec).isNotNull()).select(F.col(corpus_id).alias("id"), F.col(corpus_vec).alias("vec"))
     id_type, other_type = q.schema["id"].dataType, c.schema["id"].dataType
-    size = c.count()
-    wanted = int(min(MAX_PIVOTS, max(1, size // block_rows)))
-    picked = sample_rows(c, wanted, "id").collect()
     out_schema = StructType([StructField("query_id", id_type), StructField("neighbour_id", other_type), StructField("similarity", DoubleType())])
-    if not picked:
+    tree, groups = index(q, c, k + (1 if exclude_same_id else 0), block_rows)
+    if groups is None:
         return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(1))
-    pivots = spark.sparkContext.broadcast(_lift(np.array([r["vec"] for r in picked], dtype=np.float64), False))
-    q_cells, c_cells = _cell_stats(q, pivots, True), _cell_stats(c, pivots, False)
-    need = k + (1 if exclude_same_id else 0)
-    plan = spark.sparkContext.broadcast(_plan(q_cells, c_cells, pivots.value, need, block_rows))
-    left, right = _scatter(q, id_type, pivots, plan, True), _scatter(c, other_type, pivots, plan, False)
+    left, right = _scatter(q, id_type, tree, groups, True), _scatter(c, other_type, tree, groups, False)
 
     def match(qt: pa.Table, ct: pa.Table) -> pa.Table:
         if not qt.num_rows or not ct.num_rows:

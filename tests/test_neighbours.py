@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,21 +52,35 @@ def test_two_tables_and_few_rows(spark, hot):
     assert got(neighbours.nearest(frame(spark, q[:2]), frame(spark, hot[:3]), 5, "id", "id")) == brute(q[:2], hot[:3], 5)
 
 
-def test_pruning_does_not_visit_everything(spark):
+def copies(df, k, block):
+    """How many tasks a corpus row is sent to, on average."""
+    rows = df.select("id", F.col("embedding").alias("vec"))
+    tree, groups = neighbours.index(rows, rows, k, block)
+    return neighbours._scatter(rows, rows.schema["id"].dataType, tree, groups, False).count() / rows.count()
+
+
+def test_copies_per_row_do_not_grow_with_the_rows(spark):
+    """Clusters of 50 rows: four times as many rows make twice the cells, and a row still meets its own neighbourhood only."""
     rng = np.random.default_rng(2)
-    centers = rng.normal(size=(8, 10))
-    x = np.vstack([centers[i % 8] + 0.01 * rng.normal(size=10) for i in range(800)])
-    df = frame(spark, x)
-    sc = spark.sparkContext
-    picked = np.array([c for c in centers])
-    pivots = sc.broadcast(neighbours._lift(picked, False))
-    rows = df.select("id", "embedding")
-    plan = neighbours._plan(neighbours._cell_stats(rows, pivots, True), neighbours._cell_stats(rows, pivots, False), pivots.value, 5, 100)
-    sent = neighbours._scatter(rows, rows.schema["id"].dataType, pivots, sc.broadcast(plan), False).count()
-    assert sent < 4 * 800
+    sent = []
+    for n in (1000, 4000):
+        centers = rng.normal(size=(n // 50, 10))
+        x = np.vstack([centers[i % len(centers)] + 0.005 * rng.normal(size=10) for i in range(n)])
+        df = frame(spark, x)
+        sent.append(copies(df, 5, 100))
+    assert sent[1] < 1.3 * sent[0] < 8
     assert got(neighbours.nearest(df, df, 5, "id", "id", block_rows=100)) == brute(x, x, 5)
 
 
+def test_groups_are_sized_by_bytes(spark, monkeypatch):
+    """Without structure a row is copied once per group, and groups hold a fixed number of bytes."""
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 600 * 8 * 34)
+    x = np.random.default_rng(5).normal(size=(6000, 32))
+    assert copies(frame(spark, x), 5, None) <= 6000 / 600 * 2 + math.isqrt(78)
+    tree = neighbours.PivotTree(x[:100])
+    assert len(tree.fine) == 100 and len(tree.tops) <= 10 and tree.start[-1] == 100
+
+
 def test_string_ids(spark, hot):
     ids = [f"d{i:03d}" for i in range(60)]
     df = frame(spark, hot[:60], ids)
