@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
 
 from driftline.catalog.base import documents, CORPUS, DIMS, EMBEDDED, STORED, VECTOR_PARTS, VECTORS, corpus, embedded, hashed_sql, query, r, stored, vectors
-from driftline.operators import clusters, embedding, neighbours
+from driftline.operators import clusters, embedding, lloyd, neighbours
 from driftline.operators.ranking import stratified_split
 from driftline.session import settle
 
@@ -24,6 +26,34 @@ def choose_k(spark, folder):
     return clusters.choose_k(vectors(spark, folder), "vec_id")
 
 
+def _lloyd_sql(steps: int) -> str:
+    """Lloyd steps from two starts: the labels' centroids, and those of vec_id modulo 3."""
+    def centres(rows: str) -> str:
+        return f"""(SELECT start, c, list(x ORDER BY pos) AS m FROM (
+  SELECT start, c, pos, avg(x) AS x FROM (SELECT start, c, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM {rows}) GROUP BY ALL) GROUP BY ALL)"""
+
+    out = """WITH vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+a0 AS (SELECT vec_id, v, 'labels' AS start, label AS c, 0.0::DOUBLE AS d FROM vecs UNION ALL SELECT vec_id, v, 'thirds', vec_id % 3, 0.0 FROM vecs)"""
+    for k in range(1, steps + 2):
+        out += f""",
+c{k} AS {centres(f'a{k - 1}')},
+a{k} AS (SELECT * EXCLUDE (rn) FROM (SELECT vec_id, v, c.start, c.c, list_distance(v, m) ** 2 AS d,
+  row_number() OVER (PARTITION BY vec_id, c.start ORDER BY list_distance(v, m), c.c) AS rn FROM vecs, c{k} c) WHERE rn = 1)"""
+    return out + f" SELECT start, CAST(c AS INTEGER) AS cluster, count(*) AS size, {r('sum(d)')} AS cost FROM a{steps + 1} GROUP BY ALL"
+
+
+@query("lloyd_steps", _lloyd_sql(3))
+def lloyd_steps(spark, folder):
+    rows = vectors(spark, folder)
+    starts = {}
+    for name, key in (("labels", F.col("label")), ("thirds", F.col("vec_id") % 3)):
+        found = embedding.mean_vectors(rows.withColumn("c", key), ["c"]).orderBy("c").collect()  # a row per centre
+        starts[name] = ([f["c"] for f in found], np.array([f["centroid"] for f in found]))
+    fits = lloyd.fit_many(rows, "embedding", [c for _, c in starts.values()], max_steps=3, tolerance=0.0)
+    out = [(name, int(c), int(n), float(cost)) for (name, (ids, _)), f in zip(starts.items(), fits) for c, n, cost in zip(ids, f.sizes, f.costs) if n]
+    return spark.createDataFrame(out, "start string, cluster int, size long, cost double")
+
+
 @query("cluster_balance", f"""WITH s AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label), p AS (SELECT *, size / sum(size) OVER () AS share FROM s)
 SELECT label, size, {r('share')} AS share, {r('-sum(share * ln(share + 1e-10)) OVER () / ln(count(*) OVER ())')} AS balance FROM p""")
 def cluster_balance(spark, folder):

@@ -8,23 +8,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.vectors import dot, doubles, norm, unit
+from driftline.operators import lloyd
 from driftline.operators.embedding import as_matrix, mean_vectors
 from driftline.operators.neighbours import distance_sums
+from driftline.operators.ranking import sample_rows
 from driftline.session import lookup, packed, settle
 
 SLICE_CELLS = 4_000_000  # numbers per broadcast slice: 32 MB
@@ -34,33 +32,29 @@ def topic_count(rows: int, n_topics: int = 8) -> int:
     return min(n_topics, max(1, rows // 20))
 
 
-def _features(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    rows = df.filter(F.col(vec).isNotNull()).select(id_col, array_to_vector(doubles(vec)).alias("features"))
-    return packed(settle(rows))
+def _vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return packed(settle(df.filter(F.col(vec).isNotNull()).select(id_col, doubles(vec).alias("v"))))
 
 
-def _side_by_side(rows: DataFrame, estimators: list[KMeans], at_once: int = 4) -> list:
-    """Independent fits submitted from a few driver threads, so their small jobs share the cluster."""
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        with ThreadPoolExecutor(at_once) as pool:
-            run = [pool.submit(inheritable_thread_target(rows.sparkSession)(e.fit), rows) for e in estimators]
-            return [f.result() for f in run]
-    finally:
-        rows.unpersist()
+def _sample(rows: DataFrame, id_col: str, most: int) -> np.ndarray:
+    """Vectors of at most `most` rows, chosen by hash: what starts are picked from."""
+    return np.array([r["v"] for r in sample_rows(rows, most, id_col).select("v").collect()], dtype=float)
 
 
 def assign_topics(df: DataFrame, id_col: str, vec: str = "embedding", n_topics: int = 8, restarts: int = 10,
-                  seed: int = 42) -> DataFrame:
-    """KMeans topics (id, topic): k = min(n_topics, max(1, n div 20)), the cheapest of several seeded starts."""
-    rows = _features(df, id_col, vec)
+                  seed: int = 42, start_rows: int = 5_000) -> DataFrame:
+    """KMeans topics (id, topic): k = min(n_topics, max(1, n div 20)), the cheapest of several seeded starts.
+
+    Starts are picked from a sample of `start_rows` rows; all of them are fitted to all rows, in the same scans.
+    """
+    rows = _vectors(df, id_col, vec)
     n = rows.count()
     k = topic_count(n, n_topics)
     if k < 2:
         return rows.select(id_col, F.lit(0).alias("topic"))
-    fits = _side_by_side(rows, [KMeans(k=k, seed=seed + i, maxIter=100) for i in range(restarts)])
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).select(id_col, F.col("prediction").alias("topic"))
+    sample = _sample(rows, id_col, start_rows)
+    fits = lloyd.fit_many(rows, "v", [lloyd.spread_starts(sample, k, seed + i) for i in range(restarts)])
+    return lloyd.assigned(rows, id_col, "v", min(fits, key=lambda f: f.cost).centres, "topic")
 
 
 def topic_sizes(assigned: DataFrame, topic: str = "topic") -> DataFrame:
@@ -68,14 +62,16 @@ def topic_sizes(assigned: DataFrame, topic: str = "topic") -> DataFrame:
     return assigned.groupBy(F.col(topic).alias("topic_id")).agg(F.count(F.lit(1)).alias("size"))
 
 
-def choose_k(df: DataFrame, id_col: str, vec: str = "embedding", ks: tuple[int, ...] = tuple(range(2, 21)), seed: int = 42) -> DataFrame:
-    """Silhouette and inertia for every k; the best silhouette is marked."""
-    rows = _features(df, id_col, vec)
-    judge = ClusteringEvaluator()
+def choose_k(df: DataFrame, id_col: str, vec: str = "embedding", ks: tuple[int, ...] = tuple(range(2, 21)), seed: int = 42,
+             start_rows: int = 5_000) -> DataFrame:
+    """Silhouette and inertia for every k; the best silhouette is marked. All k are fitted, and judged, in the same scans."""
+    rows = _vectors(df, id_col, vec)
+    sample = _sample(rows, id_col, start_rows)
     found = []
-    for k, model in zip(ks, _side_by_side(rows, [KMeans(k=k, seed=seed, maxIter=100) for k in ks])):
-        found.append((k, float(judge.evaluate(model.transform(rows))), float(model.summary.trainingCost)))
-    best = max(found, key=lambda r: (r[1], -r[0]))[0]
+    if len(sample):
+        fits = lloyd.fit_many(rows, "v", [lloyd.spread_starts(sample, k, seed) for k in ks])
+        found = list(zip(ks, lloyd.silhouettes(rows, "v", fits), [f.cost for f in fits]))
+    best = max((r for r in found if r[1] is not None), key=lambda r: (r[1], -r[0]), default=(None,))[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in found], "k int, silhouette double, inertia double, best boolean")
 
 

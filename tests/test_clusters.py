@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import clusters, quality
+from driftline.operators import clusters, lloyd, quality
 
 
 @pytest.fixture(scope="module")
@@ -88,6 +88,34 @@ def test_topics(spark, df):
     assert (clusters.topic_count(19), clusters.topic_count(40), clusters.topic_count(10**6)) == (1, 2, 8)
 
 
+def test_all_starts_share_the_scans(spark, df, data, monkeypatch):
+    x, label = data
+    scans = []
+    real = lloyd._scan
+    monkeypatch.setattr(lloyd, "_scan", lambda rows, vec, fits: scans.append(len(fits)) or real(rows, vec, fits))
+    starts = [lloyd.spread_starts(x, k, seed) for k, seed in ((3, 1), (3, 2), (3, 3), (4, 1), (2, 5))]
+    fits = lloyd.fit_many(df, "embedding", starts)
+    assert len(scans) == max(f.steps for f in fits) + 1 and scans[0] == scans[-1] == 5
+    for f, start in zip(fits, starts, strict=True):  # each fit as on its own
+        centres = start
+        for _ in range(f.steps):
+            best = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.array([x[best == c].mean(0) if (best == c).any() else centres[c] for c in range(len(centres))])
+        assert np.allclose(f.centres, centres) and abs(f.cost - ((x[:, None] - centres[None]) ** 2).sum(2).min(1).sum()) < 1e-8
+    by_label = sum(((x[label == c] - x[label == c].mean(0)) ** 2).sum() for c in set(label))
+    assert min(f.cost for f in fits[:3]) <= by_label
+    for f, got in zip(fits, lloyd.silhouettes(df, "embedding", fits), strict=True):
+        best = ((x[:, None] - f.centres[None]) ** 2).sum(2).argmin(1)
+        assert abs(got - brute_silhouette(distances(x, "sqeuclidean"), best)) < 1e-9
+
+
+def test_lloyd_odd_cases(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "id long, embedding array<double>")
+    fit = lloyd.fit_many(same, "embedding", [lloyd.spread_starts(np.ones((30, 2)), 3, 0)])[0]
+    assert fit.sizes.tolist() == [30, 0, 0] and lloyd.silhouettes(same, "embedding", [fit]) == [None]
+    assert clusters.choose_k(same.limit(0), "id").count() == 0
+
+
 def test_choose_k(spark, df):
     out = clusters.choose_k(df, "id", ks=(2, 3, 4)).collect()
     assert sum(r["best"] for r in out) == 1 and max(out, key=lambda r: r["silhouette"])["best"]
