@@ -48,19 +48,32 @@ def feed_files(spark, folder):
     ), {"rowTag": "item"}).alias("xml"))
     path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     head = F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>all</title>')
-    items.repartition(2).select(F.concat(head, "xml").alias("value")).write.text(path)
+    items.select(F.concat(head, "xml").alias("value")).write.text(path)
     return feeds.read_rss(spark, path)
 
 
-@query("feed_atom", f"""WITH {CORPUS}
-SELECT 'arxiv' AS source, title, text AS summary, title || chr(10) || text AS text, published, 'doc:' || doc_id AS url FROM corpus""")
-def feed_atom(spark, folder):
-    entries = _dated(spark, folder).select(F.to_xml(F.struct(
+def _entries(spark, folder):
+    return _dated(spark, folder).select(F.to_xml(F.struct(
         "title", F.col("text").alias("summary"),
         F.array(F.struct(F.concat(F.lit("doc:"), "doc_id").alias("_href"))).alias("link"),
         F.concat(F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("published"),
     ), {"rowTag": "entry"}).alias("xml"))
-    return feeds.parse_items(entries, "xml", "atom")
+
+
+@query("feed_atom", f"""WITH {CORPUS}
+SELECT 'arxiv' AS source, title, text AS summary, title || chr(10) || text AS text, published, 'doc:' || doc_id AS url FROM corpus""")
+def feed_atom(spark, folder):
+    return feeds.parse_items(_entries(spark, folder), "xml", "atom")
+
+
+@query("atom_files", f"""WITH {CORPUS}
+SELECT 'arxiv' AS source, title, text AS summary, title || chr(10) || text AS text, published, 'doc:' || doc_id AS url FROM corpus""")
+def atom_files(spark, folder):
+    """The documents written as Atom files into the shared folder and read from there, split by entry."""
+    path = f"{shared_dir(spark)}/atom-{uuid.uuid4().hex}"
+    head = F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>')
+    _entries(spark, folder).select(F.concat(head, "xml").alias("value")).write.text(path)
+    return feeds.read_atom(spark, path)
 
 
 @query("date_range", """SELECT event_id, ts FROM events
@@ -90,6 +103,19 @@ def labelled_rows(spark, folder):
     return labelled.label_rows(raw).select("doc_id", "class", "category", "text")
 
 
+@query("labelled_files", """WITH raw AS (SELECT CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END AS class,
+  split_part(text, chr(10), 1) AS title, text AS description FROM documents)
+SELECT class, CASE class WHEN 1 THEN 'World' WHEN 2 THEN 'Sports' WHEN 3 THEN 'Business' ELSE 'Sci/Tech' END AS category,
+  title || '. ' || description AS text FROM raw""")
+def labelled_files(spark, folder):
+    """The documents written as CSV files, line breaks and quotes in the texts, into the shared folder and read from there, split by split."""
+    number = F.when(F.col("lang") == "de", "1").when(F.col("lang") == "en", "2").when(F.col("lang") == "es", "3").otherwise("4")
+    path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    rows = corpus(spark, folder).select(number.alias("class"), "title", F.col("text").alias("description"))
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return labelled.read_labelled_csv(spark, path).select("class", "category", "text")
+
+
 @query("stored_vectors", f"WITH {STORED} SELECT doc_id, CAST(label AS DOUBLE) AS label, CAST(len(v) AS DOUBLE) AS dims, {r('list_sum(v)')} AS total FROM stored")
 def stored_vectors(spark, folder):
     from driftline.functions.vectors import total

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from driftline.functions.text import class_name, join_title
+from driftline.sources.csvfiles import read_csv
 
 RAW = StructType([StructField(c, StringType()) for c in ("class", "title", "description")])
 
@@ -18,9 +19,8 @@ def label_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Headered and headerless files alike, in one pass without schema inference."""
-    raw = spark.read.schema(RAW).option("header", "false").option("multiLine", "true").option("escape", '"').csv(path)
-    return label_rows(raw)
+    """Headered and headerless files alike, without schema inference; files are split, line breaks in quotes or not."""
+    return label_rows(read_csv(spark, path, RAW))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -1,10 +1,11 @@
 from datetime import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import corpus as ops
 from driftline.operators import ranking
-from driftline.sources import feeds, labelled, sinks
+from driftline.sources import csvfiles, feeds, labelled, sinks
 
 
 def days(spark, *values):
@@ -107,6 +108,34 @@ def test_labelled_csv_both_header_modes(spark, tmp_path):
             (1, "World", "World title. "), (3, "Business", 'Oil, up. He said "more"\nlines')]
 
 
+@pytest.mark.parametrize("split", [64, 200, 5000, 1 << 20])
+def test_csv_with_line_breaks_in_many_splits(spark, tmp_path, split):
+    """Row for row what the csv module reads, whatever the size of a split; some records are longer than several splits."""
+    import csv
+    import random
+
+    rng = random.Random(split)
+    parts = ["a b", '"', "\n", "\r\n", ",", "é😀", "", " ", "x" * 30, '""', "\n\n"]
+    rows = [(str(k), "".join(rng.choices(parts, k=rng.randint(0, 8))), "".join(rng.choices(parts, k=rng.choice([1, 3, 200])))) for k in range(120)]
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for f, end in ((0, "\n"), (1, "\r\n")):
+        with open(folder / f"{f}.csv", "w", newline="", encoding="utf-8") as file:
+            csv.writer(file, quoting=csv.QUOTE_ALL, lineterminator=end).writerows(rows[f::2])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        if split < 1000:
+            assert csvfiles.quote_parities(spark, str(folder)).count() > 20
+        got = csvfiles.read_csv(spark, str(folder), labelled.RAW).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    plain = lambda v: v or ""
+    assert sorted((plain(r[0]), plain(r[1]), plain(r[2])) for r in got) == sorted(rows)
+
+
 RSS = """<?xml version="1.0"?><rss><channel><title>feed</title>
 <item><title>One</title><description>Body &amp; more</description><link>u1</link><pubDate>Mon, 01 Jan 2024 10:00:00 +0200</pubDate></item>
 <item><title>Two</title><link>u2</link><pubDate>not a date</pubDate><updated>2024-02-03T04:05:06Z</updated></item>
