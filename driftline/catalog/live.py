@@ -27,8 +27,8 @@ def stream_trajectory(spark, folder):
     concept = trajectory.concept_vectors(trajectory.group_means(docs, ["that"]), ["that"]).first()["concept_vec"]
     base, stream = _landing(spark, docs.select("published", "embedding"))
     rows = stream.withColumn("published", live.utc_instant("published"))
-    live.run_complete(live.windowed_centroids(rows), f"{base}/centroids", f"{base}/state")
-    return live.live_trajectory(live.current(spark, f"{base}/centroids"), concept)
+    live.run_merged(rows, f"{base}/centroids", f"{base}/state")
+    return live.live_trajectory(live.merged_centroids(spark, f"{base}/centroids"), concept)
 
 
 @query("stream_dedup", f"WITH {CORPUS} SELECT url, count(*) AS rows, min(text) AS text FROM (SELECT 'u' || doc_id AS url, {CLEAN.format('text')} AS text FROM corpus) GROUP BY url")

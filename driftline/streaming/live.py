@@ -28,11 +28,11 @@ def clean_stream(stream: DataFrame, lateness: str = "14 days") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["url"])
 
 
-def windowed_centroids(rows: DataFrame, width: str = "7 days", offset: str = "4 days", vec: str = "embedding") -> DataFrame:
+def window_sums(rows: DataFrame, width: str = "7 days", offset: str = "4 days", vec: str = "embedding") -> DataFrame:
     """Vector sum and count per window. Windows count from the epoch, a Thursday; a 4-day offset starts weeks on Monday."""
-    return rows.groupBy(F.window("published", width, width, offset).alias("w")).agg(
-        vector_to_array(Summarizer.mean(array_to_vector(doubles(vec)))).alias("centroid"), F.count(F.lit(1)).alias("docs")
-    ).select(F.to_utc_timestamp("w.start", F.current_timezone()).cast("timestamp_ntz").alias("time_bin"), "centroid", "docs")
+    return rows.filter(F.col(vec).isNotNull()).groupBy(F.window("published", width, width, offset).alias("w")).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(doubles(vec)))).alias("total"), F.count(F.lit(1)).alias("docs")
+    ).select(F.to_utc_timestamp("w.start", F.current_timezone()).cast("timestamp_ntz").alias("time_bin"), "total", "docs")
 
 
 def live_trajectory(centroids: DataFrame, concept_vec: list[float]) -> DataFrame:
@@ -47,22 +47,42 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
         availableNow=True).start().awaitTermination()
 
 
-def run_complete(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything that has landed; each micro-batch writes the whole result (one row per window) beside the old one.
+def run_merged(rows: DataFrame, path: str, checkpoint: str, width: str = "7 days", offset: str = "4 days", vec: str = "embedding") -> None:
+    """Merge the window sums of everything that has landed into the versioned table at `path` (time_bin, total, docs).
 
-    A batch that is written twice after a failure replaces itself; `current` reads the newest complete one, so readers never
-    see a half-written table.
+    Sums add up, so rows may come late by any time and files in any order: a micro-batch is summed on its own, added to the newest version, and
+    written as the next one. The stream itself keeps no state, the table one row per window. A version is complete or not there for
+    readers; a batch that runs again after a failure starts from the version before it and replaces its own. Of the old versions the last one stays
+    for readers that still hold it.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number:010d}")
-
-    df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        spark = batch.sparkSession
+        done = [v for v in versions(spark, path) if v < number]
+        table = window_sums(batch, width, offset, vec)
+        if done:
+            both = spark.read.parquet(_version(path, done[-1])).unionByName(table)
+            table = both.groupBy("time_bin").agg(vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"), F.sum("docs").alias("docs"))
+        table.write.mode("overwrite").parquet(_version(path, number))
+        for old in done[:-1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(_version(path, old))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    rows.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete result that `run_complete` has written."""
-    jvm = spark._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+def _version(path: str, number: int) -> str:
+    return f"{path}/version={number:010d}"
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions, oldest first."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
     found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
-    return spark.read.parquet(max(str(f.getPath().getParent()) for f in found))
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def merged_centroids(spark: SparkSession, path: str) -> DataFrame:
+    """(time_bin, centroid, docs) of the newest version."""
+    table = spark.read.parquet(_version(path, versions(spark, path)[-1]))
+    return table.select("time_bin", F.transform("total", lambda x: x / F.col("docs")).alias("centroid"), "docs")

@@ -48,13 +48,43 @@ def test_stream_equals_batch(spark, raw, tmp_path):
     docs.repartition(6).write.parquet(landing)
     stream = live.read_landing(spark, landing, spark.read.parquet(landing).schema, files_per_trigger=2)
     stream = stream.withColumn("published", live.utc_instant("published"))
-    live.run_complete(live.windowed_centroids(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {r["time_bin"]: (r["docs"], r["centroid"]) for r in live.current(spark, str(tmp_path / "out")).collect()}
+    live.run_merged(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r["time_bin"]: (r["docs"], r["centroid"]) for r in live.merged_centroids(spark, str(tmp_path / "out")).collect()}
     want = {r["time_bin"]: (r["docs"], r["centroid"]) for r in mean_vectors(docs, ["time_bin"]).collect()}
     assert got.keys() == want.keys()
     assert all(got[b][0] == want[b][0] and np.allclose(got[b][1], want[b][1]) for b in want)
 
 
+def test_late_and_out_of_order_files_are_merged(spark, raw, tmp_path):
+    """Files from the newest week to the oldest, one per batch, in three runs; the table equals the batch result and old versions go."""
+    import random
+
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(days=rng.randint(0, 90)), [rng.random(), rng.random(), 1.0]) for _ in range(400)] + [(start, None)]
+    rows.sort(key=lambda r: r[0], reverse=True)
+    schema = "published timestamp_ntz, embedding array<double>"
+    landing, out = str(tmp_path / "late"), str(tmp_path / "late-out")
+    for part in range(3):
+        for k in range(4):
+            lo = (part * 4 + k) * 34
+            spark.createDataFrame(rows[lo : lo + 34], schema).coalesce(1).write.mode("append").parquet(landing)
+        stream = live.read_landing(spark, landing, spark.read.parquet(landing).schema, files_per_trigger=1)
+        stream = stream.withColumn("published", live.utc_instant("published"))
+        live.run_merged(stream, out, str(tmp_path / "late-state"))
+        assert len(live.versions(spark, out)) <= 2
+    assert live.versions(spark, out)[-1] == 11
+    got = {r["time_bin"]: (r["docs"], r["centroid"]) for r in live.merged_centroids(spark, out).collect()}
+    want = {}
+    for when, v in rows:
+        if v:
+            want.setdefault(when - timedelta(days=when.weekday()), []).append(v)
+    assert got.keys() == want.keys()
+    for when, vs in want.items():
+        assert got[when][0] == len(vs) and all(abs(a - sum(c) / len(vs)) < 1e-12 for a, c in zip(got[when][1], zip(*vs), strict=True))
+    assert stream.sparkSession.read.parquet(live._version(out, 11)).count() == len(want)  # a row per window, nothing else is kept
+
+
 def test_stream_dedup(spark, raw, tmp_path):
     landing = str(tmp_path / "landing")
     raw.unionByName(raw.limit(50)).repartition(3).write.parquet(landing)
