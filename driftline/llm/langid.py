@@ -27,7 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LONGEST = 40
-REMEMBERED = 50_000  # words whose scores a task keeps
+REMEMBERED = 400_000  # words whose scores a task keeps
 SAME = np.arange(256, dtype=np.uint8)
 
 
