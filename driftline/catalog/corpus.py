@@ -258,6 +258,53 @@ def series_frequency(spark, folder):
     return series.frequency(sales_series(spark, folder), ["series"])
 
 
+# Calendars planted in the order dates: each date moved to the beginning or end of its week, month, quarter or year; all business days of its week.
+CALENDARS_SQL = """days AS (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS d FROM orders),
+planted AS (SELECT DISTINCT series, t FROM (
+  SELECT 'month_start' AS series, CAST(date_trunc('month', d) AS TIMESTAMP) AS t FROM days UNION ALL SELECT 'month_end', CAST(last_day(d) AS TIMESTAMP) + INTERVAL 18 HOUR FROM days
+  UNION ALL SELECT 'quarter_start', CAST(date_trunc('quarter', d) AS TIMESTAMP) FROM days UNION ALL SELECT 'quarter_end', CAST(last_day(date_trunc('quarter', d) + INTERVAL 2 MONTH) AS TIMESTAMP) FROM days
+  UNION ALL SELECT 'year_start', CAST(date_trunc('year', d) AS TIMESTAMP) FROM days UNION ALL SELECT 'week', CAST(date_trunc('week', d) AS TIMESTAMP) + INTERVAL 9 HOUR FROM days
+  UNION ALL SELECT 'business', CAST(date_trunc('week', d) AS TIMESTAMP) + to_days(CAST(k AS INTEGER)) FROM days, (SELECT unnest(range(5)) AS k)
+  UNION ALL SELECT 'irregular', d FROM days WHERE day(d) IN (1, 2, 5, 11))),
+steps AS (SELECT *, lag(t) OVER w AS b, epoch(t) - epoch(lag(t) OVER w) AS s, (year(t) * 12 + month(t)) - lag(year(t) * 12 + month(t)) OVER w AS m
+  FROM planted WINDOW w AS (PARTITION BY series ORDER BY t)),
+one AS (SELECT series, count(*) AS n, min(s) AS lo, max(s) AS hi, median(s) AS median_step, min(m) AS m, max(m) AS m_hi, bool_and(day(t) = 1) AS first,
+  bool_and(CAST(t AS DATE) = last_day(t)) AS last, count(DISTINCT CAST(t AS TIME)) = 1 AS clock, max(t) AS t,
+  bool_and(isodow(t) < 6 AND (s IS NULL OR s = 86400 OR (s = 3 * 86400 AND isodow(b) = 5))) AS business FROM steps GROUP BY series),
+named AS (SELECT *, CASE WHEN n < 3 THEN NULL WHEN clock AND (first OR last) AND m = m_hi THEN CASE WHEN m % 12 = 0 THEN 'Y' WHEN m % 3 = 0 THEN 'Q' ELSE 'M' END || CASE WHEN first THEN 'S' ELSE 'E' END
+  WHEN lo = hi AND lo % (7 * 86400) = 0 THEN 'W' WHEN lo = hi AND lo % 86400 = 0 THEN 'D' WHEN clock AND business THEN 'B' END AS unit FROM one),
+sized AS (SELECT *, CAST(CASE left(unit, 1) WHEN 'Y' THEN m / 12 WHEN 'Q' THEN m / 3 WHEN 'M' THEN m WHEN 'W' THEN lo / (7 * 86400) WHEN 'D' THEN lo / 86400 WHEN 'B' THEN 1 END AS INTEGER) AS every,
+  CASE WHEN unit LIKE 'Y%' THEN upper(strftime(t, '%b')) WHEN unit LIKE 'Q%' THEN ['OCT', 'NOV', 'DEC'][(month(t) - 1) % 3 + 1] WHEN unit = 'W' THEN upper(strftime(t, '%a')) END AS anchor FROM named),
+calendars AS (SELECT series, n, CASE WHEN every > 1 THEN CAST(every AS VARCHAR) ELSE '' END || unit || coalesce('-' || anchor, '') AS freq, unit, every, median_step, t FROM sized)"""
+
+
+def _calendars(spark, folder):
+    days = read_table(spark, folder, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("d")).distinct()
+    moved = lambda unit: F.date_trunc(unit, "d").cast("timestamp_ntz")
+    end = lambda c: F.last_day(c).cast("timestamp_ntz")
+    planted = {
+        "month_start": moved("month"), "month_end": end("d") + F.expr("interval 18 hours"), "quarter_start": moved("quarter"),
+        "quarter_end": end(F.add_months(moved("quarter"), 2)), "year_start": moved("year"), "week": moved("week") + F.expr("interval 9 hours")}
+    rows = days.select(F.inline(F.array(*[F.struct(F.lit(k).alias("series"), t.alias("time_bin")) for k, t in planted.items()])))
+    business = days.select(F.lit("business").alias("series"), F.explode(F.array(*[moved("week") + F.expr(f"interval {k} days") for k in range(5)])).alias("time_bin"))
+    odd = days.where(F.day("d").isin(1, 2, 5, 11)).select(F.lit("irregular").alias("series"), F.col("d").alias("time_bin"))
+    return rows.unionByName(business).unionByName(odd).distinct()
+
+
+@query("calendar_frequency", f"WITH {CALENDARS_SQL} SELECT series, n, freq, unit, coalesce(every, 0) AS every, {r('median_step')} AS median_step FROM calendars")
+def calendar_frequency(spark, folder):
+    return series.calendar_frequency(_calendars(spark, folder), ["series"]).withColumn("every", F.coalesce("every", F.lit(0)))
+
+
+@query("calendar_future", f"""WITH {CALENDARS_SQL}, ahead AS (SELECT *, CAST(step AS INTEGER) AS step, CAST(every * step * CASE left(unit, 1) WHEN 'Y' THEN 12 WHEN 'Q' THEN 3 ELSE 1 END AS INTEGER) AS months
+  FROM calendars, unnest(range(1, 7)) AS u(step))
+SELECT series, step, freq, CAST(CASE WHEN unit LIKE '_S' THEN t + to_months(months) WHEN unit LIKE '_E' THEN CAST(last_day(date_trunc('month', t) + to_months(months)) AS TIMESTAMP) + (t - date_trunc('day', t))
+  WHEN unit = 'B' THEN t + to_days(CAST(step + 2 * ((isodow(t) - 1 + step) // 5) AS INTEGER)) WHEN unit = 'W' THEN t + to_days(CAST(7 * every * step AS INTEGER)) WHEN unit = 'D' THEN t + to_days(CAST(every * step AS INTEGER))
+  ELSE t + to_microseconds(CAST(round(median_step * step * 1000000) AS BIGINT)) END AS TIMESTAMP) AS time_bin FROM ahead""")
+def calendar_future(spark, folder):
+    return series.calendar_future(_calendars(spark, folder), ["series"], 6)
+
+
 @query("future_bins", f"""WITH {SALES_SERIES}, s AS (SELECT series, count(*) AS n, min(time_bin) AS a, max(time_bin) AS b FROM sales_series GROUP BY series)
 SELECT series, CAST(step AS INTEGER) AS step, b + to_microseconds(CAST(round((epoch_us(b) - epoch_us(a)) / (n - 1) * step) AS BIGINT)) AS time_bin
 FROM s, unnest(range(1, 13)) AS t(step)""")

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,24 @@ def test_unit_root_tells_walk_from_noise(spark):
     df = frame(spark, noise=rng.normal(size=200), walk=np.cumsum(rng.normal(size=200)))
     got = {r["series"]: r["stationary"] for r in forecast.unit_root(df, ["series"]).collect()}
     assert got == {"noise": True, "walk": False}
+
+
+def test_calendar_frequency_as_pandas_names_it(spark):
+    names = ["D", "3D", "W-MON", "W-SUN", "2W-TUE", "MS", "2MS", "ME", "5ME", "QS-OCT", "QE-DEC", "QS-NOV", "2QE-OCT", "YS-JAN", "YE-MAR", "2YS-JUL", "B", "h", "6h", "36h", "15min", "30s"]
+    rows, want, ahead = [], {}, {}
+    for name in names:
+        days = pd.date_range("2023-11-07 10:30:00" if name in ("B", "3D", "ME", "W-MON") else "2023-11-07", periods=17, freq=name)
+        want[name] = pd.infer_freq(days[:11])
+        ahead[name] = list(days[11:])
+        rows += [(name, t.to_pydatetime()) for t in days[:11]]
+    rows += [("odd", datetime(2024, 1, d)) for d in (1, 2, 4, 9)] + [("few", datetime(2024, 1, d)) for d in (1, 2)] + [("one", datetime(2024, 1, 1)), ("D", rows[0][1])]
+    df = spark.createDataFrame(rows, "series string, time_bin timestamp_ntz")
+    got = {r["series"]: r for r in series.calendar_frequency(df, ["series"]).collect()}
+    assert {k: got[k]["freq"] for k in names} == want
+    assert got["odd"]["freq"] is None and got["odd"]["median_step"] == 2 * 86400 and got["few"]["freq"] is None and got["one"]["n"] == 1
+    future = {}
+    for r in series.calendar_future(df, ["series"], 6).orderBy("step").collect():
+        future.setdefault(r["series"], []).append(r["time_bin"])
+    for name in names:
+        assert future[name] == [t.to_pydatetime() for t in ahead[name]], name
+    assert future["one"][0] == datetime(2024, 1, 2) and future["odd"][0] == datetime(2024, 1, 11)
