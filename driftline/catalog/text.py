@@ -37,6 +37,10 @@ def _terms(spark, folder):
     return features.add_terms(documents(spark, folder).select("doc_id", "lang", "text")).drop("text")
 
 
+def _words(spark, folder):
+    return features.add_terms(documents(spark, folder).select("doc_id", "text"), bigrams=False).drop("text")
+
+
 @query("bigram_counts", f"WITH {TERMS} SELECT doc_id, count(*) AS terms, count(*) FILTER (contains(term, ' ')) AS pairs FROM terms GROUP BY doc_id")
 def bigram_counts(spark, folder):
     rows = _terms(spark, folder).filter(F.size("terms") > 0)
@@ -49,7 +53,7 @@ DOCSET = "docset AS (SELECT doc_id FROM documents)"
 
 @query("vocabulary", f"WITH {TERMS}, {DOCSET}, {_vocab(where='count(*) >= 2 AND count(*) <= max(docs) * 0.95::DOUBLE')} SELECT term, cf, df, docs, {r('idf')} AS idf FROM vocab")
 def vocabulary(spark, folder):
-    return features.vocabulary(_terms(spark, folder), min_df=2, max_df=0.95)
+    return features.vocabulary(_words(spark, folder), min_df=2, max_df=0.95, pairs=True)
 
 
 TFIDF = """w AS (SELECT doc_id, term, {tf} * idf AS w FROM tf JOIN vocab USING (term)),
@@ -58,14 +62,12 @@ tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) A
 
 @query("tfidf", f"WITH {TERMS}, {DOCSET}, {_vocab()}, {TFIDF.format(tf='tf')} SELECT doc_id, term, {r('tfidf')} AS tfidf FROM tfidf")
 def tfidf(spark, folder):
-    rows = _terms(spark, folder)
-    return features.tfidf_rows(rows, features.vocabulary(rows))
+    return features.tfidf_rows(_terms(spark, folder), features.vocabulary(_words(spark, folder), pairs=True))
 
 
 @query("tfidf_sublinear", f"WITH {TERMS}, {DOCSET}, {_vocab()}, {TFIDF.format(tf='(1 + ln(tf))')} SELECT doc_id, term, {r('tfidf')} AS tfidf FROM tfidf")
 def tfidf_sublinear(spark, folder):
-    rows = _terms(spark, folder)
-    return features.tfidf_rows(rows, features.vocabulary(rows), sublinear=True)
+    return features.tfidf_rows(_terms(spark, folder), features.vocabulary(_words(spark, folder), pairs=True), sublinear=True)
 
 
 SPLIT = """split AS (SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id)

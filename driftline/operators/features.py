@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -12,9 +15,11 @@ from pyspark.sql import functions as F
 
 from driftline.functions.text import STOP_WORDS, tokens, with_bigrams
 from driftline.functions.vectors import unit
-from driftline.session import lookup, settle
+from driftline.session import settle
 
 MAX_TERMS = 10_000  # fixed value: default vocabulary size
+KNOWN_WORDS = 500_000  # frequent words that are sent to all tasks
+COUNTS = "term string, cf long, df long"
 
 
 def add_terms(df: DataFrame, text: str = "text", out: str = "terms", bigrams: bool = True,
@@ -26,41 +31,69 @@ def add_terms(df: DataFrame, text: str = "text", out: str = "terms", bigrams: bo
     return df.withColumn("__t", toks).withColumn(out, with_bigrams("__t")).drop("__t")
 
 
-def vocabulary(df: DataFrame, terms: str = "terms", size: int = MAX_TERMS, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """The `size` most frequent terms: (term, cf, df, docs, idf), ties by term.
+def vocabulary(df: DataFrame, terms: str = "terms", size: int = MAX_TERMS, min_df: int = 1, max_df: float = 1.0, pairs: bool = False) -> DataFrame:
+    """The `size` most frequent terms: (term, cf, df, docs, idf), ties by term; idf = ln((1 + docs) / (1 + df)) + 1.
 
-    Words are counted first. A pair cannot be more frequent than its rarer word, so only pairs of words that reach the
-    count of the `size`-th word are sent on to be counted; the others cannot be among the top. idf = ln((1 + docs) / (1 + df)) + 1.
+    With `pairs`, the arrays hold single words and adjacent pairs are terms as well. Words are counted first. A pair cannot be more frequent
+    than its rarer word, so only pairs of words that reach the count of the `size`-th word are counted; the others cannot be among the top.
+    Each task counts a batch of documents by numbers of words and sends a row per distinct term.
     """
     docs = df.agg(F.count(F.lit(1))).scalar()
+    rows = df.select(F.col(terms).alias("t"))
 
     def fits(counts: DataFrame) -> DataFrame:
         return counts.withColumn("docs", F.lit(docs).cast("bigint")).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * F.lit(float(max_df))))
 
-    words = settle(_counts(df.select(F.filter(terms, lambda t: ~F.contains(t, F.lit(" "))).alias("t"))))
-    last = fits(words).select("cf").orderBy(F.col("cf").desc()).limit(size).agg(F.min("cf").alias("cf"), F.count(F.lit(1)).alias("n")).first()
-    pairs = df.select(F.filter(terms, lambda t: F.contains(t, F.lit(" "))).alias("t"))
-    if last["n"] == size and last["cf"] > 1:
-        known = lookup(words.filter(F.col("cf") >= last["cf"]).select(F.col("term").alias("__w")))
-        found = _counts(pairs, lambda rows: _both_in(rows, known))
-    else:
-        found = _counts(pairs)
-    top = fits(words.unionByName(found)).orderBy(F.col("cf").desc(), "term").limit(size)
+    counts = _summed(rows.mapInArrow(_word_counts, COUNTS))
+    if pairs:
+        counts = settle(counts)
+        last = fits(counts).select("cf").orderBy(F.col("cf").desc()).limit(size).agg(F.min("cf").alias("cf"), F.count(F.lit(1)).alias("n")).first()
+        known = None
+        if last["n"] == size and last["cf"] > 1:
+            found = counts.filter(F.col("cf") >= last["cf"]).select("term").limit(KNOWN_WORDS + 1).collect()
+            known = [r["term"] for r in found] if len(found) <= KNOWN_WORDS else None  # beyond that all pairs are counted
+        sent = df.sparkSession.sparkContext.broadcast(known)
+        counts = counts.unionByName(_summed(rows.mapInArrow(lambda batches: _pair_counts(batches, sent.value), COUNTS)))
+    top = fits(counts).orderBy(F.col("cf").desc(), "term").limit(size)
     return top.withColumn("idf", F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)
 
 
-def _both_in(rows: DataFrame, known: DataFrame) -> DataFrame:
-    for part in (0, 1):
-        rows = rows.join(known, F.split("term", " ")[part] == F.col("__w"), "left_semi")
-    return rows
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
-def _counts(rows: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """(term, cf, df) of the arrays `t`: one shuffle of partial counts; a document's distinct terms count once for df."""
-    each = F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")))
-    once = F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
-    return keep(rows.select(F.inline(F.concat(each, once)))).groupBy("term").agg(
-        F.sum("c").cast("bigint").alias("cf"), F.sum("d").cast("bigint").alias("df"))
+def _numbered(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of a batch of word lists, the number of each word, and the document it is in."""
+    lists = batch.column(0)
+    words = lists.flatten().dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def _rows(term: pa.Array, kind: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """Occurrences and documents per term; `kind` numbers the terms of all occurrences."""
+    cf = np.bincount(kind, minlength=len(term))
+    df = np.bincount(np.unique(doc * len(term) + kind) % max(len(term), 1), minlength=len(term))
+    return pa.RecordBatch.from_arrays([term, pa.array(cf.astype(np.int64)), pa.array(df.astype(np.int64))], ["term", "cf", "df"])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, code, doc = _numbered(batch)
+        yield _rows(words, code.astype(np.int64), doc)
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch], known: list[str] | None) -> Iterator[pa.RecordBatch]:
+    wanted = None if known is None else pa.array(known, pa.string())
+    for batch in batches:
+        words, code, doc = _numbered(batch)
+        kept = doc[1:] == doc[:-1]
+        if wanted is not None:
+            held = pc.is_in(words, value_set=wanted.cast(words.type)).to_numpy(zero_copy_only=False)
+            kept &= held[code[:-1]] & held[code[1:]]
+        at = np.flatnonzero(kept)
+        kinds, kind = np.unique(code[at].astype(np.int64) * len(words) + code[at + 1], return_inverse=True)
+        left, right = (words.take(pa.array(k)) for k in np.divmod(kinds, max(len(words), 1)))
+        yield _rows(pc.binary_join_element_wise(left, right, " "), kind, doc[at])
 
 
 def tfidf_rows(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", terms: str = "terms", sublinear: bool = False) -> DataFrame:
@@ -86,10 +119,10 @@ def tfidf_model(vocab: DataFrame, terms: str = "terms", out: str = "features") -
     Only the vocabulary (at most its `size`) comes to the driver.
     """
     rows = vocab.select("term", "idf").orderBy("term").collect()
-    if not rows:
-        raise ValueError("empty vocabulary")
-    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=terms, outputCol="counts")
-    scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="counts", outputCol="weighted")
+    # Without a term the vectors have one place, for a term that no text holds.
+    names, idf = [r["term"] for r in rows] or [" "], [r["idf"] for r in rows] or [0.0]
+    counter = CountVectorizerModel.from_vocabulary(names, inputCol=terms, outputCol="counts")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted")
     return PipelineModel([counter, scale, Normalizer(p=2.0, inputCol="weighted", outputCol=out)])
 
 
@@ -99,7 +132,7 @@ class TfIdf:
     def __init__(self, train: DataFrame, text: str = "text", size: int = MAX_TERMS, min_df: int = 1, max_df: float = 1.0,
                  bigrams: bool = True, stop_words: list[str] | None = None):
         self.text, self.bigrams, self.stop_words = text, bigrams, stop_words
-        vocab = vocabulary(add_terms(train, text, bigrams=bigrams, stop_words=stop_words), "terms", size, min_df, max_df)
+        vocab = vocabulary(add_terms(train, text, bigrams=False, stop_words=stop_words), "terms", size, min_df, max_df, pairs=bigrams)
         self.model = tfidf_model(vocab)
 
     def features(self, df: DataFrame) -> DataFrame:
