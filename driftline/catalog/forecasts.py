@@ -87,9 +87,7 @@ scored AS (SELECT series, x, value AS actual, 'naive_last' AS model, naive AS fo
 SELECT series, model, points, {r('mae')} AS mae, {r('rmse')} AS rmse, {r('mape')} AS mape, {r('mape_pct')} AS mape_pct, {r('mape_raw_pct')} AS mape_raw_pct,
   {r('1 - sse / sst')} AS r2, {r('1 - sse / (sst + 1e-10)')} AS r2_guarded, {r('greatest(0, 1 - sse / (sst + 1e-10))')} AS r2_clipped, {r('r')} AS r FROM m""")
 def walk_forward_metrics(spark, folder):
-    rows = sales_series(spark, folder)
-    both = [forecast.walk_forward(rows, ["series"], m).withColumn("model", F.lit(m)) for m in ("naive_last", "linear_trend")]
-    return forecast.error_metrics(both[0].unionByName(both[1]), ["series", "model"])
+    return forecast.walk_forward_errors(sales_series(spark, folder), ["series"], ["naive_last", "linear_trend"])
 
 
 @query("walk_forward_half", f"""WITH {EVENT_X}, {WALK.format(share='0.5')}
@@ -114,6 +112,36 @@ def unit_root(spark, folder):
     return forecast.unit_root(sales_series(spark, folder), ["series"])
 
 
+@query("unit_root_lagged", f"""WITH {SALES_SERIES}, l AS (SELECT series, value AS y, lag(value) OVER w AS y1, lag(value, 2) OVER w AS y2 FROM sales_series WINDOW w AS (PARTITION BY series ORDER BY time_bin)),
+d AS (SELECT series, y - y1 AS d, y1 AS p, y1 - y2 AS q FROM l WHERE y2 IS NOT NULL),
+m AS (SELECT series, count(*) AS n, regr_sxx(d, p) AS pp, regr_sxx(d, q) AS qq, regr_sxy(q, p) AS pq, regr_sxy(d, p) AS dp, regr_sxy(d, q) AS dq, regr_syy(d, p) AS dd FROM d GROUP BY series),
+b AS (SELECT *, (qq * dp - pq * dq) / (pp * qq - pq * pq) AS b_p, (pp * dq - pq * dp) / (pp * qq - pq * pq) AS b_q FROM m)
+SELECT series, n AS t_obs, CAST(1 AS INTEGER) AS lags, {r('b_p / sqrt((dd - b_p * dp - b_q * dq) / (n - 3) * qq / (pp * qq - pq * pq))')} AS t,
+  {r('-2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.04 / n ** 3')} AS critical_5 FROM b""")
+def unit_root_lagged(spark, folder):
+    return forecast.augmented_unit_root(sales_series(spark, folder), ["series"], 1).select("series", "t_obs", "lags", "t", "critical_5")
+
+
+@query("unit_root_aic")
+def unit_root_aic(spark, folder):
+    return forecast.augmented_unit_root(sales_series(spark, folder), ["series"])
+
+
+AR = f"""{SALES_SERIES}, c AS (SELECT series, time_bin, value - avg(value) OVER (PARTITION BY series) AS c, avg(value) OVER (PARTITION BY series) AS m FROM sales_series),
+l AS (SELECT *, lag(c) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM c WINDOW w AS (PARTITION BY series ORDER BY time_bin)),
+g AS (SELECT series, count(*) AS n, max(m) AS mean, sum(c * c) / count(*) AS r0, sum(c * c1) / count(*) AS r1, sum(c * c2) / count(*) AS r2 FROM l GROUP BY series),
+one AS (SELECT *, r1 / r0 AS a, r0 * (1 - (r1 / r0) ** 2) AS e1 FROM g), two AS (SELECT *, (r2 - a * r1) / e1 AS b2 FROM one),
+fits AS (SELECT *, a - b2 * a AS b1, e1 * (1 - b2 * b2) AS e2, n * ln(r0) + 2 AS i0, n * ln(e1) + 4 AS i1, n * ln(e1 * (1 - b2 * b2)) + 6 AS i2 FROM two),
+best AS (SELECT *, CASE WHEN i0 <= least(i1, i2) THEN 0 WHEN i1 <= i2 THEN 1 ELSE 2 END AS k FROM fits)"""
+
+
+@query("autoregression", f"""WITH {AR} SELECT series, n, {r('mean')} AS mean, CAST(k AS INTEGER) AS "order", {r('CASE k WHEN 0 THEN 0 WHEN 1 THEN a ELSE b1 END')} AS phi1,
+  {r('CASE k WHEN 2 THEN b2 ELSE 0 END')} AS phi2, {r('CASE k WHEN 0 THEN r0 WHEN 1 THEN e1 ELSE e2 END')} AS sigma2 FROM best""")
+def autoregression(spark, folder):
+    fit = forecast.autoregression(sales_series(spark, folder), ["series"], 2)
+    return fit.select("series", "n", "mean", "order", F.col("phi")[0].alias("phi1"), F.col("phi")[1].alias("phi2"), "sigma2")
+
+
 @query("concept_forecasts", f"""WITH {TRAJECTORY}, src AS (SELECT concept AS series, time_bin, value FROM traj),
 {INDEXED.format(series='src')}, {FIT}
 SELECT series AS concept, {AHEAD}, {r('CASE WHEN n < 5 THEN y ELSE a + b * (n - 1 + step) END')} AS yhat, 'linear_trend' AS model FROM fit, unnest(range(1, 13)) AS t(step)""")

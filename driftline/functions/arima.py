@@ -34,32 +34,33 @@ def _stable(coef: np.ndarray) -> bool:
     return not len(coef) or bool(np.abs(np.roots(np.r_[1.0, -coef])).max() < 0.999)
 
 
-def fit_arma(z: np.ndarray, max_p: int, max_q: int):
-    """Best (intercept, ar, ma, residuals) by AIC over p <= max_p, q <= max_q, p + q <= 5."""
-    n = len(z)
+def fit_arma(z: np.ndarray, max_p: int, max_q: int, constant: bool = True):
+    """Best (intercept, ar, ma, residuals) by AIC over p <= max_p, q <= max_q, p + q <= 5; the intercept is 0 without `constant`."""
+    n, c = len(z), int(constant)
     order = max(1, min(int(np.ceil(np.log(n) ** 2 / 2)), n // 4))
     rough = np.zeros(n)
     if n > order + 2:
         _, tail = _ols(np.column_stack([np.ones(n - order), _lagged(z, order, order)]), z[order:])
         rough[order:] = tail
     start = min(order + max_q, n // 3)
-    best = (np.inf, z.mean(), np.empty(0), np.empty(0), z - z.mean())
+    level = z.mean() if constant else 0.0
+    best = (np.inf, level, np.empty(0), np.empty(0), z - level)
     for p in range(max_p + 1):
         for q in range(max_q + 1):
             s = max(start, p, q)
             rows = n - s
             if p + q > 5 or rows <= p + q + 2:
                 continue
-            beta, res = _ols(np.column_stack([np.ones(rows), _lagged(z, p, s), _lagged(rough, q, s)]), z[s:])
-            ar, ma = beta[1 : p + 1], beta[p + 1 :]
+            beta, res = _ols(np.column_stack([np.ones((rows, c)), _lagged(z, p, s), _lagged(rough, q, s)]), z[s:]) if p + q + c else (np.empty(0), z[s:])
+            ar, ma = beta[c : p + c], beta[p + c :]
             if not (_stable(ar) and _stable(-ma)):
                 continue
-            aic = rows * np.log(max(res @ res / rows, 1e-300)) + 2 * (p + q + 1) + (n - rows) * 0.0
+            aic = rows * np.log(max(res @ res / rows, 1e-300)) + 2 * (p + q + c)
             aic *= n / rows  # candidates may use slightly different numbers of rows
             if aic < best[0] - 1e-9:
                 eps = np.zeros(n)
                 eps[s:] = res
-                best = (aic, beta[0], ar, ma, eps)
+                best = (aic, beta[0] if constant else 0.0, ar, ma, eps)
     return best[1:]
 
 
@@ -74,10 +75,10 @@ def arima_forecast(y: np.ndarray, steps: int, max_p: int = 5, max_q: int = 5, ma
     while len(heads) < max_d and len(z) > 5 and kpss_level(z) > KPSS_5_PERCENT:
         heads.append(z[-1])
         z = np.diff(z)
-    if len(heads) == 2 or np.ptp(z) == 0:
+    if np.ptp(z) == 0:
         c, ar, ma, eps = (0.0 if len(heads) == 2 else z.mean()), np.empty(0), np.empty(0), np.zeros(len(z))
     else:
-        c, ar, ma, eps = fit_arma(z, max_p, max_q)
+        c, ar, ma, eps = fit_arma(z, max_p, max_q, constant=len(heads) < 2)  # a mean of second differences would be a parabola
     past, shocks, out = list(z), list(eps), []
     for _ in range(steps):
         value = c + sum(a * past[-i - 1] for i, a in enumerate(ar)) + sum(m * shocks[-i - 1] for i, m in enumerate(ma))

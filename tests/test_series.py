@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.functions.arima import arima_forecast
+from driftline.functions.arima import arima_forecast, fit_arma
 from driftline.functions.stats import f_sf
 from driftline.operators import forecast, series
 
@@ -145,3 +145,84 @@ def test_calendar_frequency_as_pandas_names_it(spark):
     for name in names:
         assert future[name] == [t.to_pydatetime() for t in ahead[name]], name
     assert future["one"][0] == datetime(2024, 1, 2) and future["odd"][0] == datetime(2024, 1, 11)
+
+
+def adf(y, p, start=None):
+    """t statistic, AIC and rows of the unit-root regression by plain least squares."""
+    s = (p if start is None else start) + 1
+    d = np.diff(y)
+    x = np.column_stack([y[s - 1 : -1], *[d[s - 1 - j : len(d) - j] for j in range(1, p + 1)], np.ones(len(y) - s)])
+    target = d[s - 1 :]
+    beta, *_ = np.linalg.lstsq(x, target, rcond=None)
+    sse = ((target - x @ beta) ** 2).sum()
+    n, k = x.shape
+    return beta[0] / np.sqrt(sse / (n - k) * np.linalg.inv(x.T @ x)[0, 0]), n * np.log(sse / n) + 2 * k, n
+
+
+def test_augmented_unit_root(spark):
+    rng = np.random.default_rng(11)
+    walk = np.cumsum(rng.normal(size=300))
+    lists = {"noise": 40 + rng.normal(size=250), "walk": walk, "ar": 1000 + ar1(400, 0.6, 3), "long": 1e4 + np.cumsum(ar1(260, 0.7, 9)), "flat": np.full(60, 2.0), "few": rng.normal(size=3)}
+    got = {r["series"]: r for r in forecast.augmented_unit_root(frame(spark, **lists), ["series"]).collect()}
+    for name in ("noise", "walk", "ar", "long"):
+        y = np.asarray(lists[name])
+        most = min(int(np.ceil(12 * (len(y) / 100) ** 0.25)), len(y) // 2 - 2)
+        best = min(range(most + 1), key=lambda p: adf(y, p, most)[1])
+        t, _, n = adf(y, best)
+        assert (got[name]["lags"], got[name]["t_obs"]) == (best, n) and abs(got[name]["t"] - t) < 1e-6
+    assert got["noise"]["p_value"] < 1e-6 and got["ar"]["stationary"] and not got["walk"]["stationary"] and got["long"]["lags"] >= 1
+    assert got["flat"]["t"] is None and got["few"]["t"] is None
+    fixed = {r["series"]: r for r in forecast.augmented_unit_root(frame(spark, **lists), ["series"], 3).collect()}
+    assert abs(fixed["ar"]["t"] - adf(lists["ar"], 3)[0]) < 1e-6
+
+
+def test_unit_root_p_values():
+    """Published points: the 1, 5 and 10 % values of long series."""
+    for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10), (0.0, 0.9585)):
+        assert abs(forecast.unit_root_p(t) - p) < 0.002
+    assert forecast.unit_root_p(-30) == 0 and forecast.unit_root_p(5) == 1
+
+
+def test_autoregression(spark):
+    lists = {"a": 7 + ar1(400, 0.8, 1), "b": ar1(300, -0.7, 2), "noise": np.random.default_rng(4).normal(size=200), "flat": np.full(30, 2.0), "two": [1.0, 2.0]}
+    got = {r["series"]: r for r in forecast.autoregression(frame(spark, **lists), ["series"], 3).collect()}
+    for name in ("a", "b", "noise"):
+        y = np.asarray(lists[name]) - np.mean(lists[name])
+        r = [y[k:] @ y[: len(y) - k] / len(y) for k in range(4)]
+        fits = []
+        for k in range(4):
+            phi = np.linalg.solve([[r[abs(i - j)] for j in range(k)] for i in range(k)], r[1 : k + 1]) if k else np.zeros(0)
+            e = r[0] - phi @ r[1 : k + 1]
+            fits.append((len(y) * np.log(e) + 2 * (k + 1), k, phi, e))
+        _, k, phi, e = min(fits, key=lambda f: f[0])
+        assert got[name]["order"] == k and np.allclose(got[name]["phi"][:k], phi) and not any(got[name]["phi"][k:]) and abs(got[name]["sigma2"] - e) < 1e-9
+    assert got["flat"]["order"] == 0 and got["two"]["n"] == 2
+    ahead = [r["yhat"] for r in forecast.forecast(frame(spark, a=lists["a"]), ["series"], 3, "autoregression").orderBy("step").collect()]
+    best = forecast.autoregression(frame(spark, a=lists["a"]), ["series"]).first()
+    y = list(lists["a"])
+    for value in ahead:
+        want = best["mean"] + sum(c * (y[-1 - j] - best["mean"]) for j, c in enumerate(best["phi"]))
+        assert abs(value - want) < 1e-9
+        y.append(want)
+
+
+def test_autoregression_beats_naive_on_a_planted_series(spark):
+    lists = {f"s{i}": ar1(200, 0.5, 20 + i) for i in range(12)}
+    train = frame(spark, **{k: v[:-1] for k, v in lists.items()})
+    err = {m: np.mean([abs(r["yhat"] - lists[r["series"]][-1]) for r in forecast.forecast(train, ["series"], 1, m).collect()]) for m in ("autoregression", "naive_last")}
+    assert err["autoregression"] < err["naive_last"]
+
+
+def test_two_differences_keep_their_arma_part():
+    rng = np.random.default_rng(1)
+    z = np.zeros(200)
+    for i in range(1, 200):
+        z[i] = 0.8 * z[i - 1] + rng.normal() * 0.1
+    y = np.cumsum(np.cumsum(z)) + 0.002 * np.arange(200) ** 3
+    assert np.isfinite(arima_forecast(y, 5)).all()
+    assert fit_arma(z, 3, 0, constant=False)[0] == 0.0 and abs(fit_arma(z, 1, 0, constant=False)[1][0] - 0.8) < 0.15
+
+
+def test_walk_forward_errors_have_a_row_per_series(spark):
+    got = {(r["series"], r["model"]): r["mae"] for r in forecast.walk_forward_errors(frame(spark, n9=np.arange(9), n10=np.arange(10)), ["series"], ["naive_last", "linear_trend"]).collect()}
+    assert got == {("n9", "naive_last"): None, ("n9", "linear_trend"): None, ("n10", "naive_last"): 1.0, ("n10", "linear_trend"): got[("n10", "linear_trend")]} and got[("n10", "linear_trend")] < 1e-9
