@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.arrays import blocks, mix, powers, word_hashes, word_spans
+from driftline.llm.arrays import blocks, mix, powers, small_batches, word_hashes, word_spans
 from driftline.session import settle
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LONGEST = 40
-REMEMBERED = 400_000  # words whose scores a task keeps
+REMEMBERED = 200_000  # words whose scores a task keeps
 SAME = np.arange(256, dtype=np.uint8)
 
 
@@ -213,6 +213,7 @@ def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray], text_col: str
     """`docs` with two more columns: the most likely language and its posterior."""
     langs, probs = fitted
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     tool = spark.sparkContext.broadcast((vocabulary(model), probs))
     at = docs.columns.index(text_col)
 
