@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from driftline.functions.vectors import doubles, scaled
 from driftline.operators.features import TfIdf, add_terms
 from driftline.operators.ranking import stratified_folds, stratified_split
+from driftline.operators.svm import fit_squared_hinge
 from driftline.session import lookup, packed, settle
 
 
@@ -82,17 +83,28 @@ def logistic(train: DataFrame, c: float = 1.0, balanced: bool = False, max_iter:
     return lambda df: model.transform(df).withColumn("probability", vector_to_array("probability"))
 
 
-def linear_svm(train: DataFrame, c: float = 1.0, max_iter: int = 1000) -> Callable[[DataFrame], DataFrame]:
-    """One-vs-rest linear SVM (hinge loss). `scores` holds one margin per class; probability is their softmax."""
+def linear_svm(train: DataFrame, c: float = 1.0, loss: str = "squared_hinge", max_iter: int = 1000) -> Callable[[DataFrame], DataFrame]:
+    """One-vs-rest linear SVM. `scores` holds one margin per class; probability is their softmax.
+
+    `squared_hinge` fits all classes together by Newton steps; `hinge` is the built-in model.
+    """
+    if loss == "squared_hinge":
+        fitted = fit_squared_hinge(train, c, TOLERANCE)
+
+        def predict(df: DataFrame) -> DataFrame:
+            out = df.withColumn("scores", fitted.margins())
+            return out.withColumn("prediction", _argmax(F.col("scores"))).withColumn("probability", _softmax(F.col("scores")))
+
+        return predict
     n = train.count()
     svm = LinearSVC(regParam=1.0 / (c * max(n, 1)), maxIter=max_iter, standardization=False, tol=TOLERANCE)
     model = OneVsRest(classifier=svm, parallelism=4).setRawPredictionCol("rawPrediction").fit(train)
 
-    def predict(df: DataFrame) -> DataFrame:
+    def predict_hinge(df: DataFrame) -> DataFrame:
         out = model.transform(df).withColumn("scores", vector_to_array("rawPrediction"))
         return out.withColumn("probability", _softmax(F.col("scores")))
 
-    return predict
+    return predict_hinge
 
 
 def random_forest(train: DataFrame, trees: int = 100, max_depth: int = 30, seed: int = 42) -> Callable[[DataFrame], DataFrame]:

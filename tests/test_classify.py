@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import classify, features, quality
+from driftline.operators.svm import fit_squared_hinge
 from driftline.session import settle
 
 WORDS = {"art": "paint canvas gallery brush", "sea": "ship wave harbour sail", "sun": "light heat star glow"}
@@ -57,6 +58,35 @@ def test_models_beat_majority(bundle, name):
     assert names == sorted(WORDS)
 
 
+def test_squared_hinge_reaches_the_minimum(spark):
+    """Gradient under the tolerance, the objective of a plain Newton solution, sparse and dense rows alike."""
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 6)) * (rng.random((240, 6)) < 0.6)
+    label = np.argmax(x[:, :3] + 0.5 * rng.normal(size=(240, 3)), axis=1)
+    rows = [(float(c), Vectors.dense(v) if i % 3 else Vectors.sparse(6, [(j, float(a)) for j, a in enumerate(v) if a])) for i, (v, c) in enumerate(zip(x, label))]
+    df = spark.createDataFrame(rows, ["label", "features"]).repartition(4)
+    got = fit_squared_hinge(df, 0.7, 1e-6)
+    z = np.column_stack([x, np.ones(240)])
+    for k in range(3):
+        y, w = np.where(label == k, 1.0, -1.0), np.zeros(7)
+        for _ in range(100):
+            active = y * (z @ w) < 1
+            h = np.eye(7) + 1.4 * z[active].T @ z[active]
+            w = np.linalg.solve(h, 1.4 * z[active].T @ y[active])
+        assert np.allclose(got.weights[k], w, atol=1e-4) and abs(got.objective[k] - (w @ w / 2 + 0.7 * (np.maximum(1 - y * (z @ w), 0) ** 2).sum())) < 1e-6
+    assert (got.gradient < 1e-6).all() and got.scans < 12 * got.steps + 2
+    for r in df.withColumn("s", got.margins()).collect():
+        assert np.allclose(r["s"], got.weights @ np.r_[r["features"].toArray(), 1.0])
+
+
+def test_squared_hinge_beside_hinge(bundle):
+    train, test, _ = bundle
+    acc = {loss: quality.accuracy_scores(classify.predictions(classify.linear_svm(train, loss=loss), test)).first()["accuracy"] for loss in ("squared_hinge", "hinge")}
+    assert acc["squared_hinge"] >= acc["hinge"] - 0.05
+
+
 def test_random_forest(docs):
     ready = settle(classify.index_labels(docs, "category").transform(classify.hashed_tfidf(docs, 200)(docs)))
     out = classify.predictions(classify.random_forest(ready, trees=20), ready)
