@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.vectors import dot, doubles, norm, unit
@@ -26,6 +26,7 @@ from driftline.operators.ranking import sample_rows
 from driftline.session import lookup, packed, settle
 
 SLICE_CELLS = 4_000_000  # numbers per broadcast slice: 32 MB
+SAMPLE_ROWS = 2_000  # rows of a cluster that stand for it where distances have no closed form
 
 
 def topic_count(rows: int, n_topics: int = 8) -> int:
@@ -176,11 +177,14 @@ def id_type(df: DataFrame, id_col: str) -> str:
 def silhouette_samples(df: DataFrame, id_col: str, label: str, vec: str = "embedding", metric: str = "cosine") -> DataFrame:
     """Silhouette of every row: (id, label, silhouette).
 
-    `cosine` and `sqeuclidean` come from cluster sums in work linear in the rows; `euclidean` has no such form and
-    goes through blocked distance sums. Rows alone in their cluster get 0.
+    `cosine` and `sqeuclidean` come from cluster sums in work linear in the rows. `euclidean` has no such form: mean distances are taken from a
+    sample of every cluster (all of it up to `SAMPLE_ROWS` rows, so small clusters are exact); `euclidean_exact` goes through blocked
+    distance sums of all pairs. Rows alone in their cluster get 0.
     """
-    if metric == "euclidean":
+    if metric == "euclidean_exact":
         return _silhouette_blocks(df, id_col, label, vec)
+    if metric == "euclidean":
+        return sampled_silhouettes(df, id_col, label, vec).drop("error")
     scaled = metric == "cosine"
     table = settle(cluster_sums(df, label, vec, scaled))
     rows = df.filter(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(
@@ -219,10 +223,60 @@ def silhouette_samples(df: DataFrame, id_col: str, label: str, vec: str = "embed
     return _silhouette_of(parts)
 
 
-def _silhouette_of(parts: DataFrame) -> DataFrame:
+def _silhouette_of(parts: DataFrame, *more: Column) -> DataFrame:
     top = F.greatest("a", "b")
     s = F.when((F.col("n") < 2) | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
-    return parts.select("id", "label", s.alias("silhouette"))
+    return parts.select("id", "label", s.alias("silhouette"), *more)
+
+
+def sampled_silhouettes(df: DataFrame, id_col: str, label: str, vec: str = "embedding", per_cluster: int | None = None) -> DataFrame:
+    """Euclidean silhouette of every row from about `per_cluster` rows of each cluster, chosen by hash: (id, label, silhouette, error).
+
+    `error` bounds the error of a row's value to first order: three standard errors of both mean distances, without replacement, over the
+    larger one; 0 where whole clusters were taken. Its mean bounds the error of the mean silhouette.
+    """
+    per_cluster = per_cluster or SAMPLE_ROWS
+    rows = df.filter(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"), F.col(vec).alias("v"))
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    dice = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.join(lookup(sizes), "label").withColumn("inside", (dice * F.col("n") < per_cluster).cast("int"))
+    table = settle(rows.filter("inside = 1").select("label", "n", doubles("v").alias("s")))
+
+    def score(batch, found):
+        x = as_matrix(batch.column("v"))
+        names = sorted({r["label"] for r in found})
+        code = {c: k for k, c in enumerate(names)}
+        member = np.zeros((len(found), len(names)))
+        member[np.arange(len(found)), [code[r["label"]] for r in found]] = 1.0
+        size = {r["label"]: r["n"] for r in found}
+        n, m = np.array([size[c] for c in names], float), member.sum(0)
+        y = np.array([r["s"] for r in found])
+        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0.0))
+        total, squares = d @ member, d**2 @ member
+        at = pc.index_in(batch.column("label"), value_set=pa.array(names)).to_numpy(zero_copy_only=False).astype(float)
+        mine, where, line = ~np.isnan(at), np.where(np.isnan(at), 0, at).astype(int), np.arange(len(x))
+        taken, whole = np.tile(m, (len(x), 1)), np.tile(n, (len(x), 1))
+        taken[line[mine], where[mine]] -= batch.column("inside").to_numpy()[mine]  # a row is not its own neighbour
+        whole[line[mine], where[mine]] -= 1
+        with np.errstate(all="ignore"):
+            mean = total / taken
+            spread = np.maximum(squares / taken - mean**2, 0.0) * taken / np.maximum(taken - 1, 1)
+            error = 3 * np.sqrt(spread / taken * np.maximum(1 - taken / whole, 0.0))
+        a, a_error = (np.where(mine & (taken[line, where] > 0), v[line, where], np.nan) for v in (mean, error))
+        mean[line[mine], where[mine]] = np.inf
+        mean[~np.isfinite(mean)] = np.inf
+        best = mean.argmin(axis=1)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("label"), pa.array(a, from_pandas=True), pa.array(a_error, from_pandas=True), pa.array(np.where(mine, n[where], np.nan), from_pandas=True),
+             pa.array(mean[line, best]), pa.array(np.where(np.isfinite(mean[line, best]), error[line, best], 0.0))], names=["id", "label", "a", "ea", "n", "b", "eb"])
+
+    schema = f"id {id_type(df, id_col)}, label string, a double, ea double, n double, b double, eb double"
+    parts, _ = _against(rows, table, "s", "label", score, schema)
+    best = parts.groupBy("id", "label").agg(F.max("a").alias("a"), F.max("ea").alias("ea"), F.max("n").alias("n"), F.min(F.struct("b", "eb")).alias("o"))
+    best = best.select("id", "label", "a", "ea", "n", F.col("o.b").alias("b"), F.col("o.eb").alias("eb"))
+    error = F.when((F.col("n") < 2) | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("ea") + F.col("eb")) / F.greatest("a", "b"))
+    return _silhouette_of(best, error.alias("error"))
 
 
 def _silhouette_blocks(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:

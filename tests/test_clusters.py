@@ -39,10 +39,10 @@ def distances(x, metric):
         np.fill_diagonal(d, 0)
         return d
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    return d if metric == "euclidean" else d**2
+    return d**2 if metric == "sqeuclidean" else d
 
 
-@pytest.mark.parametrize("metric", ["cosine", "sqeuclidean", "euclidean"])
+@pytest.mark.parametrize("metric", ["cosine", "sqeuclidean", "euclidean", "euclidean_exact"])
 @pytest.mark.parametrize("slices", [False, True])
 def test_silhouette(spark, df, data, metric, slices, monkeypatch):
     if slices:
@@ -52,6 +52,19 @@ def test_silhouette(spark, df, data, metric, slices, monkeypatch):
     assert abs(got - brute_silhouette(distances(x, metric), label)) < 1e-9
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sampled_silhouette_keeps_its_bound(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(900, 4)) + np.repeat(rng.normal(size=(3, 4)) * 2, 300, axis=0)
+    label = np.array([["a", "b", "c"][i // 300] for i in range(900)])
+    rows = spark.createDataFrame([(i + 10_000 * seed, x[i].tolist(), str(label[i])) for i in range(900)], "id long, embedding array<double>, label string")
+    got = clusters.sampled_silhouettes(rows, "id", "label", per_cluster=60).agg(F.avg("silhouette").alias("s"), F.avg("error").alias("e"), F.count("*").alias("n")).first()
+    exact = brute_silhouette(distances(x, "euclidean"), label)
+    assert got["n"] == 900 and 0 < abs(got["s"] - exact) <= got["e"] < 0.5
+    whole = clusters.sampled_silhouettes(rows, "id", "label", per_cluster=300).agg(F.avg("silhouette").alias("s"), F.max("error").alias("e")).first()
+    assert abs(whole["s"] - exact) < 1e-9 and whole["e"] == 0
+
+
 def test_silhouette_degenerate(spark, df):
     assert clusters.silhouette(df.limit(9), "id", "label", compat=True).first()[0] == 0.0
     assert clusters.silhouette(df.withColumn("label", F.lit("x")), "id", "label").first()[0] is None
