@@ -164,24 +164,17 @@ URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "b
 
 @query("op1_urls")
 def op1_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """Verdicts of all pages; the rules are mined from pages whose document label says poor quality or toxic."""
+    """Verdicts of all pages; the rules are mined from the urls that the fixed rules decide, with their verdicts as labels."""
     rows = table(spark, folder, "pages").select("page_id", "url")
-    bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), True).otherwise(False))
-    labels = table(spark, folder, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("block"))
-    mined = urls.mine(rows.join(labels, "page_id"))
+    mined = urls.mine(labelled_urls(rows))
     return urls.judge(rows, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op13_bpe")
-def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    """Token ids of every text and the bytes they decode to, as digests."""
-    import public_tokenizers
-
-    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN), ranks)
-    return coded.select(
-        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def labelled_urls(rows: DataFrame) -> DataFrame:
+    """(url, block) of the urls that a fixed rule decides."""
+    verdict = urls.fixed_rule(URL_RULES, F.col("host"), F.col("path"))[1]
+    known = rows.select("url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    return known.select("url", (verdict == "block").alias("block")).where("block is not null")
 
 
 CONVERSATIONS_SQL = """WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS t

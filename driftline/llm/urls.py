@@ -6,8 +6,9 @@ label make transactions; FP-growth finds frequent sets, and class rules `tokens
 confidence, unless a rule with one token less is at least as sure. Each rule is filed under its rarest token; a url looks up its tokens there
 and takes the surest rule all of whose tokens it has. Without one the verdict is allow.
 
-Mining reads about `most_rows` labelled urls at most (by hash), and of each the `most_tokens` whose label shares differ
-most from the average, so that long urls do not blow up the sets; matching covers all tokens of all urls. Null urls and urls
+Mining reads about `most_rows` labelled urls at most (by hash). Tokens that stand in the same urls are one; of each url FP-growth sees the
+`search_tokens` whose label shares differ most from the average, so that long urls do not blow up the sets. That bounds the search for rules
+only: support and confidence of what it finds are counted again over all tokens of all those urls, and matching covers all tokens of all urls. Null urls and urls
 without `://` have empty host and path, fit no fixed rule and are allowed unless mined rules say otherwise. Without labels no
 rule is mined. Repeated rows get equal verdicts; an empty table gives no rows; extra columns are carried through.
 """
@@ -18,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.session import settle
+from driftline.session import lookup, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "=block"
@@ -57,7 +58,7 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "block", min_support: float = 0.002, min_count: int = 10, min_confidence: float = 0.8,
-         most_rows: int = 100_000, most_tokens: int = 12) -> DataFrame:
+         most_rows: int = 100_000, search_tokens: int = 12) -> DataFrame:
     """(tokens, support, confidence) of the rules `tokens -> block`; labelled has urls and a boolean label (null: not used)."""
     spark: SparkSession = labelled.sparkSession
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(url_col).alias("url"), F.col(label_col).cast("boolean").alias("block"))
@@ -71,20 +72,32 @@ def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "block", mi
     base = total.blocked / total.n
     each = rows.select("row", "block", F.explode("tokens").alias("token"))
     known = each.groupBy("token").agg(F.count("*").alias("n"), F.avg(F.col("block").cast("int")).alias("share")).where(F.col("n") >= support * total.n)
+    # Tokens of the same urls are one: the least of them by name.
+    places = each.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(5))).alias("y"))
+    known = settle(known.join(places, "token").groupBy("n", "share", "m", "x", "y").agg(F.min("token").alias("token")).select("token", "n", "share"))
     told = F.struct((-F.abs(F.col("share") - base) * F.sqrt("n")).alias("order"), "token")
-    chosen = each.join(known, "token").groupBy("row", "block").agg(F.slice(F.array_sort(F.collect_list(told)), 1, most_tokens).alias("told"))
+    chosen = each.join(known, "token").groupBy("row", "block").agg(F.slice(F.array_sort(F.collect_list(told)), 1, search_tokens).alias("told"))
     baskets = settle(chosen.select(F.concat(F.transform("told", lambda x: x["token"]), F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")))
     if baskets.isEmpty():
         return spark.createDataFrame([], RULES)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * total.n / max(baskets.count(), 1)), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
-    found = settle(found)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * total.n / max(baskets.count(), 1)), minConfidence=0.0).fit(baskets)
+    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("tokens"))
+    found = settle(counted(settle(found), rows, known, total.n).where((F.col("support") >= support) & (F.col("confidence") >= min_confidence)))
     # A rule says nothing new if one with a token less is at least as sure.
     shorter = found.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("t")).select("tokens", "confidence", F.array_remove("tokens", F.col("t")).alias("less"))
     beaten = shorter.alias("a").join(found.alias("b"), F.col("a.less") == F.col("b.tokens")).where(F.col("b.confidence") >= F.col("a.confidence")).select(F.col("a.tokens")).distinct()
     return settle(found.join(beaten, "tokens", "left_anti"))
 
 
+def counted(rules: DataFrame, rows: DataFrame, frequency: DataFrame, total: int) -> DataFrame:
+    """`rules` (tokens) with support and confidence over all `rows` (tokens, block); a rule meets the rows that hold its rarest token."""
+    each = rules.withColumn("rule", F.monotonically_increasing_id()).select("rule", "tokens", F.explode("tokens").alias("token")).join(frequency.select("token", "n"), "token")
+    filed = lookup(each.groupBy("rule", "tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token")))
+    held = rows.select("block", F.col("tokens").alias("all"), F.explode("tokens").alias("token")).join(filed, "token").where(F.size(F.array_except("tokens", "all")) == 0)
+    per = held.groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("block").cast("int")).alias("b"))
+    return per.select("tokens", (F.col("b") / F.lit(float(total))).alias("support"), (F.col("b") / F.col("n")).alias("confidence"))
+
+
 def matched(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """(url, tokens, confidence): the surest mined rule of each different url that has one."""
     each = urls.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumn("all", tokens_of(F.col("url")))
@@ -99,12 +112,12 @@ def matched(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFram
 
 
 def judge(urls: DataFrame, rules: dict[str, str], mined: DataFrame, url_col: str = "url") -> DataFrame:
-    """`urls` with host, path, rule (the fixed one), verdict and tokens (of the mined rule that decided, else null)."""
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    rule, verdict = fixed_rule(rules, F.col("host"), F.col("path"))
-    rows = urls.select(*[c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "tokens")], host.alias("host"), path.alias("path"))
-    rows = rows.withColumns({"rule": rule, "_fixed": verdict})
-    found = matched(rows.where("_fixed is null"), mined, url_col).select(F.col("url").alias("_url"), "tokens")
-    out = rows.join(found, (F.col(url_col) == F.col("_url")) & F.col("_fixed").isNull(), "left")
+    """`urls` with host, path, rule (the fixed one), verdict and tokens (of the mined rule that decided, else null); these replace columns of such names."""
+    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "tokens")]
+    rows = urls.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rule, fixed = fixed_rule(rules, F.col("host"), F.col("path"))
+    rows = rows.withColumns({"rule": rule, "fixed": fixed})
+    found = matched(rows.where("fixed is null").select("url"), mined).select(F.col("url").alias("known"), "tokens")
+    out = rows.hint("merge").join(found, (F.col("url") == F.col("known")) & F.col("fixed").isNull(), "left")
     method = F.when(F.col("tokens").isNotNull(), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("_fixed", method)).drop("_fixed", "_url")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "host", "path", "rule", F.coalesce("fixed", method).alias("verdict"), "tokens")

@@ -65,3 +65,37 @@ def test_without_labels(spark):
 def test_parts(spark):
     df = spark.createDataFrame([("http://A.b/C?d#e",)], "u string")
     assert tuple(df.select(host_of(F.col("u")), path_of(F.col("u"))).first()) == ("a.b", "/C")
+
+
+def test_long_urls_are_counted_whole(spark):
+    """Rules found among few tokens have the counts of all tokens; columns named like helpers pass."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(300):
+        words = [f"w{rng.randint(0, 9)}x" for _ in range(25)] + (["spam", "offer"] if k % 3 == 0 else ["offer"] if k % 3 == 1 else ["spam"])
+        rng.shuffle(words)
+        rows.append(("http://host.net/" + "/".join(words), k % 3 == 0))
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "url string, block boolean, _url string, known int")
+    rules = mine(df, min_count=20, search_tokens=4).collect()
+    sets = [(set(u.split("/")[3:]), b) for u, b in rows]
+    assert {"p:spam", "p:offer"} in [set(r.tokens) for r in rules]
+    for r in rules:
+        hit = [b for t, b in sets if {x[2:] for x in r.tokens if x.startswith("p:")} <= t]
+        assert abs(r.confidence - sum(hit) / len(hit)) < 1e-9 and abs(r.support - sum(hit) / 300) < 1e-9
+    out = judge(df, {}, spark.createDataFrame(rules))
+    assert {"_url", "known", "block"} <= set(out.columns) and out.count() == 300
+
+
+def test_query_against_the_definition(spark):
+    """Every page of the small table: host, path and rule by the definition; where no rule fits, blocked exactly if a mined rule's tokens are all there."""
+    from driftline.llm.queries import QUERIES, labelled_urls
+
+    folder = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    rules = [set(r.tokens) for r in mine(labelled_urls(pages)).collect()]
+    tokens = {r.page_id: set(r.t) for r in pages.select("page_id", tokens_of(F.col("url")).alias("t")).collect()}
+    for r in QUERIES["op1_urls"](spark, folder).join(pages, "page_id").collect():
+        host, path, rule, verdict = plain(r.url)
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or ("block" if any(t <= tokens[r.page_id] for t in rules) else "allow"))
