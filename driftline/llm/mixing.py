@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import settle
+from driftline.session import lookup, settle
 
 BITS, STEP = 60, 12  # bits of the hash, and how many of them one histogram adds
 
@@ -72,9 +72,10 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     state = settle(budgets.select("source", F.col("budget").cast("double").alias("left"), F.lit(0).cast("long").alias("prefix")))
     for bits in range(STEP, BITS + 1, STEP):
         bucket = F.shiftright("hash", BITS - bits)
-        inside = docs.withColumn("prefix", F.shiftright("hash", BITS - bits + STEP)).groupBy("source", "prefix", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-        near = inside.alias("h").join(state.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source")) & (F.col("h.prefix") == F.col("s.prefix")))
-        near = near.select("s.source", "left", "bucket", "h.size")
+        # Only documents of the boundary bucket are grouped; the state has a row per source and is sent to them while it is small.
+        inside = docs.withColumn("bucket", bucket).alias("h").join(
+            lookup(state).alias("s"), F.col("h.source").eqNullSafe(F.col("s.source")) & (F.shiftright("h.hash", BITS - bits + STEP) == F.col("s.prefix")))
+        near = inside.groupBy("s.source", "left", "bucket").agg(F.sum("h.size").alias("size"))
         # 4,096 buckets of a source at most: a running sum, and the first bucket that passes the budget.
         from_start = F.expr("array_sort(collect_list(struct(bucket, size)))")
         runs = near.groupBy("source", "left").agg(from_start.alias("runs"))
