@@ -10,8 +10,10 @@ string of `length` through the anchor can reach (its context).
    of neighbours. A stack scan gives its intervals; inside an interval the left contexts are sorted too, and where they
    differ (left diversity) each member gets its longest match to the left with an earlier member. An interval with
    common prefix R and a member with left match L make a maximal repeat of L + R bytes; from `length` on it counts.
-3. Grams with more than `most` different contexts (short frequent lines) are not put into one task: there every string of
-   `length` through the anchor is hashed, and an ordinary grouped minimum finds the earlier one. The result is the same.
+3. Grams with more than `most` different contexts (short frequent lines) get longer anchors until they fit: a string of `length` through the
+   anchor that begins a bytes before it agrees in a bytes to the left and the rest to the right, so the range of all such a is halved, and
+   contexts are grouped by the bytes that all strings of a half have in common. Groups that fit are scanned like any gram; where one string
+   is left, its group repeats the first member. The result is the same.
 
 Matches do not cross documents. Null text is empty, text shorter than `length` has no match; rows with null id are kept
 whole; rows that repeat an id are the same document, and get the spans of all of them. Very long texts are worked on
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.arrays import _BYTES, blocks, mix, powers, text_bytes
 from driftline.llm.bits import bitmap, held
-from driftline.session import settle
+from driftline.session import lookup, settle
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 CHUNK = 1 << 19  # anchors a task gathers before it looks for repeats among them
@@ -207,8 +209,8 @@ def _only(batches, bits: np.ndarray, inside: bool = True):
             yield kept
 
 
-def _contexts(found: DataFrame, docs: DataFrame, gram: int, length: int) -> DataFrame:
-    """(g, id, pos, before, bytes) of anchors of kind 2."""
+def _contexts(found: DataFrame, docs: DataFrame, kind: int = 2) -> DataFrame:
+    """(g, id, pos, before, bytes) of anchors of a kind."""
 
     def run(batches):
         for batch in batches:
@@ -222,7 +224,7 @@ def _contexts(found: DataFrame, docs: DataFrame, gram: int, length: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
                                                  ["g", "id", "pos", "before", "bytes"])
 
-    return _with_text(found.where("kind = 2"), docs).mapInArrow(run, "g long, id long, pos int, before int, bytes binary")
+    return _with_text(found.where(F.col("kind") == kind), docs).mapInArrow(run, "g long, id long, pos int, before int, bytes binary")
 
 
 def _words_of(cells: list[bytes], size: int) -> np.ndarray:
@@ -361,28 +363,42 @@ def _ranges(g: np.ndarray, most: int):
         lo = hi
 
 
-def _by_window(found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Spans of frequent grams: every string of `length` through the anchor by its hash, first one wins."""
+def _longer_anchors(contexts: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(groups, spans): the contexts of frequent grams in groups of at most `most`, as (g, id, pos, before, bytes), and spans found on the way.
 
-    def run(batches):
+    Members of a group share `r` bytes from the anchor on and `l` before it; it is for strings that begin l to length - r bytes before the anchor.
+    """
+
+    def split(batches):
         for batch in batches:
-            for i, text, _, places in zip(*(batch.column(k) for k in range(4)), strict=True):
-                data, _ = text_bytes(pa.array([text.as_py()], pa.string()))
-                up, down = powers(len(data) + 1)
-                total = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
-                second = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(mix(_BYTES[data]) * up[: len(data)], out=second[1:])
-                at = [np.arange(p["start"], p["stop"] - length + 1) for p in places.as_py() if p["start"] + length <= p["stop"] <= len(data)]
-                at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
-                if len(at):
-                    h1, h2 = (mix((t[at + length] - t[at]) * down[at]).view(np.int64) for t in (total, second))
-                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(at), i.as_py())), pa.array(at.astype(np.int32))], ["h1", "h2", "id", "start"])
-
-    windows = settle(_with_text(found.where("kind = 3"), docs).mapInArrow(run, "h1 long, h2 long, id long, start int"))
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = windows.join(firsts, ["h1", "h2"]).where(F.struct("id", "start") > F.col("first"))
-    return again.select("id", "start", (F.col("start") + length).cast("int").alias("stop"))
+            out = []
+            for g, i, p, before, cell, r, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                half = (length - r - left + 1) // 2
+                for right, more in ((r + half, left), (r, length - r - half + 1)):
+                    if right <= len(cell) - before and more <= before:
+                        shared = cell[before - more : before + right]
+                        key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=more.to_bytes(2, "big")).digest(), "big", signed=True)
+                        out.append((g, key, i, p, before, cell, right, more))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "key", "id", "pos", "before", "bytes", "r", "l"])
+
+    rows = contexts.select("g", F.col("g").alias("key"), "id", "pos", "before", "bytes", F.lit(gram).alias("r"), F.lit(0).alias("l"))
+    groups = spans = None
+    while True:
+        rows = settle(rows)
+        sizes = lookup(rows.groupBy("g", "key").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1"))
+        several = settle(rows.join(sizes, ["g", "key"]))
+        fits = several.where(F.col("n") <= most).select(F.col("key").alias("g"), "id", "pos", "before", "bytes")
+        groups = fits if groups is None else groups.unionByName(fits)
+        large = several.where(F.col("n") > most)
+        if large.isEmpty():
+            return groups, spans
+        last = large.where((F.col("r") + F.col("l") >= length) & (F.struct("id", "pos") > F.col("first")))
+        told = last.select("id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
+        spans = told if spans is None else spans.unionByName(told)
+        parts = large.where(F.col("r") + F.col("l") < length).select("g", "id", "pos", "before", "bytes", "r", "l")
+        rows = parts.mapInArrow(split, "g long, key long, id long, pos int, before int, bytes binary, r int, l int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24, most: int = 2048) -> DataFrame:
@@ -390,9 +406,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = settle(_first_contexts(_sampled(docs, length, gram), length, most))
     spans = found.where("kind = 1").select("id", "start", "stop")
-    spans = spans.unionByName(_tree(_contexts(found, docs, gram, length), length, gram))
+    spans = spans.unionByName(_tree(_contexts(found, docs), length, gram))
     if found.where("kind = 3").limit(1).count():
-        spans = spans.unionByName(_by_window(found, docs, length))
+        groups, told = _longer_anchors(_contexts(found, docs, 3), length, gram, most)
+        spans = spans.unionByName(_tree(groups, length, gram))
+        spans = spans if told is None else spans.unionByName(told)
     return spans
 
 
