@@ -120,13 +120,7 @@ def text_linear_svm(spark, folder):
 
 @query("text_random_forest")
 def text_random_forest(spark, folder):
-    from driftline.operators.ranking import stratified_split
-    from driftline.session import packed, settle
-
-    rows = stratified_split(documents(spark, folder).select("doc_id", "lang", "text"), "lang", "doc_id")
-    indexer = classify.index_labels(rows, "lang")
-    ready = packed(settle(indexer.transform(classify.hashed_tfidf(rows.filter("split = 'train'"))(rows)).select("doc_id", "label", "split", "features")))
-    return _scored("random_forest", ready.filter("split = 'train'"), ready.filter("split = 'test'"), list(indexer.labels))
+    return _scored("random_forest", *_bundle(spark, folder))
 
 
 @query("class_weights", "SELECT quality, count(*) AS rows, " + r("sum(count(*)) OVER () / (count(*) OVER () * count(*))") + " AS weight FROM labels GROUP BY quality")

@@ -10,14 +10,15 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, IDF, StringIndexer, StringIndexerModel
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.vectors import doubles, scaled
-from driftline.operators.features import TfIdf, add_terms
+from driftline.operators.features import TfIdf
+from driftline.operators.forest import fit_forest
 from driftline.operators.ranking import stratified_folds, stratified_split
 from driftline.operators.svm import fit_squared_hinge
 from driftline.session import lookup, packed, settle
@@ -108,20 +109,17 @@ def linear_svm(train: DataFrame, c: float = 1.0, loss: str = "squared_hinge", ma
 
 
 def random_forest(train: DataFrame, trees: int = 100, max_depth: int = 30, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
-    """Random forest on few (hashed) features; see `hashed_tfidf`."""
-    model = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=512,
-                                   cacheNodeIds=True).fit(train)
-    return lambda df: model.transform(df).withColumn("probability", vector_to_array("probability"))
+    """Random forest over the whole vocabulary, or any sparse features that are not negative."""
+    forest = fit_forest(train, trees, max_depth, seed)
 
+    def predict(df: DataFrame) -> DataFrame:
+        out = df.withColumn("probability", forest.probabilities())
+        return out.withColumn("prediction", _argmax(F.col("probability")))
 
-CLASSIFIERS = {"naive_bayes": naive_bayes, "logistic": logistic, "linear_svm": linear_svm, "random_forest": random_forest}
+    return predict
 
 
-def hashed_tfidf(train: DataFrame, dims: int = 1000, text: str = "text") -> Callable[[DataFrame], DataFrame]:
-    """TF-IDF over hashed term slots: a fixed, small number of features for tree models."""
-    tf = HashingTF(numFeatures=dims, inputCol="terms", outputCol="counts")
-    idf = IDF(inputCol="counts", outputCol="features").fit(tf.transform(add_terms(train, text)))
-    return lambda df: idf.transform(tf.transform(add_terms(df, text))).drop("terms", "counts")
+CLASSIFIERS = {"naive_bayes": naive_bayes, "logistic": logistic, "linear_svm": linear_svm, "random_forest": random_forest}
 
 
 def predictions(model: Callable[[DataFrame], DataFrame], df: DataFrame, id_col: str = "doc_id") -> DataFrame:

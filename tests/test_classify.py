@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import classify, features, quality
+from driftline.operators import classify, features, forest, quality
 from driftline.operators.svm import fit_squared_hinge
 from driftline.session import settle
 
@@ -87,10 +87,54 @@ def test_squared_hinge_beside_hinge(bundle):
     assert acc["squared_hinge"] >= acc["hinge"] - 0.05
 
 
-def test_random_forest(docs):
-    ready = settle(classify.index_labels(docs, "category").transform(classify.hashed_tfidf(docs, 200)(docs)))
-    out = classify.predictions(classify.random_forest(ready, trees=20), ready)
-    assert quality.accuracy_scores(out).first()["accuracy"] > 0.9
+def test_random_forest(bundle):
+    """On the whole vocabulary."""
+    train, test, _ = bundle
+    out = classify.predictions(classify.random_forest(train, trees=15), test)
+    assert quality.accuracy_scores(out).first()["accuracy"] > 0.7
+    assert all(abs(sum(r["probability"]) - 1) < 1e-9 for r in out.collect())
+
+
+def test_forest_equals_a_plain_tree(spark, monkeypatch):
+    """One tree on all rows and all features, node by node as a plain search over every feature and cut finds it."""
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(forest, "DRAWS", np.array([0.0, 1.0]))  # every row once
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((160, 4)), 1) * (rng.random((160, 4)) < 0.5)
+    label = (x[:, 0] > 0.4).astype(int) + (x[:, 2] > 0) * (x[:, 1] > 0.2)
+    df = spark.createDataFrame([(i, float(c), Vectors.sparse(4, [(j, float(v)) for j, v in enumerate(r) if v])) for i, (r, c) in enumerate(zip(x, label))], ["id", "label", "features"])
+    got = forest.fit_forest(df.repartition(3), trees=1, bins=64, share=1.0)
+    edges = np.unique(x[x > 0])
+
+    def plain(own):
+        counts = np.bincount(label[own], minlength=3)
+        best = (1e-9, None, None)
+        for f in range(4):
+            for cut in (0.0, *edges):
+                left = x[own, f] <= cut
+                if left.any() and not left.all():
+                    gain = sum((np.bincount(label[own][s], minlength=3) ** 2).sum() / s.sum() for s in (left, ~left)) - (counts**2).sum() / len(own)
+                    if round(gain, 9) > round(best[0], 9):
+                        best = (gain, f, cut)
+        if best[1] is None:
+            return counts.tolist()
+        left = x[own, best[1]] <= best[2]
+        return best[1], best[2], plain(own[left]), plain(own[~left])
+
+    def built(node):
+        if got.feature[node] < 0:
+            return got.weights[node].astype(int).tolist()
+        return got.feature[node], got.threshold[node], built(got.left[node]), built(got.left[node] + 1)
+
+    def alike(a, b, own):
+        """The same rows in the leaves, with the same classes."""
+        if isinstance(a, list) or isinstance(b, list):
+            return a == b
+        return a[0] == b[0] and alike(a[2], b[2], own) and alike(a[3], b[3], own)
+
+    assert alike(plain(np.arange(160)), built(0), None)
+    assert all(np.argmax(r["p"]) == r["label"] for r in df.withColumn("p", got.probabilities()).collect())
 
 
 def test_votes(spark):
