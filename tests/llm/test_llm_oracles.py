@@ -23,3 +23,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
     assert compare(QUERIES[name](spark, FOLDER).toPandas(), con.sql(ORACLES[name]).df()) == "ok"
+
+
+def test_every_numbered_operator_is_registered():
+    assert {int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")} == set(range(1, 14))
