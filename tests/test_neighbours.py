@@ -81,6 +81,23 @@ def test_groups_are_sized_by_bytes(spark, monkeypatch):
     assert len(tree.fine) == 100 and len(tree.tops) <= 10 and tree.start[-1] == 100
 
 
+def test_groups_of_many_pivots_travel_together(spark):
+    """Without structure a row is copied once per load, and loads are full: 28 top pivots make no more of them than their rows fill."""
+    x = np.random.default_rng(6).normal(size=(6000, 32))
+    rows = frame(spark, x).select("id", F.col("embedding").alias("vec"))
+    tree, groups = neighbours.index(rows, rows, 5, 2000)
+    assert len(tree.value.tops) > 20 and len(groups.value.parts) <= 2 * 6000 / 2000
+    assert copies(frame(spark, x), 5, 2000) <= 2 * 6000 / 2000
+
+
+def test_single_precision_vectors_travel_as_such(spark, hot):
+    df = frame(spark, hot).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    rows = df.select("id", F.col("embedding").alias("vec"))
+    sent = neighbours._scatter(rows, rows.schema["id"].dataType, *neighbours.index(rows, rows, 4, 64), False)
+    assert sent.schema["vec"].dataType.simpleString() == "array<float>"
+    assert got(neighbours.nearest(df, df, 4, "id", "id", block_rows=64)) == brute(hot.astype(np.float32).astype(float), hot.astype(np.float32).astype(float), 4)
+
+
 def test_string_ids(spark, hot):
     ids = [f"d{i:03d}" for i in range(60)]
     df = frame(spark, hot[:60], ids)
@@ -105,6 +122,28 @@ def test_recall(spark, hot):
     assert {r["k"]: r["recall"] for r in neighbours.masked_self_recall(df.limit(5)).collect()} == {1: 0.0, 3: 0.0, 5: 1.0}
 
 
+@pytest.mark.parametrize("names", [int, "d{:03d}".format])
+def test_recall_from_counts(spark, hot, names):
+    """The same as the ranks among all neighbours, with copies, ties, zero vectors, ids that repeat, are null or have no own row; and no pairs are kept."""
+    rng = np.random.default_rng(4)
+    title = hot + 0.3 * rng.normal(size=hot.shape) * (rng.random((len(hot), 1)) < 0.7)
+    ids = [names(i) for i in range(len(hot))]
+    ids[10], ids[11], ids[20], ids[21] = ids[12], ids[12], None, None
+    kind = "string" if names is not int else "long"
+    make = lambda ids, x: spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], f"id {kind}, vec array<double>")
+    q, c = make(ids, title), make([*ids[:280], *ids[:30]], np.vstack([hot[:280], hot[:30]]))
+    held, unit = [*ids[:280], *ids[:30]], lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sims, own = np.round(unit(title) @ unit(np.vstack([hot[:280], hot[:30]])).T, 9) + 0.0, []
+    for i in set(ids):  # rows that share an id share one list
+        order = sorted((-s, c is None, c or 0 if kind == "long" else c or "") for r in range(300) if ids[r] == i for s, c in zip(sims[r], held))
+        own.append(next((n for n, (_, none, c) in enumerate(order, 1) if i is not None and not none and c == i), 999))
+    assert {r.k: r.recall for r in neighbours.retrieval_recall(q, c, "id", "vec", "vec").collect()} == {k: pytest.approx(np.mean(np.array(own) <= k)) for k in (1, 3, 5)}
+    known = neighbours._own_similarity(q, c)
+    counts = [{r.id: min(r.before, 5) for r in neighbours._rows_before(q.join(known, "id"), c, 5, block, shares).collect()} for block, shares in ((None, (100,)), (50, (2, 100)), (7, (30, 60, 100)))]
+    assert counts[0] == counts[1] == counts[2] and len(counts[0]) > 50
+    assert [r.recall for r in neighbours.retrieval_recall(q, c.limit(0), "id", "vec", "vec").collect()] == [None] * 3
+
+
 def test_distance_sums(spark, hot):
     df = frame(spark, hot)
     d = np.linalg.norm(hot[:, None] - hot[None], axis=2)
