@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.arrays import blocks, mix, powers, small_batches, word_hashes, word_spans
-from driftline.session import settle
+from driftline.llm.arrays import blocks, mix, powers, word_hashes, word_spans
+from driftline.session import settle, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BREAKS = np.ones(256, bool)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.arrays import _BYTES, blocks, mix, powers, text_bytes
 from driftline.llm.bits import bitmap, held
-from driftline.session import lookup, settle
+from driftline.session import lookup, settle, small_batches
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 CHUNK = 1 << 19  # anchors a task gathers before it looks for repeats among them
@@ -403,6 +403,7 @@ def _longer_anchors(contexts: DataFrame, length: int, gram: int, most: int) -> t
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24, most: int = 2048) -> DataFrame:
     """(id, start, stop): byte spans whose every byte lies in a string of `length` bytes that also starts earlier."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = settle(_first_contexts(_sampled(docs, length, gram), length, most))
     spans = found.where("kind = 1").select("id", "start", "stop")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.text import STOP_WORDS, tokens, with_bigrams
 from driftline.functions.vectors import unit
-from driftline.session import settle
+from driftline.session import settle, small_batches
 
 MAX_TERMS = 10_000  # fixed value: default vocabulary size
 KNOWN_WORDS = 500_000  # frequent words that are sent to all tasks
@@ -38,6 +38,7 @@ def vocabulary(df: DataFrame, terms: str = "terms", size: int = MAX_TERMS, min_d
     than its rarer word, so only pairs of words that reach the count of the `size`-th word are counted; the others cannot be among the top.
     Each task counts a batch of documents by numbers of words and sends a row per distinct term.
     """
+    small_batches(df.sparkSession)
     docs = df.agg(F.count(F.lit(1))).scalar()
     rows = df.select(F.col(terms).alias("t"))
 

@@ -34,6 +34,29 @@ def test_concept_run(spark, raw):
     assert scores["retrieval_recall_at1"] == 0.0 and -1 <= scores["clustering_silhouette"] <= 1 and scores["backtest_mae"] >= 0
 
 
+def test_run_summary_embeds_every_document_once(spark, raw):
+    opt = runs.RunOptions(freq="W", steps=4, start=START, end=START + timedelta(days=200))
+    texts = spark.sparkContext.accumulator(0)
+    plain = HashedTerms(16)
+
+    def encoder(batch):
+        texts.add(len(batch))
+        return plain(batch)
+
+    from driftline.operators.embedding import embed
+
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set(key, "10000")
+        embedded = embed(time_bins(raw, "W").withColumn("doc_id", F.xxhash64("url")), encoder)
+        assert int(spark.conf.get(key)) <= 2000
+    finally:
+        spark.conf.set(key, before)
+    summary = {r["item"]: r["value"] for r in runs.run_summary(embedded, opt).collect()}
+    assert summary["docs:rss"] == 200 and summary["bins"] == 20
+    assert texts.value == 400
+
+
 def test_default_range_is_the_last_180_days(spark, raw):
     old = raw.limit(1).withColumn("published", F.lit(START - timedelta(days=100)).cast("timestamp_ntz"))
     assert runs.prepare([raw, old], runs.RunOptions()).count() == 400
