@@ -53,32 +53,39 @@ class Forest:
         self.weights = np.vstack([self.weights, np.zeros((2 * len(nodes), self.classes))])
         return np.arange(first, len(self.feature))
 
-    def walk(self, row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, tree: int) -> np.ndarray:
-        """The node of a tree that each of n rows ends in."""
-        key = row * self.size + place
-        node = np.full(n, self.root[tree])
-        going = np.arange(n)
-        while len(going := going[self.feature[node[going]] >= 0]):
-            at = node[going]
-            wanted = going * self.size + self.feature[at]
-            k = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
-            x = np.where(key[k] == wanted, value[k], 0.0) if len(key) else np.zeros(len(going))
-            node[going] = self.left[at] + (x > self.threshold[at])
-        return node
+    def arrays(self) -> tuple:
+        """What `walk` needs, without the class: a broadcast is pickled by reference, and executors need not have this module."""
+        return self.size, self.feature, self.threshold, self.left
 
     def probabilities(self, features: str = "features") -> Column:
         """Mean over the trees of the class shares of a row's leaf."""
         shares = self.weights / np.maximum(self.weights.sum(1, keepdims=True), 1e-300)
+        trees, classes, roots = self.arrays(), self.classes, self.root.tolist()
 
         @F.arrow_udf("array<double>")
         def score(vectors: pa.Array) -> pa.Array:
             entries, n = _ordered(*_sparse(vectors)), len(vectors)
-            out = sum(shares[self.walk(*entries, n, t)] for t in range(len(self.root))) / len(self.root)
-            return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * self.classes), pa.array(out.ravel()))
+            out = sum(shares[walk(trees, *entries, n, t)] for t in roots) / len(roots)
+            return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * classes), pa.array(out.ravel()))
 
         return score(F.unwrap_udt(features))
 
 
+def walk(trees: tuple, row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, root: int) -> np.ndarray:
+    """The node that each of n rows ends in, below a root."""
+    size, feature, threshold, left = trees
+    key = row * size + place
+    node = np.full(n, root)
+    going = np.arange(n)
+    while len(going := going[feature[node[going]] >= 0]):
+        at = node[going]
+        wanted = going * size + feature[at]
+        k = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+        x = np.where(key[k] == wanted, value[k], 0.0) if len(key) else np.zeros(len(going))
+        node[going] = left[at] + (x > threshold[at])
+    return node
+
+
 def _ordered(row, place, value):
     order = np.lexsort((place, row))
     live = order[value[order] != 0]
@@ -117,10 +124,10 @@ def fit_forest(train: DataFrame, trees: int = 100, max_depth: int = 30, seed: in
         """Class totals of the nodes, and their best splits as {node: (feature, bin)}."""
         slot_of = np.full(len(forest.feature), -1)
         slot_of[nodes] = np.arange(len(nodes))
-        sent = context.broadcast((forest, slot_of, np.unique(tree_of[nodes]), nodes, np.minimum(1.0, 4.0**looks * (share or 1 / math.sqrt(size))), edges))
+        sent = context.broadcast((forest.arrays(), slot_of, np.unique(tree_of[nodes]), nodes, np.minimum(1.0, 4.0**looks * (share or 1 / math.sqrt(size))), edges))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            forest, slot_of, used, nodes, rate, edges = sent.value
+            grown, slot_of, used, nodes, rate, edges = sent.value
             for whole in batches:
                 for lo in range(0, whole.num_rows, 1000):
                     batch = whole.slice(lo, 1000)
@@ -130,7 +137,7 @@ def fit_forest(train: DataFrame, trees: int = 100, max_depth: int = 30, seed: in
                     parts = []
                     for t in used.tolist():
                         weight = np.searchsorted(DRAWS, _share(h ^ _mixed(np.array([seed * 100_003 + t])))).astype(float)
-                        slot = np.where(weight > 0, slot_of[forest.walk(row, place, value, n, t)], -1)
+                        slot = np.where(weight > 0, slot_of[walk(grown, row, place, value, n, t)], -1)
                         live = np.flatnonzero(slot >= 0)
                         parts.append((slot[live], np.full(len(live), -1), np.zeros(len(live), np.int64), label[live], weight[live]))
                         e = np.flatnonzero(slot[row] >= 0)
@@ -140,7 +147,8 @@ def fit_forest(train: DataFrame, trees: int = 100, max_depth: int = 30, seed: in
                         parts.append((s, place[e], bin_[e], label[row[e]], weight[row[e]]))
                     s, f, b, c, w = (np.concatenate(x) for x in zip(*parts, strict=True))
                     key, at = np.unique(((s * (size + 1) + f + 1) * (bins + 1) + b) * classes + c, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, w, minlength=len(key)))], ["key", "w"])
+                    sums = np.bincount(at, w, minlength=len(key)).astype(float)  # of nothing, NumPy's sum is an integer
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sums, pa.float64())], ["key", "w"])
 
         key = F.col("key")
         parts = rows.mapInArrow(count, "key long, w double").groupBy("key").agg(F.sum("w").alias("w"))

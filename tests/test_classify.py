@@ -1,5 +1,8 @@
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from driftline.operators import classify, features, forest, quality
@@ -137,6 +140,25 @@ def test_forest_equals_a_plain_tree(spark, monkeypatch):
     assert all(np.argmax(r["p"]) == r["label"] for r in df.withColumn("p", got.probabilities()).collect())
 
 
+def test_forest_sends_plain_arrays(bundle, monkeypatch):
+    """What is broadcast is pickled by reference; an executor without this library must be able to read it."""
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or broadcast(self, value))
+    forest.fit_forest(bundle[0], trees=2)
+    assert sent and not any(b"driftline" in s for s in sent)
+
+
+def test_forest_with_batches_that_count_nothing(spark, monkeypatch):
+    """The last 1,000 rows end in a pure leaf; while the others are split, their batch has no count."""
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(forest, "DRAWS", np.array([0.0, 1.0]))
+    kinds = [1] * 8 + [2] * 8 + [0] * 2000
+    rows = [(i, float(k), Vectors.sparse(3, [(k, 1.0)])) for i, k in enumerate(kinds)]
+    got = forest.fit_forest(spark.createDataFrame(rows, ["id", "label", "features"]).coalesce(1), trees=1, share=1.0)
+    assert sorted(map(tuple, got.weights[got.feature < 0].tolist())) == [(0.0, 0.0, 8.0), (0.0, 8.0, 0.0), (2000.0, 0.0, 0.0)]
+
+
 def test_votes(spark):
     rows = [(1, "a"), (1, "a"), (1, "b"), (2, "c"), (2, "b"), (2, "a"), (3, "b"), (3, "b"), (3, "b")]
     got = {r["i"]: r["prediction"] for r in classify.hard_vote(spark.createDataFrame(rows, "i int, prediction string"), "i").collect()}
