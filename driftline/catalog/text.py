@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.catalog.base import documents, MARKERS, PREDICTIONS, PROBS, corpus, marker_predictions, marker_probs, query, r, vectors
 from driftline.functions.text import STOP_WORDS, tokens
 from driftline.operators import classify, features, quality, trajectory
+from driftline.session import settle
 from driftline.sources.labelled import read_table
 
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -53,7 +54,7 @@ DOCSET = "docset AS (SELECT doc_id FROM documents)"
 
 @query("vocabulary", f"WITH {TERMS}, {DOCSET}, {_vocab(where='count(*) >= 2 AND count(*) <= max(docs) * 0.95::DOUBLE')} SELECT term, cf, df, docs, {r('idf')} AS idf FROM vocab")
 def vocabulary(spark, folder):
-    return features.vocabulary(_words(spark, folder), min_df=2, max_df=0.95, pairs=True)
+    return features.vocabulary(settle(_words(spark, folder)), min_df=2, max_df=0.95, pairs=True)
 
 
 TFIDF = """w AS (SELECT doc_id, term, {tf} * idf AS w FROM tf JOIN vocab USING (term)),
@@ -62,12 +63,14 @@ tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) A
 
 @query("tfidf", f"WITH {TERMS}, {DOCSET}, {_vocab()}, {TFIDF.format(tf='tf')} SELECT doc_id, term, {r('tfidf')} AS tfidf FROM tfidf")
 def tfidf(spark, folder):
-    return features.tfidf_rows(_terms(spark, folder), features.vocabulary(_words(spark, folder), pairs=True))
+    words = settle(_words(spark, folder))
+    return features.tfidf_rows(words, features.vocabulary(words, pairs=True), pairs=True)
 
 
 @query("tfidf_sublinear", f"WITH {TERMS}, {DOCSET}, {_vocab()}, {TFIDF.format(tf='(1 + ln(tf))')} SELECT doc_id, term, {r('tfidf')} AS tfidf FROM tfidf")
 def tfidf_sublinear(spark, folder):
-    return features.tfidf_rows(_terms(spark, folder), features.vocabulary(_words(spark, folder), pairs=True), sublinear=True)
+    words = settle(_words(spark, folder))
+    return features.tfidf_rows(words, features.vocabulary(words, pairs=True), sublinear=True, pairs=True)
 
 
 SPLIT = """split AS (SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id)

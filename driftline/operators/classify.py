@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.vectors import doubles, scaled
-from driftline.operators.features import TfIdf
+from driftline.operators.features import TfIdf, add_terms
 from driftline.operators.forest import fit_forest
 from driftline.operators.ranking import stratified_folds, stratified_split
 from driftline.operators.svm import fit_squared_hinge
@@ -126,15 +126,20 @@ def predictions(model: Callable[[DataFrame], DataFrame], df: DataFrame, id_col:
     return model(df).select(id_col, "label", "prediction", "probability")
 
 
+def _split_words(df: DataFrame, category: str, id_col: str, text: str, test_share: float = 0.2) -> DataFrame:
+    """Stratified split, the texts as word arrays; written out."""
+    return settle(add_terms(stratified_split(df, category, id_col, test_share), text, "words", bigrams=False).drop(text))
+
+
 def text_features(df: DataFrame, category: str, id_col: str = "doc_id", text: str = "text", size: int = 10_000,
                   min_df: int = 1, max_df: float = 1.0, test_share: float = 0.2):
     """Stratified split and TF-IDF vectors learned on its training part; returns (train, test, class names).
 
-    The vectors are written out once: every optimiser step of every model reads them.
+    The words are written out once for the passes of the vocabulary, the vectors once for every optimiser step of every model.
     """
-    rows = stratified_split(df.select(id_col, category, text), category, id_col, test_share)
+    rows = _split_words(df.select(id_col, category, text), category, id_col, text, test_share)
     indexer = index_labels(rows, category)
-    tfidf = TfIdf(rows.filter("split = 'train'"), text, size=size, min_df=min_df, max_df=max_df)
+    tfidf = TfIdf(rows.filter("split = 'train'"), size=size, min_df=min_df, max_df=max_df)
     ready = packed(settle(indexer.transform(tfidf.features(rows)).select(id_col, category, "label", "split", "features")))
     return ready.filter("split = 'train'"), ready.filter("split = 'test'"), list(indexer.labels)
 
@@ -150,11 +155,10 @@ def vector_features(df: DataFrame, category: str, id_col: str, vec: str = "embed
 
 def category_probabilities(df: DataFrame, category: str, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Train balanced logistic regression on the training split and score every document: (id, category, prob)."""
-    rows = stratified_split(df.select(id_col, category, text, *keep), category, id_col)
+    rows = _split_words(df.select(id_col, category, text, *keep), category, id_col, text)
     indexer = index_labels(rows, category)
-    train = rows.filter("split = 'train'")
-    tfidf = TfIdf(train, text)
-    ready = packed(settle(indexer.transform(tfidf.features(rows)).drop(text)))
+    tfidf = TfIdf(rows.filter("split = 'train'"))
+    ready = packed(settle(indexer.transform(tfidf.features(rows))))
     model = logistic(ready.filter("split = 'train'"), balanced=True)
     scored = model(ready)
     pairs = F.arrays_zip(F.array(*[F.lit(n) for n in indexer.labels]).alias("category"), F.col("probability").alias("prob"))

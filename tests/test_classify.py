@@ -51,6 +51,24 @@ def test_vectors_equal_rows(spark, docs):
         assert abs(sum(v * v for v in got.values()) - 1) < 1e-9
 
 
+def test_vectors_of_words_equal_those_of_terms(spark, monkeypatch):
+    """Words and pairs, looked up by word, give the vectors of the built-in transformers; texts are cut into words once."""
+    texts = ["red red blue", "blue red", "", None, "green", "red blue red blue red", "no_such blue", "Blue GREEN red", "x y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    words = features.add_terms(docs, bigrams=False)
+    vocab = settle(features.vocabulary(words, size=8, pairs=True))
+    want = {r["doc_id"]: r["features"] for r in features.tfidf_model(vocab).transform(features.add_terms(docs)).collect()}
+    got = {r["doc_id"]: r["features"] for r in features.tfidf_vectors(words, vocab, pairs=True).collect()}
+    assert got == want and any(" " in r["term"] for r in vocab.collect())
+    names = [r["term"] for r in vocab.orderBy("term").collect()]
+    rows = features.tfidf_rows(words, vocab, pairs=True).collect()
+    assert {(r["doc_id"], r["term"], r["tfidf"]) for r in rows} == {(d, names[i], v) for d, x in want.items() for i, v in zip(x.indices, x.values)}
+    cut, add = [], classify.add_terms
+    monkeypatch.setattr(classify, "add_terms", lambda *a, **k: cut.append(1) or add(*a, **k))
+    train, _, _ = classify.text_features(docs.withColumn("c", F.lit("a")), "c")
+    assert cut == [1] and "regexp" not in train._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("name", ["naive_bayes", "logistic", "linear_svm"])
 def test_models_beat_majority(bundle, name):
     train, test, names = bundle
