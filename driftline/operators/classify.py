@@ -20,7 +20,7 @@ from driftline.functions.vectors import doubles, scaled
 from driftline.operators.features import TfIdf, add_terms
 from driftline.operators.forest import fit_forest
 from driftline.operators.ranking import stratified_folds, stratified_split
-from driftline.operators.svm import fit_squared_hinge
+from driftline.operators.svm import SquaredHinge, fit_squared_hinge, fit_without_folds
 from driftline.session import lookup, packed, settle
 
 
@@ -90,13 +90,7 @@ def linear_svm(train: DataFrame, c: float = 1.0, loss: str = "squared_hinge", ma
     `squared_hinge` fits all classes together by Newton steps; `hinge` is the built-in model.
     """
     if loss == "squared_hinge":
-        fitted = fit_squared_hinge(train, c, TOLERANCE)
-
-        def predict(df: DataFrame) -> DataFrame:
-            out = df.withColumn("scores", fitted.margins())
-            return out.withColumn("prediction", _argmax(F.col("scores"))).withColumn("probability", _softmax(F.col("scores")))
-
-        return predict
+        return _by_margins(fit_squared_hinge(train, c, TOLERANCE))
     n = train.count()
     svm = LinearSVC(regParam=1.0 / (c * max(n, 1)), maxIter=max_iter, standardization=False, tol=TOLERANCE)
     model = OneVsRest(classifier=svm, parallelism=4).setRawPredictionCol("rawPrediction").fit(train)
@@ -108,6 +102,14 @@ def linear_svm(train: DataFrame, c: float = 1.0, loss: str = "squared_hinge", ma
     return predict_hinge
 
 
+def _by_margins(fitted: SquaredHinge) -> Callable[[DataFrame], DataFrame]:
+    def predict(df: DataFrame) -> DataFrame:
+        out = df.withColumn("scores", fitted.margins())
+        return out.withColumn("prediction", _argmax(F.col("scores"))).withColumn("probability", _softmax(F.col("scores")))
+
+    return predict
+
+
 def random_forest(train: DataFrame, trees: int = 100, max_depth: int = 30, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
     """Random forest over the whole vocabulary, or any sparse features that are not negative."""
     forest = fit_forest(train, trees, max_depth, seed)
@@ -184,8 +186,8 @@ def calibrated_svm(train: DataFrame, id_col: str, folds: int = 3) -> Callable[[D
     """SVM whose probabilities come from logistic calibrators fitted on held-out folds, averaged over the folds."""
     parts = packed(settle(stratified_folds(train, "label", id_col, folds)))
     fitted = []
-    for i in range(folds):
-        svm = linear_svm(parts.filter(F.col("fold") != i))
+    for i, fit in enumerate(fit_without_folds(parts, "fold", folds, tolerance=TOLERANCE)):
+        svm = _by_margins(fit)
         held = svm(parts.filter(F.col("fold") == i)).select("label", array_to_vector("scores").alias("margins"))
         n = held.count()
         fitted.append((svm, LogisticRegression(

@@ -6,7 +6,7 @@ from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from driftline.operators import classify, features, forest, quality
-from driftline.operators.svm import fit_squared_hinge
+from driftline.operators.svm import fit_squared_hinge, fit_without_folds
 from driftline.session import settle
 
 WORDS = {"art": "paint canvas gallery brush", "sea": "ship wave harbour sail", "sun": "light heat star glow"}
@@ -102,6 +102,34 @@ def test_squared_hinge_reaches_the_minimum(spark):
         assert np.allclose(r["s"], got.weights @ np.r_[r["features"].toArray(), 1.0])
 
 
+def test_fits_without_folds_share_their_scans(spark):
+    """Each equals the fit on the rows of the other folds; together they take hardly more scans than one of them."""
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2500, 5)) * (rng.random((2500, 5)) < 0.7)
+    label = np.argmax(x[:, :3] + 0.5 * rng.normal(size=(2500, 3)), axis=1)
+    rows = [(float(k), i % 3, Vectors.sparse(5, [(j, float(a)) for j, a in enumerate(v) if a])) for i, (v, k) in enumerate(zip(x, label)) if k < 2 or i % 3 == 1]
+    df = spark.createDataFrame(rows, ["label", "fold", "features"]).repartition(2).cache()
+    got = fit_without_folds(df, "fold", 3)
+    alone = [fit_squared_hinge(df.filter(F.col("fold") != k)) for k in range(3)]
+    assert [len(g.weights) for g in got] == [3, 2, 3]  # class 2 is in fold 1 only
+    for g, a in zip(got, alone):
+        assert np.allclose(g.weights, a.weights, atol=1e-7) and np.allclose(g.objective, a.objective)
+    assert got[0].scans < 1.5 * max(a.scans for a in alone)
+
+
+def test_squared_hinge_reads_packed_rows(spark, bundle, monkeypatch):
+    """A scan reads a row per block, not one per document."""
+    from driftline.operators import svm
+
+    packed, settled = svm._packed, []
+    monkeypatch.setattr(svm, "_packed", lambda *a: settled.append(packed(*a)) or settled[-1])
+    monkeypatch.setattr(svm, "BLOCK", 50)
+    fit_squared_hinge(bundle[0].coalesce(1))
+    assert settled[0].count() == 3 and bundle[0].count() == 120
+
+
 def test_squared_hinge_beside_hinge(bundle):
     train, test, _ = bundle
     acc = {loss: quality.accuracy_scores(classify.predictions(classify.linear_svm(train, loss=loss), test)).first()["accuracy"] for loss in ("squared_hinge", "hinge")}
