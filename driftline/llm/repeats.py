@@ -35,6 +35,7 @@ from driftline.session import lookup, settle, small_batches
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 CHUNK = 1 << 19  # anchors a task gathers before it looks for repeats among them
+CLASSES = 1 << 15  # contexts of frequent grams a task gathers for the same end
 ANCHOR = "kind byte, g long, c long, id long, pos int, start int, stop int"
 
 
@@ -280,15 +281,28 @@ def scan_group(rights: np.ndarray, right_sizes: np.ndarray, lefts: np.ndarray, l
     rights and lefts are sorted by the right part; lefts run away from the anchor.
     """
     lcp = _common(rights[1:], rights[:-1], np.minimum(right_sizes[1:], right_sizes[:-1]))
+    rank = np.empty(len(age), np.int64)
+    rank[np.lexsort([left_sizes, *lefts.view(">u8").T[::-1]])] = np.arange(len(age))
     for first, last, depth in lcp_intervals(lcp):
-        members = np.arange(first, last + 1)
-        if depth + lefts.shape[1] < length:
+        need = length - depth
+        own = left_sizes[first : last + 1]
+        if np.count_nonzero(own >= need) < 2:
             continue
-        shared = (lefts[first : last + 1] == lefts[first]).all(0)
-        if shared.all() and (left_sizes[members] == left_sizes[first]).all():  # no left diversity: all reach the whole context
-            matches = np.where(age[members] == age[members].min(), -1, left_sizes[members])
+        members = first + np.flatnonzero(own >= need)
+        members = members[np.argsort(rank[members])]
+        near = _common(lefts[members[1:]], lefts[members[:-1]], np.minimum(left_sizes[members[1:]], left_sizes[members[:-1]]))
+        close = near >= need
+        if not close.any():
+            continue
+        members = members[np.r_[False, close] | np.r_[close, False]]  # the others agree with nobody in enough bytes
+        if len(members) == 2:
+            yield depth, members[[age[members].argmax()]], near[close]
+            continue
+        sizes = left_sizes[members]
+        if (lefts[members] == lefts[members[0]]).all() and (sizes == sizes[0]).all():  # no left diversity: all reach the whole context
+            matches = np.where(age[members] == age[members].min(), -1, sizes)
         else:
-            matches = _left_matches(np.ascontiguousarray(lefts[members]), left_sizes[members], age[members])
+            matches = _left_matches(np.ascontiguousarray(lefts[members]), sizes, age[members])
         yield depth, members, matches
 
 
@@ -367,26 +381,47 @@ def _longer_anchors(contexts: DataFrame, length: int, gram: int, most: int) -> t
     """(groups, spans): the contexts of frequent grams in groups of at most `most`, as (g, id, pos, before, bytes), and spans found on the way.
 
     Members of a group share `r` bytes from the anchor on and `l` before it; it is for strings that begin l to length - r bytes before the anchor.
+    Where a task's rows agree in all that those strings reach, the first goes on and the others repeat it, as far as they reach: a passage that
+    many documents share is halved once a task, not once a document and string.
     """
 
     def split(batches):
+        firsts: dict[tuple, tuple] = {}
+        again: list[tuple[int, int, int]] = []
+
+        def flush():
+            i1, s1, e1 = (x.tolist() for x in _merged(*(np.array(x, np.int64) for x in zip(*again, strict=True)))) if again else ((), (), ())
+            out = [(0, *row, 0, 0) for row in firsts.values()] + [(1, 0, 0, i, 0, 0, None, 0, 0, s, e) for i, s, e in zip(i1, s1, e1, strict=True)]
+            firsts.clear()
+            again.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            out = []
             for g, i, p, before, cell, r, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                half = (length - r - left + 1) // 2
+                half, after = (length - r - left + 1) // 2, len(cell) - before
                 for right, more in ((r + half, left), (r, length - r - half + 1)):
-                    if right <= len(cell) - before and more <= before:
+                    back, on = min(before, length - right), min(after, length - more)  # as far as strings of this half reach
+                    if right > after or more > before or back + on < length:
+                        continue
+                    part = (g, right, more, back, cell[before - back : before + on])
+                    old = firsts.get(part)
+                    if old is None or (i, p) < old[2:4]:
                         shared = cell[before - more : before + right]
                         key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=more.to_bytes(2, "big")).digest(), "big", signed=True)
-                        out.append((g, key, i, p, before, cell, right, more))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "key", "id", "pos", "before", "bytes", "r", "l"])
+                        firsts[part] = (g, key, i, p, before, cell, right, more)
+                    late = max((i, p), old[2:4]) if old else None
+                    if late and (i, p) != old[2:4]:
+                        again.append((late[0], late[1] - back, late[1] + on))
+            if len(firsts) + len(again) >= CLASSES:
+                yield flush()
+        if firsts:
+            yield flush()
 
-    rows = contexts.select("g", F.col("g").alias("key"), "id", "pos", "before", "bytes", F.lit(gram).alias("r"), F.lit(0).alias("l"))
+    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    names = ["kind", "g", "key", "id", "pos", "before", "bytes", "r", "l", "start", "stop"]
+    rows = settle(contexts.select("g", F.col("g").alias("key"), "id", "pos", "before", "bytes", F.lit(gram).alias("r"), F.lit(0).alias("l")))
     groups = spans = None
     while True:
-        rows = settle(rows)
         sizes = lookup(rows.groupBy("g", "key").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1"))
         several = settle(rows.join(sizes, ["g", "key"]))
         fits = several.where(F.col("n") <= most).select(F.col("key").alias("g"), "id", "pos", "before", "bytes")
@@ -398,7 +433,9 @@ def _longer_anchors(contexts: DataFrame, length: int, gram: int, most: int) -> t
         told = last.select("id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
         spans = told if spans is None else spans.unionByName(told)
         parts = large.where(F.col("r") + F.col("l") < length).select("g", "id", "pos", "before", "bytes", "r", "l")
-        rows = parts.mapInArrow(split, "g long, key long, id long, pos int, before int, bytes binary, r int, l int")
+        halves = settle(parts.mapInArrow(split, "kind byte, g long, key long, id long, pos int, before int, bytes binary, r int, l int, start int, stop int"))
+        spans = spans.unionByName(halves.where("kind = 1").select("id", "start", "stop"))
+        rows = halves.where("kind = 0").drop("kind", "start", "stop")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24, most: int = 2048) -> DataFrame:
