@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.arrays import blocks, mix, powers, word_hashes, word_spans
+from driftline.llm.arrays import blocks, mix, powers, tidy, word_hashes, word_spans
 from driftline.session import settle, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -183,7 +183,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
                 words = [bytes(data[starts[k] : ends[k]]).decode() for k in at.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(lang[at].astype(np.int32)), pa.array(words), pa.array(n)], ["lang", "word", "n"])
 
-    counted = settle(chosen.mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counted = settle(chosen.mapInArrow(tidy(count), "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     probs = np.full((len(pieces) + 1, len(langs)), 1.0 / (len(pieces) + 1))
     known = rows.sparkSession.sparkContext.broadcast(pieces)
     for _ in range(rounds):
@@ -201,7 +201,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
             piece, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[piece, k])], ["piece", "lang", "n"])
 
-        sums = counted.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        sums = counted.mapInArrow(tidy(expect), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         table = np.full_like(probs, 0.1)  # every piece may come up
         table[sums["piece"], sums["lang"]] += sums["n"]
         probs = table / table.sum(0)
@@ -255,4 +255,4 @@ def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray], text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(sure)], [*batch.schema.names, out, score])
 
     schema = docs.select(docs.columns).schema.add(out, "string").add(score, "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
