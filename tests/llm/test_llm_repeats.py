@@ -1,8 +1,10 @@
 import hashlib
+from os.path import commonprefix
 
 import numpy as np
 import pytest
 
+from driftline.llm import repeats
 from driftline.llm.repeats import _common, _left_matches, lcp_intervals, without_repeats
 
 
@@ -67,3 +69,27 @@ def test_odd_rows(spark):
     out = without_repeats(df).collect()
     assert sorted((r.id or 0, r.n_removed) for r in out) == [(0, 0), (1, brute(rows[:1], 100)[1][1]), (1, brute(rows[:1], 100)[1][1]), (2, len(text))]
     assert without_repeats(df.limit(0)).count() == 0
+
+
+def test_a_shared_passage_is_halved_once_a_task(spark, monkeypatch):
+    """Rows of frequent grams grow with the documents, not with documents times strings of the passage."""
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = letters(160)
+    texts = [letters(50) + passage for _ in range(80)]
+    rows = [(7, i, 60, 28, text[32:100].encode()) for i, text in enumerate(texts)]
+    contexts = spark.createDataFrame(rows, "g long, id long, pos int, before int, bytes binary").repartition(2)
+    joined, settle = [], repeats.settle
+
+    def counted(table):
+        out = settle(table)
+        joined.extend([out.count()] if {"n", "first"} <= set(out.columns) else [])
+        return out
+
+    monkeypatch.setattr(repeats, "settle", counted)
+    groups, told = repeats._longer_anchors(contexts, 40, 12, 16)
+    found = repeats._tree(groups, 40, 12).unionByName(told).collect()
+    reached = {i: (min(r.start for r in found if r.id == i), max(r.stop for r in found if r.id == i)) for i in {r.id for r in found}}
+    shared = {i: max(len(commonprefix([text[:50][::-1], other[:50][::-1]])) for other in texts[:i]) for i, text in enumerate(texts) if i}
+    assert reached == {i: (50 - n, 100) for i, n in shared.items()}
+    assert sum(joined) <= 400
