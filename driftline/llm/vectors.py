@@ -5,9 +5,10 @@ leading principal directions, laid on a grid of side eps, and sorted by grid cel
 sequence is cut into blocks of bounded size; blocks make intervals, intervals of intervals, up to one. The join goes
 down from the whole sequence with itself: a pair of intervals is split into the pairs of their parts, and a pair whose bounding boxes lie
 further apart than eps is dropped, since projecting never lengthens a distance. Block pairs that are left are compared by
-matrix product, and pairs near the limit again component by component in double precision.
+matrix product, and pairs near the limit again component by component in double precision. They travel by tiles, runs of blocks: a task gets
+the blocks of two tiles once and compares the block pairs among them.
 
-Equal vectors are one class, compared once. A pair of blocks returns counts per vector and a few joining links per group,
+Equal vectors are one class, compared once. A pair of tiles returns counts per vector and a few joining links per group,
 not all pairs, so a group of thousands of near copies stays small.
 
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing, and so do vectors of different
@@ -18,42 +19,50 @@ An empty table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from driftline.llm.components import components
-from driftline.session import settle
+from driftline.session import lookup, settle
 
 BLOCK = 512  # vectors of a block
 FAN = 8  # parts of an interval
+TILE_BYTES = 16 << 20  # vectors of a tile, a run of blocks
+LINKS = 1 << 20  # joining links that a task collects before it shortens them
 
 
-def _matrix(blobs: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_py(), np.float64) for x in blobs]) if len(blobs) else np.zeros((0, 0))
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square overflows."""
+    a = rows.astype(np.float64)
+    a /= np.abs(a).max(axis=1, keepdims=True)
+    return a / np.sqrt((a * a).sum(axis=1, keepdims=True))
+
+
+def _matrix(lists: pa.Array, size: int) -> np.ndarray:
+    """Lists of one length, without nulls, as a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
 def unit_classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): members (id, class; null if the vector links with nothing); classes (id, n, size, unit as bytes)."""
-    x = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where("id is not null").groupBy("id").agg(F.min("x").alias("x"))
+    """(members, classes): members (id, class; null if the vector links with nothing); classes (id, n, size, x), n members of the vector x.
+
+    Vectors keep their width, single or double, until they are compared. Only vectors that several rows share are joined back to the rows.
+    """
+    x = F.col(vector_col)
+    kind = "array<float>" if vectors.schema[vector_col].dataType.elementType == FloatType() else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.cast(kind).alias("x")).where("id is not null").groupBy("id").agg(F.min("x").alias("x"))
     sound = F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0), F.lit(False))
     rows = settle(rows.select("id", F.when(sound, F.col("x")).alias("x")))
-    heads = settle(rows.where("x is not null").groupBy("x").agg(F.min("id").alias("class"), F.count("*").alias("n")))
-    members = rows.join(heads.select("x", "class"), "x", "left").select("id", "class")
-
-    def unit(batches):
-        for batch in batches:
-            out = []
-            for v in batch.column(0):
-                a = np.array(v.as_py(), np.float64)
-                a = a / np.abs(a).max()
-                out.append((a / np.sqrt((a * a).sum())).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([len(b) // 8 for b in out], pa.int32()), pa.array(out, pa.binary())], ["id", "n", "size", "unit"])
-
-    return members, settle(heads.mapInArrow(unit, "id long, n long, size int, unit binary"))
+    heads = rows.where("x is not null").groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    classes = settle(heads.select("id", "n", F.size("x").alias("size"), "x"))
+    shared = lookup(classes.where("n > 1").select("x", F.col("id").alias("class")))
+    own = F.when(F.col("x").isNotNull(), F.col("id"))
+    return rows.join(shared, "x", "left").select("id", F.coalesce("class", own).alias("class")), classes
 
 
 def principal(classes: DataFrame, size: int, directions: int) -> np.ndarray:
@@ -62,13 +71,12 @@ def principal(classes: DataFrame, size: int, directions: int) -> np.ndarray:
     def sums(batches):
         total = np.zeros((size + 1, size + 1))
         for batch in batches:
-            m = _matrix(batch.column(0))
-            if len(m):
-                m = np.hstack([m, np.ones((len(m), 1))])
+            if batch.num_rows:
+                m = np.hstack([_units(_matrix(batch.column(0), size)), np.ones((batch.num_rows, 1))])
                 total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["row", "sums"])
 
-    parts = classes.where(F.col("size") == size).select("unit").mapInArrow(sums, "row int, sums array<double>")
+    parts = classes.where(F.col("size") == size).select("x").mapInArrow(sums, "row int, sums array<double>")
     rows = parts.groupBy("row").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(size + 1)]).alias("sums")).collect()
     total = np.zeros((size + 1, size + 1))
     for r in rows:
@@ -80,21 +88,20 @@ def principal(classes: DataFrame, size: int, directions: int) -> np.ndarray:
 
 
 def blocks_in_grid_order(classes: DataFrame, axes: np.ndarray, eps: float, block: int) -> DataFrame:
-    """(block, rows, low, high): the vectors in grid order, cut into blocks; box in the principal directions."""
-    spark = classes.sparkSession
-    known = spark.sparkContext.broadcast(axes)
-    m = axes.shape[1]
+    """(part, k, ids, counts, xs, low, high): the vectors of one length in grid order, cut into blocks; box in the principal directions."""
+    known = classes.sparkSession.sparkContext.broadcast(axes)
+    size, m = axes.shape
+    wire = classes.schema["x"].dataType
 
     def project(batches):
         for batch in batches:
             if batch.num_rows:
-                p = _matrix(batch.column(2)) @ known.value
-                cells = np.floor(p / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int32()))], ["id", "n", "unit", "cell"])
+                cells = np.floor(_units(_matrix(batch.column(2), size)) @ known.value / eps).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int32()))], ["id", "n", "x", "cell"])
 
-    placed = settle(classes.select("id", "n", "unit").mapInArrow(project, "id long, n long, unit binary, cell array<int>"))
-    count = placed.count()
-    parts = max(1, min(-(-count // (block * 4)), 1 << 14))
+    # Cells are cheap to compute and computed twice, for the ranges and for the shuffle, rather than written out.
+    placed = classes.select("id", "n", "x").mapInArrow(project, f"id long, n long, x {wire.simpleString()}, cell array<int>")
+    parts = max(1, min(-(-classes.count() // (block * 4)), 1 << 14))
     # The id is part of the sort key, so that one cell with very many vectors still is cut.
     order = placed.repartitionByRange(parts, *[F.col("cell")[k] for k in range(m)], "id").sortWithinPartitions(*[F.col("cell")[k] for k in range(m)], "id")
 
@@ -104,7 +111,7 @@ def blocks_in_grid_order(classes: DataFrame, axes: np.ndarray, eps: float, block
         part = pyspark.TaskContext.get().partitionId()
         rest, k = [], 0
         for batch in batches:
-            rest.append(batch.select(["id", "n", "unit"]))
+            rest.append(batch.select(["id", "n", "x"]))
             table = pa.Table.from_batches(rest).combine_chunks()
             while table.num_rows >= block:
                 yield one(part, k, table.slice(0, block))
@@ -114,14 +121,14 @@ def blocks_in_grid_order(classes: DataFrame, axes: np.ndarray, eps: float, block
             yield one(part, k, pa.Table.from_batches(rest).combine_chunks())
 
     def one(part, k, table):
-        m_ = np.stack([np.frombuffer(x.as_py(), np.float64) for x in table.column(2)])
-        p = m_ @ known.value
+        rows = _matrix(table.column(2).combine_chunks(), size)
+        p = _units(rows) @ known.value
         return pa.RecordBatch.from_arrays([
             pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([table.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([table.column(1).to_pylist()], pa.list_(pa.int64())),
-            pa.array([m_.tobytes()], pa.binary()), pa.array([list(p.min(0))], pa.list_(pa.float64())), pa.array([list(p.max(0))], pa.list_(pa.float64()))],
-            ["part", "k", "ids", "counts", "units", "low", "high"])
+            pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary()), pa.array([list(p.min(0))], pa.list_(pa.float64())), pa.array([list(p.max(0))], pa.list_(pa.float64()))],
+            ["part", "k", "ids", "counts", "xs", "low", "high"])
 
-    return settle(order.mapInArrow(cut, "part int, k int, ids array<long>, counts array<long>, units binary, low array<double>, high array<double>"))
+    return settle(order.mapInArrow(cut, "part int, k int, ids array<long>, counts array<long>, xs binary, low array<double>, high array<double>"))
 
 
 def near_intervals(boxes: DataFrame, eps: float) -> DataFrame:
@@ -178,46 +185,78 @@ def _joining(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[other], ids[group[other]]
 
 
-def links(classes: DataFrame, least: float = 0.95, directions: int = 8, block: int = BLOCK) -> DataFrame:
-    """(kind, a, b, n): kind 0: vector a has n more links; kind 1: a joining link of a and b."""
+def _requests(pairs: DataFrame, tile: int) -> DataFrame:
+    """(block, to): each block once with all the tile pairs (ta, tb) that need it, and there the later blocks `with` that it has to meet."""
+    at = lambda c: F.floor(F.col(c) / tile).cast("int")
+    near = pairs.select("a", "b", at("a").alias("ta"), at("b").alias("tb"))
+    first = near.groupBy("ta", "tb", F.col("a").alias("block")).agg(F.collect_list("b").alias("with"))
+    second = near.select("ta", "tb", F.col("b").alias("block")).distinct().withColumn("with", F.array().cast("array<long>"))
+    each = first.unionByName(second).groupBy("ta", "tb", "block").agg(F.flatten(F.collect_list("with")).alias("with"))
+    return each.groupBy("block").agg(F.collect_list(F.struct("ta", "tb", "with")).alias("to"))
+
+
+def links(classes: DataFrame, least: float = 0.95, directions: int = 8, block: int = BLOCK, tile_bytes: int = TILE_BYTES, tiles: int | None = None) -> DataFrame:
+    """(kind, a, b, n): kind 0: vector a has n more links; kind 1: a joining link of a and b.
+
+    Blocks that follow each other make tiles, and a task compares a pair of tiles: a block travels once to each tile pair that needs it, not to each
+    block. Tile pairs are taken in rounds whose shuffle holds about twice the vectors, or `tile_bytes` a core; its files go with the round.
+    """
     eps = math.sqrt(max(0.0, 2 - 2 * least))
-    out = None
+    cores = classes.sparkSession.sparkContext.defaultParallelism
+    width = np.float32 if classes.schema["x"].dataType.elementType == FloatType() else np.float64
+    out = []
     for r in classes.select("size").distinct().orderBy("size").collect():  # vector lengths: one in any sound table
-        own = classes.where(F.col("size") == r.size)
-        axes = principal(own, r.size, min(directions, r.size))
+        size = r.size
+        own = classes.where(F.col("size") == size)
+        axes = principal(own, size, min(directions, size))
         cut = blocks_in_grid_order(own, axes, eps, block)
-        parts = cut.groupBy("part").count().orderBy("part").collect()  # one row per partition
+        parts = cut.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("rows")).orderBy("part").collect()  # one row per partition
         first, so_far = [], 0
         for p in parts:
             first.append(F.struct(F.lit(p.part), F.lit(so_far)))
-            so_far += p["count"]
+            so_far += p.n
         number = F.element_at(F.map_from_entries(F.array(*first)), F.col("part")) + F.col("k")
-        cut = cut.withColumn("block", number.cast("long"))
+        cut = cut.withColumn("block", number.cast("long")).drop("part", "k")
         pairs = near_intervals(cut.select("block", "low", "high"), eps)
-        side = lambda s: cut.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "units")])  # noqa: B023, E731
-        n_pairs = pairs.count()
-        spread = pairs.repartition(max(1, min(n_pairs, own.sparkSession.sparkContext.defaultParallelism * 4)))
-
-        def compare(batches, size=r.size):
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    row = {c: batch.column(c)[k] for c in ("a", "b", "ids_a", "ids_b", "counts_a", "counts_b", "units_a", "units_b")}
-                    ids, counts, units = ([np.array(row[f"ids_{s}"].as_py()) for s in "ab"], [np.array(row[f"counts_{s}"].as_py()) for s in "ab"],
-                                          [np.frombuffer(row[f"units_{s}"].as_py(), np.float64).reshape(-1, size) for s in "ab"])
-                    i, j = compare_blocks(*units, least, row["a"].as_py() == row["b"].as_py())
+        data = sum(p.rows for p in parts) * (size * np.dtype(width).itemsize + 16)
+        tile = -(-so_far // min(so_far, max(-(-data // tile_bytes), tiles or 2 * cores)))
+        n_tiles = -(-so_far // tile)
+        rounds = max(1, -(-n_tiles * data // max(2 * data, tile_bytes * cores)))
+        sent = cut.select("block", "ids", "counts", "xs").join(lookup(_requests(pairs, tile)), "block")
+
+        def compare(table: pa.Table) -> pa.Table:
+            blocks, partners = table.column("block").to_pylist(), table.column("with").to_pylist()
+            ids, counts = ([np.asarray(x.values) for x in table.column(c)] for c in ("ids", "counts"))
+            units = [_units(np.frombuffer(x.as_buffer(), width).reshape(-1, size)) for x in table.column("xs")]
+            at, more = {b: k for k, b in enumerate(blocks)}, [np.zeros(len(x), np.int64) for x in ids]
+            joined, held, room = [], 0, LINKS
+            for k, later in enumerate(partners):
+                for m in (at[b] for b in later):
+                    i, j = compare_blocks(units[k], units[m], least, k == m)
                     if not len(i):
                         continue
-                    u, v = _joining(ids[0][i], ids[1][j])
-                    more = np.concatenate([np.stack([ids[0][i], counts[1][j]], 1), np.stack([ids[1][j], counts[0][i]], 1)])
-                    who, at = np.unique(more[:, 0], return_inverse=True)
-                    n = np.bincount(at, more[:, 1]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.r_[np.zeros(len(who), np.int8), np.ones(len(u), np.int8)]), pa.array(np.r_[who, u]), pa.array(np.r_[who, v]), pa.array(np.r_[n, np.zeros(len(u), np.int64)])],
-                        ["kind", "a", "b", "n"])
-
-        found = spread.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "kind byte, a long, b long, n long")
-        out = found if out is None else out.unionByName(found)
-    return settle(out) if out is not None else classes.select(F.lit(0).cast("byte").alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), "n").limit(0)
+                    np.add.at(more[k], i, counts[m][j])
+                    np.add.at(more[m], j, counts[k][i])
+                    joined.append(_joining(ids[k][i], ids[m][j]))
+                    held += len(joined[-1][0])
+                    if held > room:  # one per vector at most is left
+                        joined = [_joining(*(np.concatenate(x) for x in zip(*joined, strict=True)))]
+                        held = len(joined[0][0])
+                        room = LINKS + 2 * held
+            who, n = np.concatenate(ids), np.concatenate(more)
+            who, n = who[n > 0], n[n > 0]
+            u, v = _joining(*(np.concatenate(x) for x in zip(*joined, strict=True))) if joined else (who[:0], who[:0])
+            return pa.table([
+                pa.array(np.r_[np.zeros(len(who), np.int8), np.ones(len(u), np.int8)]), pa.array(np.r_[who, u]), pa.array(np.r_[who, v]), pa.array(np.r_[n, np.zeros(len(u), np.int64)])],
+                ["kind", "a", "b", "n"])
+
+        for k in range(rounds):  # (ta + tb) deals the pairs of every tile evenly over the rounds
+            wanted = sent.withColumn("to", F.filter("to", lambda t: (t["ta"] + t["tb"]) % rounds == k)).where("size(to) > 0")  # noqa: B023
+            each = wanted.select("block", "ids", "counts", "xs", F.inline("to"))
+            out.append(settle(each.groupBy("ta", "tb").applyInArrow(compare, "kind byte, a long, b long, n long")))
+    if not out:
+        return classes.select(F.lit(0).cast("byte").alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), "n").limit(0)
+    return reduce(DataFrame.unionByName, out)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, **options) -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 
-from driftline.llm.vectors import near_duplicates
+from driftline.llm.vectors import _requests, near_duplicates
 
 
 def brute(rows, least):
@@ -48,3 +48,22 @@ def test_odd_rows(spark):
     assert got(near_duplicates(df)) == want
     assert near_duplicates(df.limit(0)).count() == 0
     assert got(near_duplicates(df.where("vec_id = 3"))) == {3: (0, 3, True)}
+
+
+def test_blocks_travel_once_to_a_pair_of_tiles(spark):
+    """Vectors without structure, so that every block meets every other: the copies of a block follow from the tiles, not from the blocks."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(240, 16)).astype(np.float32)
+    x = np.vstack([base, base[:200] + rng.normal(size=(200, 16)).astype(np.float32) * 0.05])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    want = brute([(k, v.tolist()) for k, v in enumerate(x)], 0.95)
+    assert sum(n for n, _, _ in want.values()) > 200
+    assert got(near_duplicates(df, block=8, tiles=5, tile_bytes=100)) == want  # many tiles, several rounds
+    assert got(near_duplicates(df, block=8, tiles=1)) == want
+
+    blocks, tile = 40, 5
+    pairs = spark.range(blocks).selectExpr("id as a").crossJoin(spark.range(blocks).selectExpr("id as b")).where("a <= b")
+    asked = {r.block: r.to for r in _requests(pairs, tile).collect()}
+    assert sorted(asked) == list(range(blocks))
+    assert all(sorted({(t.ta, t.tb) for t in to}) == sorted((t.ta, t.tb) for t in to) and len(to) == blocks // tile for to in asked.values())
+    assert sorted((b, w) for b, to in asked.items() for t in to for w in t["with"]) == sorted((r.a, r.b) for r in pairs.collect())
