@@ -1,9 +1,10 @@
 """Random forest over sparse, non-negative features such as TF-IDF: all trees grow a level in the same scan.
 
-A scan walks every row down every tree and counts, for each node of the present level, class weights by (feature, bin) of the row's non-zero features; the
-bin of zeros is what is missing from the node's totals. A node looks at about the root of all features, chosen by hash; one that finds no split looks again
-at four times as many. Counts are added and splits chosen in Spark, node by node; the driver holds the trees, never rows. Rows are drawn with
-replacement by hash, so a fit repeats.
+Rows are cut into bins once and written as blocks of bytes. A scan lays a block out as a matrix of bins, walks every row down every tree there and counts, for
+each node of the present level, class weights by (feature, bin) of the features the node looks at; the bin of zeros is what is missing from the node's totals. A node
+looks at about the root of all features, chosen by hash once a scan; one that finds no split looks again at four times as many. A task adds up its blocks;
+counts of a run of nodes meet in one task, which chooses their splits. A split tells the classes of both children, so pure ones are leaves without
+a scan. The driver holds the trees, never rows. Rows are drawn with replacement by hash, so a fit repeats.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.svm import _sparse
-from driftline.session import settle
+from driftline.session import freed_shuffles, settle
 
 SLOTS = 20_000  # nodes whose counts are taken in one scan
+LOOKS = 8_000_000  # features that these nodes look at, in all
+CELLS = 1 << 24  # rows by features of a block
+KEYS = 1 << 21  # counts that a task collects before it adds them up
 DRAWS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])  # a row's times in a sample of as many rows: Poisson with mean 1
 
 
@@ -92,17 +96,54 @@ def _ordered(row, place, value):
     return row[live], place[live], value[live]
 
 
-def best_split(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, total: np.ndarray, count: int) -> tuple[float, int]:
-    """(gain in Gini impurity times weight, last bin of the left side) of one feature of a node; bin 0 are the zeros."""
-    table = np.zeros((count + 1, len(total)))
-    np.add.at(table, (bins, labels), weights)
-    table[0] = np.maximum(total - table.sum(0), 0.0)
-    left = np.cumsum(table, axis=0)[:-1]
-    right = total - left
-    a, b = left.sum(1), right.sum(1)
-    with np.errstate(all="ignore"):
-        gain = np.where((a > 1e-9) & (b > 1e-9), (left**2).sum(1) / a + (right**2).sum(1) / b - (total**2).sum() / total.sum(), 0.0)
-    return float(gain.max()), int(gain.argmax())
+def best_splits(keys: np.ndarray, weights: np.ndarray, totals: np.ndarray, bins: int) -> tuple[np.ndarray, ...]:
+    """(group, gain in Gini impurity times weight, last bin of the left side, class weights of the left side) of sorted counts.
+
+    A key is (group * (bins + 1) + bin) * classes + class, a group one feature of one node; `totals` has the node's class weights by group. Bin 0 are the zeros.
+    """
+    classes = totals.shape[1]
+    width = (bins + 1) * classes
+    groups, at = np.unique(keys // width, return_inverse=True)
+    gains, cuts, lefts = np.zeros(len(groups)), np.zeros(len(groups), np.int64), np.zeros((len(groups), classes))
+    step = max(1, (1 << 20) // width)
+    for lo in range(0, len(groups), step):
+        own = slice(*np.searchsorted(at, [lo, lo + step]))
+        n = min(step, len(groups) - lo)
+        table = np.bincount((at[own] - lo) * width + keys[own] % width, weights[own], n * width).reshape(n, bins + 1, classes)
+        total = totals[groups[lo : lo + n]]
+        table[:, 0] = np.maximum(total - table.sum(1), 0.0)
+        left = np.cumsum(table, axis=1)[:, :-1]
+        right = total[:, None] - left
+        a, b = left.sum(2), right.sum(2)
+        with np.errstate(all="ignore"):
+            gain = np.where((a > 1e-9) & (b > 1e-9), (left**2).sum(2) / a + (right**2).sum(2) / b - ((total**2).sum(1) / total.sum(1))[:, None], 0.0)
+        cut, line = gain.argmax(1), np.arange(n)
+        gains[lo : lo + n], cuts[lo : lo + n], lefts[lo : lo + n] = gain[line, cut], cut, left[line, cut]
+    return groups, gains, cuts, lefts
+
+
+def _added(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, their weights summed."""
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(weights), minlength=len(key)).astype(float)  # of nothing, NumPy's sum is an integer
+
+
+def _packed(rows: DataFrame, edges: np.ndarray, size: int) -> DataFrame:
+    """Blocks of rows (x, label, h), each column the bytes of one array: label, h, and for each entry its place row * size + feature and its bin."""
+    length, wide = max(1, min(1000, CELLS // size)), np.uint8 if len(edges) < 255 else np.uint16
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, length):
+                batch = whole.slice(lo, length)
+                row, place, value = _sparse(batch.column(0))
+                live = np.flatnonzero(value)
+                bin_ = (1 + np.searchsorted(edges, value[live], "left")).astype(wide)
+                at = (row[live] * size + place[live]).astype(np.int64 if size > CELLS else np.int32)
+                parts = [batch.column(1).to_numpy().astype(np.int32), batch.column(2).to_numpy().astype(np.int64), at, bin_]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["label", "h", "place", "bin"])
+
+    return settle(rows.mapInArrow(pack, "label binary, h binary, place binary, bin binary"))
 
 
 def fit_forest(train: DataFrame, trees: int = 100, max_depth: int = 30, seed: int = 42, bins: int = 16, tries: int = 4, share: float | None = None) -> Forest:
@@ -116,89 +157,133 @@ def fit_forest(train: DataFrame, trees: int = 100, max_depth: int = 30, seed: in
     classes, size = about.k + 1, max(about.d or 0, about.dense or 0, 1)
     values = rows.select(F.explode("x.values").alias("v")).where("v <> 0")
     edges = np.unique(values.approxQuantile("v", [k / bins for k in range(1, bins)], 0.001)) if bins > 1 else np.zeros(0)
-    forest, context = Forest(trees, classes, size), train.sparkSession.sparkContext
+    forest, spark = Forest(trees, classes, size), train.sparkSession
+    context, blocks = spark.sparkContext, _packed(rows, edges, size)
     active, attempt = forest.root.copy(), np.zeros(trees, np.int64)
-    tree_of, depth_of = np.arange(trees), np.zeros(trees, np.int64)
+    tree_of, depth_of, cut_of = np.arange(trees), np.zeros(trees, np.int64), np.zeros(trees, np.int64)  # cut_of: last bin of the left side
+    rate_of = lambda looks: np.minimum(1.0, 4.0**looks * (share or 1 / math.sqrt(size)))
+
+    def looked_at(nodes: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features that nodes look at, node after node, and where each node's begin."""
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = _mixed(np.arange(size) + seed)
+            for batch in batches:
+                slots = batch.column(0).to_numpy()
+                found = [np.flatnonzero(_share((nodes[k : k + 1].astype(np.uint64) << np.uint64(32)) + places) < rate[k]).astype(np.int32).tobytes() for k in slots]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["slot", "features"])
+
+        parts = max(1, min(context.defaultParallelism, len(nodes) * size >> 22))
+        drawn = sorted(spark.range(0, len(nodes), 1, parts).mapInArrow(draw, "slot long, features binary").collect())
+        features = [np.frombuffer(r.features, np.int32) for r in drawn]
+        return np.concatenate(features), np.cumsum([0, *map(len, features)])
 
     def scan(nodes: np.ndarray, looks: np.ndarray):
-        """Class totals of the nodes, and their best splits as {node: (feature, bin)}."""
+        """Class totals of the nodes, and their best splits as {slot: (feature, bin, class weights of the left side)}."""
         slot_of = np.full(len(forest.feature), -1)
         slot_of[nodes] = np.arange(len(nodes))
-        sent = context.broadcast((forest.arrays(), slot_of, np.unique(tree_of[nodes]), nodes, np.minimum(1.0, 4.0**looks * (share or 1 / math.sqrt(size))), edges))
+        sent = context.broadcast((forest.feature, cut_of, forest.left, slot_of, np.unique(tree_of[nodes]), *looked_at(nodes, rate_of(looks))))
+        run = -(-len(nodes) // (4 * context.defaultParallelism))  # nodes whose counts meet in one task
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grown, slot_of, used, nodes, rate, edges = sent.value
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(lo, 1000)
-                    row, place, value = _ordered(*_sparse(batch.column(0)))
-                    label, h, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.num_rows
-                    bin_ = 1 + np.searchsorted(edges, value, "left")
-                    parts = []
-                    for t in used.tolist():
-                        weight = np.searchsorted(DRAWS, _share(h ^ _mixed(np.array([seed * 100_003 + t])))).astype(float)
-                        slot = np.where(weight > 0, slot_of[walk(grown, row, place, value, n, t)], -1)
-                        live = np.flatnonzero(slot >= 0)
-                        parts.append((slot[live], np.full(len(live), -1), np.zeros(len(live), np.int64), label[live], weight[live]))
-                        e = np.flatnonzero(slot[row] >= 0)
-                        s = slot[row[e]]
-                        chosen = _share((nodes[s].astype(np.uint64) << np.uint64(32)) + _mixed(place[e] + seed)) < rate[s]
-                        e, s = e[chosen], s[chosen]
-                        parts.append((s, place[e], bin_[e], label[row[e]], weight[row[e]]))
-                    s, f, b, c, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    key, at = np.unique(((s * (size + 1) + f + 1) * (bins + 1) + b) * classes + c, return_inverse=True)
-                    sums = np.bincount(at, w, minlength=len(key)).astype(float)  # of nothing, NumPy's sum is an integer
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sums, pa.float64())], ["key", "w"])
-
-        key = F.col("key")
-        parts = rows.mapInArrow(count, "key long, w double").groupBy("key").agg(F.sum("w").alias("w"))
-        split = lambda c, by: (F.floor(c / by), c % by)
-        rest, c = split(key, classes)
-        rest, b = split(rest, bins + 1)
-        slot, feature = split(rest, size + 1)
-        parts = settle(parts.select(slot.cast("int").alias("slot"), (feature - 1).cast("int").alias("feature"), b.cast("int").alias("bin"), c.cast("int").alias("label"), "w"))
-        totals = np.zeros((len(nodes), classes))
-        for r in parts.where("feature < 0").collect():  # a row per node and class
-            totals[r.slot, r.label] = r.w
-        known = context.broadcast(totals)
+            feature, cut, left, slot_of, used, looked, start = sent.value
+            totals, keys, weights, room = np.zeros((len(start) - 1) * classes), [], [], KEYS
+            salt = _mixed(np.array([seed * 100_003 + t for t in used.tolist()]))
+
+            def one(label: np.ndarray, h: np.ndarray, cells: np.ndarray) -> None:
+                weight = np.searchsorted(DRAWS, _share(h[:, None] ^ salt[None, :]))
+                row, tree = np.nonzero(weight)  # row after row: its bins stay in the cache
+                node, going = used[tree], np.arange(len(row))
+                while len(going := going[feature[node[going]] >= 0]):
+                    at = node[going]
+                    node[going] = left[at] + (cells[row[going] * size + feature[at]] > cut[at])
+                slot = slot_of[node]
+                live = np.flatnonzero(slot >= 0)
+                slot, row, weight = slot[live], row[live], weight[row[live], tree[live]]
+                totals[:] += np.bincount(slot * classes + label[row], weight, len(totals))
+                many = start[slot + 1] - start[slot]
+                ends, lo = np.cumsum(many), 0
+                while lo < len(slot):
+                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - many[lo] + (1 << 17))))
+                    n = many[lo:hi]
+                    which = np.repeat(np.arange(lo, hi), n)
+                    f = looked[np.arange(len(which)) + np.repeat(start[slot[lo:hi]] - (np.cumsum(n) - n), n)]
+                    b = cells[np.repeat(row[lo:hi] * size, n) + f]
+                    hit = np.flatnonzero(b)
+                    k = which[hit]
+                    keys.append(((slot[k] * size + f[hit]) * (bins + 1) + b[hit]) * classes + label[row[k]])
+                    weights.append(weight[k])
+                    lo = hi
 
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for slot, feature, cells in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    b, c, w = (np.array([x[k] for x in cells]) for k in ("bin", "label", "w"))
-                    out.append((slot, feature, *best_split(b, c, w, known.value[slot], bins)))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int32()))], ["slot", "feature", "gain", "bin"])
-
-        impure = [k for k in range(len(nodes)) if (totals[k] > 0).sum() > 1]
-        if not impure:
-            return totals, {}
-        cells = parts.where("feature >= 0").groupBy("slot", "feature").agg(F.collect_list(F.struct("bin", "label", "w")).alias("cells"))
-        gains = cells.mapInArrow(choose, "slot int, feature int, gain double, bin int").where("gain > 1e-9")
-        best = gains.groupBy("slot").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))).alias("m"))
-        return totals, {nodes[r.slot]: (-r.m.f, -r.m.b) for r in best.collect()}  # a row per node
+                for k in range(batch.num_rows):
+                    label, h, place, bin_ = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in enumerate((np.int32, np.uint64, np.int64 if size > CELLS else np.int32, np.uint8 if len(edges) < 255 else np.uint16)))
+                    cells = np.zeros(len(label) * size, bin_.dtype)
+                    cells[place] = bin_
+                    one(label, h, cells)
+                    if sum(map(len, keys)) > room:
+                        keys, weights = ([x] for x in _added(keys, weights))
+                        room = max(KEYS, 2 * len(keys[0]))
+            key, weight = _added(keys, weights) if keys else (np.zeros(0, np.int64), np.zeros(0))
+            ends = np.searchsorted(key, np.arange(0, len(start) - 1 + run, run) * size * (bins + 1) * classes)
+            for k, lo in enumerate(range(0, len(start) - 1, run)):
+                own = slice(ends[k], ends[k + 1])
+                parts = [x.tobytes() for x in (totals[lo * classes : (lo + run) * classes], key[own], weight[own])]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)], ["run", "totals", "keys", "weights"])
+
+        def choose(table: pa.Table) -> pa.Table:
+            totals, keys, weights = ([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("totals", np.float64), ("keys", np.int64), ("weights", np.float64)))
+            total, first = np.sum(totals, axis=0).reshape(-1, classes), int(table.column("run")[0].as_py()) * run
+            key, weight = _added(keys, weights)
+            width, nodes_here = size * (bins + 1) * classes, len(total)
+            key = key - first * width
+            group = np.unique(key // ((bins + 1) * classes))
+            place = np.searchsorted(group, key // ((bins + 1) * classes))
+            _, gain, cut, left = best_splits(place * (bins + 1) * classes + key % ((bins + 1) * classes), weight, total[group // size], bins)
+            near = np.round(gain, 9)
+            order = np.lexsort((cut, group % size, -near, group // size))  # the best of a node comes first; ties go to the smaller feature
+            order = order[gain[order] > 1e-9]
+            slot, at = np.unique(group[order] // size, return_index=True)
+            best = order[at]
+            out = [[0.0, -1, 0, [0.0] * classes] for _ in range(nodes_here)]
+            for s, k in zip(slot.tolist(), best.tolist(), strict=True):
+                out[s] = [float(gain[k]), int(group[k] % size), int(cut[k]), left[k].tolist()]
+            return pa.table({
+                "slot": pa.array(np.arange(first, first + nodes_here), pa.int64()), "total": pa.array(total.tolist(), pa.list_(pa.float64())), "feature": pa.array([o[1] for o in out], pa.int64()),
+                "bin": pa.array([o[2] for o in out], pa.int64()), "left": pa.array([o[3] for o in out], pa.list_(pa.float64()))})
+
+        parts = blocks.mapInArrow(count, "run int, totals binary, keys binary, weights binary")
+        with freed_shuffles(spark):
+            chosen = parts.groupBy("run").applyInArrow(choose, "slot long, total array<double>, feature long, bin long, left array<double>").collect()  # a row per node
+        sent.unpersist()
+        totals = np.zeros((len(nodes), classes))
+        for r in chosen:
+            totals[r.slot] = r.total
+        return totals, {r.slot: (r.feature, r.bin, r.left) for r in chosen if r.feature >= 0}
 
     while len(active):
-        following, looks = [], []
-        for lo in range(0, len(active), SLOTS):
-            nodes, attempts = active[lo : lo + SLOTS], attempt[lo : lo + SLOTS]
+        following, looks, lo = [], [], 0
+        wanted = np.cumsum(rate_of(attempt) * size)
+        while lo < len(active):
+            hi = max(lo + 1, min(lo + SLOTS, int(np.searchsorted(wanted, (wanted[lo - 1] if lo else 0.0) + LOOKS))))
+            nodes, attempts = active[lo:hi], attempt[lo:hi]
             totals, splits = scan(nodes, attempts)
             forest.weights[nodes] = totals
             mixed = (totals > 0).sum(1) > 1
-            found = np.array([n for n in nodes if n in splits], np.int64)
+            found = np.array(sorted(splits), np.int64)
             if len(found):
-                children = forest.grow(found, np.array([splits[n][0] for n in found]), np.array([edges[splits[n][1] - 1] if splits[n][1] else 0.0 for n in found]))
-                tree_of, depth_of = np.append(tree_of, np.repeat(tree_of[found], 2)), np.append(depth_of, np.repeat(depth_of[found] + 1, 2))
-                forest.weights[children] = np.repeat(forest.weights[found], 2, axis=0)  # until they are counted
-                following.append(children)
-                looks.append(np.zeros(len(children), np.int64))
-            again = [k for k, n in enumerate(nodes) if mixed[k] and n not in splits and attempts[k] + 1 < tries]
+                split = [splits[k] for k in found.tolist()]
+                children = forest.grow(nodes[found], np.array([f for f, _, _ in split]), np.array([edges[b - 1] if b else 0.0 for _, b, _ in split]))
+                tree_of, depth_of = np.append(tree_of, np.repeat(tree_of[nodes[found]], 2)), np.append(depth_of, np.repeat(depth_of[nodes[found]] + 1, 2))
+                cut_of = np.append(cut_of, np.zeros(len(children), np.int64))
+                cut_of[nodes[found]] = [b for _, b, _ in split]
+                left = np.array([x for _, _, x in split])
+                forest.weights[children[::2]], forest.weights[children[1::2]] = left, totals[found] - left
+                following.append(children[((forest.weights[children] > 0).sum(1) > 1) & (depth_of[children] < max_depth)])  # the others are leaves
+                looks.append(np.zeros(len(following[-1]), np.int64))
+            again = [k for k in range(len(nodes)) if mixed[k] and k not in splits and attempts[k] + 1 < tries]
             following.append(nodes[again])
             looks.append(attempts[again] + 1)
+            lo = hi
         active, attempt = np.concatenate(following), np.concatenate(looks)
-        kept = depth_of[active] < max_depth
-        deepest = active[~kept]
-        for lo in range(0, len(deepest), SLOTS):  # leaves by depth: counted, never split
-            forest.weights[deepest[lo : lo + SLOTS]] = scan(deepest[lo : lo + SLOTS], np.zeros(len(deepest[lo : lo + SLOTS])))[0]
-        active, attempt = active[kept], attempt[kept]
     return forest

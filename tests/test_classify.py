@@ -244,3 +244,39 @@ def test_vector_features(spark):
     train, test, names = classify.vector_features(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "label", "vec_id")
     out = classify.predictions(classify.logistic(train), test, "vec_id")
     assert names == ["0", "1"] and quality.accuracy_scores(out).first()["accuracy"] > 0.9
+
+
+def test_forest_splits_all_features_of_a_node_at_once():
+    """Every feature's best cut as a plain search over its table finds it; the left side's classes come along."""
+    rng = np.random.default_rng(3)
+    bins, classes, count = 6, 3, 40
+    tables = rng.integers(0, 5, (count, bins + 1, classes)) * (rng.random((count, bins + 1, 1)) < 0.6)
+    tables[5] = tables[7] = tables[9] = 0  # features without an entry do not occur
+    totals = np.maximum(tables.sum(1), 1) + rng.integers(0, 4, (count, classes))
+    at = np.argwhere(tables[:, 1:] > 0)
+    keys = (at[:, 0] * (bins + 1) + at[:, 1] + 1) * classes + at[:, 2]
+    groups, gains, cuts, lefts = forest.best_splits(keys, tables[:, 1:][tables[:, 1:] > 0].astype(float), totals.astype(float), bins)
+    assert set(groups) == set(at[:, 0])
+    for g, gain, cut, left in zip(groups, gains, cuts, lefts):
+        table = tables[g].astype(float)
+        table[0] = totals[g] - table[1:].sum(0)
+        found = []
+        for k in range(bins):
+            a, b = table[: k + 1].sum(0), table[k + 1 :].sum(0)
+            found.append((a**2).sum() / a.sum() + (b**2).sum() / b.sum() - (totals[g] ** 2).sum() / totals[g].sum() if a.sum() and b.sum() else 0.0)
+        assert np.isclose(gain, max(found)) and np.isclose(found[cut], gain) and left.tolist() == table[: cut + 1].sum(0).tolist()
+
+
+def test_forest_children_need_no_scan_to_be_leaves(spark, monkeypatch):
+    """Pure children, and all at the depth limit, have their classes from the split; wide features shorten the blocks."""
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(forest, "DRAWS", np.array([0.0, 1.0]))
+    monkeypatch.setattr(forest, "CELLS", 4000)  # blocks of four rows
+    rows = [(i, float(i % 2), Vectors.sparse(1000, [(999 * (i % 2), 1.0 + i % 3)])) for i in range(60)]
+    df = spark.createDataFrame(rows, ["id", "label", "features"]).repartition(2)
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(1) or broadcast(self, value))
+    got = forest.fit_forest(df, trees=1, share=1.0)
+    assert len(sent) == 1 and len(got.feature) == 3
+    assert sorted(map(tuple, got.weights.tolist())) == [(0.0, 30.0), (30.0, 0.0), (30.0, 30.0)]
