@@ -144,6 +144,23 @@ def test_recall_from_counts(spark, hot, names):
     assert [r.recall for r in neighbours.retrieval_recall(q, c.limit(0), "id", "vec", "vec").collect()] == [None] * 3
 
 
+def test_recall_counts_what_single_precision_cannot_tell(spark):
+    """Rows a few billionths around the own one, far below what single precision resolves, are counted by their rounded similarity and id."""
+    rng = np.random.default_rng(6)
+    axes, q, c, want = np.linalg.qr(rng.normal(size=(24, 24)))[0], [], [], {}
+    for i in range(8):  # a query is one axis; its corpus rows lie at known cosines from it and at 0 from the others
+        near = 0.3 + 0.08 * i + np.r_[0.0, rng.choice([-4e-8, -3e-9, -2e-10, 0.0, 2e-10, 3e-9, 4e-8, 0.01], 60)]
+        ids = np.r_[100 * i + 30, rng.permutation(np.setdiff1d(np.arange(61), 30)) + 100 * i]
+        q.append((int(ids[0]), axes[i].tolist()))
+        c += [(int(k), (s * axes[i] + np.sqrt(1 - s * s) * axes[8 + i]).tolist()) for k, s in zip(ids, near)]
+        own = np.round(near[0], 9)
+        want[int(ids[0])] = sum(np.round(s, 9) > own or (np.round(s, 9) == own and k < ids[0]) for k, s in zip(ids[1:], near[1:]))
+    make = lambda rows: spark.createDataFrame(rows, "id long, vec array<double>")
+    known = neighbours._own_similarity(make(q), make(c))
+    got = {r.id: r.before for r in neighbours._rows_before(make(q).join(known, "id"), make(c), 1000).collect()}
+    assert got == {k: n for k, n in want.items() if n} and len(got) == 8
+
+
 def test_distance_sums(spark, hot):
     df = frame(spark, hot)
     d = np.linalg.norm(hot[:, None] - hot[None], axis=2)
